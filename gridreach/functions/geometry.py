@@ -158,41 +158,60 @@ def near_interval(ax, ay, bx, by, cx, cy, dx, dy, r: float) -> Column:
     """Part of segment AB within r of segment CD, as struct(t0, t1) in [0, 1]; null fields when none.
 
     The distance to a segment is convex along AB, so that part is one interval:
-    the hull of the parts near either end of CD and near its inner strip.
+    the hull of the parts near either end of CD and near its inner strip.  Each
+    step is bound once with `let`, so a filter on the result stays small.
     """
-    ux, uy = bx - ax, by - ay
-    uu = ux * ux + uy * uy
-    lows, highs = [], []
-
-    def add(lo, hi):
-        lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
-        ok = lo <= hi
-        lows.append(F.when(ok, lo))
-        highs.append(F.when(ok, hi))
-
-    for ex, ey in ((cx, cy), (dx, dy)):
-        wx, wy = ax - ex, ay - ey
-        b, c = wx * ux + wy * uy, wx * wx + wy * wy - r * r
-        disc = b * b - uu * c
-        root = F.sqrt(F.when(disc >= 0, disc))
-        add(F.try_divide(-b - root, uu), F.try_divide(-b + root, uu))
-
-    vx, vy = dx - cx, dy - cy
-    length = F.sqrt(vx * vx + vy * vy)
-    nx, ny = F.try_divide(vx, length), F.try_divide(vy, length)
-
-    def linear(p0, slope, lo, hi):
-        a, b = F.try_divide(lo - p0, slope), F.try_divide(hi - p0, slope)
-        flat_ok = (p0 >= lo) & (p0 <= hi)
-        start = F.when(slope != 0, F.least(a, b)).when(flat_ok, 0.0).otherwise(2.0)
-        end = F.when(slope != 0, F.greatest(a, b)).when(flat_ok, 1.0).otherwise(-1.0)
-        return start, end
-
-    across = linear((ax - cx) * ny - (ay - cy) * nx, ux * ny - uy * nx, F.lit(-r), F.lit(r))
-    along = linear((ax - cx) * nx + (ay - cy) * ny, ux * nx + uy * ny, F.lit(0.0), length)
-    add(F.when(length > 0, F.greatest(across[0], along[0])), F.when(length > 0, F.least(across[1], along[1])))
-    # least/greatest skip nulls
-    return F.struct(F.least(*lows).alias("t0"), F.greatest(*highs).alias("t1"))
+    names = ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")
+    given = F.struct(*[c.cast("double").alias(n) for n, c in zip(names, (ax, ay, bx, by, cx, cy, dx, dy))])
+
+    def directions(p):
+        vx, vy = p.dx - p.cx, p.dy - p.cy
+        length = F.sqrt(vx * vx + vy * vy)
+        s = F.struct(
+            p.ax.alias("ax"), p.ay.alias("ay"), p.cx.alias("cx"), p.cy.alias("cy"), p.dx.alias("dx"), p.dy.alias("dy"),
+            (p.bx - p.ax).alias("ux"), (p.by - p.ay).alias("uy"), length.alias("l"),
+            F.try_divide(vx, length).alias("nx"), F.try_divide(vy, length).alias("ny"),
+        )
+        return let(s, products)
+
+    def products(p):
+        def end(ex, ey):
+            wx, wy = p.ax - ex, p.ay - ey
+            return wx * p.ux + wy * p.uy, wx * wx + wy * wy - r * r
+
+        (b0, c0), (b1, c1) = end(p.cx, p.cy), end(p.dx, p.dy)
+        s = F.struct(
+            (p.ux * p.ux + p.uy * p.uy).alias("uu"), p.l.alias("l"), b0.alias("b0"), c0.alias("c0"), b1.alias("b1"), c1.alias("c1"),
+            ((p.ax - p.cx) * p.ny - (p.ay - p.cy) * p.nx).alias("pa"), (p.ux * p.ny - p.uy * p.nx).alias("sa"),
+            ((p.ax - p.cx) * p.nx + (p.ay - p.cy) * p.ny).alias("pl"), (p.ux * p.nx + p.uy * p.ny).alias("sl"),
+        )
+        return let(s, spans)
+
+    def spans(p):
+        def disc(b, c):
+            d = b * b - p.uu * c
+            root = F.when(d >= 0, F.sqrt(F.abs(d)))
+            return F.struct(F.try_divide(-b - root, p.uu).alias("lo"), F.try_divide(-b + root, p.uu).alias("hi"))
+
+        def strip(p0, slope, lo, hi):
+            u, v = F.try_divide(lo - p0, slope), F.try_divide(hi - p0, slope)
+            flat_ok = (p0 >= lo) & (p0 <= hi)
+            start = F.when(slope != 0, F.least(u, v)).when(flat_ok, 0.0).otherwise(2.0)
+            return start, F.when(slope != 0, F.greatest(u, v)).when(flat_ok, 1.0).otherwise(-1.0)
+
+        across, along = strip(p.pa, p.sa, F.lit(-r), F.lit(r)), strip(p.pl, p.sl, F.lit(0.0), p.l)
+        inner = F.struct(F.greatest(across[0], along[0]).alias("lo"), F.least(across[1], along[1]).alias("hi"))
+        all3 = F.array(disc(p.b0, p.c0), disc(p.b1, p.c1), F.when(p.l > 0, inner))
+        clipped = F.transform(
+            F.filter(all3, lambda i: i.lo.isNotNull()),  # greatest and least would skip a null
+            lambda i: F.struct(F.greatest(i.lo, F.lit(0.0)).alias("lo"), F.least(i.hi, F.lit(1.0)).alias("hi")),
+        )
+        return let(F.filter(clipped, lambda i: i.lo <= i.hi), hull)
+
+    def hull(parts):
+        return F.struct(F.array_min(F.transform(parts, lambda i: i.lo)).alias("t0"), F.array_max(F.transform(parts, lambda i: i.hi)).alias("t1"))
+
+    return let(given, directions)
 
 
 def self_crossing(ring: Column) -> Column:

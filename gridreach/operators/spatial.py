@@ -140,25 +140,24 @@ def _ring_search(
         cand = near.select(*keys, "x", "y", F.col("_fx").alias("_bx"), F.col("_fy").alias("_by")).join(items, ["_bx", "_by"])
         if skip is not None:
             cand = cand.where(~skip)
-        cand = cand.withColumn("dist", dist).groupBy(*keys, "x", "y", item).agg(F.min("dist").alias("dist"))
+        cand = cand.withColumn("dist", dist).groupBy(*keys, item).agg(F.min("dist").alias("dist"))
         if k == 1:
-            best = cand.groupBy(*keys, "x", "y").agg(F.min(F.struct("dist", item)).alias("_m"))
-            best = best.select(*keys, "x", "y", F.col("_m.dist").alias("dist"), F.col(f"_m.{item}").alias(item), F.lit(1).alias("rank"))
+            best = cand.groupBy(*keys).agg(F.array(F.min(F.struct("dist", item))).alias("_best"))
         else:
-            best = cand.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "x", "y").orderBy("dist", item)))
-            best = best.where(F.col("rank") <= k)
+            ranked = cand.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("dist", item)))
+            best = ranked.where(F.col("_rank") <= k).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dist", item))).alias("_best"))
         final = s >= reach
-        if not final:
-            ok = best.groupBy(*keys).agg(F.max("rank").alias("_k"), F.max("dist").alias("_far"))
-            ok = ok.where((F.col("_k") == k) & (F.col("_far") <= s)).select(*keys)
-            best = cut(best.join(ok, list(keys), "left_semi"))
-        found = best.select(*keys, item, "dist", "rank")
-        done = found if done is None else done.unionByName(found)
         if final:
-            return done
-        todo = cut(todo.join(best.select(*keys).distinct(), list(keys), "left_anti"))
-        if todo.isEmpty():
-            return done
+            found = best
+        else:
+            sure = (F.size("_best") == k) & (F.element_at("_best", -1)["dist"] <= s)
+            state = cut(todo.join(best, list(keys), "left").withColumn("_sure", F.coalesce(sure, F.lit(False))))
+            found = state.where("_sure").select(*keys, "_best")
+            todo = state.where(~F.col("_sure")).drop("_best", "_sure")
+        done = found if done is None else done.unionByName(found)
+        if final or todo.isEmpty():
+            out = done.select(*keys, F.posexplode("_best").alias("_i", "_b"))
+            return out.select(*keys, F.col("_b")[item].alias(item), F.col("_b.dist").alias("dist"), (F.col("_i") + 1).alias("rank"))
         level += 1
 
 

@@ -66,7 +66,7 @@ def main() -> int:
 
     pattern, sf = (sys.argv[1] if len(sys.argv) > 1 else "."), (sys.argv[2] if len(sys.argv) > 2 else TEST_SF)
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, failed, n = duck(sf), 0, 0
     for name, q in all_queries().items():
         if not re.search(pattern, name):
