@@ -279,10 +279,10 @@ def f23(w):
     return sm.coverage_gate(w.features, FEATS, "district", (F.col("district") % 25).isin(0, 1, 2))
 
 
-@query("f24_group_mean_median", "features", f"select district, feature, round(avg(value),4) as mean, round(median(value),6) as median from {LONG_F} f where value is not null group by 1,2")
+@query("f24_group_mean_median", "features", f"select district, feature, round(avg(value),8) as mean, round(median(value),6) as median from {LONG_F} f where value is not null group by 1,2")
 def f24(w):
     q = o.wide_quantiles(w.features, FEATS, {"median": 0.5}, ["district"])
-    m = o.unpivot(w.features, ["district"], FEATS).where(F.col("value").isNotNull()).groupBy("district", "feature").agg(F.round(F.avg("value"), 4).alias("mean"))
+    m = o.unpivot(w.features, ["district"], FEATS).where(F.col("value").isNotNull()).groupBy("district", "feature").agg(F.round(F.avg("value"), 8).alias("mean"))
     return m.join(q, ["district", "feature"]).select("district", "feature", "mean", F.round("median", 6).alias("median"))
 
 
