@@ -11,6 +11,7 @@ from gridreach.functions import scalars as s
 from gridreach.operators import graph as gr
 from gridreach.operators import ordered as o
 from gridreach.operators import relational as rel
+from gridreach.session import cut
 
 
 def spearman_matrix(df: DataFrame, key: str, cols: Sequence[str], min_n: int = 30) -> DataFrame:
@@ -28,9 +29,13 @@ def spearman_matrix(df: DataFrame, key: str, cols: Sequence[str], min_n: int = 3
         parts.append(ranks.select(F.inline(rel.in_row_pairs([], full))))
     if rest:
         entries = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))) for a, b in rest]
-        long = df.select(key, F.inline(F.array_compact(F.array(*entries))))
-        long = o.pct_rank_avg(long, "u", "x", ["a", "b"])
-        parts.append(o.pct_rank_avg(long, "v", "y", ["a", "b"]).select("a", "b", "x", "y"))
+        long = df.select(F.inline(F.array_compact(F.array(*entries))))
+        sides = F.array(F.struct(F.lit("u").alias("side"), F.col("u").alias("value")), F.struct(F.lit("v").alias("side"), F.col("v").alias("value")))
+        ranks = cut(o.value_ranks(long.select("a", "b", F.inline(sides)), "value", ["a", "b", "side"]))
+        for side, name in (("u", "x"), ("v", "y")):
+            r = ranks.where(F.col("side") == side).select("a", "b", F.col("value").alias(side), F.col("rank_avg").alias(name))
+            long = long.join(r, ["a", "b", side])
+        parts.append(long.select("a", "b", "x", "y"))
     pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
     return out.where(F.col("n") >= min_n)

@@ -124,7 +124,7 @@ def k11(w):
 @query(
     "k12_reduced_set", "features",
     GROUPS_SQL + f""", d as (select feature, abs(avg(value))>1e-9 and stddev_samp(value)/abs(avg(value))<0.05 and count(case when value=0 then 1 end)*100e0/count(value)<50 as flat from {LONG_F} f group by 1),
-    e as (select feature, case when feature='pop' then case when flat then 'NEAR_CONSTANT' end when feature in (select x from k where rn>1) then 'REDUNDANT' when feature='noise' then 'NOT_A_FEATURE' when flat then 'NEAR_CONSTANT' end as exclusion_reason from d) select feature, exclusion_reason is null as included, exclusion_reason from e""",
+    z as (select feature, case when feature='pop' then case when flat then 'NEAR_CONSTANT' end when feature in (select x from k where rn>1) then 'REDUNDANT' when feature='noise' then 'NOT_A_FEATURE' when flat then 'NEAR_CONSTANT' end as exclusion_reason from d) select feature, exclusion_reason is null as included, exclusion_reason from z""",
 )
 def k12(w):
     return sc.reduced_set(sm.describe_audit(w.features, FEATS), groups(w), ["pop"], {"noise": "NOT_A_FEATURE"})
