@@ -23,27 +23,39 @@ def dedup_points_near_ways(pois: DataFrame, key: str, category: str, is_point: C
 def dedup_greedy(stops: DataFrame, key: str, by: str, r: float = 20.0) -> DataFrame:
     """Keep a stop unless an earlier kept stop (lower key) of the same `by` lies within r.
 
-    Rounds decide every stop whose earlier neighbours are all decided: it is
-    dropped if one of them is kept, else kept.  Only undecided pairs go on.
-    Stops on the very same spot are settled first by keeping the lowest key, so
-    a pile of copies never turns into pairs.
+    Tiles of side r / sqrt(2) hold at most one kept stop.  Each round looks only
+    at the earliest undecided stop of every tile: it is kept when no earlier
+    undecided stop lies within r, and what lies within r of a kept stop is
+    dropped.  A stop meets at most one candidate per tile of the 5 x 5 block
+    around it, so a round is linear in the stops, however dense they lie.
     """
-    spots = stops.groupBy(by, "x", "y").agg(F.min(key).alias(key))
-    right = sp.as_target(spots, by, b_key=key)
-    pairs = sp.radius_pairs(spots.select(F.col(key).alias("a_key"), by, "x", "y"), right, r, [by])
-    pairs = cut(pairs.where(F.col("b_key") < F.col("a_key")).select("a_key", "b_key"))  # b is earlier than a
-    kept_now = spots.select(F.col(key).alias("id")).join(pairs.select(F.col("a_key").alias("id")), "id", "left_anti")
-    kept = kept_now
-    while not pairs.isEmpty():
-        dropped = pairs.join(kept_now.select(F.col("id").alias("b_key")), "b_key", "left_semi").select("a_key").distinct()
-        rest = pairs.join(dropped, "a_key", "left_anti")
-        rest = cut(rest.join(dropped.select(F.col("a_key").alias("b_key")), "b_key", "left_anti"))
-        settled = pairs.select("a_key").distinct().join(dropped, "a_key", "left_anti")
-        settled = settled.join(rest.select("a_key"), "a_key", "left_anti")
-        kept_now = cut(settled.select(F.col("a_key").alias("id")))
-        kept = kept.unionByName(kept_now)
-        pairs = rest
-    return stops.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    side = r / 1.4143
+    keys = [by, "_mx", "_my"]
+    home = lambda d: d.withColumn("_mx", sp.tile(F.col("x"), side)).withColumn("_my", sp.tile(F.col("y"), side))
+
+    def block(d: DataFrame) -> DataFrame:
+        span = lambda c: F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2))
+        return d.withColumn("_mx", span("_mx")).withColumn("_my", span("_my"))
+
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    near = dx * dx + dy * dy <= float(r) ** 2
+    todo = cut(home(stops.select(key, by, "x", "y")))
+    kept: list[DataFrame] = []
+    while not todo.isEmpty():
+        lead = todo.groupBy(*keys).agg(F.min(F.struct(key, "x", "y")).alias("_l"))
+        lead = lead.select(*keys, F.col(f"_l.{key}").alias("c_key"), F.col("_l.x").alias("cx"), F.col("_l.y").alias("cy"))
+        spread = block(lead)
+        beaten = todo.join(spread, keys).where(near & (F.col(key) < F.col("c_key"))).select("c_key").distinct()
+        now = cut(lead.join(beaten, "c_key", "left_anti"))
+        kept.append(now.select(F.col("c_key").alias(key)))
+        gone = todo.join(block(now), keys).where(near).select(key).distinct()
+        todo = cut(todo.join(gone, key, "left_anti"))
+    if not kept:
+        return stops
+    ids = kept[0]
+    for k in kept[1:]:
+        ids = ids.unionByName(k)
+    return stops.join(ids, key, "left_semi")
 
 
 def near_share(segs: DataFrame, ids: Sequence[str], ref: DataFrame, buf: float, size: float = 200.0) -> DataFrame:

@@ -90,16 +90,21 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def stop_modes(stops: DataFrame, stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
-    """One row per (stop, mode) with the stop's full in-scope route set.
+def served_routes(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """Distinct (stop_id, route_id, mode) of in-scope routes (routes.mode not null).
 
-    routes carries `mode` (null = out of scope).  Distinct (stop, route) pairs are
-    formed before the set is collected, so a stop served by a huge number of
-    departures contributes one row per route.
+    Visits shrink to distinct (trip, stop) and then (stop, route) pairs before
+    anything is grouped, so a stop with a huge number of departures weighs one
+    row per route.
     """
     visits = stop_times.select("trip_id", "stop_id").distinct()
-    served = visits.join(trips.select("trip_id", "route_id"), "trip_id").select("stop_id", "route_id").distinct()
-    served = served.join(routes.where(F.col("mode").isNotNull()).select("route_id", "mode"), "route_id")
+    pairs = visits.join(trips.select("trip_id", "route_id"), "trip_id").select("stop_id", "route_id").distinct()
+    return pairs.join(routes.where(F.col("mode").isNotNull()).select("route_id", "mode"), "route_id")
+
+
+def stop_modes(stops: DataFrame, stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """One row per (stop, mode) with the stop's full in-scope route set, repeated for each of its modes."""
+    served = served_routes(stop_times, trips, routes)
     per_mode = served.groupBy("stop_id", "mode").agg(F.count("*").alias("n_mode_routes"))
     sets = served.groupBy("stop_id").agg(F.sort_array(F.collect_set("route_id")).alias("route_ids"))
     return stops.join(per_mode, "stop_id").join(sets, "stop_id")

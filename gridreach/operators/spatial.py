@@ -83,6 +83,16 @@ def count_within(origins: DataFrame, key: str, points: DataFrame, r: float, coun
     return origins.select(key).join(summed, key, "left").na.fill(0, list(counts))
 
 
+def near_pair_count(points: DataFrame, r: float) -> DataFrame:
+    """Number of point pairs within r of each other; copies of a spot are counted from their number, not paired."""
+    piles = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    p = radius_pairs(piles, as_target(piles, m="n"), r)
+    same = (F.col("x") == F.col("b_x")) & (F.col("y") == F.col("b_y"))
+    # every unordered pair of spots shows up twice, a spot with itself once
+    twice = F.when(same, F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("m"))
+    return p.agg(F.floor(F.coalesce(F.sum(twice), F.lit(0)) / 2).alias("n_pairs"))
+
+
 def near_pairs(points: DataFrame, key: str, r: float) -> DataFrame:
     """Pairs (a_id < b_id) of points within r of each other."""
     p = radius_pairs(points.select(F.col(key).alias("a_id"), "x", "y"), as_target(points, b_id=key), r)
@@ -90,9 +100,21 @@ def near_pairs(points: DataFrame, key: str, r: float) -> DataFrame:
 
 
 def near_any(a: DataFrame, key: str, b: DataFrame, r: float, on: Sequence[str] = (), keep: bool = True) -> DataFrame:
-    """Rows of a that have (keep) or lack (not keep) a point of b within r, matching `on`."""
+    """Rows of a that have (keep) or lack (not keep) a point of b within r, matching `on`.
+
+    In tiles of side r / sqrt(2) any two points are within r, so rows that share
+    a tile with b are settled by a key join; only the others are compared point
+    by point.  However many points pile up in one spot, they never form pairs
+    with each other.
+    """
+    side = r / 1.4143  # a hair under r / sqrt(2), so a shared tile always means within r
     spots = b.select("x", "y", *on).distinct()
-    hit = radius_pairs(a.select(key, "x", "y", *on), as_target(spots, *on), r, on).select(key).distinct()
+    mini = lambda d: d.withColumn("_mx", tile(F.col("x"), side)).withColumn("_my", tile(F.col("y"), side))
+    full = mini(spots).select("_mx", "_my", *on).distinct()
+    left = mini(a.select(key, "x", "y", *on))
+    shared = left.join(full, ["_mx", "_my", *on], "left_semi").select(key)
+    rest = left.join(full, ["_mx", "_my", *on], "left_anti").drop("_mx", "_my")
+    hit = radius_pairs(rest, as_target(spots, *on), r, on).select(key).union(shared).distinct()
     return a.join(hit, key, "left_semi" if keep else "left_anti")
 
 
@@ -242,26 +264,29 @@ def box_ring_col(df: DataFrame) -> DataFrame:
     return df.withColumn("ring", g.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
 
 
-def overlay_boxes(boxes: DataFrame, grid_cols: DataFrame, size: float) -> DataFrame:
-    """Rectangle x cell pieces with `piece_area`; boxes have x0, y0, x1, y1, the grid has ix, iy."""
+def overlay_boxes(boxes: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
+    """Rectangle x cell pieces with `piece_area`; boxes have x0, y0, x1, y1, the grid has ix, iy.
+
+    Leave grid_cols out to aggregate by (ix, iy) first and join the grid to the few result rows.
+    """
     cand = _box_tiles(boxes, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     cell = (F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
     area = g.rect_overlap_area((F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), cell)
     pieces = cand.withColumn("piece_area", area).where(F.col("piece_area") > 0)
     pieces = pieces.withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy")
-    return pieces.join(grid_cols, ["ix", "iy"])
+    return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 
-def overlay_rings(polys: DataFrame, grid_cols: DataFrame, size: float) -> DataFrame:
+def overlay_rings(polys: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
     """General polygon x cell pieces: candidate cells from the box, exact clip, shoelace area."""
     cand = _box_tiles(polys, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     clipped = g.clip_ring(F.col("ring"), F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
     pieces = cand.withColumn("piece_area", g.ring_area(clipped)).where(F.col("piece_area") > 0)
     pieces = pieces.withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy").drop("ring")
-    return pieces.join(grid_cols, ["ix", "iy"])
+    return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 
-def overlay_segments(segs: DataFrame, grid_cols: DataFrame, size: float) -> DataFrame:
+def overlay_segments(segs: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
     """Segment x cell pieces with t0, t1 and `piece_m`."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     cand = _box_tiles(segs, size, F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))
@@ -269,30 +294,57 @@ def overlay_segments(segs: DataFrame, grid_cols: DataFrame, size: float) -> Data
     pieces = cand.withColumn("_t", t).where(F.col("_t.t0") < F.col("_t.t1"))
     length = g.distance(x1, y1, x2, y2)
     pieces = pieces.select("*", F.col("_t.t0").alias("t0"), F.col("_t.t1").alias("t1")).withColumn("piece_m", (F.col("t1") - F.col("t0")) * length)
-    return pieces.drop("_t").withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy").join(grid_cols, ["ix", "iy"])
+    pieces = pieces.drop("_t").withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy")
+    return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 
-def union_area_per_cell(boxes: DataFrame, grid_cols: DataFrame, size: float, by: Sequence[str] = ()) -> DataFrame:
-    """Area of the union of axis-parallel boxes in each cell, exact.
+def union_area_per_cell(boxes: DataFrame, size: float, by: Sequence[str] = (), crowd: int = 64, depth: int = 3) -> DataFrame:
+    """Exact area of the union of axis-parallel boxes per cell: (ix, iy, by..., union_area).
 
-    Pieces are clipped per cell and repeated pieces collapsed; each cell is cut
-    into vertical slabs at its pieces' x borders, and the covered height of a
-    slab is the merged length of the y intervals over it.
+    Boxes are cut by tiles.  A tile that one box covers is full, whatever else
+    lies in it.  A tile with more than `crowd` pieces left is cut into 8 x 8
+    smaller ones, up to `depth` times, so pieces are only compared within
+    small crowds.
     """
-    p = overlay_boxes(boxes, grid_cols, size)
-    cx, cy = F.col("ix") * size, F.col("iy") * size
-    keys = ["ix", "iy", *by]
-    p = p.select(
-        *keys,
-        F.greatest("x0", cx).alias("a"), F.least("x1", cx + size).alias("b"),
-        F.greatest("y0", cy).alias("c"), F.least("y1", cy + size).alias("d"),
-    ).distinct()
-    cuts = p.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct()
+    todo = boxes.select(*by, "x0", "y0", "x1", "y1").distinct()
+    parts: list[DataFrame] = []
+    fine = size
+    for level in range(depth + 1):
+        cut_up = _box_tiles(todo, fine, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        tx, ty = F.col("_bx") * fine, F.col("_by") * fine
+        p = cut_up.select(
+            *by, "_bx", "_by",
+            F.greatest("x0", tx).alias("x0"), F.greatest("y0", ty).alias("y0"), F.least("x1", tx + fine).alias("x1"), F.least("y1", ty + fine).alias("y1"),
+        ).where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).distinct()
+        covers = (F.col("x1") - F.col("x0") >= fine) & (F.col("y1") - F.col("y0") >= fine)
+        keys = [*by, "_bx", "_by"]
+        tiles = cut(p.groupBy(*keys).agg(F.count("*").alias("_n"), F.bool_or(covers).alias("_full")))
+        cell = [F.floor(F.col("_bx") * fine / size).alias("ix"), F.floor(F.col("_by") * fine / size).alias("iy")]
+        parts.append(tiles.where("_full").select(*by, *cell, F.lit(fine * fine).alias("area")))
+        crowded = (F.col("_n") > crowd) if level < depth else F.lit(False)
+        calm = p.join(tiles.where(~F.col("_full") & ~crowded).select(*keys), keys, "left_semi")
+        parts.append(_slab_area(calm, keys).select(*by, *cell, "area"))
+        if level == depth:
+            break
+        hot = tiles.where(~F.col("_full") & crowded).select(*keys)
+        if hot.isEmpty():
+            break
+        todo = cut(p.join(hot, keys, "left_semi").select(*by, "x0", "y0", "x1", "y1").distinct())
+        fine = fine / 8
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("ix", "iy", *by).agg(F.sum("area").alias("union_area"))
+
+
+def _slab_area(p: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Union area of boxes per key: vertical slabs between x borders times the covered height over each."""
+    cuts = p.select(*keys, F.explode(F.array("x0", "x1")).alias("s")).distinct()
     w = Window.partitionBy(*keys).orderBy("s")
     slabs = cuts.withColumn("e", F.lead("s").over(w)).where(F.col("e").isNotNull())
-    over = slabs.join(p, keys).where((F.col("a") <= F.col("s")) & (F.col("b") >= F.col("e")))
-    merged = covered_length(over, [*keys, "s", "e"], "c", "d")
-    return merged.groupBy(*keys).agg(F.sum((F.col("e") - F.col("s")) * F.col("covered")).alias("union_area"))
+    over = slabs.join(p, list(keys)).where((F.col("x0") <= F.col("s")) & (F.col("x1") >= F.col("e")))
+    merged = covered_length(over, [*keys, "s", "e"], "y0", "y1")
+    return merged.groupBy(*keys).agg(F.sum((F.col("e") - F.col("s")) * F.col("covered")).alias("area"))
 
 
 def covered_length(df: DataFrame, by: Sequence[str], lo: str, hi: str) -> DataFrame:

@@ -124,8 +124,9 @@ SEG_PIECES = """(select seg_id, highway, x1, y1, x2, y2, grid_id, gx, gy, greate
 
 @query("c12_overlay_length", "road grid", f"select grid_id, highway, count(*) as n_pieces, round(sum((t1-t0)*sqrt((x2-x1)**2+(y2-y1)**2)),3) as length_m from {SEG_PIECES} p where t0<t1 group by 1,2")
 def c12(w):
-    p = sp.overlay_segments(w.road, cells(w), 500.0)
-    return p.groupBy("grid_id", "highway").agg(F.count("*").alias("n_pieces"), F.round(F.sum("piece_m"), 3).alias("length_m"))
+    p = sp.overlay_segments(w.road, None, 500.0)
+    p = p.groupBy("ix", "iy", "highway").agg(F.count("*").alias("n_pieces"), F.round(F.sum("piece_m"), 3).alias("length_m"))
+    return p.join(cells(w), ["ix", "iy"]).drop("ix", "iy")
 
 
 OVERLAY3 = """(select p.r, p.c, p.pop, g.grid_id, d.district as poly_district,
@@ -178,6 +179,11 @@ def c15(w):
     return sp.near_pairs(w.poi, "poi_id", 50.0).select("a_id", "b_id", F.round("dist", 4).alias("dist"))
 
 
+@query("c15b_near_pair_count", "poi", "select count(*) as n_pairs from poi a join poi b on a.poi_id<b.poi_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=2500")
+def c15b(w):
+    return sp.near_pair_count(w.poi, 50.0)
+
+
 @query("c16_near_any", "poi stop", "select poi_id from poi p where exists (select 1 from stop s where (p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)<=300*300)")
 def c16(w):
     return sp.near_any(w.poi, "poi_id", w.stop, 300.0).select("poi_id")

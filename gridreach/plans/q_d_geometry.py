@@ -66,7 +66,8 @@ def d6(w):
     select x0, y0, x0+w as x1, y0+h/2 as y1 from building union all select x0, y0+h/2, x0+w/2, y0+h from building) p join grid g on p.x0<g.x0+500 and p.x1>g.x0 and p.y0<g.y0+500 and p.y1>g.y0 group by 1""",
 )
 def d7(w):
-    return sp.overlay_rings(l_shape(w), cells(w), 500.0).groupBy("grid_id").agg(F.round(F.sum("piece_area"), 4).alias("area"))
+    p = sp.overlay_rings(l_shape(w), None, 500.0).groupBy("ix", "iy").agg(F.round(F.sum("piece_area"), 4).alias("area"))
+    return p.join(cells(w), ["ix", "iy"]).select("grid_id", "area")
 
 
 @query("d8_clip_segment", "road", "select highway, count(*) as n, round(sum((t1-t0)*sqrt((x2-x1)**2+(y2-y1)**2)),3) as inside_m from (select *, greatest(0,case when x2>x1 then (4000-x1)/(x2-x1) else case when x1>=4000 and x1<12000 then 0 else 2 end end) as t0, least(1,case when x2>x1 then (12000-x1)/(x2-x1) else 1 end) as t1 from road) r where t0<t1 group by 1")
@@ -122,5 +123,5 @@ def d13(w):
     and exists (select 1 from p where p.grid_id=sl.grid_id and p.a<=sl.s and p.b>=sl.e and p.c<=yl.t and p.d>=yl.u) group by 1""",
 )
 def d14(w):
-    u = sp.union_area_per_cell(w.landuse, cells(w), 500.0)
+    u = sp.union_area_per_cell(w.landuse, 500.0, crowd=8)
     return u.join(cells(w), ["ix", "iy"]).select("grid_id", F.round("union_area", 4).alias("union_area"))

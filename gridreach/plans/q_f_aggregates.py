@@ -52,7 +52,8 @@ def f1(w):
 @query("f2_building_stats", "building", "select cast(floor((y0+h/2)/500)*40+floor((x0+w/2)/500) as bigint) as grid_id, count(*) as n, round(avg(w*h),6) as mean_area from building group by 1")
 def f2(w):
     b = boxes(w, "w", "h").select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), (F.col("w") * F.col("h")).alias("area"))
-    return sp.join_cells(b, cells(w), 500.0).groupBy("grid_id").agg(F.count("*").alias("n"), F.round(F.avg("area"), 6).alias("mean_area"))
+    per = sp.point_to_cell(b, 500.0).groupBy("ix", "iy").agg(F.count("*").alias("n"), F.round(F.avg("area"), 6).alias("mean_area"))
+    return per.join(cells(w), ["ix", "iy"]).select("grid_id", "n", "mean_area")
 
 
 @query(
@@ -61,14 +62,11 @@ def f2(w):
     round(sum(case when highway<>'motorway' then len else 0 end),3) as walkable_m, round(sum(len),3) as total_m from (select *, (t1-t0)*sqrt((x2-x1)**2+(y2-y1)**2) as len from {SEG_PIECES} p where t0<t1) q group by 1""",
 )
 def f3(w):
-    p = sp.overlay_segments(w.road, cells(w), 500.0)
+    p = sp.overlay_segments(w.road, None, 500.0)
     fl = s.road_flags(F.col("highway"))
     part = lambda c: F.round(F.sum(F.when(c, F.col("piece_m")).otherwise(0.0)), 3)
-    return p.groupBy("grid_id").agg(part(fl["is_major"]).alias("major_m"), part(fl["is_local"]).alias("local_m"), part(fl["is_walkable"]).alias("walkable_m"), F.round(F.sum("piece_m"), 3).alias("total_m"))
-
-
-def served_stops(w):
-    return rel.stop_modes(w.stop.select("stop_id", "x", "y"), w.stop_time, w.gtrip, rel.route_mode(w.route, mode_rules(w)))
+    p = p.groupBy("ix", "iy").agg(part(fl["is_major"]).alias("major_m"), part(fl["is_local"]).alias("local_m"), part(fl["is_walkable"]).alias("walkable_m"), F.round(F.sum("piece_m"), 3).alias("total_m"))
+    return p.join(cells(w), ["ix", "iy"]).drop("ix", "iy")
 
 
 @query(
@@ -77,10 +75,11 @@ def served_stops(w):
     cast(count(distinct case when served.mode='metrobus' then route_id end) as bigint) as n_metrobus from served join stop using (stop_id) group by 1""",
 )
 def f4(w):
-    m = served_stops(w).select("x", "y", "mode", F.explode("route_ids").alias("route_id"))
-    routes = rel.route_mode(w.route, mode_rules(w)).select("route_id", F.col("mode").alias("own"))
-    c = sp.join_cells(m, cells(w), 500.0).select("grid_id", "route_id").distinct().join(routes, "route_id")
-    return c.groupBy("grid_id").agg(F.count("*").alias("n_routes"), F.count_if(F.col("own") == "metrobus").alias("n_metrobus"))
+    served = rel.served_routes(w.stop_time, w.gtrip, rel.route_mode(w.route, mode_rules(w)))
+    where = sp.point_to_cell(w.stop.select("stop_id", "x", "y"), 500.0).select("stop_id", "ix", "iy")
+    c = served.join(where, "stop_id").select("ix", "iy", "route_id", "mode").distinct()
+    c = c.groupBy("ix", "iy").agg(F.count("*").alias("n_routes"), F.count_if(F.col("mode") == "metrobus").alias("n_metrobus"))
+    return c.join(cells(w), ["ix", "iy"]).drop("ix", "iy")
 
 
 @query(
@@ -95,8 +94,8 @@ def f5(w):
     peak = F.coalesce("departure_time", "arrival_time").startswith("08:")
     per = st.groupBy("stop_id").agg(F.count("*").alias("per_day"), F.count_if(peak).alias("peak"))
     stops = w.stop.where(F.col("mode_name").isin("bus", "metrobus")).select("stop_id", "x", "y").join(per, "stop_id")
-    c = sp.join_cells(stops, cells(w), 500.0).groupBy("grid_id").agg(F.sum("per_day").alias("per_day"), F.sum("peak").alias("peak"))
-    return w.grid.select("grid_id").join(c, "grid_id", "left").na.fill(0)
+    c = sp.point_to_cell(stops, 500.0).groupBy("ix", "iy").agg(F.sum("per_day").alias("per_day"), F.sum("peak").alias("peak"))
+    return cells(w).join(c, ["ix", "iy"], "left").na.fill(0).drop("ix", "iy")
 
 
 PX = "(select cast(floor((y0+80)/500)*40+floor((x0+80)/500) as bigint) as grid_id, elev from pixel where elev is not null)"
@@ -140,18 +139,19 @@ PIX_PIECES = """(select p.r, p.c, p.pop, g.grid_id, greatest(0,least(p.x0+160,g.
 
 @query("f9_allocate_mass", "pixel grid", f"select grid_id, round(sum(pop*area/25600),6) as pop from {PIX_PIECES} p where area>0 group by 1")
 def f9(w):
-    return allocate(w).groupBy("grid_id").agg(F.round(F.sum("mass"), 6).alias("pop"))
+    per = allocate(w).groupBy("ix", "iy").agg(F.round(F.sum("mass"), 6).alias("pop"))
+    return per.join(cells(w), ["ix", "iy"]).select("grid_id", "pop")
 
 
 def allocate(w):
-    return sp.overlay_boxes(pixel_boxes(w), cells(w), 500.0).withColumn("mass", F.col("pop") * F.col("piece_area") / 25600.0)
+    return sp.overlay_boxes(pixel_boxes(w), None, 500.0).withColumn("mass", F.col("pop") * F.col("piece_area") / 25600.0)
 
 
 @query("f9b_mass_check", "pixel grid", f"select round(s,3) as source, round(a,3) as allocated, round((a-s)/s*100,6) as diff_pct from (select (select sum(pop) from pixel) as s, (select sum(pop*area/25600) from {PIX_PIECES} p) as a) t")
 def f9b(w):
     """Mass before and after allocation; both sides are one aggregate each."""
     src = w.pixel.agg(F.sum("pop").alias("s"))
-    out = allocate(w).agg(F.sum("mass").alias("a")).withColumn("s", src.scalar())
+    out = allocate(w).join(cells(w), ["ix", "iy"], "left_semi").agg(F.sum("mass").alias("a")).withColumn("s", src.scalar())
     return out.select(F.round("s", 3).alias("source"), F.round("a", 3).alias("allocated"), F.round((F.col("a") - F.col("s")) / F.col("s") * 100, 6).alias("diff_pct"))
 
 

@@ -172,8 +172,8 @@ def i13(w):
 
 @query("i14_network_coverage", "node grid", "select district, count(*) as n_cells, count(case when has then 1 end) as n_covered from (select g.district, g.grid_id in (select cast(floor(y/500)*40+floor(x/500) as bigint) from node) as has from grid g) t group by 1")
 def i14(w):
-    local = sp.join_cells(w.node, cells(w), 500.0).select("grid_id").distinct().withColumn("has", F.lit(True))
-    c = w.grid.select("grid_id", "district").join(local, "grid_id", "left")
+    local = sp.point_to_cell(w.node, 500.0).select("ix", "iy").distinct().withColumn("has", F.lit(True))
+    c = cells(w, "district").join(local, ["ix", "iy"], "left")
     return c.groupBy("district").agg(F.count("*").alias("n_cells"), F.count("has").alias("n_covered"))
 
 
@@ -185,7 +185,8 @@ def i15(w):
 @query("i16_intersections", "node edge", "select cast(floor(y/500)*40+floor(x/500) as bigint) as grid_id, count(*) as n_intersections from node join (select n, count(*) as k from (select src as n from edge union all select dst from edge) u group by 1 having count(*)>=3) d on node_id=n group by 1")
 def i16(w):
     hubs = w.node.join(gr.intersections(w.edge), "node_id")
-    return sp.join_cells(hubs, cells(w), 500.0).groupBy("grid_id").agg(F.count("*").alias("n_intersections"))
+    per = sp.point_to_cell(hubs, 500.0).groupBy("ix", "iy").agg(F.count("*").alias("n_intersections"))
+    return per.join(cells(w), ["ix", "iy"]).select("grid_id", "n_intersections")
 
 
 @query("i17_line_connectivity", "cycleway")
