@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridreach.operators import ordered as o
 from gridreach.operators import summary as sm
-from gridreach.session import cut
+from gridreach.session import cut, shuffle_width
 
 
 def matrix(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def silhouette_sample(df: DataFrame, key: str, vec: str, label: str, n: int = 50
             sil = np.where(sizes[own] > 1, (near - inner) / np.maximum(near, inner), 0.0)
             yield pd.DataFrame({"s": sil})
 
-    parts = sample.repartition(o.shuffle_width(df.sparkSession))
+    parts = sample.repartition(shuffle_width(df.sparkSession))
     return parts.mapInPandas(score, "s double").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
 
 

@@ -45,32 +45,37 @@ def used_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "node_id", "left_semi")
 
 
-def reach(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str = "time_s", max_rounds: int = 10_000) -> DataFrame:
+def _longer_edges(e: DataFrame, cutoff: float) -> DataFrame:
+    """Edges plus all two-edge steps, cheapest per pair: halves the rounds of a relaxation."""
+    two = e.select("src", F.col("dst").alias("_mid"), F.col("_w").alias("_a")).join(e.select(F.col("src").alias("_mid"), "dst", F.col("_w").alias("_b")), "_mid")
+    two = two.select("src", "dst", (F.col("_a") + F.col("_b")).alias("_w")).where((F.col("src") != F.col("dst")) & (F.col("_w") <= cutoff))
+    return e.unionByName(two).groupBy("src", "dst").agg(F.min("_w").alias("_w"))
+
+
+def reach(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str = "time_s", doublings: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """(source, node, t) for every node within `cutoff` (inclusive) of each source node; a source reaches itself at 0.
 
-    Frontier relaxation: each round joins the states improved last round with
-    the edges, keeps the best time per (source, node) and drops what an earlier
-    layer already reached as fast.  Layers are written once each.
+    Frontier relaxation.  A round joins the states improved last round with the
+    edges and merges the result with the layers found so far in one aggregate:
+    a state that beats every layer is the next frontier and is written once, as
+    a new layer.  With `doublings` the edges are first extended to two, four,
+    ... steps, which trades some rows for half the rounds each time.
     """
-    e = cut(edges.where(F.col(weight) <= cutoff).groupBy("src", "dst").agg(F.min(weight).alias("_w")))
+    e = edges.where(F.col(weight) <= cutoff).groupBy("src", "dst").agg(F.min(weight).alias("_w"))
+    for _ in range(doublings):
+        e = _longer_edges(e, cutoff)
+    e = cut(e)
     start = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
-    frontier = start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("t"))
-    layers = [frontier]
+    frontier = cut(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("t")))
+    found = frontier
     for _ in range(max_rounds):
-        step = frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), (F.col("t") + F.col("_w")).alias("t"))
-        step = step.where(F.col("t") <= cutoff).groupBy("source", "node").agg(F.min("t").alias("t"))
-        known = layers[0]
-        for layer in layers[1:]:
-            known = known.unionByName(layer)
-        known = known.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("t").alias("_t"))
-        better = step.join(known, (F.col("source") == F.col("_s")) & (F.col("node") == F.col("_n")) & (F.col("_t") <= F.col("t")), "left_anti")
-        frontier = cut(better)
+        step = frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), (F.col("t") + F.col("_w")).alias("t"), F.lit(1).alias("_new"))
+        both = step.where(F.col("t") <= cutoff).unionByName(found.withColumn("_new", F.lit(0)))
+        best = both.groupBy("source", "node").agg(F.min(F.struct("t", "_new")).alias("_b"))  # a tie stays with the older layer
+        frontier = cut(best.where(F.col("_b._new") == 1).select("source", "node", F.col("_b.t").alias("t")))
         if frontier.isEmpty():
-            out = layers[0]
-            for layer in layers[1:]:
-                out = out.unionByName(layer)
-            return out.groupBy("source", "node").agg(F.min("t").alias("t"))
-        layers.append(frontier)
+            return found.groupBy("source", "node").agg(F.min("t").alias("t"))
+        found = found.unionByName(frontier)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -191,35 +196,65 @@ def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_round
     )
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
-    """(node, component) with component = smallest node id, by alternating large and small stars.
+def _settle(pairs: DataFrame) -> DataFrame:
+    """(a, r) for a bounded edge table (u, v): every node points to the first node of its group."""
+    parent: dict = {}
 
-    Both star steps are an aggregate and a join on the edge table; the number of
-    rounds grows with the logarithm of the graph, not with its diameter.
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, v in pairs.select("u", "v").collect():
+        parent[top(u)] = top(v)
+    kind = pairs.schema["u"].dataType.simpleString()
+    return pairs.sparkSession.createDataFrame([(x, top(x)) for x in list(parent)], f"a {kind}, r {kind}")
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200, remainder: int = 20_000) -> DataFrame:
+    """(node, component) with component = smallest node id, by randomised contraction.
+
+    Each round every node merges into the neighbour (or itself) with the
+    smallest hash for that round, and edges are rewritten between the merged
+    nodes.  A round removes a constant share of the nodes whatever the shape of
+    the graph, so rounds grow with the logarithm of its size and the total work
+    stays near that of the first round.  Once no more than `remainder` edges are
+    left (a fixed bound, checked by count) they are settled in one step.  The
+    merge maps are composed at the end.
     """
-    pairs = edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where(F.col("u") != F.col("v")).distinct()
-    pairs = cut(pairs)  # v > u
-    seen = None
-    for _ in range(max_rounds):
-        # large star: every bigger neighbour of a node points to the smallest node around it
-        sym = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        low = sym.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-        large = sym.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("v"), F.col("m").alias("u")).where(F.col("u") != F.col("v")).distinct()
-        # small star: every smaller neighbour of a node, and the node, point to the smallest of them
-        low2 = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low2, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low2.select("v", F.col("m").alias("u")))
-        pairs = cut(small.where(F.col("u") != F.col("v")).distinct())
-        mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+    live = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where(F.col("u") != F.col("v")).distinct()
+    live = cut(live)
+    maps: list[DataFrame] = []
+    for i in range(max_rounds):
+        n_live = live.count()
+        if n_live <= remainder:
+            if n_live:
+                maps.append(_settle(live))
             break
-        seen = tuple(mark)
+        ends = live.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(live.select(F.col("v").alias("a"), F.col("u").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("id"))
+        near = ends.groupBy("a").agg(F.min(rank("b")).alias("_m"))
+        into = cut(near.select("a", F.least(F.col("_m"), rank("a"))["id"].alias("r")))
+        maps.append(into)
+        ru, rv = into.select(F.col("a").alias("u"), F.col("r").alias("ru")), into.select(F.col("a").alias("v"), F.col("r").alias("rv"))
+        moved = live.join(ru, "u").join(rv, "v").where(F.col("ru") != F.col("rv"))
+        live = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
     else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    roots = pairs.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    out = pairs.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
+        raise RuntimeError(f"not contracted after {max_rounds} rounds")
+    if not maps:
+        ids = edges.select(F.col("src").alias("node")) if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node"))
+        return ids.distinct().select("node", F.col("node").alias("component"))
+    label = maps[-1]
+    for m in reversed(maps[:-1]):
+        up = label.select(F.col("a").alias("r"), F.col("r").alias("_top"))
+        label = m.join(up, "r", "left").select("a", F.coalesce("_top", "r").alias("r"))
+    label = cut(label)
+    low = label.groupBy("r").agg(F.min("a").alias("component"))
+    out = label.join(low, "r").select(F.col("a").alias("node"), "component")
     if nodes is None:
         return out
-    alone = nodes.select(F.col(nodes.columns[0]).alias("node")).join(out, "node", "left_anti")
+    alone = nodes.select(F.col(nodes.columns[0]).alias("node")).join(label.select(F.col("a").alias("node")), "node", "left_anti")
     return out.unionByName(alone.select("node", F.col("node").alias("component")))
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridreach.session import cut, shuffle_width
+from gridreach.session import cut
 
 
 def scalar_row(df: DataFrame) -> Column:
@@ -37,10 +37,8 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence, weights: dict
     and `{stem}_total`.  (by, order) should identify a row.
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    width = shuffle_width(df.sparkSession)
-    ranged = cut(
-        df.repartitionByRange(width, *[F.col(b) for b in by], *order_cols).withColumn("_pid", F.spark_partition_id())
-    )
+    # no partition number: adaptive execution merges neighbouring ranges to a useful size, which keeps their order
+    ranged = cut(df.repartitionByRange(*[F.col(b) for b in by], *order_cols).withColumn("_pid", F.spark_partition_id()))
     keys = ["_pid", *by]
     totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(f"_{s}_part") for s, c in weights.items()])
     group = Window.partitionBy(*(by or [F.lit(0)]))

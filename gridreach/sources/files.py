@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,18 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridreach.functions.projection import utm_inverse
-from gridreach.session import ensure_checkpoint_dir
+from gridreach.session import scratch
 
 TRIP_SCHEMA = "trip_id long, start_time timestamp, start_lng double, start_lat double, end_time timestamp, end_lng double, end_lat double"
 GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def read_gtfs(spark: SparkSession, folder: str, columns: Mapping[str, Sequence[str]], encoding: str = "UTF-8", sep: str = ",") -> dict[str, DataFrame]:
     """Each listed table of a timetable feed, every column a string; columns fixes the schema (no inference pass)."""
     out = {}
