@@ -45,7 +45,7 @@ def mode_per_group(df: DataFrame, by: str, col: str) -> DataFrame:
 
 def median_member(df: DataFrame, cases: Mapping[str, Column], weight: str, key: str) -> DataFrame:
     """For each named predicate, the row at index n // 2 by (weight, key), among weight > 0 when there are any."""
-    tagged = df.select(key, weight, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()]))).alias("case"))
+    tagged = df.select(*dict.fromkeys([key, weight]), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()]))).alias("case"))
     populated = tagged.groupBy("case").agg(F.max(F.col(weight) > 0).alias("_any"))
     pool = tagged.join(populated, "case").where(~F.col("_any") | (F.col(weight) > 0))
     idx = o.row_index(pool.select("case", weight, key), [weight, key], ["case"])
@@ -115,7 +115,7 @@ def coverage_gate(df: DataFrame, cols: Sequence[str], by: str, subset: Column) -
 
 def concentration_bands(df: DataFrame, order: str, key: str, weight: str, flag: str, pcts: Sequence[int] = (10, 20, 30)) -> DataFrame:
     """Shares of weight and flagged weight in the top p percent of rows by `order` (ties by key)."""
-    idx = o.row_index(df.select(key, order, weight, flag), [F.col(order).desc(), key])
+    idx = o.row_index(df.select(*dict.fromkeys([key, order, weight, flag])), [F.col(order).desc(), key])
     tot = F.struct("*")
     sums = df.agg(F.sum(weight).alias("w"), F.sum(F.when(F.col(flag), F.col(weight)).otherwise(0.0)).alias("wf"))
     b = idx.select("*", F.explode(F.array(*[F.lit(p) for p in pcts])).alias("pct")).where(F.col("row_index") < F.floor(F.col("n_rows") * F.col("pct") / 100))
