@@ -26,7 +26,7 @@ def e1b(w):
     """select grid_id, node_id, round(dist,2) as snap_distance_m, has_local_node, case when round(dist,2)<=100 then 'DIRECT' when round(dist,2)<=300 then 'NEARBY' when round(dist,2)<=1000 then 'LARGE_SNAP' else 'QUESTIONABLE' end as snap_quality from (
     select a.grid_id, arg_min(b.node_id, round(sqrt((a.x0+250-b.x)**2+(a.y0+250-b.y)**2),6)*1e9+b.node_id/1e3) as node_id, min(sqrt((a.x0+250-b.x)**2+(a.y0+250-b.y)**2)) as dist,
     bool_or(b.x>=a.x0 and b.x<a.x0+500 and b.y>=a.y0 and b.y<a.y0+500) as has_local_node
-    from grid a cross join node b where abs(a.x0-b.x)<2000 and abs(a.y0-b.y)<2000 group by 1) n""",
+    from grid a cross join node b group by 1) n""",
 )
 def e2(w):
     from gridreach.functions.scalars import snap_class

@@ -90,7 +90,9 @@ def k7(w):
 
 
 def _two(cond, col):
-    return f"""q as (select median(ln(1+{col})) as m, quantile_cont(ln(1+{col}),0.75)-quantile_cont(ln(1+{col}),0.25) as iqr, (min(ln(1+{col}))-median(ln(1+{col})))/(quantile_cont(ln(1+{col}),0.75)-quantile_cont(ln(1+{col}),0.25)) as low from features where {cond})"""
+    """Median, IQR (0 read as 1) and smallest scaled value of the log among the active rows."""
+    v = f"ln(1+{col})"
+    return f"""q0 as (select median({v}) as m, quantile_cont({v},0.75)-quantile_cont({v},0.25) as d, min({v}) as mn from features where {cond}), q as (select m, case when d=0 then 1e0 else d end as iqr, (mn-m)/case when d=0 then 1e0 else d end as low from q0)"""
 
 
 @query("k8_two_part", "features", f"with {_two('sum_size>0', 'sum_size')} select grid_id, case when sum_size>0 then 1e0 else 0e0 end as has_sum_size, round(case when sum_size>0 then (ln(1+sum_size)-m)/iqr else low-1 end,6) as sum_size_intensity from features, q")
