@@ -23,10 +23,11 @@ def e1b(w):
 
 @query(
     "e2_anchor_nodes", "grid node",
-    """select grid_id, node_id, round(dist,2) as snap_distance_m, has_local_node, case when round(dist,2)<=100 then 'DIRECT' when round(dist,2)<=300 then 'NEARBY' when round(dist,2)<=1000 then 'LARGE_SNAP' else 'QUESTIONABLE' end as snap_quality from (
-    select a.grid_id, arg_min(b.node_id, round(sqrt((a.x0+250-b.x)**2+(a.y0+250-b.y)**2),6)*1e9+b.node_id/1e3) as node_id, min(sqrt((a.x0+250-b.x)**2+(a.y0+250-b.y)**2)) as dist,
-    bool_or(b.x>=a.x0 and b.x<a.x0+500 and b.y>=a.y0 and b.y<a.y0+500) as has_local_node
-    from grid a cross join node b group by 1) n""",
+    # all squared distances are whole numbers here, so equality with the minimum is exact
+    """with m as (select a.grid_id, any_value(a.x0) as x0, any_value(a.y0) as y0, min((a.x0+250-b.x)*(a.x0+250-b.x)+(a.y0+250-b.y)*(a.y0+250-b.y)) as d2 from grid a cross join node b group by 1),
+    n as (select m.grid_id, min(m.d2) as d2, min(b.node_id) as node_id from m cross join node b where (m.x0+250-b.x)*(m.x0+250-b.x)+(m.y0+250-b.y)*(m.y0+250-b.y)=m.d2 group by 1)
+    select grid_id, node_id, round(sqrt(d2),2) as snap_distance_m, grid_id in (select cast(floor(y/500)*40+floor(x/500) as bigint) from node) as has_local_node,
+    case when round(sqrt(d2),2)<=100 then 'DIRECT' when round(sqrt(d2),2)<=300 then 'NEARBY' when round(sqrt(d2),2)<=1000 then 'LARGE_SNAP' else 'QUESTIONABLE' end as snap_quality from n""",
 )
 def e2(w):
     from gridreach.functions.scalars import snap_class
