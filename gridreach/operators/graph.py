@@ -196,41 +196,22 @@ def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_round
     )
 
 
-def _settle(pairs: DataFrame) -> DataFrame:
-    """(a, r) for a bounded edge table (u, v): every node points to the first node of its group."""
-    parent: dict = {}
-
-    def top(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for u, v in pairs.select("u", "v").collect():
-        parent[top(u)] = top(v)
-    kind = pairs.schema["u"].dataType.simpleString()
-    return pairs.sparkSession.createDataFrame([(x, top(x)) for x in list(parent)], f"a {kind}, r {kind}")
-
-
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200, remainder: int = 20_000) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
     """(node, component) with component = smallest node id, by randomised contraction.
 
     Each round every node merges into the neighbour (or itself) with the
     smallest hash for that round, and edges are rewritten between the merged
     nodes.  A round removes a constant share of the nodes whatever the shape of
     the graph, so rounds grow with the logarithm of its size and the total work
-    stays near that of the first round.  Once no more than `remainder` edges are
-    left (a fixed bound, checked by count) they are settled in one step.  The
-    merge maps are composed at the end.
+    stays near that of the first round.  Rounds go on until no edge is left, at every
+    size; the merge maps are composed at the end.  `max_rounds` only guards
+    against a graph that changes between rounds: passing it is an error.
     """
     live = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where(F.col("u") != F.col("v")).distinct()
     live = cut(live)
     maps: list[DataFrame] = []
     for i in range(max_rounds):
-        n_live = live.count()
-        if n_live <= remainder:
-            if n_live:
-                maps.append(_settle(live))
+        if live.isEmpty():
             break
         ends = live.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(live.select(F.col("v").alias("a"), F.col("u").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("id"))
