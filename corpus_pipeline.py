@@ -3,18 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridreach.llm import jaccard
+from gridreach.llm import decontam, jaccard, packing, pu_quality, secrets
 from gridreach.session import cut
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier rejects go; rows without an id stay, as no label or verdict can name them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = cut(pu_quality.score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8) stays."""
     return jaccard.keep_one(docs, k=5, threshold=80)
 
 
-STAGES = [("near_duplicates", one_of_each_group)]
-#: SQL cannot express the fitted stages; tests hold the stages against brute force instead.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin, capacity and offset of each document's pieces."""
+    return packing.pack(packing.word_lengths(docs))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL cannot express the fitted and iterated stages; tests hold each against a brute-force version instead.
 ORACLE_SQL = None
 
 

@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridreach.llm import jaccard
+from gridreach.llm import decontam, jaccard, packing, pu_quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
@@ -34,5 +50,11 @@ SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, t.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) t USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_jaccard_join": op9_jaccard_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_quality": op1_pu_quality,
+    "op2_spaced_seeds": op2_spaced_seeds,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
+}
 SQL: dict[str, str] = {"op9_jaccard_join": OP9_SQL}
