@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridreach.llm import decontam, jaccard, packing, pu_quality, secrets
+from gridreach.llm import chat, decontam, jaccard, langid, order, packing, pu_quality, rules, secrets, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,48 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    chats = chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
+    back = chat.read_back(chats.select("conv_id", "valid", "segments", "formatted")).join(chats.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars")), "conv_id")
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "valid",
+    )
+
+
+def _op4_sql() -> str:
+    body = "replace(coalesce(text, ''), '\\', '\\b')"
+    for s in chat.CONTROL:
+        body = f"replace({body}, '{s}', '{s[0]}\\e{s[1:]}')"
+    marks = " ".join(f"WHEN '{r}' THEN {len(m.open) + len(m.close)}" for r, m in chat.TEMPLATE.items())
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+e AS (SELECT *, length({body}) + CASE role {marks} ELSE {len("<||>" + chat.OTHER.close)} + length({body.replace("text", "role")}) END AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+             string_agg(role, ' ' ORDER BY turn, role, text) AS roles, sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+       regexp_full_match(roles, '(system )?user assistant( user assistant)*') AS valid FROM g"""
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -29,6 +72,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.word_lengths(table(spark, sf_dir, "documents")))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.training_order(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
@@ -53,8 +100,13 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS compo
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_spaced_seeds": op2_spaced_seeds,
+    "op3_link_graph_urls": op3_link_graph_urls,
+    "op4_chat_format": op4_chat_format,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_training_order": op10_training_order,
 }
-SQL: dict[str, str] = {"op9_jaccard_join": OP9_SQL}
+SQL: dict[str, str] = {"op3_link_graph_urls": urls.judge_sql(), "op4_chat_format": _op4_sql(), "op9_jaccard_join": OP9_SQL}
