@@ -214,7 +214,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         if live.isEmpty():
             break
         ends = live.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(live.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("id"))
+        # the first round merges by the ids themselves, which settles stars around a smallest node at once
+        rank = lambda c: F.struct((F.xxhash64(F.lit(i), F.col(c)) if i else F.lit(0)).alias("h"), F.col(c).alias("id"))
         near = ends.groupBy("a").agg(F.min(rank("b")).alias("_m"))
         into = cut(near.select("a", F.least(F.col("_m"), rank("a"))["id"].alias("r")))
         maps.append(into)
