@@ -263,11 +263,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, thresh
     return pairs.join(t("a"), "a").join(t("b"), "b").mapInArrow(check, "src long, dst long")
 
 
-def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int, first_only: bool) -> DataFrame:
+def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs across components inside signatures whose members are not all joined yet.
 
-    Signatures with the same members count once; members meet in chunk tiles of 2 * CHUNK at most.  With
-    `first_only` a tile names one partner for each member, enough for members that all link with each other.
+    Members that link share most signatures and met through the first member of one of them, so what is left is few and mostly
+    refuted by the bitmaps.  Signatures with the same members count once; members meet in chunk tiles of 2 * CHUNK at most.
     """
     at = shared.join(comp, F.col("key") == F.col("node"), "left").select("sig", "key", F.coalesce("component", "key").alias("comp"))
     open_ = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.sum(F.xxhash64(F.col("key"), F.lit(1)) % 999_983).alias("h2"))
@@ -278,21 +278,28 @@ def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int,
     rows = rows.select("sig", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "comp", "n_shingles", "parity")
 
     def tile(group: pa.Table) -> pa.Table:
-        i, j, c, key, comp, n, bits = (group.column(x).to_pylist() for x in ("i", "j", "c", "key", "comp", "n_shingles", "parity"))
-        order = sorted(range(len(key)), key=lambda x: key[x])
-        a, b = [], []
-        for y, q in enumerate(order):
-            for p in order[:y]:
-                if comp[p] != comp[q] and (i[0] == j[0] or c[p] != c[q]) and linked(min(n[p], n[q]), n[p], n[q], threshold) and linked(overlap_bound(n[p], bits[p], n[q], bits[q]), n[p], n[q], threshold):
-                    a.append(key[q])
-                    b.append(key[p])
-                    if first_only:
-                        break
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        c, key, comp, n = (group.column(x).to_numpy() for x in ("c", "key", "comp", "n_shingles"))
+        one_chunk = group.column("i")[0] == group.column("j")[0]
+        bits = _same_width(group.column("parity").to_pylist())
+        a, b = [np.zeros(0, np.int64)], []
+        for q in range(1, len(key)):
+            p = np.flatnonzero((comp[:q] != comp[q]) & (one_chunk | (c[:q] != c[q])))
+            odd = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
+            most = np.minimum(np.minimum(n[p], n[q]), (n[p] + n[q] - odd) // 2)
+            p = p[100 * most >= threshold * (n[p] + n[q] - most)]
+            a.append(np.maximum(key[p], key[q]))
+            b.append(np.minimum(key[p], key[q]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate([a[0], *b])})
 
     return rows.groupBy("sig", "i", "j").applyInArrow(tile, "a long, b long").distinct()
 
 
+def _same_width(bitmaps: list[bytes]) -> np.ndarray:
+    """Parity bitmaps as rows of one width: wider ones are folded, which keeps them parity bitmaps."""
+    width = min(map(len, bitmaps))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), 0) for x in bitmaps])
+
+
 def join_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: sets of k-word shingles that link at `threshold` per cent Jaccard similarity.
 
@@ -309,15 +316,9 @@ def join_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     tested = cut(_over_bound(pairs, sets, threshold))
     links = cut(_verified(tested, docs, sets, k, threshold))
     comp = cut(components(links))
-    for first_only in (True, False):
-        more = cut(_across(shared, comp, sets, threshold, first_only).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if first_only:
-                continue
-            break
-        tested = tested.unionByName(more)
-        links = cut(links.unionByName(_verified(more, docs, sets, k, threshold)))
-        comp = cut(components(links))
+    more = cut(_across(shared, comp, sets, threshold).join(tested, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        comp = cut(components(links.unionByName(_verified(more, docs, sets, k, threshold))))
     named = sets.join(comp, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("comp"))
     low = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_key = named.join(low, "comp").select("key", "component_id")
