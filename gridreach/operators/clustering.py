@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridreach.operators import ordered as o
 from gridreach.operators import summary as sm
-from gridreach.session import cut, shuffle_width
+from gridreach.session import cut
 
 
 def matrix(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -43,14 +43,15 @@ def kmeans_sweep(m: DataFrame, key: str, ks: Sequence[int], seeds: Sequence[int]
         labs = [cut(kmeans_labels(m, key, k, s, n_init)) for s in seeds]
         j = m.select(key, "vec").join(labs[0], key)
         d = ch_db(j, "vec", "label").first()
+        sil = silhouette(j, "vec", "label").first()["silhouette"]
         b = size_balance(labs[0], "label").first()
         aris = []
         for i, a in enumerate(labs):
             for c in labs[i + 1 :]:
                 pair = a.withColumnRenamed("label", "a").join(c.withColumnRenamed("label", "b"), key)
                 aris.append(ari_nmi(pair, "a", "b").first()["ari"])
-        rows.append((k, d["calinski_harabasz"], d["davies_bouldin"], b["min_pct"], b["max_pct"], b["size_ratio"], float(sum(aris) / len(aris)) if aris else 1.0, float(min(aris)) if aris else 1.0))
-    schema = "k int, calinski_harabasz double, davies_bouldin double, min_pct double, max_pct double, size_ratio double, mean_seed_ari double, min_seed_ari double"
+        rows.append((k, sil, d["calinski_harabasz"], d["davies_bouldin"], b["min_pct"], b["max_pct"], b["size_ratio"], float(sum(aris) / len(aris)) if aris else 1.0, float(min(aris)) if aris else 1.0))
+    schema = "k int, silhouette double, calinski_harabasz double, davies_bouldin double, min_pct double, max_pct double, size_ratio double, mean_seed_ari double, min_seed_ari double"
     return m.sparkSession.createDataFrame(rows, schema)
 
 
@@ -73,41 +74,18 @@ def bisecting_labels(m: DataFrame, key: str, k: int, seed: int = 42) -> DataFram
     return BisectingKMeans(k=k, seed=seed).fit(m).transform(m).select(key, F.col("prediction").alias("label"))
 
 
-def silhouette_sample(df: DataFrame, key: str, vec: str, label: str, n: int = 5000, seed: int = 42) -> DataFrame:
-    """Mean Euclidean silhouette over a hash sample of n rows.
+def silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """Rows and mean silhouette by squared Euclidean distance, over all rows.
 
-    The sample (n is the parameter that bounds it) is shipped to the tasks, and
-    each task scores its share of the sample with numpy.
+    Squared distances to a cluster follow from its size, sum and sum of squares, so the score is linear in the rows; the
+    cluster figures are one row for each label.  A row alone in its cluster scores 0.
     """
-    import numpy as np
-    import pandas as pd
-
-    sample = cut(df.select(key, vec, label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n))
-    rows = sample.collect()
-    ref = df.sparkSession.sparkContext.broadcast((np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows])))
-
-    def score(batches):
-        x, lab = ref.value
-        classes, code = np.unique(lab, return_inverse=True)
-        sizes = np.bincount(code)
-        member = np.eye(len(classes))[code]
-        for b in batches:
-            if not len(b):
-                continue
-            v = np.array(b[vec].tolist(), dtype=float)
-            own = np.searchsorted(classes, b[label].to_numpy())
-            d2 = (v * v).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * v @ x.T
-            tot = np.sqrt(np.maximum(d2, 0)) @ member
-            at = np.arange(len(v))
-            inner = tot[at, own] / np.maximum(sizes[own] - 1, 1)
-            other = tot / sizes
-            other[at, own] = np.inf
-            near = other.min(1)
-            sil = np.where(sizes[own] > 1, (near - inner) / np.maximum(near, inner), 0.0)
-            yield pd.DataFrame({"s": sil})
-
-    parts = sample.repartition(shuffle_width(df.sparkSession))
-    return parts.mapInPandas(score, "s double").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    codes = df.groupBy(label).count().select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("double").alias("prediction"))  # one row a label
+    m = df.join(codes, label).select(array_to_vector(vec).alias("features") if df.schema[vec].dataType.typeName() == "array" else F.col(vec).alias("features"), "prediction")
+    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(m)
+    return df.agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(float(value)))
 
 
 def _centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
@@ -211,15 +189,21 @@ def percentile_gap(df: DataFrame, cols: Sequence[str], label: str, ids: Sequence
 
 
 def ablation(df: DataFrame, key: str, cols: Sequence[str], groups: Mapping[str, Sequence[str]], k: int, seed: int = 42, n_init: int = 10) -> DataFrame:
-    """Refit without each feature group and compare with the full fit."""
+    """Refit without each feature group and compare with the full fit.
+
+    top2_min and top2_mean: share of a baseline cluster's cells that its two largest new clusters hold, least and mean over
+    the baseline clusters; low values mean that the cluster is scattered.
+    """
     base = cut(kmeans_labels(matrix(df, key, cols), key, k, seed, n_init)).withColumnRenamed("label", "a")
     rows = []
     for name, drop in groups.items():
         kept = [c for c in cols if c not in drop]
         lab = kmeans_labels(matrix(df, key, kept), key, k, seed, n_init).withColumnRenamed("label", "b")
-        r = ari_nmi(base.join(lab, key), "a", "b").first()
-        rows.append((name, len(drop), len(kept), float(r["ari"]), float(r["nmi"])))
-    return df.sparkSession.createDataFrame(rows, "ablation string, n_dropped int, n_kept int, ari double, nmi double")
+        both = cut(base.join(lab, key))
+        r = ari_nmi(both, "a", "b").first()
+        top2 = split_transitions(both, "a", "b").select((F.col("first_share") + F.col("second_share")).alias("s")).agg(F.round(F.min("s"), 4).alias("lo"), F.round(F.avg("s"), 4).alias("mean")).first()
+        rows.append((name, len(drop), len(kept), float(r["ari"]), float(r["nmi"]), top2["lo"], top2["mean"]))
+    return df.sparkSession.createDataFrame(rows, "ablation string, n_dropped int, n_kept int, ari double, nmi double, top2_min double, top2_mean double")
 
 
 def select_best(diag: DataFrame, max_share: float = 0.8, tolerance: float = 0.15) -> DataFrame:

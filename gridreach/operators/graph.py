@@ -137,43 +137,34 @@ def _best_routes(edges: DataFrame, pairs: DataFrame, weight: str, max_rounds: in
     that cannot beat it by straight-line distance are dropped, so the search
     ends soon after the target is met.  `pairs` must be connected pairs.
     """
-    e = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("_w"), F.min(F.col(weight) / F.col("chord")).alias("_k")))
+    e = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("_w"), F.min(F.col(weight) / F.col("chord")).alias("_k"), F.first("dx").alias("x"), F.first("dy").alias("y")))
     # cost per metre of straight line is never below the smallest edge ratio
-    floor = e.agg(F.min("_k").alias("k"))
+    floor = e.agg(F.min("_k").alias("k")).first()["k"]
     p = pairs.select("pair_id", "target", "tx", "ty")
-    frontier = cut(pairs.select("pair_id", F.col("source").alias("node"), F.lit(0.0).alias("c"), F.lit(1).alias("h")))
-    layers = [frontier]
-    xy = edges.select(F.col("dst").alias("node"), F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
-    cost = F.struct("c", "h")
+    state = cut(pairs.select("pair_id", F.col("source").alias("node"), F.lit(0.0).alias("c"), F.lit(1).alias("h"), F.lit(1).alias("new")))
     for _ in range(max_rounds):
-        step = frontier.join(e, frontier.node == e.src).select("pair_id", F.col("dst").alias("node"), (F.col("c") + F.col("_w")).alias("c"), (F.col("h") + 1).alias("h"))
-        step = step.groupBy("pair_id", "node").agg(F.min(cost).alias("_b")).select("pair_id", "node", F.col("_b.c").alias("c"), F.col("_b.h").alias("h"))
-        known = layers[0]
-        for layer in layers[1:]:
-            known = known.unionByName(layer)
-        met = known.unionByName(step).join(p.select("pair_id", F.col("target").alias("node")), ["pair_id", "node"]).groupBy("pair_id").agg(F.min("c").alias("_met"))
-        old = known.select(F.col("pair_id").alias("_p"), F.col("node").alias("_n"), F.col("c").alias("_c"), F.col("h").alias("_h"))
-        beaten = (F.col("pair_id") == F.col("_p")) & (F.col("node") == F.col("_n")) & ((F.col("_c") < F.col("c")) | ((F.col("_c") == F.col("c")) & (F.col("_h") <= F.col("h"))))
-        better = step.join(old, beaten, "left_anti")
-        left = better.join(p, "pair_id").join(xy, "node").join(met, "pair_id", "left").withColumn("_f", floor.scalar())
-        line = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
+        at_target = state.join(p.select("pair_id", F.col("target").alias("node"), "tx", "ty"), ["pair_id", "node"], "right")
+        goal = at_target.select("pair_id", F.col("c").alias("_met"), "tx", "ty")
+        front = state.where("new = 1").drop("new").join(goal, "pair_id")
+        step = front.join(e, front.node == e.src).select("pair_id", F.col("dst").alias("node"), (F.col("c") + F.col("_w")).alias("c"), (F.col("h") + 1).alias("h"), "_met", F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2).alias("_line"))
         # a hair of slack keeps equal-cost routes in spite of rounding
-        keep = F.col("_met").isNull() | (F.col("c") + line * F.col("_f") <= F.col("_met") * (1 + 1e-12))
-        frontier = cut(left.where(keep).select("pair_id", "node", "c", "h"))
-        if frontier.isEmpty():
+        step = step.where(F.col("_met").isNull() | (F.col("c") + F.col("_line") * floor <= F.col("_met") * (1 + 1e-12)))
+        both = step.select("pair_id", "node", "c", "h", F.lit(1).alias("new")).unionByName(state.withColumn("new", F.lit(0)))
+        best = both.groupBy("pair_id", "node").agg(F.min(F.struct("c", "h", "new")).alias("_b"))  # a tie stays with the older state
+        state = cut(best.select("pair_id", "node", "_b.c", "_b.h", "_b.new"))
+        if state.where("new = 1").isEmpty():
             break
-        layers.append(frontier)
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    every = layers[0]
-    for layer in layers[1:]:
-        every = every.unionByName(layer)
-    hit = every.join(p.select("pair_id", F.col("target").alias("node")), ["pair_id", "node"])
-    return hit.groupBy("pair_id").agg(F.min(cost).alias("_b")).select("pair_id", F.col("_b.c").alias("cost"), F.col("_b.h").alias("hops"))
+    return state.join(p.select("pair_id", F.col("target").alias("node")), ["pair_id", "node"]).select("pair_id", F.col("c").alias("cost"), F.col("h").alias("hops"))
 
 
 def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Per (pair_id, source, target): straight line, network length, ratio, time, path size and status."""
+    """Per (pair_id, source, target): straight line, network length, ratio, time, path size and status.
+
+    The ratio of a pair without distance is null.  Where every edge has the same speed, the shortest route is the
+    fastest, and one search gives both.
+    """
     xy = nodes.select("node_id", "x", "y")
     p = pairs.join(xy.select(F.col("node_id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy")), "source", "left")
     p = p.join(xy.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), "target", "left")
@@ -185,8 +176,12 @@ def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_round
     a, b = comp.select(F.col("node").alias("source"), F.col("component").alias("_ca")), comp.select(F.col("node").alias("target"), F.col("component").alias("_cb"))
     linked = p.join(a, "source").join(b, "target").where(F.col("_ca") == F.col("_cb")).select("pair_id", "source", "target", "tx", "ty")
     linked = cut(linked)
-    by_len = _best_routes(e, linked, "length_m", max_rounds).select("pair_id", F.col("cost").alias("_len"), F.col("hops").alias("n_path_nodes"))
-    by_time = _best_routes(e, linked, "time_s", max_rounds).select("pair_id", F.col("cost").alias("_time"))
+    by_len = cut(_best_routes(e, linked, "length_m", max_rounds).select("pair_id", F.col("cost").alias("_len"), F.col("hops").alias("n_path_nodes")))
+    speed = e.agg(F.min(F.col("time_s") / F.col("length_m")).alias("lo"), F.max(F.col("time_s") / F.col("length_m")).alias("hi")).first()
+    if speed["lo"] is not None and speed["hi"] - speed["lo"] <= 1e-12 * speed["hi"]:
+        by_time = by_len.select("pair_id", (F.col("_len") * speed["lo"]).alias("_time"))
+    else:
+        by_time = _best_routes(e, linked, "time_s", max_rounds).select("pair_id", F.col("cost").alias("_time"))
     straight = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
     r = p.join(by_len, "pair_id", "left").join(by_time, "pair_id", "left").withColumn("_s", straight)
     status = F.when(F.col("_s").isNull(), "NODE_NOT_IN_GRAPH").when(F.col("_len").isNull(), "ROUTE_NOT_FOUND").otherwise("OK")

@@ -171,11 +171,14 @@ def sparse_count_stats(df: DataFrame, col: str) -> DataFrame:
 
 
 def zscore_outliers(df: DataFrame, key: str, cols: Sequence[str], z: float = 4.0, k: int = 20) -> DataFrame:
-    """The k most extreme values per feature with |z| > z (sample deviation)."""
-    long = o.unpivot(df, [key], cols).where(F.col("value").isNotNull())
-    m = long.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    scored = long.join(m, "feature").withColumn("z", F.try_divide(F.col("value") - F.col("_m"), F.nullif("_s", F.lit(0.0))))
-    hit = scored.where(F.abs("z") > z).select("feature", key, "value", "z")
+    """The k most extreme values per feature with |z| > z (sample deviation).
+
+    The moments are one row for the whole table, so nothing is shuffled before the few hits.
+    """
+    m = o.scalar_row(df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_samp))]))
+    score = lambda i, c: F.try_divide(F.col(c) - F.col("_m")[f"m{i}"], F.nullif(F.col("_m")[f"s{i}"], F.lit(0.0)))
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), score(i, c).alias("z")) for i, c in enumerate(cols)])
+    hit = df.withColumn("_m", m).select(key, F.inline(rows)).where(F.abs("z") > z).select("feature", key, "value", "z")
     return o.top_k(hit, [F.desc(F.abs("z")), F.col(key)], k, ["feature"])
 
 

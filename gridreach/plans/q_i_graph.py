@@ -61,7 +61,7 @@ def i5(w):
     return gr.reachable_cells(walk_times(w), w.origin).withColumn("t", F.round("t", 3))
 
 
-CATS = {"food": 0, "health": 1, "edu": 2, "retail": 3}
+CATS = {"food": 0, "health": 1, "edu": 2, "retail": 3, "green": 4, "culture": 5, "finance": 6, "sport": 7}
 
 
 def _access_sql():
@@ -96,13 +96,39 @@ def i7(w):
     return gr.system_access(walk_times(w), w.origin, st, systems, [10, 15])
 
 
-@query("i8_route_report", "edge node")
+# Pairs about 20 to 30 blocks apart; the lattice falls into two halves, so some have no route, and some targets are no node.
+PAIRS = "(select c_custkey as pair_id, c_custkey*10+1 as source, c_custkey*10+1+(c_custkey%7)*3+(3+c_custkey%9)*120 as target from customer)"
+
+
+@query(
+    "i8_route_report", "edge node",
+    f"""with recursive w2 as (select * from {WALK2} w), p as (select * from {PAIRS} p),
+    r(pair_id, node, m) using key (pair_id, node) as (select pair_id, source, 0e0 from p join node on node_id=source
+     union select r.pair_id, e.dst, min(r.m+e.length_m) from r join w2 e on e.src=r.node left join recurring.r k on k.pair_id=r.pair_id and k.node=e.dst
+     where r.m+e.length_m<=9000 and (k.m is null or r.m+e.length_m<k.m) group by 1,2),
+    d as (select p.*, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as s, r.m from p left join node a on a.node_id=source left join node b on b.node_id=target left join r on r.pair_id=p.pair_id and r.node=target)
+    select pair_id, source, target, case when s is null then 'NODE_NOT_IN_GRAPH' when m is null then 'ROUTE_NOT_FOUND' else 'OK' end as status,
+     round_even(s,1) as straight_line_m, round_even(m,1) as network_m, round_even(m/nullif(s,0),3) as ratio, round_even(m/(5/3.6e0)/60,2) as time_min from d""",
+)
 def i8(w):
-    p = w.customer.select(F.col("c_custkey").alias("pair_id"), (F.col("c_custkey") * 10).alias("source"), (F.col("c_custkey") * 10 + 1 + (F.col("c_custkey") % 3) * 121).alias("target"))
-    return gr.route_report(walk_graph(w), w.node, p)
+    p = w.customer.select(
+        F.col("c_custkey").alias("pair_id"), (F.col("c_custkey") * 10 + 1).alias("source"),
+        (F.col("c_custkey") * 10 + 1 + (F.col("c_custkey") % 7) * 3 + (3 + F.col("c_custkey") % 9) * 120).alias("target"),
+    )
+    return gr.route_report(walk_graph(w), w.node, p).drop("n_path_nodes")
+
 
+def _flood_sql(edges: str, nodes: str = "select node_id as n from node") -> str:
+    """Smallest reachable id of every node: c(node, component)."""
+    return f"""with recursive g as ({edges}), c(node, component) using key (node) as (select n, n from ({nodes}) s
+     union select g.dst, min(c.component) from c join g on g.src=c.node join recurring.c k on k.node=g.dst where c.component<k.component group by 1)"""
 
-@query("i9_components", "edge node")
+
+_STATS = """, z as (select count(*) as n from c group by component), t as (select string_agg(n::varchar, ',' order by n desc) as top10 from (select n from z order by n desc limit 10) u)
+    select count(*) as n_components, max(n) as largest, round(max(n)*1e0/sum(n),4) as largest_share, count(case when n=1 then 1 end) as n_singletons, any_value(top10) as top10 from z, t"""
+
+
+@query("i9_components", "edge node", _flood_sql(f"select src, dst from {WALK2} w") + _STATS)
 def i9(w):
     return gr.component_stats(gr.components(walk_graph(w), w.node.select("node_id")))
 
@@ -208,9 +234,13 @@ def i19(w):
     return gr.fragmentation(ce.queen(w.grid), w.cell_labels, "la")
 
 
-@query("i19b_fragmentation_mixed", "cell_labels")
+@query(
+    "i19b_fragmentation_mixed", "cell_labels grid",
+    _flood_sql(f"select a.src, a.dst from {{ADJ_FAST}} a join cell_labels x on x.grid_id=a.src join cell_labels y on y.grid_id=a.dst where x.lb=y.lb".replace("{ADJ_FAST}", ADJ_FAST), "select grid_id as n from cell_labels")
+    + ", z as (select lb, component, count(*) as n from c join cell_labels on grid_id=node group by 1,2) select lb, cast(sum(n) as bigint) as n_cells, count(*) as n_patches, round(max(n)*1e0/sum(n),4) as largest_share from z group by 1",
+)
 def i19b(w):
-    return gr.fragmentation(ce.queen(w.grid), w.cell_labels, "lb")
+    return gr.fragmentation(ce.queen(w.grid), w.cell_labels, "lb").withColumn("largest_share", F.round("largest_share", 4))
 
 
 def _moran(val, groups="", table="features"):
@@ -225,7 +255,7 @@ def i20(w):
 
 @query("i20b_moran_permutation", "features grid")
 def i20b(w):
-    return gr.moran_permutation(w.features.select("grid_id", "n_poi"), ce.queen(w.grid), "n_poi", 99)
+    return gr.moran_permutation(w.features.select("grid_id", "n_poi"), ce.queen(w.grid), "n_poi", 999)
 
 
 @query("i21_morans_by_label", "cell_labels grid", f"select class, round(i,8) as moran_i, n as n_cells from {_moran('case when lb=class then 1e0 else 0e0 end', ', class', 'cell_labels, (select unnest([0,1,2,3]) as class) k')} m")

@@ -146,7 +146,7 @@ def scaled(w):
 
 @query("l1_kmeans_sweep", "features")
 def l1(w):
-    return cl.kmeans_sweep(cl.matrix(scaled(w), "grid_id", MCOLS), "grid_id", [3, 4], [42, 7], n_init=2)
+    return cl.kmeans_sweep(cl.matrix(scaled(w), "grid_id", MCOLS), "grid_id", range(3, 11), [42, 7], n_init=10)
 
 
 @query("l2_gaussian_mixture", "features")
@@ -165,12 +165,12 @@ EMB = "(select vec_id, label, cast(embedding as double[]) as v from embeddings)"
 
 @query(
     "l4_silhouette", "",
-    f"""with d as (select a.vec_id, a.label as la, b.label as lb, sum(sqrt(greatest(list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2]))),0))) as t, count(*) as n from {EMB} a, {EMB} b group by 1,2,3),
+    f"""with d as (select a.vec_id, a.label as la, b.label as lb, sum(greatest(list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2]))),0)) as t, count(*) as n from {EMB} a, {EMB} b group by 1,2,3),
     s as (select vec_id, max(case when la=lb then t/(n-1) end) as a, min(case when la<>lb then t/n end) as b from d group by 1) select count(*) as n, round(avg((b-a)/greatest(a,b)),6) as silhouette from s""",
 )
 def l4(w):
     e = w.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
-    return cl.silhouette_sample(e, "vec_id", "vec", "label").withColumn("silhouette", F.round("silhouette", 6))
+    return cl.silhouette(e, "vec", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query(
@@ -232,7 +232,7 @@ def l10(w):
 
 @query("l11_ablation", "features")
 def l11(w):
-    return cl.ablation(scaled(w), "grid_id", MCOLS, {"no_demand": ["n_trip"], "no_places": ["n_poi", "sum_size"]}, 3, n_init=2)
+    return cl.ablation(scaled(w), "grid_id", MCOLS, {"no_demand": ["n_trip"], "no_places": ["n_poi", "sum_size"], "no_transit": ["n_stop"], "no_people": ["pop"]}, 3, n_init=10)
 
 
 DIAG = "(select 'raw' as representation, 'kmeans' as algorithm, la+2 as k, round(0.9e0-la*0.05,4) as silhouette, 100e0+la*37+count(*)%50 as calinski_harabasz, round(0.95e0-la*0.2,4) as largest_share from cell_labels group by la union all select 'pca', 'mixture', la+2, round(0.8e0-la*0.02,4), 90e0+la*11, round(0.5e0,4) from cell_labels group by la)"

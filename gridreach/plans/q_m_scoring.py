@@ -117,7 +117,7 @@ def m7(w):
     return pairs(w)
 
 
-@query("m8_isolated_factor_effect", "cell_scores", PAIRS_SQL + f" select {_DIFF} as factor, count(*) as n_pairs, round(avg(spearman),4) as mean_spearman, round(avg(jaccard),4) as mean_jaccard, round(avg(mean_abs_diff),4) as mean_mean_abs_diff, round(avg(rank_displacement),4) as mean_rank_displacement from p where position(',' in {_DIFF})=0 group by 1")
+@query("m8_isolated_factor_effect", "cell_scores", PAIRS_SQL + f" select {_DIFF} as factor, count(*) as n_pairs, round(avg(spearman)+1e-12,4) as mean_spearman, round(avg(jaccard)+1e-12,4) as mean_jaccard, round(avg(mean_abs_diff)+1e-12,4) as mean_mean_abs_diff, round(avg(rank_displacement)+1e-12,4) as mean_rank_displacement from p where position(',' in {_DIFF})=0 group by 1")
 def m8(w):
     return so.isolated_factor_effect(pairs(w))
 
@@ -127,10 +127,10 @@ STAB = f"""(select grid_id, avg(s) as mean_score, median(s) as median_score, min
 SD = {"mean_score": 6, "median_score": 6, "min_score": 6, "max_score": 6, "std_score": 5, "range_score": 6, "mean_rank": 10, "std_rank": 5}
 
 
-@query("m9_cell_stability", "cell_scores", "select grid_id, " + ", ".join(f"round({c},{d}) as {c}" for c, d in SD.items()) + f", n_top, pct_top from {STAB} t")
+@query("m9_cell_stability", "cell_scores", "select grid_id, " + ", ".join(f"round({c}+1e-12,{d}) as {c}" for c, d in SD.items()) + f", n_top, pct_top from {STAB} t")
 def m9(w):
     st = so.cell_stability(w.cell_scores, "grid_id", VARIANTS)
-    return st.select("grid_id", *[F.round(c, d).alias(c) for c, d in SD.items()], "n_top", "pct_top")
+    return st.select("grid_id", *[F.round(F.col(c) + 1e-12, d).alias(c) for c, d in SD.items()], "n_top", "pct_top")
 
 
 _CC = "case when pct_top>=100 then 'ROBUST_HIGH' when pct_top>=75 then 'FREQUENT_HIGH' when pct_top>=25 then 'CONDITIONAL_HIGH' when pct_top>0 then 'RARE_HIGH' else 'NEVER_HIGH' end"
@@ -165,7 +165,7 @@ def m12(w):
 
 @query("m13_monte_carlo", "features")
 def m13(w):
-    return so.monte_carlo(dims(w).na.fill(0.5, ["terrain"]), "grid_id", list(SPEC), draws=100)
+    return so.monte_carlo(dims(w).na.fill(0.5, ["terrain"]), "grid_id", list(SPEC), draws=1000)
 
 
 @query("m14_latent_opportunity", "features", f"select grid_id, round((demand+transit+street)/3-cycling,6) as latent from {DIMS} d")

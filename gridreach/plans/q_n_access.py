@@ -54,22 +54,25 @@ def n2(w):
     return w.access15.select("grid_id", ac.deficit_class(ac.missing()).alias("deficit"))
 
 
-@query("n3_population_by_access", "access15", "select category, minutes, count(case when t<=minutes then 1 end) as n_cells, round(sum(case when t<=minutes then pop else 0 end),1) as population, round(count(case when t<=minutes then 1 end)*100e0/count(*),2) as pct_cells, round(sum(case when t<=minutes then pop else 0 end)*100/sum(pop),2) as pct_population from (select 'food' as category, walk_food as t, pop from access15 union all select 'education', walk_education, pop from access15) a, (select unnest([5,10,15]) as minutes) m group by 1,2")
+@query("n3_population_by_access", "access15", "select category, minutes, count(case when t<=minutes then 1 end) as n_cells, round(sum(case when t<=minutes then pop else 0 end),1) as population, round(count(case when t<=minutes then 1 end)*100e0/count(*),2) as pct_cells, round(sum(case when t<=minutes then pop else 0 end)*100/sum(pop),2) as pct_population from (select 'food' as category, walk_food as t, pop from access15 union all select 'healthcare', walk_healthcare, pop from access15 union all select 'education', walk_education, pop from access15 union all select 'transit_a', walk_transit_a, pop from access15 union all select 'transit_b', walk_transit_b, pop from access15) a, (select unnest([5,10,15]) as minutes) m group by 1,2")
 def n3(w):
-    return ac.population_by_access(w.access15, {"food": "walk_food", "education": "walk_education"}, [5, 10, 15], "pop")
+    return ac.population_by_access(w.access15, {c: f"walk_{c}" for c in ("food", "healthcare", "education", "transit_a", "transit_b")}, [5, 10, 15], "pop")
 
 
 @query(
-    "n4_extend_threshold", "edge origin dest",
+    "n4_extend_threshold", "edge origin dest features",
     f"""with recursive w2 as (select * from {WALK2} w), reach as (select node_id as source, node_id as node, 0e0 as m from origin union select r.source, e.dst, r.m+e.length_m from reach r join w2 e on r.node=e.src where r.m+e.length_m<=1666.67), best as (select source, node, min(m) as m from reach group by 1,2),
-    t as (select o.grid_id, min(case when d.cat=0 then b.m end) as food, min(case when d.cat=1 then b.m end) as health from origin o left join best b on b.source=o.node_id left join (select node_id, cat from dest where snap_status<>'QUESTIONABLE') d on d.node_id=b.node group by 1)
-    select minutes, count(case when food<=minutes*60*5/3.6e0+1e-6 then 1 end) as n_food, count(case when health<=minutes*60*5/3.6e0+1e-6 then 1 end) as n_health, count(*) as n_cells from t, (select unnest([10,15,20]) as minutes) m group by 1""",
+    t as (select o.grid_id, min(case when d.cat=0 then b.m end) as food, min(case when d.cat=1 then b.m end) as health, min(case when d.cat=2 then b.m end) as edu from origin o left join best b on b.source=o.node_id left join (select node_id, cat from dest where snap_status<>'QUESTIONABLE') d on d.node_id=b.node group by 1),
+    l as (select grid_id, unnest(['food','health','edu']) as category, unnest([food,health,edu]) as m from t)
+    select category, minutes, count(case when m<=minutes*60*5/3.6e0+1e-6 then 1 end) as n_cells, sum(case when m<=minutes*60*5/3.6e0+1e-6 then pop else 0 end) as population, round(sum(case when m<=minutes*60*5/3.6e0+1e-6 then pop else 0 end)*100/sum(pop),2) as pct_population from l join features using (grid_id), (select unnest([10,15,20]) as minutes) u group by 1,2""",
 )
 def n4(w):
     times = gr.reach(walk_graph(w), w.origin.select("node_id"), 20 * 60.0)
-    a = gr.category_access(times, w.origin, w.dest, {k: CATS[k] for k in ("food", "health")}, [10, 15, 20])
-    rows = F.array(*[F.struct(F.lit(m).alias("minutes"), F.col(f"food_access_{m}").alias("f"), F.col(f"health_access_{m}").alias("h")) for m in (10, 15, 20)])
-    return a.select(F.inline(rows)).groupBy("minutes").agg(F.count_if("f").alias("n_food"), F.count_if("h").alias("n_health"), F.count("*").alias("n_cells"))
+    required = ("food", "health", "edu")
+    a = gr.category_access(times, w.origin, w.dest, {k: CATS[k] for k in required}, [10, 15, 20]).join(w.features.select("grid_id", "pop"), "grid_id")
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("minutes"), F.col(f"{c}_access_{m}").alias("ok")) for c in required for m in (10, 15, 20)])
+    people = F.sum(F.when(F.col("ok"), F.col("pop")).otherwise(0.0))
+    return a.select("pop", F.inline(rows)).groupBy("category", "minutes").agg(F.count_if("ok").alias("n_cells"), people.alias("population"), F.round(people * 100 / F.sum("pop"), 2).alias("pct_population"))
 
 
 _WA, _CA = " and ".join(_W.values()), " and ".join(_C.values())

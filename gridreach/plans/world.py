@@ -85,7 +85,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         "",
         """select src, dst, d, 160e0+40*((src*5+d*3)%3) as length_m,
         case (src*3+d)%9 when 0 then 'primary' when 1 then 'motorway' when 2 then 'footway' when 3 then 'steps' when 4 then 'service' else 'residential' end as highway,
-        case when (src+d)%10=0 then 'no' end as foot, case when (src+d)%4=0 then 'yes' else 'no' end as oneway
+        case when (src*7+d*3)%23=0 then 'no' end as foot, case when (src+d)%4=0 then 'yes' else 'no' end as oneway
         from (select o_orderkey as src, o_orderkey+1 as dst, 0 as d from orders where o_orderkey%120<>119 and o_orderkey%120<>59
           union all select o_orderkey, o_orderkey+120, 1 from orders) e
         where dst <= (select max(o_orderkey) from orders) and (src*7+d*13)%11<>0""",
@@ -128,7 +128,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "cycleway": (
         "road",
-        "select l_orderkey as line_id, x1, y1, x2, y2 from road where highway='cycleway' and l_orderkey%10=0",
+        "select l_orderkey as line_id, x1, y1, x2, y2 from road where highway='cycleway'",
     ),
     "trip": (
         "",
@@ -161,9 +161,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         case when (grid_id*13)%10<8 then cast(floor(ix/10) as bigint) else (ix+iy)%5 end as lb from features""",
     ),
     "cell_scores": (
-        "grid",
-        """select grid_id, district, ((grid_id*7919)%1000)/1000e0 as t1__lin__uf0, (((grid_id*7919)%1000)*9+((grid_id*104729)%1000))/10000e0 as t1__sqrt__uf0,
-        ((grid_id*7919+grid_id*grid_id*31)%1000)/1000e0 as t2__lin__uf0, (((grid_id*7919)%1000)*5+((grid_id*13007)%1000)*5)/10000e0 as t2__sqrt__uf0 from grid""",
+        # opportunity by residents (t1) and by places (t2), demand times missing transit, linear and square root; whole ten-thousandths
+        "features",
+        """select grid_id, district, floor(10000*d1*gap)/10000 as t1__lin__uf0, floor(10000*sqrt(d1)*gap)/10000 as t1__sqrt__uf0,
+        floor(10000*d2*gap)/10000 as t2__lin__uf0, floor(10000*sqrt(d2)*gap)/10000 as t2__sqrt__uf0
+        from (select grid_id, district, (pop+n_trip)/(pop+n_trip+50) as d1, (sum_size+n_trip)/(sum_size+n_trip+30) as d2, 1/(1+n_stop) as gap from features) f""",
     ),
     "access15": (
         "features",
