@@ -66,6 +66,16 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return _sum(edges(ring), crosses) % 2 == 1
 
 
+def point_in_parts(x: Column, y: Column, parts: Column) -> Column:
+    """Point in a polygon of several rings (hole, ring): inside an odd number of them."""
+    return F.size(F.filter(parts, lambda p: point_in_ring(x, y, p.ring))) % 2 == 1
+
+
+def parts_area(parts: Column, ring=lambda r: r) -> Column:
+    """Area of outlines less holes, each ring first passed through `ring` (for instance a clip)."""
+    return _sum(parts, lambda p: F.when(p.hole, -1.0).otherwise(1.0) * ring_area(ring(p.ring)))
+
+
 def centroid(ring: Column) -> Column:
     """Area-weighted centroid; null for a zero-area ring."""
     return let(ring, _centroid)

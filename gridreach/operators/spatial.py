@@ -71,6 +71,46 @@ def as_target(df: DataFrame, *keep: str, **renamed: str) -> DataFrame:
     return df.select(F.col("x").alias("b_x"), F.col("y").alias("b_y"), *keep, *[F.col(c).alias(n) for n, c in renamed.items()])
 
 
+#: A tile with more distinct spots is opened into its four quarters rather than compared spot by spot.
+LEAF = 32
+
+
+def _counted(origins: DataFrame, key: str, piles: DataFrame, counts: Sequence[str], r: float) -> DataFrame:
+    """Sums of the pile columns `counts` within r (inclusive) of each origin that has any.
+
+    Tiles wholly inside the circle are added by their sums, tiles outside are dropped, and only tiles on the rim are opened:
+    crowded ones into quarters, level by level, the others into their spots.  An origin in a crowd of n spots thus meets
+    about the square root of n tiles instead of n spots.
+    """
+    r2, size, parts = float(r) ** 2, float(r), []
+    at = lambda d: d.withColumn("_bx", tile(F.col("x"), size)).withColumn("_by", tile(F.col("y"), size))
+    piles = cut(piles)
+    pairs = _around(origins.select(key, "x", "y"), size)
+    while True:
+        tiles = at(piles).groupBy("_bx", "_by").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("_spots"))
+        x0, y0 = F.col("_bx") * size, F.col("_by") * size
+        far = F.greatest(F.abs(F.col("x") - x0), F.abs(F.col("x") - x0 - size)) ** 2 + F.greatest(F.abs(F.col("y") - y0), F.abs(F.col("y") - y0 - size)) ** 2
+        out_x, out_y = F.greatest(x0 - F.col("x"), F.col("x") - x0 - size, F.lit(0.0)), F.greatest(y0 - F.col("y"), F.col("y") - y0 - size, F.lit(0.0))
+        met = pairs.join(tiles, ["_bx", "_by"]).where(out_x * out_x + out_y * out_y <= r2 * (1 + 1e-9))
+        met = cut(met.withColumn("_in", far <= r2 * (1 - 1e-9)))
+        parts.append(met.where("_in").select(key, *counts))
+        rim = met.where(~F.col("_in"))
+        spots = at(piles).select("_bx", "_by", F.col("x").alias("b_x"), F.col("y").alias("b_y"), *counts)
+        dx, dy = F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y")
+        parts.append(rim.where(F.col("_spots") <= LEAF).select(key, "x", "y", "_bx", "_by").join(spots, ["_bx", "_by"]).where(dx * dx + dy * dy <= r2).select(key, *counts))
+        crowded = rim.where(F.col("_spots") > LEAF)
+        if crowded.isEmpty():
+            break
+        size /= 2
+        half = F.array(F.lit(0), F.lit(1))
+        pairs = crowded.select(key, "x", "y", (F.col("_bx") * 2).alias("_bx"), (F.col("_by") * 2).alias("_by"))
+        pairs = pairs.withColumn("_i", F.explode(half)).withColumn("_j", F.explode(half)).select(key, "x", "y", (F.col("_bx") + F.col("_i")).alias("_bx"), (F.col("_by") + F.col("_j")).alias("_by"))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(key).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def count_within(origins: DataFrame, key: str, points: DataFrame, r: float, counts: dict[str, Column] | None = None) -> DataFrame:
     """Number of points within r of each origin, 0 when none; `counts` names conditional counts.
 
@@ -78,19 +118,17 @@ def count_within(origins: DataFrame, key: str, points: DataFrame, r: float, coun
     """
     counts = counts or {"n_within": F.lit(True)}
     piles = points.groupBy("x", "y").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
-    pairs = radius_pairs(origins.select(key, "x", "y"), as_target(piles, *counts), r)
-    summed = pairs.groupBy(key).agg(*[F.sum(n).alias(n) for n in counts])
+    summed = _counted(origins, key, piles, list(counts), r)
     return origins.select(key).join(summed, key, "left").na.fill(0, list(counts))
 
 
 def near_pair_count(points: DataFrame, r: float) -> DataFrame:
-    """Number of point pairs within r of each other; copies of a spot are counted from their number, not paired."""
-    piles = points.groupBy("x", "y").agg(F.count("*").alias("n"))
-    p = radius_pairs(piles, as_target(piles, m="n"), r)
-    same = (F.col("x") == F.col("b_x")) & (F.col("y") == F.col("b_y"))
-    # every unordered pair of spots shows up twice, a spot with itself once
-    twice = F.when(same, F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("m"))
-    return p.agg(F.floor(F.coalesce(F.sum(twice), F.lit(0)) / 2).alias("n_pairs"))
+    """Number of point pairs within r of each other; neither copies of a spot nor crowded spots are paired one by one."""
+    piles = cut(points.groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("spot", F.monotonically_increasing_id()))
+    around = _counted(piles, "spot", piles.select("x", "y", F.col("n").alias("m")), ["m"], r)
+    # every unordered pair of points shows up twice, a point with itself once
+    twice = F.sum(F.col("n") * (F.col("m") - 1))
+    return piles.join(around, "spot").agg(F.floor(F.coalesce(twice, F.lit(0)) / 2).alias("n_pairs"))
 
 
 def near_pairs(points: DataFrame, key: str, r: float) -> DataFrame:
@@ -251,12 +289,14 @@ def segment_tiles(segs: DataFrame, size: float) -> DataFrame:
 
 
 def point_in_polygon(points: DataFrame, polys: DataFrame, size: float, poly_id: str, key: str) -> DataFrame:
-    """Left join of points to the polygon (column `ring`, box x0..y1) that holds them; lowest id if several."""
-    cand = _box_tiles(polys.select(poly_id, "ring", "x0", "y0", "x1", "y1"), size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    """Left join of points to the polygon (column `ring` or, with holes and several outlines, `parts`; box x0..y1) that holds them; lowest id if several."""
+    shape = "parts" if "parts" in polys.columns else "ring"
+    cand = _box_tiles(polys.select(poly_id, shape, "x0", "y0", "x1", "y1"), size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     pts = points.withColumn("_bx", tile(F.col("x"), size)).withColumn("_by", tile(F.col("y"), size))
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     hit = pts.select(key, "x", "y", "_bx", "_by").join(cand, ["_bx", "_by"]).where(inside)
-    hit = hit.where(g.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(key).agg(F.min(poly_id).alias(poly_id))
+    holds = g.point_in_parts if shape == "parts" else g.point_in_ring
+    hit = hit.where(holds(F.col("x"), F.col("y"), F.col(shape))).groupBy(key).agg(F.min(poly_id).alias(poly_id))
     return points.join(hit, key, "left")
 
 
@@ -278,11 +318,12 @@ def overlay_boxes(boxes: DataFrame, grid_cols: DataFrame | None, size: float) ->
 
 
 def overlay_rings(polys: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
-    """General polygon x cell pieces: candidate cells from the box, exact clip, shoelace area."""
+    """General polygon x cell pieces: candidate cells from the box, exact clip, shoelace area; `parts` or `ring` as in point_in_polygon."""
     cand = _box_tiles(polys, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    clipped = g.clip_ring(F.col("ring"), F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
-    pieces = cand.withColumn("piece_area", g.ring_area(clipped)).where(F.col("piece_area") > 0)
-    pieces = pieces.withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy").drop("ring")
+    clip = lambda r: g.clip_ring(r, F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
+    area = g.parts_area(F.col("parts"), clip) if "parts" in polys.columns else g.ring_area(clip(F.col("ring")))
+    pieces = cand.withColumn("piece_area", area).where(F.col("piece_area") > 0)
+    pieces = pieces.withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy").drop("ring", "parts")
     return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridreach.functions import geometry as g
 from gridreach.operators import relational as rel
 from gridreach.plans.registry import query
 from gridreach.sources import files as src
@@ -30,6 +31,40 @@ def a2(w):
     return out.select("poi_id", "amenity", "geometry_type", F.round(F.col("p")[0], 3).alias("x"), F.round(F.col("p")[1], 3).alias("y"))
 
 
+# A building of two parts, the first with a hole: boxes (sign, x0, y0, x1, y1).
+PARTS_SQL = """(select b_id, 1 as s, x0, y0, x0+w as x1, y0+h as y1 from building union all select b_id, -1, x0+w/4, y0+h/4, x0+w*3/4, y0+h*3/4 from building
+ union all select b_id, 1, x0+w+5, y0, x0+2*w+5, y0+h from building where b_id%3<>0)"""
+
+
+def two_part_buildings(w):
+    """Buildings as FeatureCollections of Polygons (every third) and MultiPolygons, written and read again.
+
+    A file is one collection, so each holds at most 500 features.
+    """
+    x0, y0, x1, y1, dx, dy = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"), F.col("w") / 4, F.col("h") / 4
+    ring = lambda a, b, c, d: F.array(F.array(a, b), F.array(c, b), F.array(c, d), F.array(a, d), F.array(a, b))
+    holed = F.array(ring(x0, y0, x1, y1), ring(x0 + dx, y0 + dy, x1 - dx, y1 - dy))
+    plain = F.array(ring(x1 + 5, y0, x1 + 5 + F.col("w"), y1))
+    is_multi = F.col("b_id") % 3 != 0
+    geometry = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.to_json(c).alias("coordinates"))
+    geo = F.when(is_multi, geometry("MultiPolygon", F.array(holed, plain))).otherwise(geometry("Polygon", holed))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("b_id").alias("properties"), geo.alias("geometry"))
+    doc = w.building.select(F.floor(F.col("b_id") / 500).alias("chunk"), F.to_json(feature).alias("f")).groupBy("chunk").agg(F.concat_ws(",", F.collect_list("f")).alias("fs"))
+    # coordinates went through to_json as text: put them back as a JSON value
+    bare = F.regexp_replace("fs", r'"coordinates":"([^"]*)"', r'"coordinates":$1')
+    path = src.scratch(w.spark, "collections")
+    doc.select("chunk", F.concat(F.lit('{"type":"FeatureCollection","features":['), bare, F.lit("]}"))).write.partitionBy("chunk").text(path)
+    props = T.StructType([T.StructField("b_id", T.LongType())])
+    out = src.read_geojson(w.spark, path, props).withColumn("parts", src.coordinates_parts(F.col("geometry_type"), F.col("coordinates"))).drop("coordinates")
+    points = F.flatten(F.transform("parts", lambda p: p.ring))
+    return out.select("*", *[f(F.transform(points, lambda p: p[c])).alias(n) for n, f, c in (("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))])
+
+
+@query("a2b_feature_collection", "building", f"select b_id, case when b_id%3=0 then 'Polygon' else 'MultiPolygon' end as geometry_type, case when b_id%3=0 then 2 else 3 end as n_rings, round(sum(s*(x1-x0)*(y1-y0)),4) as area from {PARTS_SQL} p group by 1")
+def a2b(w):
+    return two_part_buildings(w).select("b_id", "geometry_type", F.size("parts").alias("n_rings"), F.round(g.parts_area(F.col("parts")), 4).alias("area"))
+
+
 @query("a3_parquet_pruned", "", "select l_returnflag, count(*) as n, round(sum(l_quantity),2) as qty from lineitem where l_quantity > 10 group by 1")
 def a3(w):
     df = w.lineitem.select("l_returnflag", "l_quantity").where(F.col("l_quantity") > 10)

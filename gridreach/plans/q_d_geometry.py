@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridreach.functions import geometry as g
 from gridreach.functions import projection as pj
 from gridreach.operators import spatial as sp
+from gridreach.plans.q_a_sources import PARTS_SQL, two_part_buildings
 from gridreach.plans.q_c_joins import boxes, cells
 from gridreach.plans.registry import query
 
@@ -46,6 +47,18 @@ def d5(w):
     return pts.join(cand, ["_bx", "_by"]).where(g.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("b_id").agg(F.count("*").alias("n"))
 
 
+@query("d5b_point_in_parts", "poi building", f"select p.poi_id, min(b_id) as b_id from poi p join (select p.poi_id, b.b_id, sum(s) as n from poi p join {PARTS_SQL} b on p.x>=b.x0 and p.x<b.x1 and p.y>=b.y0 and p.y<b.y1 group by 1,2) h on h.poi_id=p.poi_id and n=1 group by 1")
+def d5b(w):
+    pts = w.poi.select("poi_id", "x", "y")
+    return sp.point_in_polygon(pts, two_part_buildings(w), 500.0, "b_id", "poi_id").where("b_id is not null").select("poi_id", "b_id")
+
+
+@query("d7b_clip_parts", "building grid", f"select g.grid_id, round(sum(s*greatest(0,least(p.x1,g.x0+500)-greatest(p.x0,g.x0))*greatest(0,least(p.y1,g.y0+500)-greatest(p.y0,g.y0))),4) as area from {PARTS_SQL} p join grid g on p.x0<g.x0+500 and p.x1>g.x0 and p.y0<g.y0+500 and p.y1>g.y0 group by 1")
+def d7b(w):
+    p = sp.overlay_rings(two_part_buildings(w), None, 500.0).groupBy("ix", "iy").agg(F.round(F.sum("piece_area"), 4).alias("area"))
+    return p.join(cells(w), ["ix", "iy"]).select("grid_id", "area")
+
+
 def l_shape(w):
     """An L-shaped ring per building: its box with the upper right quarter cut out."""
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))

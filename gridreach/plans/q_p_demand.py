@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridreach.operators import demand as dm
 from gridreach.plans.registry import query
+from gridreach.session import scratch
 from gridreach.streaming import trips as st
 
 XS = ["n_poi", "sum_size", "pop", "noise"]
@@ -61,7 +62,10 @@ def p6(w):
 
 @query("x1_stream_hourly_counts", "trip", "select cast(floor(x/1000) as bigint) as ix, cast(floor(y/1000) as bigint) as iy, event_type, date_trunc('hour', start_time) as hour, count(*) as n from trip group by 1,2,3,4")
 def x1(w):
-    s = w.spark.readStream.schema(st.EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(w.sf_dir)
+    # many files, each with events of the whole span, taken two at a time: several micro-batches with rows out of order
+    files = scratch(w.spark, "events")
+    w.events.repartition(12, "event_id").write.parquet(files)
+    s = w.spark.readStream.schema(st.EVENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(files)
     e, u = F.col("event_id"), F.col("user_id")
     t = s.select(
         "event_type", F.col("ts").cast("timestamp").alias("start_time"),

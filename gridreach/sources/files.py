@@ -28,8 +28,8 @@ def read_gtfs(spark: SparkSession, folder: str, columns: Mapping[str, Sequence[s
 def read_geojson(spark: SparkSession, path: str, properties: T.StructType, sequence: bool = False) -> DataFrame:
     """Features as property columns plus geometry_type and coordinates (JSON text).
 
-    sequence=True reads one feature per line, which Spark can split; a single
-    FeatureCollection document is one JSON value and is read whole by one task.
+    sequence=True reads one feature per line, which Spark can split; otherwise
+    each file is a FeatureCollection, one JSON value that one task reads whole.
     """
     feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", GEOMETRY)])
     if sequence:
@@ -50,6 +50,14 @@ def coordinates_path(coordinates: Column) -> Column:
     return F.transform(pts, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
+def coordinates_parts(geometry_type: Column, coordinates: Column) -> Column:
+    """array<struct<hole, ring>> of a Polygon or MultiPolygon: in each polygon the first ring is the outline, the others are holes."""
+    one = F.from_json(coordinates, "array<array<array<double>>>")
+    many = F.when(geometry_type == "MultiPolygon", F.from_json(coordinates, "array<array<array<array<double>>>>")).when(geometry_type == "Polygon", F.array(one))
+    path = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return F.flatten(F.transform(many, lambda rings: F.transform(rings, lambda r, i: F.struct((i > 0).alias("hole"), path(r).alias("ring")))))
+
+
 def read_trips(spark: SparkSession, path: str, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Trip CSV with a fixed schema; rows outside any bound are dropped."""
     df = spark.read.csv(path, header=True, schema=TRIP_SCHEMA)

@@ -215,3 +215,16 @@ def test_clip_matches_area_of_concave_ring(spark):
         g.ring_area(g.clip_ring(F.col("ring"), F.lit(-1.0), F.lit(-1.0), F.lit(20.0), F.lit(6.0))), g.ring_area(g.clip_ring(F.col("ring"), F.lit(-1.0), F.lit(6.0), F.lit(20.0), F.lit(20.0)))
     ).first()
     assert abs(sum(halves) - whole) < 1e-9
+
+
+def test_crowded_spot_is_not_paired(spark):
+    """Twenty thousand distinct points in one square of 100 m: counts stay exact and no tile is paired point by point."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    xy = rng.uniform(0, 100, (20_000, 2))
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    got = {r.id: r.n_within for r in sp.count_within(pts, "id", pts, 30.0).collect()}
+    for i in range(0, 20_000, 997):
+        assert got[i] == int((((xy - xy[i]) ** 2).sum(1) <= 900).sum())
+    assert sp.near_pair_count(pts, 30.0).first()[0] == (sum(got.values()) - len(got)) // 2
