@@ -339,18 +339,18 @@ def overlay_segments(segs: DataFrame, grid_cols: DataFrame | None, size: float)
     return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 
-def union_area_per_cell(boxes: DataFrame, size: float, by: Sequence[str] = (), crowd: int = 64, depth: int = 3) -> DataFrame:
+def union_area_per_cell(boxes: DataFrame, size: float, by: Sequence[str] = ()) -> DataFrame:
     """Exact area of the union of axis-parallel boxes per cell: (ix, iy, by..., union_area).
 
     Boxes are cut by tiles.  A tile that one box covers is full, whatever else
-    lies in it.  A tile with more than `crowd` pieces left is cut into 8 x 8
-    smaller ones, up to `depth` times, so pieces are only compared within
-    small crowds.
+    lies in it.  A tile with more than LEAF pieces left is cut into 8 x 8
+    smaller ones, again and again, so pieces are only compared within small
+    crowds: deep inside a crowd pieces either cover their tile or coincide.
     """
     todo = boxes.select(*by, "x0", "y0", "x1", "y1").distinct()
     parts: list[DataFrame] = []
     fine = size
-    for level in range(depth + 1):
+    while True:
         cut_up = _box_tiles(todo, fine, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
         tx, ty = F.col("_bx") * fine, F.col("_by") * fine
         p = cut_up.select(
@@ -362,11 +362,9 @@ def union_area_per_cell(boxes: DataFrame, size: float, by: Sequence[str] = (), c
         tiles = cut(p.groupBy(*keys).agg(F.count("*").alias("_n"), F.bool_or(covers).alias("_full")))
         cell = [F.floor(F.col("_bx") * fine / size).alias("ix"), F.floor(F.col("_by") * fine / size).alias("iy")]
         parts.append(tiles.where("_full").select(*by, *cell, F.lit(fine * fine).alias("area")))
-        crowded = (F.col("_n") > crowd) if level < depth else F.lit(False)
+        crowded = F.col("_n") > LEAF
         calm = p.join(tiles.where(~F.col("_full") & ~crowded).select(*keys), keys, "left_semi")
         parts.append(_slab_area(calm, keys).select(*by, *cell, "area"))
-        if level == depth:
-            break
         hot = tiles.where(~F.col("_full") & crowded).select(*keys)
         if hot.isEmpty():
             break

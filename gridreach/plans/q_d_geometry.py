@@ -136,5 +136,5 @@ def d13(w):
     and exists (select 1 from p where p.grid_id=sl.grid_id and p.a<=sl.s and p.b>=sl.e and p.c<=yl.t and p.d>=yl.u) group by 1""",
 )
 def d14(w):
-    u = sp.union_area_per_cell(w.landuse, 500.0, crowd=8)
+    u = sp.union_area_per_cell(w.landuse, 500.0)
     return u.join(cells(w), ["ix", "iy"]).select("grid_id", F.round("union_area", 4).alias("union_area"))

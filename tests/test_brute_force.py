@@ -144,7 +144,7 @@ def test_union_area_in_a_crowd(spark):
     for _, a, b, c, d in boxes:
         seen[int(a) : int(c), int(b) : int(d)] = True
     df = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double")
-    got = {(x.ix, x.iy): x.union_area for x in sp.union_area_per_cell(df, 16.0, crowd=5).collect()}
+    got = {(x.ix, x.iy): x.union_area for x in sp.union_area_per_cell(df, 16.0).collect()}
     for i in range(5):
         for j in range(5):
             assert abs(got.get((i, j), 0.0) - seen[i * 16 : i * 16 + 16, j * 16 : j * 16 + 16].sum()) < 1e-9
@@ -228,3 +228,16 @@ def test_crowded_spot_is_not_paired(spark):
     for i in range(0, 20_000, 997):
         assert got[i] == int((((xy - xy[i]) ** 2).sum(1) <= 900).sum())
     assert sp.near_pair_count(pts, 30.0).first()[0] == (sum(got.values()) - len(got)) // 2
+
+
+def test_union_area_of_a_crowd(spark):
+    """Hundreds of boxes over one cell: nested, crossing and sharing corners."""
+    rnd = random.Random(11)
+    boxes = [(float(a), float(b), float(a + rnd.randrange(1, 9)), float(b + rnd.randrange(1, 9))) for a, b in ((rnd.randrange(14), rnd.randrange(14)) for _ in range(300))]
+    boxes += [(0.5, 0.5, 0.5 + i / 64, 0.5 + i / 32) for i in range(1, 100)]
+    got = sp.union_area_per_cell(spark.createDataFrame(boxes, "x0 double, y0 double, x1 double, y1 double"), 32.0).first().union_area
+    step = 1 / 64
+    covered = np.zeros((int(24 / step), int(24 / step)), bool)
+    for x0, y0, x1, y1 in boxes:
+        covered[int(round(x0 / step)) : int(round(x1 / step)), int(round(y0 / step)) : int(round(y1 / step))] = True
+    assert abs(got - covered.sum() * step * step) < 1e-9
