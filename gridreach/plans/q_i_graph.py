@@ -64,12 +64,22 @@ def i5(w):
 CATS = {"food": 0, "health": 1, "edu": 2, "retail": 3, "green": 4, "culture": 5, "finance": 6, "sport": 7}
 
 
-def _access_sql():
+CYCLE2 = "(select src, dst, length_m from edge where highway not in ('motorway','footway','steps') union all select dst, src, length_m from edge where highway not in ('motorway','footway','steps') and oneway<>'yes')"
+# 15 min at 15 km/h = 3750 m; one settled value for each source and node.
+WITH_CYCLE = f"""with recursive w2 as (select * from {CYCLE2} w), best(source, node, m) using key (source, node) as (select node_id, node_id, 0e0 from origin
+ union select b.source, e.dst, min(b.m+e.length_m) from best b join w2 e on b.node=e.src left join recurring.best k on k.source=b.source and k.node=e.dst where b.m+e.length_m<=3750 and (k.m is null or b.m+e.length_m<k.m) group by 1,2) """
+
+
+def cycle_times(w, minutes=15):
+    return gr.reach(cycle_graph(w), w.origin.select("node_id"), minutes * 60.0)
+
+
+def _access_sql(kmh=5):
     parts = []
     for n, v in CATS.items():
-        parts.append(f"round_even(min(case when cat={v} then m end)/(5/3.6e0)/60,3) as {n}_nearest_min")
+        parts.append(f"round_even(min(case when cat={v} then m end)/({kmh}/3.6e0)/60,3) as {n}_nearest_min")
         for t in (5, 10, 15):
-            lim = f"cat={v} and m<={t}*60*5/3.6e0+1e-6"
+            lim = f"cat={v} and m<={t}*60*{kmh}/3.6e0+1e-6"
             parts += [f"cast(coalesce(sum(case when {lim} then n end),0) as bigint) as {n}_count_{t}", f"coalesce(sum(case when {lim} then n end),0)>0 as {n}_access_{t}"]
     return ", ".join(parts)
 
@@ -82,18 +92,41 @@ def i6(w):
     return gr.category_access(walk_times(w), w.origin, w.dest, CATS, [5, 10, 15])
 
 
+@query("i2c_cycle_reach", "edge origin", WITH_CYCLE + "select source, node, round_even(m/(15/3.6e0),3) as t from best")
+def i2c(w):
+    return cycle_times(w).select("source", "node", F.bround("t", 3).alias("t"))
+
+
 @query(
-    "i7_system_access", "edge origin stop node",
-    WITH_REACH + """, sn as (select cast(floor(y/160)*120+least(floor(x/160),119) as bigint) as node, count(*) as na, count(case when mode_name in ('metro','tram','rail','metrobus') then 1 end) as nb from stop where floor(y/160)*120+least(floor(x/160),119)<=(select max(o_orderkey) from orders) group by 1)
-    select o.grid_id, round_even(min(case when na>0 then m end)/(5/3.6e0)/60,3) as all_nearest_min, cast(coalesce(sum(case when m<=10*60*5/3.6e0+1e-6 then na end),0) as bigint) as all_count_10, cast(coalesce(sum(na),0) as bigint) as all_count_15,
-    round_even(min(case when nb>0 then m end)/(5/3.6e0)/60,3) as fixed_nearest_min, cast(coalesce(sum(case when m<=10*60*5/3.6e0+1e-6 then nb end),0) as bigint) as fixed_count_10, cast(coalesce(sum(nb),0) as bigint) as fixed_count_15
-    from origin o left join (select source, na, nb, m from best join sn using (node)) h on h.source=o.node_id group by 1""",
+    "i6c_cycle_category_access", "edge origin dest",
+    WITH_CYCLE + f", d as (select node_id as node, cat, count(*) as n from dest where snap_status<>'QUESTIONABLE' group by 1,2) select o.grid_id, {_access_sql(15)} from origin o left join (select source, cat, n, m from best join d using (node)) h on h.source=o.node_id group by 1",
 )
-def i7(w):
+def i6c(w):
+    return gr.category_access(cycle_times(w), w.origin, w.dest, CATS, [5, 10, 15])
+
+
+def _system_sql(kmh):
+    return f""", sn as (select cast(floor(y/160)*120+least(floor(x/160),119) as bigint) as node, count(*) as na, count(case when mode_name in ('metro','tram','rail','metrobus') then 1 end) as nb from stop where floor(y/160)*120+least(floor(x/160),119)<=(select max(o_orderkey) from orders) group by 1)
+    select o.grid_id, round_even(min(case when na>0 then m end)/({kmh}/3.6e0)/60,3) as all_nearest_min, cast(coalesce(sum(case when m<=10*60*{kmh}/3.6e0+1e-6 then na end),0) as bigint) as all_count_10, cast(coalesce(sum(na),0) as bigint) as all_count_15,
+    round_even(min(case when nb>0 then m end)/({kmh}/3.6e0)/60,3) as fixed_nearest_min, cast(coalesce(sum(case when m<=10*60*{kmh}/3.6e0+1e-6 then nb end),0) as bigint) as fixed_count_10, cast(coalesce(sum(nb),0) as bigint) as fixed_count_15
+    from origin o left join (select source, na, nb, m from best join sn using (node)) h on h.source=o.node_id group by 1"""
+
+
+def _system_access(w, times):
     nid = F.floor(F.col("y") / 160) * 120 + F.least(F.floor(F.col("x") / 160), F.lit(119))
     st = w.stop.withColumn("node_id", nid).join(w.node.select("node_id"), "node_id", "left_semi")
     systems = {"all": F.lit(True), "fixed": F.col("mode_name").isin("metro", "tram", "rail", "metrobus")}
-    return gr.system_access(walk_times(w), w.origin, st, systems, [10, 15])
+    return gr.system_access(times, w.origin, st, systems, [10, 15])
+
+
+@query("i7_system_access", "edge origin stop node", WITH_REACH + _system_sql(5))
+def i7(w):
+    return _system_access(w, walk_times(w))
+
+
+@query("i7c_cycle_system_access", "edge origin stop node", WITH_CYCLE + _system_sql(15))
+def i7c(w):
+    return _system_access(w, cycle_times(w))
 
 
 # Pairs about 20 to 30 blocks apart; the lattice falls into two halves, so some have no route, and some targets are no node.
