@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridreach.llm.text import keyed, mix, over_batches, raw, tokens
+from gridreach.llm.text import keyed, mix, over_batches, raw, token_streams, tokens
 from gridreach.session import cut
 
 #: Token positions read (1) and ignored (0).
@@ -36,7 +36,8 @@ def seeds(t: np.ndarray, mask: str) -> np.ndarray:
     h = np.full(n, int(mask, 2), np.uint64)
     for j, on in enumerate(mask):
         if on == "1":
-            h = h * _U(0xD6E8FEB86659FD93) + t[j : j + n]
+            h *= _U(0xD6E8FEB86659FD93)
+            h += t[j : j + n]
     return mix(h)
 
 
@@ -46,12 +47,13 @@ def masks_for(n: int) -> Sequence[str]:
 
 
 def best_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, equal tokens) of the stretch of two aligned sequences with the highest +1 / -2 score; the first, shortest such."""
+    """(start, length, equal tokens) of the stretch of two aligned sequences with the highest +1 / -2 score; of several the last to end, as long as can be."""
     same = a == b
     run = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
     low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.flatnonzero(run[: end + 1] == low[end])[-1])
+    gain = run - low
+    end = int(np.flatnonzero(gain == gain.max())[-1])
+    start = int(np.argmax(run == low[end]))
     return start, end - start, int(same[start:end].sum())
 
 
@@ -80,31 +82,33 @@ class _Index:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.hash & _U((1 << self.bits) - 1)] = True
 
-    def hits(self, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(document positions, places in the index) of equal seeds."""
+    def hits(self, t: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, position in the row, place in the index) of equal seeds; `bounds` are the rows' ends in the token stream t."""
         for m in self.masks:
             s = seeds(t, m)
             p = np.flatnonzero(self.seen[s & _U((1 << self.bits) - 1)])
+            row = np.searchsorted(bounds, p, "right") - 1
+            whole = p + len(m) <= bounds[row + 1]
+            p, row = p[whole], row[whole]
             lo, hi = np.searchsorted(self.hash, s[p]), np.searchsorted(self.hash, s[p], "right")
             n = hi - lo
-            yield np.repeat(p, n), np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-
-    def overlaps(self, t: np.ndarray, window: int, share: int) -> dict[int, tuple[int, int, int, int]]:
-        """item -> (equal tokens, overlap length, first document token, hits) of the best verified overlap."""
-        found = [x for x in self.hits(t) if len(x[0])]
-        if not found:
-            return {}
-        p, g = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        lines, count = np.unique(np.stack([self.item[g], p - self.at[g]], 1), axis=0, return_counts=True)
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for (i, shift), n in zip(lines.tolist(), count.tolist(), strict=True):
-            item = self.tokens[i]
-            a, z = max(0, -shift), min(len(item), len(t) - shift)
-            start, length, equal = best_overlap(item[a:z], t[a + shift : z + shift])
+            yield np.repeat(row, n), np.repeat(p - bounds[row], n), np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+
+    def overlaps(self, t: np.ndarray, bounds: np.ndarray, window: int, share: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+        """(row, item) -> (equal tokens, overlap length, first token in the row, hits) of the best verified overlap."""
+        row, p, g = (np.concatenate(x) for x in zip(*self.hits(t, bounds), strict=True))
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        if not len(row):
+            return best
+        lines, count = np.unique(np.stack([row, self.item[g], p - self.at[g]], 1), axis=0, return_counts=True)
+        for (r, i, shift), n in zip(lines.tolist(), count.tolist(), strict=True):
+            item, text = self.tokens[i], t[bounds[r] : bounds[r + 1]]
+            a, z = max(0, -shift), min(len(item), len(text) - shift)
+            start, length, equal = best_overlap(item[a:z], text[a + shift : z + shift])
             if enough(equal, len(item), window, share):
-                now, was = (equal, length, a + shift + start, n), best.get(i)
+                now, was = (equal, length, a + shift + start, n), best.get((r, i))
                 if was is None or (-now[0], now[2]) < (-was[0], was[2]):
-                    best[i] = now
+                    best[r, i] = now
         return best
 
 
@@ -139,7 +143,9 @@ def _scan(block: list, window: int, share: int):
         index = None
         for batch in batches:
             index = index or _Index(block)
-            rows = [(d, index.ids[i], *x) for d, t in zip(batch.column("doc_id").to_pylist(), raw(batch, "text"), strict=True) for i, x in sorted(index.overlaps(tokens(t), window, share).items())]
+            ids, rows = batch.column("doc_id"), []
+            for first, t, bounds in token_streams(raw(batch, "text")):
+                rows += [(ids[first + r].as_py(), index.ids[i], *x) for (r, i), x in sorted(index.overlaps(t, bounds, window, share).items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "n_equal", "n_tokens", "first_token", "n_hits"])
 

@@ -97,6 +97,22 @@ def tokens(text: bytes | None) -> np.ndarray:
     return hash_runs(b, WORDLIKE[b])
 
 
+def token_streams(texts: list[bytes | None], size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, token hashes, token bounds of each row) of runs of texts of about `size` bytes: short texts share array operations."""
+    first = 0
+    while first < len(texts):
+        last, held = first, 0
+        while last < len(texts) and held < size:
+            held += len(texts[last] or b"")
+            last += 1
+        rows = [t or b"" for t in texts[first:last]]
+        b = LOWER[as_bytes(b" ".join(rows))]
+        inside = WORDLIKE[b]
+        begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in rows])))
+        yield first, hash_runs(b, inside), np.searchsorted(spans(inside)[0], begin)
+        first = last
+
+
 def windows(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k-word window; a shorter text is one window, an empty one none."""
     if len(w) == 0:

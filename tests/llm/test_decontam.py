@@ -24,9 +24,9 @@ def brute(docs, items, window=13, share=80):
                 run = best = equal = most = 0
                 for s in same:
                     run, equal = (run + 1, equal + 1) if s else (run - 2, equal)
-                    if run <= 0:
+                    if run < 0:
                         run = equal = 0
-                    if run > best:
+                    if run >= best:
                         best, most = run, equal
                 if 100 * most >= share * min(window, len(q)):
                     out.add((i, doc, item))
@@ -39,7 +39,7 @@ def test_equals_brute_force(spark):
     items = [(k, " ".join(word() for _ in range(rng.choice([5, 7, 9, 14, 30, 60])))) for k in range(25)]
     items += [(100, items[8][1]), (101, None), (102, ""), (103, "too short"), (None, "an item without an id has eight words here")]
     docs = [(None, "an item without an id has eight words here!"), (900, None), (901, ""), (902, "  ,. ")]
-    for k in range(60):
+    for k in range(140):
         t = [f"d{rng.randrange(3000)}" for _ in range(rng.randrange(80))]
         if k % 2:
             q = toks(items[rng.randrange(25)][1])
