@@ -40,7 +40,7 @@ while BANDS[-1] < 1 << 40:
     BANDS.append(math.ceil(BANDS[-1] * 1.5))
 _BANDS = np.array(BANDS)
 #: Signatures held by a scan task before it sends them on; members compared with each other in one chunk tile.
-FLUSH, CHUNK = 1 << 19, 256
+FLUSH, CHUNK = 1 << 19, 2048
 
 
 def parts_of(band: int, threshold: int) -> tuple[int, int]:
@@ -123,14 +123,16 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     return over_batches(keyed(docs, "doc_id", "text"), one, "doc_id long, n_shingles long, key long, parity binary")
 
 
-def _repeats(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (sig, key) sorted by both, and whether the signature has a second key."""
+def _by_first(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sig, key) sorted by both, and the first key of each one's signature."""
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
-    fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))) if len(sig) else np.zeros(0, bool)
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
     sig, key = sig[fresh], key[fresh]
-    same = sig[1:] == sig[:-1]
-    return sig, key, np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(sig) else np.zeros(0, bool)
+    start = np.ones(len(sig), bool)
+    start[1:] = sig[1:] != sig[:-1]
+    return sig, key, key[np.flatnonzero(start)][np.cumsum(start) - 1] if len(sig) else key
 
 
 def _tile_plan(prints: DataFrame, threshold: int) -> np.ndarray:
@@ -146,7 +148,10 @@ def _tile_plan(prints: DataFrame, threshold: int) -> np.ndarray:
 
 
 def shared_signatures(docs: DataFrame, prints: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(sig, key) of every signature that two or more different sets have."""
+    """(sig, key, lead) of every signature that two or more different sets have: each member but the first, with the first.
+
+    Where a batch settled a signature among its own members, `lead` is their first, which met the other batches' in the tile.
+    """
     first = _tile_plan(prints, threshold)
     tiles = int(first[-1])
     per_band = np.diff(first)
@@ -158,25 +163,23 @@ def shared_signatures(docs: DataFrame, prints: DataFrame, k: int, threshold: int
         key = np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
         tile = first[band] + ((sig >> _U(32)) % per_band[band].astype(np.uint64)).astype(np.int64)
         whole = (tile.astype(np.uint64) << _U(32)) | (sig & _U(0xFFFFFFFF))
-        whole, key, twice = _repeats(whole, key)
-        lead = np.concatenate(([True], whole[1:] != whole[:-1]))
-        rows: dict[str, list] = {"tile": [], "known": [], "sig": [], "key": []}
-        settled = np.flatnonzero(twice)
-        if len(settled):  # already a shared signature: spread over the tiles, not by signature
+        whole, key, lead = _by_first(whole, key)
+        rows: dict[str, list] = {"tile": [], "sig": [], "key": [], "lead": []}
+        settled = key != lead
+        if settled.any():  # already shared signatures: spread over the tiles, not by signature
             rows["tile"].append(int(mix(np.array([key[0] + turn], np.int64).view(np.uint64))[0] % _U(tiles)))
-            rows["known"].append(True)
-            rows["sig"].append(whole[settled].tobytes())
-            rows["key"].append(key[settled].tobytes())
-        whole, key = whole[lead], key[lead]
+            for name, values in (("sig", whole), ("key", key), ("lead", lead)):
+                rows[name].append(values[settled].tobytes())
+        whole, key = whole[~settled], key[~settled]
         t = (whole >> _U(32)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
         low = (whole & _U(0xFFFFFFFF)).astype(np.uint32)
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             rows["tile"].append(int(t[a]))
-            rows["known"].append(False)
             rows["sig"].append(low[a:z].tobytes())
             rows["key"].append(key[a:z].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows["tile"], pa.int64()), pa.array(rows["known"]), pa.array(rows["sig"], pa.binary()), pa.array(rows["key"], pa.binary())], list(rows))
+            rows["lead"].append(None)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c == "tile" else pa.binary()) for c, v in rows.items()], list(rows))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sigs, keys, held, turn = [], [], [], 0, 0
@@ -196,19 +199,24 @@ def shared_signatures(docs: DataFrame, prints: DataFrame, k: int, threshold: int
             yield pack(bands, sigs, keys, turn)
 
     def settle(group: pa.Table) -> pa.Table:
-        sig, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        sig, key, lead = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         loose_s, loose_k = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for known, s, x in zip(*(group.column(c).to_pylist() for c in ("known", "sig", "key")), strict=True):
-            (sig if known else loose_s).append(np.frombuffer(s, np.uint64 if known else np.uint32))
-            (key if known else loose_k).append(np.frombuffer(x, np.int64))
-        s, x, twice = _repeats(np.concatenate(loose_s), np.concatenate(loose_k))
-        tile = group.column("tile")[0].as_py()
-        sig.append((_U(tile) << _U(32)) | s[twice].astype(np.uint64))
-        key.append(x[twice])
-        return pa.table({"sig": np.concatenate(sig).view(np.int64), "key": np.concatenate(key)})
-
-    packed = keyed(docs, "text").mapInArrow(scan, "tile long, known boolean, sig binary, key binary")
-    return packed.groupBy("tile").applyInArrow(settle, "sig long, key long")
+        for s, x, first_ in zip(*(group.column(c).to_pylist() for c in ("sig", "key", "lead")), strict=True):
+            if first_ is None:
+                loose_s.append(np.frombuffer(s, np.uint32))
+                loose_k.append(np.frombuffer(x, np.int64))
+            else:
+                for out, kind, values in ((sig, np.uint64, s), (key, np.int64, x), (lead, np.int64, first_)):
+                    out.append(np.frombuffer(values, kind))
+        s, x, f = _by_first(np.concatenate(loose_s), np.concatenate(loose_k))
+        more = x != f
+        sig.append((_U(group.column("tile")[0].as_py()) << _U(32)) | s[more].astype(np.uint64))
+        key.append(x[more])
+        lead.append(f[more])
+        return pa.table({"sig": np.concatenate(sig).view(np.int64), "key": np.concatenate(key), "lead": np.concatenate(lead)})
+
+    packed = keyed(docs, "text").mapInArrow(scan, "tile long, sig binary, key binary, lead binary")
+    return packed.groupBy("tile").applyInArrow(settle, "sig long, key long, lead long")
 
 
 def _over_bound(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -269,9 +277,14 @@ def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int)
     Members that link share most signatures and met through the first member of one of them, so what is left is few and mostly
     refuted by the bitmaps.  Signatures with the same members count once; members meet in chunk tiles of 2 * CHUNK at most.
     """
-    at = shared.join(comp, F.col("key") == F.col("node"), "left").select("sig", "key", F.coalesce("component", "key").alias("comp"))
-    open_ = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.sum(F.xxhash64(F.col("key"), F.lit(1)) % 999_983).alias("h2"))
-    open_ = open_.where("lo <> hi and n > 2").groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig")).select("sig", "n")
+    label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    pairs = shared.select("key", "lead").distinct().join(label("key"), "key", "left").join(label("lead"), "lead", "left")
+    apart = pairs.where(F.coalesce("c_key", "key") != F.coalesce("c_lead", "lead")).select("key", "lead")
+    unsettled = shared.join(apart, ["key", "lead"], "left_semi").select("sig").distinct()
+    members = shared.join(unsettled, "sig", "left_semi").select("sig", F.explode(F.array("key", "lead")).alias("key")).distinct()
+    at = cut(members.join(label("key"), "key", "left").select("sig", "key", F.coalesce("c_key", "key").alias("comp")))
+    open_ = at.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.sum(F.xxhash64(F.col("key"), F.lit(1)) % 999_983).alias("h2"))
+    open_ = open_.where("n > 2").groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig")).select("sig", "n")
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
     rows = at.join(open_, "sig").withColumn("c", F.pmod(F.xxhash64("key"), chunks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     rows = rows.join(sets.select("key", "n_shingles", "parity"), "key")
@@ -283,7 +296,8 @@ def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int)
         bits = _same_width(group.column("parity").to_pylist())
         a, b = [np.zeros(0, np.int64)], []
         for q in range(1, len(key)):
-            p = np.flatnonzero((comp[:q] != comp[q]) & (one_chunk | (c[:q] != c[q])))
+            fits = (comp[:q] != comp[q]) & (100 * np.minimum(n[:q], n[q]) >= threshold * np.maximum(n[:q], n[q]))
+            p = np.flatnonzero(fits if one_chunk else fits & (c[:q] != c[q]))
             odd = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
             most = np.minimum(np.minimum(n[p], n[q]), (n[p] + n[q] - odd) // 2)
             p = p[100 * most >= threshold * (n[p] + n[q] - most)]
@@ -310,9 +324,8 @@ def join_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     """
     prints = cut(fingerprints(docs, k))
     sets = cut(prints.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("parity").alias("parity")))
-    shared = cut(shared_signatures(docs, prints, k, threshold).distinct())
-    lead = shared.groupBy("sig").agg(F.min("key").alias("b"))
-    pairs = shared.join(lead, "sig").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    shared = cut(shared_signatures(docs, prints, k, threshold))
+    pairs = shared.select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
     tested = cut(_over_bound(pairs, sets, threshold))
     links = cut(_verified(tested, docs, sets, k, threshold))
     comp = cut(components(links))
