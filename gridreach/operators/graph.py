@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridreach.operators import ordered as o
 from gridreach.operators import relational as rel
 from gridreach.operators.dedup import to_undirected
-from gridreach.session import cut
+from gridreach.session import cut, settled
 
 WALK_KMH, CYCLE_KMH = 5.0, 15.0
 
@@ -59,8 +59,13 @@ def reach(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str = "ti
     edges and merges the result with the layers found so far in one aggregate:
     a state that beats every layer is the next frontier and is written once, as
     a new layer.  With `doublings` the edges are first extended to two, four,
-    ... steps, which trades some rows for half the rounds each time.
+    ... steps, which trades some rows for half the rounds each time.  The layers
+    are removed at the end.
     """
+    return settled(edges.sparkSession, lambda: _relaxed(edges, sources, cutoff, weight, doublings, max_rounds))
+
+
+def _relaxed(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str, doublings: int, max_rounds: int) -> DataFrame:
     e = edges.where(F.col(weight) <= cutoff).groupBy("src", "dst").agg(F.min(weight).alias("_w"))
     for _ in range(doublings):
         e = _longer_edges(e, cutoff)
@@ -176,12 +181,13 @@ def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_round
     a, b = comp.select(F.col("node").alias("source"), F.col("component").alias("_ca")), comp.select(F.col("node").alias("target"), F.col("component").alias("_cb"))
     linked = p.join(a, "source").join(b, "target").where(F.col("_ca") == F.col("_cb")).select("pair_id", "source", "target", "tx", "ty")
     linked = cut(linked)
-    by_len = cut(_best_routes(e, linked, "length_m", max_rounds).select("pair_id", F.col("cost").alias("_len"), F.col("hops").alias("n_path_nodes")))
+    search = lambda weight: settled(e.sparkSession, lambda: _best_routes(e, linked, weight, max_rounds))
+    by_len = search("length_m").select("pair_id", F.col("cost").alias("_len"), F.col("hops").alias("n_path_nodes"))
     speed = e.agg(F.min(F.col("time_s") / F.col("length_m")).alias("lo"), F.max(F.col("time_s") / F.col("length_m")).alias("hi")).first()
     if speed["lo"] is not None and speed["hi"] - speed["lo"] <= 1e-12 * speed["hi"]:
         by_time = by_len.select("pair_id", (F.col("_len") * speed["lo"]).alias("_time"))
     else:
-        by_time = _best_routes(e, linked, "time_s", max_rounds).select("pair_id", F.col("cost").alias("_time"))
+        by_time = search("time_s").select("pair_id", F.col("cost").alias("_time"))
     straight = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
     r = p.join(by_len, "pair_id", "left").join(by_time, "pair_id", "left").withColumn("_s", straight)
     status = F.when(F.col("_s").isNull(), "NODE_NOT_IN_GRAPH").when(F.col("_len").isNull(), "ROUTE_NOT_FOUND").otherwise("OK")
@@ -200,8 +206,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     the graph, so rounds grow with the logarithm of its size and the total work
     stays near that of the first round.  Rounds go on until no edge is left, at every
     size; the merge maps are composed at the end.  `max_rounds` only guards
-    against a graph that changes between rounds: passing it is an error.
+    against a graph that changes between rounds: passing it is an error.  The
+    tables of the rounds are removed at the end.
     """
+    return settled(edges.sparkSession, lambda: _contracted(edges, nodes, max_rounds))
+
+
+def _contracted(edges: DataFrame, nodes: DataFrame | None, max_rounds: int) -> DataFrame:
     live = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where(F.col("u") != F.col("v")).distinct()
     live = cut(live)
     maps: list[DataFrame] = []

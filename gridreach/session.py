@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def local_session(cores: str = "8", app: str = "gridreach") -> SparkSession:
     """Session for tests and benches; on a cluster the caller brings its own."""
@@ -40,9 +45,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
+    """A fresh path in the shared checkpoint folder, inside the current scope if there is one."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` and `scratch` write inside the block are removed when it ends; read what depends on them before."""
+    path = scratch(spark, "scope")
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table build() returns, written once; the tables that build() cut on its way are removed."""
+    path = scratch(spark, "kept")
+    with scratch_scope(spark):
+        df = build()
+        df.write.parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

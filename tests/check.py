@@ -62,7 +62,7 @@ def compare(spark_df, con, sql):
 def main() -> int:
     from gridreach.plans import all_queries
     from gridreach.plans.world import World
-    from gridreach.session import local_session
+    from gridreach.session import local_session, scratch_scope
 
     pattern, sf = (sys.argv[1] if len(sys.argv) > 1 else "."), (sys.argv[2] if len(sys.argv) > 2 else TEST_SF)
     spark = local_session()
@@ -74,11 +74,12 @@ def main() -> int:
         n += 1
         t = time.time()
         try:
-            df = q.build(World(spark, sf))
-            if q.sql is None:
-                msg = None if df.count() > 0 else "EMPTY"
-            else:
-                msg = compare(df, con, q.oracle())
+            with scratch_scope(spark):
+                df = q.build(World(spark, sf))
+                if q.sql is None:
+                    msg = None if df.count() > 0 else "EMPTY"
+                else:
+                    msg = compare(df, con, q.oracle())
         except Exception as e:  # report and go on
             msg = f"{type(e).__name__}: {str(e)[:700]}"
         failed += msg is not None
