@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from gridreach.functions import scalars as s
 from gridreach.operators import graph as gr
 from gridreach.operators import ordered as o
-from gridreach.operators import relational as rel
 from gridreach.session import cut
 
 
 def spearman_matrix(df: DataFrame, key: str, cols: Sequence[str], min_n: int = 30) -> DataFrame:
     """(a, b, n, rho) for all column pairs, pairwise complete.
 
-    Columns without nulls are ranked once and their pairs formed inside the row.
-    A pair with a nullable column is ranked on its own complete rows.
+    Columns without nulls are ranked once and correlated by one Gram matrix
+    (columns x columns, added up inside the tasks).  A pair with a nullable
+    column is ranked on its own complete rows.
     """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     full = [c for c in cols if nulls[c] == 0]
     rest = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if nulls[a] or nulls[b]]
     parts = []
     if len(full) > 1:
         ranks = o.wide_pct_ranks(df, key, full, "avg")
-        parts.append(ranks.select(F.inline(rel.in_row_pairs([], full))))
+        vectors = cut(ranks.select(F.array(*full).alias("r"))).select(array_to_vector("r").alias("v"))
+        n = vectors.count()
+        rho = Correlation.corr(vectors, "v").first()[0].toArray().tolist() if n > 1 else None
+        rows = [(a, b, n, None if rho is None or rho[i][j] != rho[i][j] else rho[i][j]) for i, a in enumerate(full) for j, b in enumerate(full) if i < j]
+        parts.append(df.sparkSession.createDataFrame(rows, "a string, b string, n long, rho double"))
     if rest:
         entries = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))) for a, b in rest]
         long = df.select(F.inline(F.array_compact(F.array(*entries))))
@@ -35,9 +42,8 @@ def spearman_matrix(df: DataFrame, key: str, cols: Sequence[str], min_n: int = 3
         for side, name in (("u", "x"), ("v", "y")):
             r = ranks.where(F.col("side") == side).select("a", "b", F.col("value").alias(side), F.col("rank_avg").alias(name))
             long = long.join(r, ["a", "b", side])
-        parts.append(long.select("a", "b", "x", "y"))
-    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
+        parts.append(long.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.where(F.col("n") >= min_n)
 
 

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
@@ -87,5 +88,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast: some ten megabytes.
+SMALL = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A narrow table as one side of a join: written and counted, then broadcast up to SMALL rows and shuffled beyond."""
+    table = cut(df)
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
