@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridreach.llm import decontam, jaccard, packing, pu_quality, secrets
-from gridreach.session import cut, settled
+from gridreach.session import settled, small_side
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier rejects go; rows without an id stay, as no label or verdict can name them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = cut(pu_quality.score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct())
+    bad = small_side(pu_quality.score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridreach.llm.text import keyed, mix, over_batches, raw, token_streams, tokens
-from gridreach.session import cut
+from gridreach.session import cut, small_side
 
 #: Token positions read (1) and ignored (0).
 MASKS = ("11101011", "110110111", "1110010111", "11011001011")
@@ -154,5 +154,5 @@ def _scan(block: list, window: int, share: int):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 80) -> DataFrame:
     """The documents without any overlap; rows with a null id are never dropped."""
-    hit = cut(overlaps(docs, items, window, share).select(F.col("doc_id").alias("_hit")).distinct())
+    hit = small_side(overlaps(docs, items, window, share).select(F.col("doc_id").alias("_hit")).distinct())
     return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gridreach.llm.text import keyed, mix, over_batches, raw, shingle_set
 from gridreach.operators.graph import components
-from gridreach.session import cut, shuffle_width
+from gridreach.session import cut, shuffle_width, small_side
 
 _U = np.uint64
 #: First set size of each band: whole numbers, then steps of a half.
@@ -234,7 +234,7 @@ def _over_bound(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
     """Pairs whose exact intersection reaches the threshold, as (src, dst)."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = sets.join(ends, "key").select(F.col("doc_id").alias("_id"), "key")
+    wanted = small_side(sets.join(ends, "key").select(F.col("doc_id").alias("_id"), "key"))  # else every text would be shuffled
     d = keyed(docs, "doc_id", "text")
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:  # a repeated id may stand for another text
@@ -345,10 +345,10 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     All columns stay.  A row that repeats a kept id goes; rows without an id stay unless their group has one with an id.
     """
     found = cut(join_components(docs.select("doc_id", "text"), k, threshold))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    gone = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     once = named.dropDuplicates(["doc_id"]) if repeated else named
-    if keep.where("_keep is null").isEmpty():
+    if found.where("doc_id is null and component_id is null").isEmpty():
         return once
     return once.unionByName(docs.where("doc_id is null"))
