@@ -25,7 +25,7 @@ PAIRS, SHAPES, STEPS = 192, 256, 8
 FIGURES = 8
 WIDTH = PAIRS + SHAPES + FIGURES * STEPS
 #: Rounds of the prior's and of the classifier's fit; L2 weight; bins of the prior's tails.
-PRIOR_ROUNDS, ROUNDS, L2, BINS = 14, 40, 1e-6, 1024
+PRIOR_ROUNDS, ROUNDS, L2, BINS = 8, 16, 5e-4, 1024
 
 _CLASS = np.full(256, 1, np.uint8)  # other signs
 _CLASS[[9, 32]] = 2

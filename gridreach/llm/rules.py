@@ -19,7 +19,7 @@ from gridreach.session import cut
 WORDS, CHARS = 1 << 13, 1 << 13
 WIDTH = WORDS + CHARS
 #: Labelled rows used at most; rounds and L2 weight of the fit.
-FIT_ROWS, ROUNDS, L2 = 20_000, 40, 2e-5
+FIT_ROWS, ROUNDS, L2 = 20_000, 25, 2e-5
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
