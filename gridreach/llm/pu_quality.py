@@ -40,6 +40,11 @@ _CLASS[[ord(c) for c in "#*$%&|<>"]] = 10
 _CLASS[[ord(c) for c in "\"'()-"]] = 11
 
 
+#: Letters and digits read as one of their kind, so that pairs tell signs, case and spacing but not the language.
+_FOLD = np.arange(256, dtype=np.int64)
+_FOLD[48:58], _FOLD[65:91], _FOLD[97:123], _FOLD[128:] = 48, 65, 97, 97
+
+
 def _spread(counts: np.ndarray) -> np.ndarray:
     return np.rint(255 * np.sqrt(counts / max(1, counts.sum()))).astype(np.uint8)
 
@@ -70,7 +75,8 @@ def features(text: bytes | None) -> bytes:
     text = text or b""
     b = as_bytes(text)
     c = _CLASS[b].astype(np.int64)
-    pair = np.bincount((b[:-1].astype(np.int64) * 31 + b[1:] * 7) % PAIRS, minlength=PAIRS) if len(b) > 1 else np.zeros(PAIRS)
+    f = _FOLD[b]
+    pair = np.bincount((f[:-1] * 31 + f[1:] * 7) % PAIRS, minlength=PAIRS) if len(b) > 1 else np.zeros(PAIRS)
     shape = np.bincount((c[:-2] * 144 + c[1:-1] * 12 + c[2:]) * 53 % 1021 % SHAPES, minlength=SHAPES) if len(b) > 2 else np.zeros(SHAPES)
     level = np.clip(figures(text, b, words(text))[:, None] * STEPS - np.arange(STEPS), 0, 1)
     return np.concatenate((_spread(pair), _spread(shape), np.rint(255 * level.ravel()).astype(np.uint8))).tobytes()
