@@ -40,7 +40,7 @@ while BANDS[-1] < 1 << 40:
     BANDS.append(math.ceil(BANDS[-1] * 1.5))
 _BANDS = np.array(BANDS)
 #: Signatures held by a scan task before it sends them on; members compared with each other in one chunk tile.
-FLUSH, CHUNK = 1 << 19, 2048
+FLUSH, CHUNK = 1 << 18, 512
 
 
 def parts_of(band: int, threshold: int) -> tuple[int, int]:
@@ -114,11 +114,9 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, key, parity of every document."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, k) for t in raw(batch, "text")]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.int64()), pa.array(map(parity, sets), pa.binary())],
-            ["doc_id", "n_shingles", "key", "parity"],
-        )
+        rows = [(len(s), set_key(s), parity(s)) for s in (shingle_set(t, k) for t in raw(batch, "text"))]
+        n, key, bits = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "key", "parity"])
 
     return over_batches(keyed(docs, "doc_id", "text"), one, "doc_id long, n_shingles long, key long, parity binary")
 
@@ -143,7 +141,7 @@ def _tile_plan(prints: DataFrame, threshold: int) -> np.ndarray:
     for r in per_band:  # at most one row a band
         for band in (r["b"] - 1, max(0, r["b"] - 2)):
             load[band] += r["n"] * parts_of(band, threshold)[0]
-    size = int(np.clip(load.sum() // (4 * shuffle_width(prints.sparkSession)), 1 << 12, 1 << 19))
+    size = int(np.clip(load.sum() // (4 * shuffle_width(prints.sparkSession)), 1 << 12, 1 << 18))
     return np.concatenate(([0], np.cumsum(np.maximum(1, -(-load // size)))))
 
 

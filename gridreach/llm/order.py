@@ -113,21 +113,24 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, encode: Encoder | No
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         at, end = int(first[p]), int(first[p + 1])
+        rows: list[tuple[int | None, int, int, bytes]] = []
+
+        def packed() -> pa.RecordBatch:
+            if at + len(rows) > end:
+                raise RuntimeError("the passes saw different partitions")
+            ids, pieces, used, body = zip(*rows, strict=True)
+            slot = permute(np.arange(at, at + len(rows)), n, key)
+            return pa.RecordBatch.from_arrays([pa.array(slot), *(pa.array(c, pa.int64()) for c in (ids, pieces, used)), pa.array(body, pa.binary())], ["slot", "doc_id", "piece", "n_tokens", "ids"])
+
         for b in batches:
-            ids, pieces, used, body = [], [], [], []
             for doc, t in zip(b.column("doc_id").to_pylist(), raw(b, "text"), strict=True):
-                for i, (tokens, s) in enumerate(sequences(t, encode or encode_bytes)):
-                    ids.append(doc)
-                    pieces.append(i)
-                    used.append(tokens)
-                    body.append(s)
-            if at + len(ids) > end:
-                raise RuntimeError("the passes saw different partitions")
-            slot = permute(np.arange(at, at + len(ids)), n, key)
-            at += len(ids)
-            for a in range(0, len(ids), 2048):
-                z = a + 2048
-                yield pa.RecordBatch.from_arrays([pa.array(slot[a:z]), pa.array(ids[a:z], pa.int64()), pa.array(pieces[a:z], pa.int64()), pa.array(used[a:z], pa.int64()), pa.array(body[a:z], pa.binary())], ["slot", "doc_id", "piece", "n_tokens", "ids"])
+                rows += [(doc, i, tokens, s) for i, (tokens, s) in enumerate(sequences(t, encode or encode_bytes))]
+                if len(rows) >= 2048:
+                    yield packed()
+                    at, rows = at + len(rows), []
+        if rows:
+            yield packed()
+            at += len(rows)
         if at != end:
             raise RuntimeError("the passes saw different partitions")
 
@@ -135,7 +138,7 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, encode: Encoder | No
     shards = -(-n // SHARD)
     tasks = max(1, min(shards, max(shuffle_width(docs.sparkSession), len(first))))
     dealt = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
-    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return n
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,20 +97,24 @@ def tokens(text: bytes | None) -> np.ndarray:
     return hash_runs(b, WORDLIKE[b])
 
 
-def token_streams(texts: list[bytes | None], size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def token_streams(texts: Iterable[bytes | None], size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, token hashes, token bounds of each row) of runs of texts of about `size` bytes: short texts share array operations."""
-    first = 0
-    while first < len(texts):
-        last, held = first, 0
-        while last < len(texts) and held < size:
-            held += len(texts[last] or b"")
-            last += 1
-        rows = [t or b"" for t in texts[first:last]]
+    first, rows, held = 0, [], 0
+
+    def stream() -> tuple[int, np.ndarray, np.ndarray]:
         b = LOWER[as_bytes(b" ".join(rows))]
         inside = WORDLIKE[b]
         begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in rows])))
-        yield first, hash_runs(b, inside), np.searchsorted(spans(inside)[0], begin)
-        first = last
+        return first, hash_runs(b, inside), np.searchsorted(spans(inside)[0], begin)
+
+    for t in texts:
+        rows.append(t or b"")
+        held += len(rows[-1])
+        if held >= size:
+            yield stream()
+            first, rows, held = first + len(rows), [], 0
+    if rows:
+        yield stream()
 
 
 def windows(w: np.ndarray, k: int) -> np.ndarray:
@@ -142,9 +146,11 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
-    """A string column as UTF-8 bytes."""
-    return batch.column(column).cast(pa.binary()).to_pylist()
+def raw(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
+    """A string column as UTF-8 bytes, a few rows at a time."""
+    texts = batch.column(column)
+    for i in range(0, len(texts), 64):
+        yield from texts.slice(i, 64).cast(pa.binary()).to_pylist()
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
