@@ -3,17 +3,21 @@
 Documents are encoded to token ids and cut into sequences of one length, the last one padded.  Sequence k of the corpus
 gets slot F(k), F a keyed Feistel permutation of all sequence numbers (values outside the range are walked on until they
 fall into it), so the order is global, reproducible from the key, and known without a sort or a random number kept anywhere.
-Slot ranges are dealt to tasks directly; each writes shards of a fixed number of sequences, so a reader that stopped
-at a slot finds the rest by arithmetic.
+Slot ranges are dealt to tasks directly; each writes shards of a fixed number of sequences.  A shard is one plain binary
+file of records of STRIDE bytes, so a reader that stopped at a slot finds the rest by arithmetic.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,11 +99,31 @@ def _counts(docs: DataFrame, encode: Encoder | None) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(n)))
 
 
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and folder of the binary shards of `path`, as workers see it."""
+    if not re.match("[a-z][a-z0-9+.-]*:", path):
+        return fs.LocalFileSystem(), f"{path}/_shards"
+    system, folder = fs.FileSystem.from_uri(path)
+    return system, f"{folder}/_shards"
+
+
+def _name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def shard_file(path: str, shard: int) -> str:
+    """Binary file of a shard: the ids of slot s begin at byte (s - shard * SHARD) * STRIDE."""
+    return f"{path}/_shards/{_name(shard)}"
+
+
 def materialise(docs: DataFrame, path: str, key: int = KEY, encode: Encoder | None = None) -> int:
     """Write all sequences of docs to `path` as shards in training order and return their number.
 
-    Rows: shard, slot, doc_id, piece, n_tokens, ids (STRIDE bytes, little-endian 16-bit).  Shard s holds the slots from s * SHARD
-    on, in order.  The two passes over docs must see the same partitions (a table does); a task that meets another number of
+    shard_file(path, s) holds the ids (STRIDE bytes a slot, little-endian 16-bit) of the slots from s * SHARD on, in order and
+    uncompressed; `path` itself is a Parquet table that tells of each slot: shard, slot, doc_id, piece, n_tokens.  A shard is
+    written by one task under a temporary name and renamed when all its slots are there, so a repeated task does no harm.
+    `path` must be in a folder that workers reach by pyarrow's file systems (a shared mount, hdfs, s3, gs).  The two passes over
+    docs must see the same partitions (a table does); a task that meets another number of
     sequences than was counted fails rather than write a slot twice.  Null and empty texts are one sequence with END alone;
     null ids are carried along; repeated rows are written as often as they come; extra columns are ignored; an
     empty table writes nothing.
@@ -137,15 +161,80 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, encode: Encoder | No
     rows = d.mapInArrow(emit, "slot long, doc_id long, piece long, n_tokens long, ids binary").withColumn("shard", F.floor(F.col("slot") / SHARD))
     shards = -(-n // SHARD)
     tasks = max(1, min(shards, max(shuffle_width(docs.sparkSession), len(first))))
-    dealt = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
-    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    dealt = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
+    index = dealt.select("slot", "doc_id", "piece", "n_tokens", "shard", "ids").mapInArrow(_store(path, n), f"{_INDEX}, shard long")
+    index.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return n
 
 
+_INDEX = "slot long, doc_id long, piece long, n_tokens long"
+
+
+def _store(path: str, n: int):
+    """Writes the ids of sorted rows to their shards and hands the other columns on."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _files(path)
+        system.create_dir(folder)
+        mine = f"{folder}/.{uuid.uuid4().hex}"
+        shard, at, out = -1, 0, None
+
+        def close() -> None:
+            out.close()
+            if at != min((shard + 1) * SHARD, n):
+                raise RuntimeError("a shard lacks slots")
+            system.move(mine, f"{folder}/{_name(shard)}")
+
+        try:
+            for b in batches:
+                for slot, ids in zip(b.column("slot").to_pylist(), b.column("ids"), strict=True):
+                    if slot // SHARD != shard:
+                        if out is not None:
+                            close()
+                        shard, at, out = slot // SHARD, slot // SHARD * SHARD, system.open_output_stream(mine)
+                    if slot != at:
+                        raise RuntimeError("slots out of order")
+                    out.write(ids.as_buffer())
+                    at += 1
+                yield b.select(["slot", "doc_id", "piece", "n_tokens", "shard"])
+            if out is not None:
+                close()
+        except BaseException:
+            with contextlib.suppress(OSError):
+                system.delete_file(mine)
+            raise
+
+    return store
+
+
+def _fetch(path: str):
+    """Adds ids to index rows: each is read at its byte offset."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _files(path)
+        shard, file = -1, None
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                b, ids = whole.slice(i, 2048), []
+                for slot in b.column("slot").to_pylist():
+                    if slot // SHARD != shard:
+                        if file is not None:
+                            file.close()
+                        shard = slot // SHARD
+                        file = system.open_input_file(f"{folder}/{_name(shard)}")
+                    ids.append(file.read_at(STRIDE, (slot - shard * SHARD) * STRIDE))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("slot", "doc_id", "piece", "n_tokens")), pa.array(ids, pa.binary()), b.column("shard")], ["slot", "doc_id", "piece", "n_tokens", "ids", "shard"])
+        if file is not None:
+            file.close()
+
+    return fetch
+
+
 def read_from(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
     """The written sequences from a slot on: only the shards that hold them are read."""
-    table = spark.read.schema("slot long, doc_id long, piece long, n_tokens long, ids binary, shard long").parquet(path)
-    return table.where((F.col("shard") >= slot // SHARD) & (F.col("slot") >= slot))
+    table = spark.read.schema(f"{_INDEX}, shard long").parquet(path)
+    wanted = table.where((F.col("shard") >= slot // SHARD) & (F.col("slot") >= slot))
+    return wanted.select("slot", "doc_id", "piece", "n_tokens", "shard").mapInArrow(_fetch(path), f"{_INDEX}, ids binary, shard long")
 
 
 def training_order(docs: DataFrame, key: int = KEY, encode: Encoder | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -41,3 +43,19 @@ def test_query_shape_and_empty(spark):
     got = {r.doc_id: r for r in o.training_order(df).collect()}
     assert {r.slot for r in got.values()} == {0, 1} and got[1].n_tokens == 4 and got[1].byte_offset == got[1].slot * o.STRIDE
     assert o.training_order(df.limit(0)).count() == 0
+
+
+def test_byte_offset_is_where_the_ids_are(spark):
+    rows = [(i, f"text {i} " * (i % 300)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = scratch(spark, "t")
+    n = o.materialise(df, path, key=9)
+    at = lambda s: o.shard_file(path, s).removeprefix("file:")
+    assert n > o.SHARD and [os.path.getsize(at(s)) for s in range(-(-n // o.SHARD))] == [min(o.SHARD, n - s * o.SHARD) * o.STRIDE for s in range(-(-n // o.SHARD))]
+    assert all(x.endswith(".bin") for x in os.listdir(os.path.dirname(at(0))) if not x.endswith(".crc"))  # no temporary file stays
+    texts, offsets = dict(rows), {r.slot: r.byte_offset for r in o.training_order(df, key=9).select("slot", "byte_offset").collect()}
+    for r in spark.read.parquet(path).collect():
+        with open(at(r.shard), "rb") as f:
+            f.seek(offsets[r.slot])
+            got = f.read(o.STRIDE)
+        assert got == o.sequences(texts[r.doc_id].encode(), o.encode_bytes)[r.piece][1]
