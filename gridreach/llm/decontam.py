@@ -20,8 +20,22 @@ from gridreach.session import cut, small_side
 
 #: Token positions read (1) and ignored (0).
 MASKS = ("11101011", "110110111", "1110010111", "11011001011")
-#: Items too short for every mask are looked for as a whole, from this many tokens.
-LEAST = 5
+#: Items below LONG tokens have masks of their own: every overlap that `enough` accepts with window 13 and share 80 has a seed of
+#: one.  Items of 1 to 4 tokens have no tolerance and are looked for as a whole.
+SHORT = {
+    5: ("1111", "11011"),
+    6: ("11111", "111011", "110111"),
+    7: ("111011", "110111"),
+    8: ("1111011", "1101111"),
+    9: ("11101011", "111111"),
+    10: ("11011011", "110101011", "1101001011"),
+    11: ("110101011", "1101001011", "1111101"),
+    12: ("11101011", "101100111"),
+    13: ("111001011", "1111011"),
+    14: ("111001011", "11001000111", "11101011"),
+    15: ("11001010011", "111010011", "11010001011", "11101101"),
+}
+LONG = 16
 #: Benchmark seeds held by a task at once; more are worked off in further blocks.
 BLOCK_SEEDS = 1 << 21
 
@@ -42,8 +56,7 @@ def seeds(t: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n: int) -> Sequence[str]:
-    fitting = [m for m in MASKS if len(m) <= n]
-    return fitting or (["1" * n] if n >= LEAST else [])
+    return MASKS if n >= LONG else SHORT.get(n, ("1" * n,) if n else ())
 
 
 def best_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -117,7 +130,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 8
 
     An overlap counts when its equal tokens reach `share` per cent of min(window, tokens of the item).  Items are worked off
     in blocks of a bounded number of seeds, each against all documents.  Null and empty texts have no token and never overlap;
-    items of fewer than LEAST tokens are not looked for; items with equal texts are both named; a null id is carried along;
+    items of fewer than LONG tokens lose no overlap (at the given window and share), longer ones those without a seed of MASKS;
+    items of 1 to 4 tokens count where they stand verbatim; items with equal texts are both named; a null id is carried along;
     repeated rows give repeated results; extra columns are ignored; empty tables give an empty result.
     """
 
@@ -125,9 +139,9 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 8
         ts = [tokens(t) for t in raw(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(map(len, ts), pa.int64()), pa.array([t.tobytes() for t in ts], pa.binary())], ["item_id", "n", "tokens"])
 
-    test = cut(over_batches(items.select(F.col("item_id").cast("long"), "text"), tokenise, "item_id long, n long, tokens binary").where(F.col("n") >= LEAST))
+    test = cut(over_batches(items.select(F.col("item_id").cast("long"), "text"), tokenise, "item_id long, n long, tokens binary").where(F.col("n") > 0))
     total = test.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total * len(MASKS) // block_seeds)
+    blocks = -(-total * max(map(len, (MASKS, *SHORT.values()))) // block_seeds)
     schema = "doc_id long, item_id long, n_equal long, n_tokens long, first_token long, n_hits long"
     out = docs.sparkSession.createDataFrame([], schema)
     for k in range(blocks):

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -68,3 +69,43 @@ def test_substitutions_and_drop(spark):
     assert sorted((r.doc_id for r in d.drop_contaminated(docs, items).collect()), key=str) == [3, 4, None]
     assert d.overlaps(docs, items.limit(0)).count() == 0
     assert d.overlaps(docs.limit(0), items).count() == 0
+
+
+def accepted(q, t, window=13, share=80):
+    """Whether any shift of item q over text t is enough by the acceptance rule alone."""
+    for shift in range(1 - len(q), len(t)):
+        a, z = max(0, -shift), min(len(q), len(t) - shift)
+        run = best = equal = most = 0
+        for x in range(a, z):
+            run, equal = (run + 1, equal + 1) if q[x] == t[x + shift] else (run - 2, equal)
+            if run < 0:
+                run = equal = 0
+            if run >= best:
+                best, most = run, equal
+        if 100 * most >= share * min(window, len(q)):
+            return True
+    return False
+
+
+def test_short_items_keep_the_whole_tolerance():
+    for n in range(1, d.LONG):
+        for k in range(5 if n > 4 else 1):
+            for out in itertools.combinations(range(n), k):
+                same = [x not in out for x in range(n)]
+                if accepted(range(n), [x if s else -1 for x, s in enumerate(same)]):
+                    assert any(all(same[p + x] for x, on in enumerate(m) if on == "1") for m in d.masks_for(n) for p in range(n - len(m) + 1)), (n, out)
+
+
+def test_short_items_by_the_acceptance_rule_alone(spark):
+    rng = random.Random(8)
+    items = [(n * 10 + k, " ".join(f"i{n}x{k}x{x}" for x in range(n))) for n in range(1, d.LONG) for k in range(2)]
+    docs = []
+    for item, body in items:
+        q = body.split()
+        for _ in range(12):
+            out = rng.sample(range(len(q)), rng.randrange(min(4, len(q) + 1)))
+            docs.append((len(docs), " ".join(["a"] * rng.randrange(3) + ["zz" if x in out else w for x, w in enumerate(q)][: rng.choice([len(q), len(q), len(q) - 1])] + ["b"] * rng.randrange(3))))
+    want = sorted((doc, item) for doc, t in docs for item, body in items if accepted(body.split(), t.split()))
+    assert {item // 10 for _, item in want} == set(range(1, d.LONG))
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in d.overlaps(dd, ii).collect()) == want
