@@ -7,16 +7,19 @@ when distrust exceeds trust by `threshold` for each of its pages.  DataFrame fun
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridreach.session import cut
+from gridreach.session import cut, settled
 
 #: (rule, allowed); a rule is a host and a path prefix.
 RULES = (("com/", True), ("example.com/en/", False), ("www.example.com/en/", True), ("net/es/", False), ("net/fr/", False))
-DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 10, 0.5, 1e-9
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Mass, in pages, that may still be on its way when a propagation ends; rounds beyond which it fails; rounds that the SQL writes out.
+TOLERANCE, ROUNDS, SQL_ROUNDS = 1e-6, 1000, 10
 #: Host of an absolute or protocol-relative link.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,20 +55,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, mass): seeds + damping * mass handed along edges (src, dst, n) in proportion to n, after `rounds` rounds at most."""
+    """(host, mass): the fixpoint of seeds + damping * mass handed along edges (src, dst, n) in proportion to n.
+
+    Each round hands on what the round before brought.  All later rounds together bring damping / (1 - damping) times the last
+    one at most; the loop ends when that is TOLERANCE pages or less, and fails after `rounds` rounds.
+    """
+    spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     weighted = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")))
-    mass = seeds
     if weighted.isEmpty():
-        return mass
-    for _ in range(rounds):
-        sent = weighted.join(mass, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("mass"))).alias("mass"))
-        new = cut(seeds.unionByName(sent).groupBy("host").agg(F.sum("mass").alias("mass")))
-        moved = new.join(mass.withColumnRenamed("mass", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("d"), F.sum("mass").alias("m")).first()
-        mass = new
-        if (moved["d"] or 0) <= TOLERANCE * (moved["m"] or 1):
-            break
-    return mass
+        return seeds
+
+    def fixpoint() -> DataFrame:
+        mass, moved, waiting = seeds, seeds, []
+        for _ in range(rounds):
+            moved = cut(weighted.join(moved, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("mass"))).alias("mass")))
+            waiting.append(moved)
+            left = (moved.agg(F.sum("mass")).first()[0] or 0.0) * damping / (1 - damping)
+            if left <= TOLERANCE or len(waiting) == 16:
+                mass = functools.reduce(DataFrame.unionByName, [mass, *waiting]).groupBy("host").agg(F.sum("mass").alias("mass"))
+                if left <= TOLERANCE:
+                    return mass
+                mass, waiting = cut(mass), []
+        raise RuntimeError(f"mass of {left} pages still moves after {rounds} rounds")
+
+    return settled(spark, fixpoint)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, bool]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,7 +104,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, bool]] = RULES, threshold
 
 
 def judge_sql() -> str:
-    """The same verdicts as SQL, the rounds written out."""
+    """The same verdicts as SQL, with SQL_ROUNDS rounds written out: equal where no path of host links is longer and no cycle feeds a host near the threshold."""
     fits = [(r, ok, f"(host = '{r[:r.index('/')]}' OR ends_with(host, '.{r[:r.index('/')]}')) AND starts_with(path, '{r[r.index('/'):]}')") for r, ok in sorted(RULES, key=lambda x: (-len(x[0]), x[0]))]
     case = lambda f: "CASE " + " ".join(f"WHEN {c} THEN {f(r, ok)}" for r, ok, c in fits) + " END"
     link = LINK.replace("'", "''")
@@ -107,11 +121,11 @@ eb AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS w FR
 f0 AS (SELECT host, good::DOUBLE AS mass FROM h WHERE good > 0),
 b0 AS (SELECT host, bad::DOUBLE AS mass FROM h WHERE bad > 0)"""
     for side in "fb":
-        for i in range(1, ROUNDS + 1):
+        for i in range(1, SQL_ROUNDS + 1):
             parts += f""",
 {side}{i} AS (SELECT host, sum(mass) AS mass FROM (SELECT * FROM {side}0 UNION ALL
   SELECT dst, {DAMPING} * w * mass FROM e{side} JOIN {side}{i - 1} ON src = host) GROUP BY host)"""
     return parts + f"""
 SELECT page_id, j.host, path, rule,
   CASE WHEN coalesce(allowed, NOT coalesce(b.mass, 0) - coalesce(f.mass, 0) >= {THRESHOLD} * h.pages OR b.mass IS NULL AND f.mass IS NULL, true) THEN 'allow' ELSE 'block' END AS verdict
-FROM j LEFT JOIN h USING (host) LEFT JOIN b{ROUNDS} b USING (host) LEFT JOIN f{ROUNDS} f USING (host)"""
+FROM j LEFT JOIN h USING (host) LEFT JOIN b{SQL_ROUNDS} b USING (host) LEFT JOIN f{SQL_ROUNDS} f USING (host)"""

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from gridreach.llm import urls as u
 
 
@@ -63,3 +66,33 @@ def test_plan_is_native(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = u.judge(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+def fixpoint(edges, seeds):
+    """Solution of mass = seeds + DAMPING * (mass handed along edges)."""
+    hosts = sorted({h for e in edges for h in e[:2]} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    w = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in edges:
+        w[at[b], at[a]] += n / sum(m for x, _, m in edges if x == a)
+    x = np.linalg.solve(np.eye(len(hosts)) - u.DAMPING * w, [float(seeds.get(h, 0)) for h in hosts])
+    return {h: v for h, v in zip(hosts, x, strict=True) if v}
+
+
+def test_propagation_reaches_the_fixpoint(spark):
+    chain = [(f"c{i}", f"c{i + 1}", 1) for i in range(25)]
+    cycle = [("r0", "r1", 2), ("r1", "r2", 1), ("r2", "r0", 3), ("r0", "c3", 1), ("d", "d1", 1)]
+    seeds = {"c0": 1000, "r1": 7, "lone": 2}
+    want = fixpoint(chain + cycle, seeds)
+    ee = spark.createDataFrame(chain + cycle, "src string, dst string, n long")
+    got = {r.host: r.mass for r in u.propagate(ee, spark.createDataFrame([(h, float(n)) for h, n in seeds.items()], "host string, mass double")).collect()}
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) <= u.TOLERANCE for h in want)
+    with pytest.raises(RuntimeError):
+        u.propagate(ee, spark.createDataFrame([("r0", 1.0)], "host string, mass double"), rounds=5)
+
+
+def test_distrust_eleven_links_away(spark):
+    pages = [(i, f"http://www.net/es/{i}", "") for i in range(1000)]
+    pages += [(2000 + i, f"http://h{i}.org/", f"<a href='http://{f'h{i - 1}.org' if i else 'www.net'}/'>") for i in range(12)]
+    got = {r.page_id: r.verdict for r in u.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id >= 2000").collect()}
+    assert got == {2000 + i: "block" for i in range(12)}
