@@ -87,7 +87,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_text of formatted conversations: turns by the marks, loss text by the flags."""
+    """conv_id, turns (role, text), loss_text of formatted conversations, and their valid and formatted: turns by the marks, loss text by the flags."""
     of = lambda g: F.regexp_extract_all("formatted", F.lit(TURN), g)
     names = {m.open: r for r, m in TEMPLATE.items()}
 
@@ -99,4 +99,4 @@ def read_back(chats: DataFrame) -> DataFrame:
 
     turns = F.transform(F.arrays_zip(of(1).alias("a"), of(2).alias("b"), of(3).alias("c")), lambda x: F.struct(role(x["a"], x["b"]).alias("role"), unescape(x["c"]).alias("text")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"))
+    return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "valid", "formatted")

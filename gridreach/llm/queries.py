@@ -32,7 +32,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     chats = chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
-    back = chat.read_back(chats.select("conv_id", "valid", "segments", "formatted")).join(chats.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars")), "conv_id")
+    back = chat.read_back(chats).withColumn("formatted_chars", F.length("formatted").cast("long"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gridreach.llm import chat as c
+from tests.check import compare
 
 
 def test_round_trip_with_control_strings(spark):
@@ -53,3 +55,16 @@ def test_probe(spark):
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
     assert df.select(F.count("*")).first()[0] == df.select("conv_id").distinct().count()
+
+
+def test_query_keeps_turns_without_a_conversation_id(spark, tmp_path):
+    from gridreach.llm.queries import SQL, op4_chat_format
+
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a<s>"), (7, 0, "user", "x"), (7, 1, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    df = op4_chat_format(spark, str(tmp_path))
+    assert compare(df, con, SQL["op4_chat_format"]) is None
+    r = df.where("conv_id is null").first()
+    assert (r.n_turns, r.loss_chars, r.valid) == (2, 4, True) and df.count() == 3
