@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridreach.operators import spatial as sp
-from gridreach.session import cut
+from gridreach.session import cut, ensure_checkpoint_dir
 
 
 def simple_fits(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
@@ -41,6 +41,7 @@ def linear_table(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
 def gbt_fit(df: DataFrame, xs: Sequence[str], y: str, seed: int = 42, **params):
     from pyspark.ml.regression import GBTRegressor
 
+    ensure_checkpoint_dir(df.sparkSession)  # else the lineage grows with every tree
     return GBTRegressor(seed=seed, **params).fit(assembled(df, xs, y))
 
 

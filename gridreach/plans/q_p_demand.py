@@ -8,6 +8,9 @@ from gridreach.session import scratch
 from gridreach.streaming import trips as st
 
 XS = ["n_poi", "sum_size", "pop", "noise"]
+#: Size of the reference's boosted trees, and what its search draws from.
+TREES = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
+SEARCH = {"maxDepth": range(4, 10), "stepSize": [0.001, 0.01], "maxIter": range(100, 500, 100)}
 
 
 @query("p1_linear_single", "features", " union all ".join(f"select '{x}' as feature, round(regr_slope(n_trip,{x}),7) as slope, round(regr_intercept(n_trip,{x}),6) as intercept, round(regr_r2(n_trip,{x}),7) as r2 from features" for x in XS))
@@ -28,7 +31,7 @@ def parted(w):
 @query("p2_gradient_boosting", "features")
 def p2(w):
     d = parted(w)
-    m = dm.gbt_fit(d.where(F.col("part") == "train"), XS, "n_trip", maxIter=5, maxDepth=3)
+    m = dm.gbt_fit(d.where(F.col("part") == "train"), XS, "n_trip", **TREES)
     return m.transform(dm.assembled_with(d, XS, "n_trip", "grid_id")).select("grid_id", "label", "prediction")
 
 
@@ -39,14 +42,14 @@ def p3(w):
 
 @query("p4_random_search", "features")
 def p4(w):
-    return dm.random_search(w.features, XS, "n_trip", {"maxDepth": [2, 3], "maxIter": [3, 5]}, n=2)
+    return dm.random_search(w.features, XS, "n_trip", SEARCH, n=5, folds=3)
 
 
 @query("p5_r2_table", "features")
 def p5(w):
     d = dm.cut(parted(w).select("part", "n_trip", *XS))
     train = d.where(F.col("part") == "train")
-    return dm.r2_table({"linear": dm.linear_fit(train, XS, "n_trip"), "boosted": dm.gbt_fit(train, XS, "n_trip", maxIter=5, maxDepth=3)}, d, XS, "n_trip")
+    return dm.r2_table({"linear": dm.linear_fit(train, XS, "n_trip"), "boosted": dm.gbt_fit(train, XS, "n_trip", **TREES)}, d, XS, "n_trip")
 
 
 @query(
