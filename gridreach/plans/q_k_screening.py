@@ -146,7 +146,7 @@ def scaled(w):
 
 @query("l1_kmeans_sweep", "features")
 def l1(w):
-    return cl.kmeans_sweep(cl.matrix(scaled(w), "grid_id", MCOLS), "grid_id", range(3, 11), [42, 7], n_init=5)  # ten starts for each k, in two groups
+    return cl.kmeans_sweep(cl.matrix(scaled(w), "grid_id", MCOLS), "grid_id", range(3, 11), [42, 1, 7, 123, 2024], n_init=10)
 
 
 @query("l2_gaussian_mixture", "features")
