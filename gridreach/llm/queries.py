@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridreach.llm import chat, decontam, jaccard, langid, order, packing, pu_quality, rules, secrets, urls
+from gridreach.llm import chat, decontam, divergence, jaccard, langid, manifest, order, packing, pu_quality, rules, secrets, token_counts, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -108,5 +122,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_training_order": op10_training_order,
+    "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
+}
+SQL: dict[str, str] = {
+    "op3_link_graph_urls": urls.judge_sql(),
+    "op4_chat_format": _op4_sql(),
+    "op9_jaccard_join": OP9_SQL,
+    "op12_source_divergence": divergence.audit_sql(),
+    "op13_merkle_manifest": manifest.prove_sql(),
 }
-SQL: dict[str, str] = {"op3_link_graph_urls": urls.judge_sql(), "op4_chat_format": _op4_sql(), "op9_jaccard_join": OP9_SQL}
