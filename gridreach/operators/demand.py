@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridreach.operators import boosting
 from gridreach.operators import spatial as sp
 from gridreach.session import cut, ensure_checkpoint_dir
 
@@ -39,8 +41,12 @@ def linear_table(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
 
 
 def gbt_fit(df: DataFrame, xs: Sequence[str], y: str, seed: int = 42, **params):
+    """Boosted trees (maxIter, maxDepth, stepSize as in Spark ML); over the table of binned rows where that is small, else Spark ML's."""
     from pyspark.ml.regression import GBTRegressor
 
+    model = boosting.fit(df, xs, y, params.get("maxIter", 20), params.get("maxDepth", 5), params.get("stepSize", 0.1))
+    if model is not None:
+        return model
     ensure_checkpoint_dir(df.sparkSession)  # else the lineage grows with every tree
     return GBTRegressor(seed=seed, **params).fit(assembled(df, xs, y))
 
@@ -65,21 +71,29 @@ def hash_draw(key: Column, seed: int = 42) -> Column:
 
 
 def random_search(df: DataFrame, xs: Sequence[str], y: str, grid: Mapping[str, Sequence], n: int = 5, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Cross-validated R2 of n random parameter sets of the boosted trees."""
+    """Cross-validated R2 of n random parameter sets of the boosted trees; a row's fold is a hash of the row."""
+    names = sorted(grid)
+    every = [dict(zip(names, values, strict=True)) for values in itertools.product(*[list(grid[k]) for k in names])]
+    picked = random.Random(seed).sample(every, min(n, len(every)))
+    data = cut(df.select(*xs, y, F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(folds)).cast("int").alias("_fold")))
+    scores = boosting.cross_validated(data, xs, y, [{"maxIter": 20, "maxDepth": 5, "stepSize": 0.1} | d for d in picked], "_fold", folds)
+    if scores is None:
+        scores = _spark_search(data, xs, y, picked, folds, seed)
+    rows = [(",".join(f"{k}={d[k]}" for k in names), r) for d, r in zip(picked, scores, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "params string, mean_r2 double")
+
+
+def _spark_search(data: DataFrame, xs: Sequence[str], y: str, picked: Sequence[Mapping], folds: int, seed: int) -> list[float]:
+    """The same over Spark ML's trees, for data whose binned rows are many; fits of several draws run side by side."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import CrossValidator
 
+    ensure_checkpoint_dir(data.sparkSession)
     est = GBTRegressor(seed=seed)
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        build = build.addGrid(getattr(est, name), list(values))
-    every = build.build()
-    picked = random.Random(seed).sample(every, min(n, len(every)))
-    data = cut(assembled(df, xs, y))
-    cv = CrossValidator(estimator=est, estimatorParamMaps=picked, evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds, seed=seed).fit(data)
-    rows = [(",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)), float(r)) for m, r in zip(picked, cv.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "params string, mean_r2 double")
+    maps = [{getattr(est, k): v for k, v in d.items()} for d in picked]
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds, foldCol="_fold", parallelism=4)
+    return [float(r) for r in cv.fit(assembled_with(data, xs, y, "_fold")).avgMetrics]
 
 
 def r2_table(models: Mapping[str, object], df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
