@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridreach.operators import lloyd
 from gridreach.operators import ordered as o
 from gridreach.operators import summary as sm
 from gridreach.session import cut
@@ -37,22 +39,17 @@ def kmeans_labels(m: DataFrame, key: str, k: int, seed: int, n_init: int = 10) -
 
 
 def kmeans_sweep(m: DataFrame, key: str, ks: Sequence[int], seeds: Sequence[int], n_init: int = 10) -> DataFrame:
-    """One row per k: quality of the first seed's labels and agreement between seeds."""
-    rows = []
-    for k in ks:
-        labs = [cut(kmeans_labels(m, key, k, s, n_init)) for s in seeds]
-        j = m.select(key, "vec").join(labs[0], key)
-        d = ch_db(j, "vec", "label").first()
-        sil = silhouette(j, "vec", "label").first()["silhouette"]
-        b = size_balance(labs[0], "label").first()
-        aris = []
-        for i, a in enumerate(labs):
-            for c in labs[i + 1 :]:
-                pair = a.withColumnRenamed("label", "a").join(c.withColumnRenamed("label", "b"), key)
-                aris.append(ari_nmi(pair, "a", "b").first()["ari"])
-        rows.append((k, sil, d["calinski_harabasz"], d["davies_bouldin"], b["min_pct"], b["max_pct"], b["size_ratio"], float(sum(aris) / len(aris)) if aris else 1.0, float(min(aris)) if aris else 1.0))
-    schema = "k int, silhouette double, calinski_harabasz double, davies_bouldin double, min_pct double, max_pct double, size_ratio double, mean_seed_ari double, min_seed_ari double"
-    return m.sparkSession.createDataFrame(rows, schema)
+    """One row per k: quality of the first seed's labels and agreement between seeds; each seed's labels are its best start's.
+
+    All fits run together, one scan for each step; see `lloyd`.  An empty table gives an empty result.
+    """
+    sets = lloyd.plus_plus(m, key, [(k, seed, i) for k in ks for seed in seeds for i in range(n_init)])
+    lloyd.fit(m, key, sets)
+    best = {(k, seed): min((s for s in sets if (s.k, s.seed) == (k, seed)), key=lambda s: (s.cost, s.start), default=None) for k in ks for seed in seeds}
+    by_k = {k: [best[k, seed] for seed in seeds] for k in ks} if sets else {}
+    names = ["silhouette", "calinski_harabasz", "davies_bouldin", "min_pct", "max_pct", "size_ratio", "mean_seed_ari", "min_seed_ari"]
+    rows = [(r["k"], *[r[n] for n in names]) for r in (lloyd.diagnostics(m, key, by_k) if by_k else [])]
+    return m.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"{n} double" for n in names))
 
 
 def gmm_fit(m: DataFrame, key: str, k: int, seed: int, dims: int):
@@ -142,29 +139,72 @@ def ari_nmi(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(ari.alias("ari"), F.when(ha + hb == 0, 1.0).otherwise(2 * mi / (ha + hb)).alias("nmi"))
 
 
+#: Labels of one side that an assignment takes: its table has that many squared numbers on the driver.
+LABELS = 2000
+
+
+def assignment(gain: Sequence[Sequence[float]]) -> list[int]:
+    """Column of each row so that every column is used once at most and the total gain is largest; -1 for rows left over.
+
+    Shortest augmenting paths with potentials, one row after the other: the work grows with rows^2 x columns.
+    """
+    g = np.asarray(gain, float)
+    if g.size == 0:
+        return [-1] * len(g)
+    if g.shape[0] > g.shape[1]:
+        of_column = assignment(g.T)
+        out = [-1] * len(g)
+        for c, r in enumerate(of_column):
+            out[r] = c
+        return out
+    rows, cols = g.shape
+    cost = g.max() - g
+    u, v = np.zeros(rows), np.zeros(cols)
+    row_of = np.full(cols, -1)
+    for first in range(rows):
+        dist, via, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
+        r, base, last = first, 0.0, -1
+        while True:
+            reach = base + cost[r] - u[r] - v
+            closer = ~done & (reach < dist)
+            dist[closer], via[closer] = reach[closer], last
+            last = int(np.where(done, np.inf, dist).argmin())
+            base, done[last] = dist[last], True
+            if row_of[last] < 0:
+                break
+            r = int(row_of[last])
+        u[first] += base
+        for c in np.flatnonzero(done):
+            if c != last:
+                u[row_of[c]] += base - dist[c]
+                v[c] -= base - dist[c]
+        while last >= 0:
+            before = int(via[last])
+            row_of[last] = row_of[before] if before >= 0 else first
+            last = before
+    out = [-1] * rows
+    for c, r in enumerate(row_of):
+        if r >= 0:
+            out[r] = c
+    return out
+
+
 def best_match(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(b, a, overlap): the assignment of b labels to a labels with the largest total overlap.
+    """(b, a, overlap, pct_retained): the assignment of b labels to a labels with the largest total overlap.
 
-    Only the contingency table comes to the driver.  Subset dynamic programming,
-    so up to about 16 labels.
+    pct_retained is the share of all rows whose b label maps to their a label.  Only the contingency table comes to the driver;
+    more than LABELS labels on one side are an error.  Labels without a partner are left out.
     """
-    t = {(r[1], r[0]): r[2] for r in df.groupBy(a, b).count().collect()}
+    few = df.agg(F.count_distinct(a).alias("a"), F.count_distinct(b).alias("b")).first()
+    if max(few["a"], few["b"]) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    t = {(r[1], r[0]): r[2] for r in df.groupBy(a, b).count().where(F.col(a).isNotNull() & F.col(b).isNotNull()).collect()}
     bs, as_ = sorted({k[0] for k in t}), sorted({k[1] for k in t})
-    best: dict[int, tuple[int, tuple]] = {0: (0, ())}
-    for i, vb in enumerate(bs):
-        nxt: dict[int, tuple[int, tuple]] = {}
-        for used, (total, picks) in best.items():
-            free = [j for j in range(len(as_)) if not used >> j & 1]
-            options = [(used | 1 << j, total + t.get((vb, as_[j]), 0), picks + ((vb, as_[j]),)) for j in free]
-            if len(bs) - i > len(free) or not free:  # more b labels than a labels: one may stay alone
-                options.append((used, total, picks))
-            for u, v, p in options:
-                if u not in nxt or v > nxt[u][0]:
-                    nxt[u] = (v, p)
-        best = nxt
-    picks = max(best.values(), key=lambda x: x[0])[1]
-    rows = [(int(vb), int(va), int(t.get((vb, va), 0))) for vb, va in picks]
-    return df.sparkSession.createDataFrame(rows, f"{b} long, {a} long, overlap long")
+    at = assignment([[t.get((vb, va), 0) for va in as_] for vb in bs])
+    picks = [(vb, as_[c], t.get((vb, as_[c]), 0)) for vb, c in zip(bs, at, strict=True) if c >= 0]
+    kept, every = sum(x[2] for x in picks), sum(t.values())
+    rows = [(int(vb), int(va), int(n), round(100 * kept / every, 2)) for vb, va, n in picks]
+    return df.sparkSession.createDataFrame(rows, f"{b} long, {a} long, overlap long, pct_retained double")
 
 
 def split_transitions(df: DataFrame, parent: str, child: str) -> DataFrame:

@@ -149,6 +149,31 @@ def l1(w):
     return cl.kmeans_sweep(cl.matrix(scaled(w), "grid_id", MCOLS), "grid_id", range(3, 11), [42, 1, 7, 123, 2024], n_init=10)
 
 
+LLOYD_STEPS, LLOYD_COLS = 6, ("n_poi", "pop", "n_trip")
+
+
+def _lloyd_sql():
+    """Lloyd steps written out: three centres that begin at given cells, then as many means of the nearest rows."""
+    pick = "c0 as (select cast(row_number() over (order by grid_id)-1 as integer) as c, " + ", ".join(f"{x} as m_{x}" for x in LLOYD_COLS) + " from features where grid_id in (45, 333, 777))"
+    far = "+".join(f"(f.{x}-c.m_{x})*(f.{x}-c.m_{x})" for x in LLOYD_COLS)
+    near = lambda i: f"select grid_id, arg_min(c, (round({far},9), c)) as c, min({far}) as d from features f, c{i} c group by 1"
+    steps = [f"c{i + 1} as (select n.c, {', '.join(f'avg({x}) as m_{x}' for x in LLOYD_COLS)} from ({near(i)}) n join features using (grid_id) group by 1)" for i in range(LLOYD_STEPS)]
+    return f"with {pick}, {', '.join(steps)}, e as ({near(LLOYD_STEPS)}) select e.c as label, count(*) as n, round(sum(d),4) as cost, {', '.join(f'round(any_value(m_{x}),6) as {x}' for x in LLOYD_COLS)} from e join c{LLOYD_STEPS} c using (c) group by 1"
+
+
+@query("l1b_lloyd_steps", "features", _lloyd_sql())
+def l1b(w):
+    cols = list(LLOYD_COLS)
+    m = cl.matrix(w.features.select("grid_id", *cols), "grid_id", cols)
+    first = w.features.where(F.col("grid_id").isin(45, 333, 777)).orderBy("grid_id").select(*cols).collect()
+    fit = cl.lloyd.CentreSet(3, 0, 0, cl.np.array([tuple(r) for r in first], float))
+    cl.lloyd.fit(m, "grid_id", [fit], LLOYD_STEPS, 0.0)
+    centres = w.spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(fit.centres)], "label int, " + ", ".join(f"m_{c} double" for c in cols))
+    rows = cl.lloyd.labels(m, "grid_id", fit).join(w.features.select("grid_id", *cols), "grid_id").join(F.broadcast(centres), "label")  # one row a centre
+    cost = sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in cols)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(cost), 4).alias("cost"), *[F.round(F.first(f"m_{c}"), 6).alias(c) for c in cols])
+
+
 @query("l2_gaussian_mixture", "features")
 def l2(w):
     labels, bic = cl.gmm_fit(cl.matrix(scaled(w), "grid_id", MCOLS), "grid_id", 3, 42, len(MCOLS))
@@ -203,7 +228,7 @@ def l7(w):
 @query(
     "l8_best_match", "cell_labels",
     """with t as (select la, lb, count(*) as n from cell_labels group by 1,2), r as (select a.lb as b0, a.la as x0, b.la as x1, c.la as x2, d.la as x3, a.n+b.n+c.n+d.n as tot from t a, t b, t c, t d where a.lb=0 and b.lb=1 and c.lb=2 and d.lb=3 and a.la not in (b.la,c.la,d.la) and b.la not in (c.la,d.la) and c.la<>d.la order by tot desc limit 1),
-    p as (select unnest([0,1,2,3]) as lb, unnest([x0,x1,x2,x3]) as la from r) select cast(lb as bigint) as lb, la, n as overlap from p join t using (la, lb)""",
+    p as (select unnest([0,1,2,3]) as lb, unnest([x0,x1,x2,x3]) as la from r) select cast(lb as bigint) as lb, la, n as overlap, round(100e0*sum(n) over ()/(select count(*) from cell_labels),2) as pct_retained from p join t using (la, lb)""",
 )
 def l8(w):
     return cl.best_match(w.cell_labels, "la", "lb")
