@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gridreach.functions import scalars as s
 from gridreach.operators import ordered as o
+from gridreach.operators import draws as random_draws
 from gridreach.operators import relational as rel
 from gridreach.operators import summary as sm
+from gridreach.session import cut
 
 # Weighting scenarios over (demand, urban form, transit, cycling, terrain).
 SCENARIOS = {
@@ -169,23 +171,9 @@ def dominant_driver(scores: DataFrame, key: str, cols: Mapping[str, Mapping[str,
 def monte_carlo(dims: DataFrame, key: str, cols: Sequence[str], draws: int = 1000, seed: int = 42, q: float = 0.9) -> DataFrame:
     """Mean, deviation, variation and top-decile share of the score under random Dirichlet weights.
 
-    A draw's weights come from hashes of (seed, draw, dimension), so every row
-    sees the same weights without joining a weight table.
+    Draws stay arrays inside a row; see `draws`.  A row with a null dimension has null results and does not count for the limits.
     """
-    draw = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
-    long = dims.select(key, *cols, draw)
-    # uniform in (0, 1] from the top 53 bits of a hash; -log of it is an exponential variate
-    unit = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("draw"), F.lit(i)), 11) + 1) / float(2**53)
-    long = long.withColumns({f"_w{i}": -F.ln(unit(i)) for i in range(len(cols))})
-    total = sum((F.col(f"_w{i}") for i in range(len(cols))), F.lit(0.0))
-    score = sum((F.col(c) * F.col(f"_w{i}") for i, c in enumerate(cols)), F.lit(0.0)) / total
-    scored = long.select(key, "draw", score.alias("score"))
-    limits = o.quantiles(scored, "score", [q], ["draw"]).select("draw", F.col("q").alias("_lim"))
-    j = scored.join(limits, "draw")
-    return j.groupBy(key).agg(
-        F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
-        F.when(F.avg("score") > 0, F.stddev_pop("score") / F.avg("score")).alias("cv"), (F.count_if(F.col("score") >= F.col("_lim")) / F.count("*") * 100).alias("pct_top"),
-    )
+    return random_draws.scored(dims, key, cols, draws, seed, q, cut)
 
 
 def latent_opportunity(others: Sequence[str], infra: str) -> Column:
