@@ -13,38 +13,47 @@ from gridreach.operators import ordered as o
 from gridreach.session import cut
 
 
-def spearman_matrix(df: DataFrame, key: str, cols: Sequence[str], min_n: int = 30) -> DataFrame:
-    """(a, b, n, rho) for all column pairs, pairwise complete.
+def null_classes(df: DataFrame, key: str, cols: Sequence[str]) -> list[list[str]]:
+    """Columns by the rows in which they are null: one pass, a count and an order-free hash of those rows' keys for each column."""
+    marks = [F.struct(F.count_if(F.col(c).isNull()).alias("n"), F.bit_xor(F.when(F.col(c).isNull(), F.xxhash64(key))).alias("h")).alias(c) for c in cols]
+    found = df.agg(*marks).first()
+    classes: dict[tuple, list[str]] = {}
+    for c in cols:
+        classes.setdefault(tuple(found[c]), []).append(c)
+    return list(classes.values())
 
-    Columns without nulls are ranked once and correlated by one Gram matrix
-    (columns x columns, added up inside the tasks).  A pair with a nullable
-    column is ranked on its own complete rows.
-    """
+
+def _rank_pairs(df: DataFrame, key: str, cols: Sequence[str], wanted: Sequence[tuple[str, str]]) -> list[tuple]:
+    """(a, b, n, rho) of the wanted pairs over rows without nulls: columns are ranked once and correlated by one Gram matrix."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Correlation
 
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    full = [c for c in cols if nulls[c] == 0]
-    rest = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if nulls[a] or nulls[b]]
-    parts = []
-    if len(full) > 1:
-        ranks = o.wide_pct_ranks(df, key, full, "avg")
-        vectors = cut(ranks.select(F.array(*full).alias("r"))).select(array_to_vector("r").alias("v"))
-        n = vectors.count()
-        rho = Correlation.corr(vectors, "v").first()[0].toArray().tolist() if n > 1 else None
-        rows = [(a, b, n, None if rho is None or rho[i][j] != rho[i][j] else rho[i][j]) for i, a in enumerate(full) for j, b in enumerate(full) if i < j]
-        parts.append(df.sparkSession.createDataFrame(rows, "a string, b string, n long, rho double"))
-    if rest:
-        entries = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))) for a, b in rest]
-        long = df.select(F.inline(F.array_compact(F.array(*entries))))
-        sides = F.array(F.struct(F.lit("u").alias("side"), F.col("u").alias("value")), F.struct(F.lit("v").alias("side"), F.col("v").alias("value")))
-        ranks = cut(o.value_ranks(long.select("a", "b", F.inline(sides)), "value", ["a", "b", "side"]))
-        for side, name in (("u", "x"), ("v", "y")):
-            r = ranks.where(F.col("side") == side).select("a", "b", F.col("value").alias(side), F.col("rank_avg").alias(name))
-            long = long.join(r, ["a", "b", side])
-        parts.append(long.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho")))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.where(F.col("n") >= min_n)
+    vectors = cut(o.wide_pct_ranks(df, key, cols, "avg").select(F.array(*cols).alias("r"))).select(array_to_vector("r").alias("v"))
+    n = vectors.count()
+    rho = Correlation.corr(vectors, "v").first()[0].toArray().tolist() if n > 1 else None
+    at = {c: i for i, c in enumerate(cols)}
+    value = lambda a, b: None if rho is None or rho[at[a]][at[b]] != rho[at[a]][at[b]] else rho[at[a]][at[b]]
+    return [(a, b, n, value(a, b)) for a, b in wanted]
+
+
+def spearman_matrix(df: DataFrame, key: str, cols: Sequence[str], min_n: int = 30) -> DataFrame:
+    """(a, b, n, rho) for all column pairs, pairwise complete.
+
+    A pair's complete rows follow from the rows in which either column is null.  Columns that are null in the same rows form a class,
+    and for two classes all pairs share their rows: these rows are ranked once, wide, and correlated by one Gram matrix (columns
+    x columns, added up inside the tasks).  No row is repeated for a pair, whatever the number of columns.
+    """
+    classes = null_classes(df, key, cols)
+    place = {c: i for i, c in enumerate(cols)}
+    rows: list[tuple] = []
+    for i, x in enumerate(classes):
+        for y in classes[i:]:
+            pairs = [tuple(sorted((a, b), key=place.get)) for a in x for b in y if (place[a] < place[b] if x is y else True)]
+            if pairs:
+                both = df.where(F.col(x[0]).isNotNull() & F.col(y[0]).isNotNull())
+                rows += _rank_pairs(both, key, x if x is y else [*x, *y], pairs)
+    rows.sort(key=lambda r: (place[r[0]], place[r[1]]))
+    return df.sparkSession.createDataFrame([r for r in rows if r[2] >= min_n], "a string, b string, n long, rho double")
 
 
 def redundant_pairs(matrix: DataFrame, threshold: float = 0.9) -> DataFrame:
