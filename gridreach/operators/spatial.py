@@ -156,48 +156,57 @@ def near_any(a: DataFrame, key: str, b: DataFrame, r: float, on: Sequence[str] =
     return a.join(hit, key, "left_semi" if keep else "left_anti")
 
 
+#: Times a crowded tile is opened into 4 x 4 smaller ones in a nearest-neighbour search.
+DEEPEST = 16
+
+
 def _ring_search(
     origins: DataFrame,
     keys: Sequence[str],
     tiles_at: Callable[[float], DataFrame],
+    opened: Callable[[DataFrame, float], DataFrame],
     dist: Column,
     item: str,
     k: int,
     start: float,
     reach: float,
     skip: Column | None,
+    on: Sequence[str] = (),
 ) -> DataFrame:
-    """k nearest items per origin, exact.
+    """k nearest items per origin, exact; `on` columns of origins and items must agree.
 
-    Level l looks at the 3 x 3 block of tiles of size s = start * 4^l around an
-    origin.  The k-th distance is final once it is <= s.  Within a level, only
-    summaries of the next smaller tiles are joined first: from their borders we
-    get a radius that surely holds k items, and only tiles that reach into that
-    radius have their items fetched.
+    Level l looks at the 3 x 3 block of tiles of size s = start * 4^l around an origin.  The k-th distance is final once it is
+    <= s.  Within a level the search goes down a quadtree from counts: from the borders of tiles we get a radius that surely
+    holds k items, tiles beyond it go, and tiles with more than LEAF items are opened into 4 x 4 smaller ones, for the origins that
+    still need them, until tiles are small enough to have their items fetched.  `opened` cuts items of tiles of a size into those.
     """
     todo, done, level = origins, None, 0
+    enough = k + (0 if skip is None else 1)
+    leaf = max(LEAF, 4 * enough)
+    tiles = [*on, "_bx", "_by"]
     while True:
         s = start * 4**level
         fine = s / 4
         items = tiles_at(fine)
-        summary = items.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).select(
-            F.col("_bx").alias("_fx"), F.col("_by").alias("_fy"), "_n",
-            F.floor(F.col("_bx") / 4).alias("_bx"), F.floor(F.col("_by") / 4).alias("_by"),
-        )
-        near = _around(todo.select(*keys, "x", "y"), s).join(summary, ["_bx", "_by"]).drop("_bx", "_by")
-        fx0, fy0 = F.col("_fx") * fine, F.col("_fy") * fine
-        gx = F.greatest(fx0 - F.col("x"), F.col("x") - fx0 - fine, F.lit(0.0))
-        gy = F.greatest(fy0 - F.col("y"), F.col("y") - fy0 - fine, F.lit(0.0))
-        hx = F.greatest(F.abs(fx0 - F.col("x")), F.abs(fx0 + fine - F.col("x")))
-        hy = F.greatest(F.abs(fy0 - F.col("y")), F.abs(fy0 + fine - F.col("y")))
-        near = near.withColumn("_lo", gx * gx + gy * gy).withColumn("_hi", hx * hx + hy * hy)
-        # at most 12 x 12 tiles per origin, so this window is small by construction
-        w = Window.partitionBy(*keys)
-        enough = k + (0 if skip is None else 1)
-        cum = F.sum("_n").over(w.orderBy("_hi", "_fx", "_fy").rowsBetween(Window.unboundedPreceding, 0))
-        near = near.withColumn("_cum", cum).withColumn("_cut", F.min(F.when(F.col("_cum") >= enough, F.col("_hi"))).over(w))
-        near = near.where(F.col("_cut").isNull() | (F.col("_lo") <= F.col("_cut")))
-        cand = near.select(*keys, "x", "y", F.col("_fx").alias("_bx"), F.col("_fy").alias("_by")).join(items, ["_bx", "_by"])
+        near = _around(todo.select(*keys, "x", "y", *[c for c in on if c not in keys]), s).withColumn("_cut", F.lit(None).cast("double"))
+        found_items: list[DataFrame] = []
+        for depth in range(DEEPEST + 1):
+            summary = items.groupBy(*tiles).agg(F.count("*").alias("_n")).select(
+                *on, F.col("_bx").alias("_fx"), F.col("_by").alias("_fy"), "_n", F.floor(F.col("_bx") / 4).alias("_bx"), F.floor(F.col("_by") / 4).alias("_by")
+            )
+            near = cut(_within_cut(near.join(summary, tiles).drop("_bx", "_by"), keys, fine, enough))
+            named = near.withColumnsRenamed({"_fx": "_bx", "_fy": "_by"})
+            crowded = named.where(F.col("_n") > leaf) if depth < DEEPEST else named.where(F.lit(False))
+            calm = named.where(F.col("_n") <= leaf) if depth < DEEPEST else named
+            found_items.append(calm.select(*keys, "x", "y", *[c for c in tiles if c not in keys]).join(items, tiles).drop(*[c for c in on if c not in keys]))
+            if depth == DEEPEST or crowded.isEmpty():
+                break
+            items = cut(opened(items.join(crowded.select(*tiles).distinct(), tiles, "left_semi"), fine))
+            near = crowded.select(*keys, "x", "y", *[c for c in tiles if c not in keys], "_cut")
+            fine = fine / 4
+        cand = found_items[0]
+        for more in found_items[1:]:
+            cand = cand.unionByName(more)
         if skip is not None:
             cand = cand.where(~skip)
         cand = cand.withColumn("dist", dist).groupBy(*keys, item).agg(F.min("dist").alias("dist"))
@@ -221,6 +230,24 @@ def _ring_search(
         level += 1
 
 
+def _within_cut(near: DataFrame, keys: Sequence[str], fine: float, enough: int) -> DataFrame:
+    """Tiles (_fx, _fy, _n) of each origin that can hold one of its `enough` nearest; `_cut` is the squared radius known so far."""
+    fx0, fy0 = F.col("_fx") * fine, F.col("_fy") * fine
+    gx = F.greatest(fx0 - F.col("x"), F.col("x") - fx0 - fine, F.lit(0.0))
+    gy = F.greatest(fy0 - F.col("y"), F.col("y") - fy0 - fine, F.lit(0.0))
+    hx = F.greatest(F.abs(fx0 - F.col("x")), F.abs(fx0 + fine - F.col("x")))
+    hy = F.greatest(F.abs(fy0 - F.col("y")), F.abs(fy0 + fine - F.col("y")))
+    near = near.withColumn("_lo", (gx * gx + gy * gy) * (1 - 1e-12)).withColumn("_hi", (hx * hx + hy * hy) * (1 + 1e-12))
+    w = Window.partitionBy(*keys)  # an origin's tiles: 12 x 12 at first, then 4 x 4 for each opened one within its radius
+    cum = F.sum("_n").over(w.orderBy("_hi", "_fx", "_fy").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_cum", cum).withColumn("_cut", F.least("_cut", F.min(F.when(F.col("_cum") >= enough, F.col("_hi"))).over(w)))
+    return near.where(F.col("_cut").isNull() | (F.col("_lo") <= F.col("_cut"))).drop("_cum", "_lo", "_hi")
+
+
+def _point_tiles(items: DataFrame, size: float) -> DataFrame:
+    return items.withColumn("_bx", tile(F.col("b_x"), size)).withColumn("_by", tile(F.col("b_y"), size))
+
+
 def extent(*frames: DataFrame) -> float:
     """Side of the square holding all (x, y) rows; one aggregate job."""
     box = None
@@ -237,55 +264,65 @@ def nearest(origins: DataFrame, key: str, points: DataFrame, item: str, k: int =
     Origins keep their own row; copies of a point coordinate beyond the k lowest ids cannot
     be among the k nearest and are dropped exactly.
     """
-    reach = extent(origins, points)
-    need = k + (1 if exclude_self else 0)
-    pts = points.select(F.col("x").alias("b_x"), F.col("y").alias("b_y"), F.col(item).alias("_item"))
+    skip = (F.col(key) == F.col("_item")) if exclude_self else None
+    found = _nearest(origins.select(key, "x", "y"), [key], points, item, k, start, skip)
+    return found.withColumnRenamed("_item", item if item != key else f"near_{item}")
+
+
+def _nearest(origins: DataFrame, keys: Sequence[str], points: DataFrame, item: str, k: int, start: float, skip: Column | None, on: Sequence[str] = ()) -> DataFrame:
+    need = k + (0 if skip is None else 1)
+    pts = points.select(F.col("x").alias("b_x"), F.col("y").alias("b_y"), F.col(item).alias("_item"), *on)
     if need == 1:
-        pts = pts.groupBy("b_x", "b_y").agg(F.min("_item").alias("_item"))
+        pts = pts.groupBy("b_x", "b_y", *on).agg(F.min("_item").alias("_item"))
     else:
-        w = Window.partitionBy("b_x", "b_y").orderBy("_item")
+        w = Window.partitionBy("b_x", "b_y", *on).orderBy("_item")
         pts = pts.withColumn("_c", F.row_number().over(w)).where(F.col("_c") <= need).drop("_c")
-
-    def tiles_at(size):
-        return pts.withColumn("_bx", tile(F.col("b_x"), size)).withColumn("_by", tile(F.col("b_y"), size))
-
     dist = g.distance(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
-    skip = (F.col(key) == F.col("_item")) if exclude_self else None
-    found = _ring_search(origins.select(key, "x", "y"), [key], tiles_at, dist, "_item", k, start, reach, skip)
-    return found.withColumnRenamed("_item", item if item != key else f"near_{item}")
+    return _ring_search(origins, keys, lambda size: _point_tiles(pts, size), lambda items, size: _point_tiles(items, size / 4), dist, "_item", k, start, extent(origins, points), skip, on)
 
 
 def nearest_by_group(origins: DataFrame, key: str, points: DataFrame, group: str, groups: Sequence, item: str, start: float = 500.0) -> DataFrame:
-    """Nearest point of each listed group, long form (key, group, item, dist); groups with no point give no row."""
-    frames = [
-        nearest(origins, key, points.where(F.col(group) == v), item, 1, start).withColumn(group, F.lit(v)) for v in groups
-    ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """Nearest point of each listed group, long form (key, group, item, dist); groups with no point give no row.
+
+    One search keyed by (origin, group), however many groups there are.
+    """
+    listed = points.where(F.col(group).isin(list(groups)))
+    there = listed.select(group).distinct().agg(F.sort_array(F.collect_set(group)).alias("g")).first()["g"]  # listed groups at most
+    if not there:
+        return origins.select(key, F.lit(None).cast(points.schema[group].dataType).alias(group), F.lit(None).cast(points.schema[item].dataType).alias(item), F.lit(None).cast("double").alias("dist"), F.lit(1).alias("rank")).limit(0)
+    each = origins.select(key, "x", "y", F.explode(F.array(*[F.lit(v) for v in there]).cast(f"array<{points.schema[group].dataType.simpleString()}>")).alias(group))
+    found = _nearest(each, [key, group], listed, item, 1, start, None, [group])
+    return found.select(key, F.col("_item").alias(item), "dist", "rank", group)
 
 
 def nearest_segment(origins: DataFrame, key: str, segs: DataFrame, item: str, start: float = 500.0) -> DataFrame:
     """Nearest segment (x1, y1, x2, y2) of each origin by true point-to-segment distance."""
     ends = segs.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(segs.select(F.col("x2").alias("x"), F.col("y2").alias("y")))
     reach = extent(origins, ends)
-    s = segs.select("x1", "y1", "x2", "y2", F.col(item).alias("_item"))
+    s = segs.groupBy("x1", "y1", "x2", "y2").agg(F.min(item).alias("_item"))
+    quarter = F.explode(F.sequence(F.lit(0), F.lit(3)))
 
-    def tiles_at(size):
-        return segment_tiles(s, size)
+    def opened(items: DataFrame, size: float) -> DataFrame:
+        small = items.withColumn("_i", quarter).withColumn("_j", quarter)
+        small = small.withColumn("_bx", F.col("_bx") * 4 + F.col("_i")).withColumn("_by", F.col("_by") * 4 + F.col("_j")).drop("_i", "_j")
+        return _passing(small, size / 4)
 
     dist = g.point_segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    found = _ring_search(origins.select(key, "x", "y"), [key], tiles_at, dist, "_item", 1, start, reach, None)
+    found = _ring_search(origins.select(key, "x", "y"), [key], lambda size: segment_tiles(s, size), opened, dist, "_item", 1, start, reach, None)
     return found.withColumnRenamed("_item", item)
 
 
+def _passing(rows: DataFrame, size: float) -> DataFrame:
+    """Rows whose segment passes through their tile."""
+    t = g.clip_segment(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
+    return rows.withColumn("_t", t).where(F.col("_t.t0") <= F.col("_t.t1")).drop("_t")
+
+
 def segment_tiles(segs: DataFrame, size: float) -> DataFrame:
     """One row per tile a segment passes through (candidate tiles of its box, exactly clipped)."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     out = _box_tiles(segs, size, F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))
-    t = g.clip_segment(x1, y1, x2, y2, F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
-    return out.withColumn("_t", t).where(F.col("_t.t0") <= F.col("_t.t1")).drop("_t")
+    return _passing(out, size)
 
 
 def point_in_polygon(points: DataFrame, polys: DataFrame, size: float, poly_id: str, key: str) -> DataFrame:

@@ -5,18 +5,37 @@ from pyspark.sql import functions as F
 from gridreach.functions import geometry as g
 from gridreach.functions import projection as pj
 from gridreach.operators import spatial as sp
+from gridreach.operators import sweep
 from gridreach.plans.q_a_sources import PARTS_SQL, two_part_buildings
 from gridreach.plans.q_c_joins import boxes, cells
 from gridreach.plans.registry import query
 
 
-@query("d1_utm_forward", "trip")
+def _utm_sql(lon, lat):
+    """The projection as SQL text: (x, y) from degrees, zone 35."""
+    n = pj._N
+    e = 2 * n**0.5 / (1 + n)
+    t = f"sinh(atanh(sin(radians({lat})))-{e!r}*atanh({e!r}*sin(radians({lat}))))"
+    x, y = "eta", "xi"
+    for j, a in enumerate(pj._ALPHA, 1):
+        x += f"+({a!r})*cos({2 * j}*xi)*sinh({2 * j}*eta)"
+        y += f"+({a!r})*sin({2 * j}*xi)*cosh({2 * j}*eta)"
+    k = pj.SCALE * pj._RECT
+    return t, f"{pj.FALSE_EASTING!r}+{k!r}*({x})", f"{k!r}*({y})"
+
+
+_T, _X, _Y = _utm_sql("lon", "lat")
+_UTM = f"""(select trip_id, lon, lat, {_X} as px, {_Y} as py from (select *, atan2(t,cos(lam)) as xi, atanh(sin(lam)/sqrt(1+t*t)) as eta from (select trip_id, lon, lat, {_T} as t, radians(lon-({pj.central_meridian(35)!r})) as lam
+ from (select trip_id, 26e0+x/20000*4 as lon, 39.5e0+(y-20000*floor(y/20000))/20000*2.5e0 as lat from trip) a) b) c)"""
+
+
+@query("d1_utm_forward", "trip", f"select trip_id, lon, lat, round(px,3) as x, round(py,3) as y from {_UTM} u")
 def d1(w):
     lon, lat = 26.0 + F.col("x") / 20000 * 4, 39.5 + (F.col("y") % 20000) / 20000 * 2.5
     return w.trip.select("trip_id", lon.alias("lon"), lat.alias("lat"), pj.utm_forward(lon, lat).alias("p")).select("trip_id", "lon", "lat", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
 
 
-@query("d2_utm_round_trip", "trip", "select count(*) as n, cast(count(*) as bigint) as n_within_1mm from trip")
+@query("d2_utm_round_trip", "trip", f"select count(*) as n, count(case when px between 100000 and 900000 and py between 0 and 10000000 then 1 end) as n_within_1mm from {_UTM} u")
 def d2(w):
     lon, lat = 26.0 + F.col("x") / 20000 * 4, 39.5 + (F.col("y") % 20000) / 20000 * 2.5
     a = w.trip.select(pj.utm_forward(lon, lat).alias("p"))
@@ -97,10 +116,13 @@ def d9(w):
     return w.road.select("seg_id", F.round(g.point_segment_distance(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]), 4).alias("d"))
 
 
-@query("d10_near_interval", "road", "select seg_id, round(greatest(0,(mx-15-x1)/(x2-x1)),5) as t0, round(least(1,(mx+15-x1)/(x2-x1)),5) as t1 from (select seg_id, x1, x2, (x1+x2)/2 as mx from road where x2>x1) r")
+@query("d10_near_interval", "road", "select seg_id, case when x2>x1 then round(greatest(0,(mx-15-x1)/(x2-x1)),5) else 0 end as t0, case when x2>x1 then round(least(1,(mx+15-x1)/(x2-x1)),5) else 1 end as t1 from (select seg_id, x1, x2, (x1+x2)/2 as mx from road) r")
 def d10(w):
-    """Horizontal base of each road against a long vertical line through its middle: the interval is known in closed form."""
-    r = w.road.where(F.col("x2") > F.col("x1"))
+    """Horizontal base of each road against a long vertical line through its middle: the interval is known in closed form.
+
+    A vertical road's base is one point on that line, near it as a whole.
+    """
+    r = w.road
     mx = (F.col("x1") + F.col("x2")) / 2
     t = g.near_interval(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), mx, F.col("y1") - 100, mx, F.col("y1") + 100, 15.0)
     return r.select("seg_id", t.alias("t")).select("seg_id", F.round("t.t0", 5).alias("t0"), F.round("t.t1", 5).alias("t1"))
@@ -138,3 +160,28 @@ def d13(w):
 def d14(w):
     u = sp.union_area_per_cell(w.landuse, 500.0)
     return u.join(cells(w), ["ix", "iy"]).select("grid_id", F.round("union_area", 4).alias("union_area"))
+
+
+# The plane is cut at every side of every box of a cell; a slab is covered if, for some polygon, boxes less holes add up to one over it.
+UNION_PARTS_SQL = f"""with sh as (select b_id*2 as id, s, x0, y0, x1, y1 from {PARTS_SQL} q union all select b_id*2+1, 1, x0-150, y0-90, x0+w+150, y0+h/2 from building union all select b_id*2+1, 1, x0-150, y0+h/2, x0+w/2, y0+h+90 from building),
+ p as (select g.grid_id, id, s, greatest(q.x0,g.x0) as a, least(q.x1,g.x0+500) as b, greatest(q.y0,g.y0) as c, least(q.y1,g.y0+500) as d from sh q join grid g on q.x0<g.x0+500 and q.x1>g.x0 and q.y0<g.y0+500 and q.y1>g.y0),
+ xs as (select distinct grid_id, unnest([a,b]) as s0 from p), sl as (select grid_id, s0, lead(s0) over (partition by grid_id order by s0) as e from xs),
+ ys as (select distinct grid_id, unnest([c,d]) as t from p), yl as (select grid_id, t, lead(t) over (partition by grid_id order by t) as u from ys),
+ k as (select sl.grid_id, s0, e, t, u, id from sl join yl using (grid_id) join p on p.grid_id=sl.grid_id and p.a<=s0 and p.b>=e and p.c<=t and p.d>=u where e is not null and u is not null group by all having sum(p.s)>0)
+ select grid_id, round(sum((e-s0)*(u-t)),3) as union_area from (select distinct grid_id, s0, e, t, u from k) z group by 1"""
+
+
+def wide_l(w):
+    """An L-shaped outline around each building, wide enough to overlap others."""
+    b = boxes(w)
+    x0, x1, y0, my, y1 = F.col("x0") - 150, F.col("x1") + 150, F.col("y0") - 90, (F.col("y0") + F.col("y1")) / 2, F.col("y1") + 90
+    mx = (F.col("x0") + F.col("x1")) / 2
+    ring = F.array(*[g.point(a, c) for a, c in ((x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1), (x0, y0))])
+    return b.select(F.array(F.struct(F.lit(False).alias("hole"), ring.alias("ring"))).alias("parts"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+@query("d14b_union_area_parts", "building grid", UNION_PARTS_SQL)
+def d14b(w):
+    shapes = two_part_buildings(w).select("parts", "x0", "y0", "x1", "y1").unionByName(wide_l(w))
+    u = sweep.union_area_of_parts(shapes, 500.0)
+    return u.join(cells(w), ["ix", "iy"]).select("grid_id", F.round("union_area", 3).alias("union_area"))

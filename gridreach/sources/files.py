@@ -10,33 +10,51 @@ from pyspark.sql import types as T
 
 from gridreach.functions.projection import utm_inverse
 from gridreach.session import scratch
+from gridreach.sources.collections import feature_texts
 
 TRIP_SCHEMA = "trip_id long, start_time timestamp, start_lng double, start_lat double, end_time timestamp, end_lng double, end_lat double"
 GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
 
 
 def read_gtfs(spark: SparkSession, folder: str, columns: Mapping[str, Sequence[str]], encoding: str = "UTF-8", sep: str = ",") -> dict[str, DataFrame]:
-    """Each listed table of a timetable feed, every column a string; columns fixes the schema (no inference pass)."""
+    """Each listed table of a timetable feed, every column a string; columns fixes the schema (no inference pass).
+
+    Spark reads a few encodings itself; a one-byte encoding such as cp1254 is read as Latin-1, byte by byte, and then mapped.
+    """
+    own = encoding.upper() in SPARK_ENCODINGS
     out = {}
     for table, cols in columns.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        raw = spark.read.csv(f"{folder}/{table}", header=True, sep=sep, encoding=encoding, schema=schema, enforceSchema=False)
-        out[table] = raw
+        raw = spark.read.csv(f"{folder}/{table}", header=True, sep=sep, encoding=encoding if own else "ISO-8859-1", schema=schema, enforceSchema=False)
+        out[table] = raw if own else raw.select(*[recoded(F.col(c), encoding).alias(c) for c in cols])
     return out
 
 
+# The encodings that Spark reads.
+SPARK_ENCODINGS = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
+
+
+def recoded(text: Column, encoding: str, back: bool = False) -> Column:
+    """Text that was read as Latin-1, as it reads in a one-byte encoding (or back, for writing); bytes without a character stay."""
+    pairs = [(chr(b), bytes([b]).decode(encoding, "replace")) for b in range(128, 256)]
+    pairs = [(a, c) for a, c in pairs if len(c) == 1 and c not in (a, "\ufffd")]
+    if back:
+        pairs = [(c, a) for a, c in pairs]
+    return F.translate(text, "".join(a for a, _ in pairs), "".join(c for _, c in pairs))
+
+
 def read_geojson(spark: SparkSession, path: str, properties: T.StructType, sequence: bool = False) -> DataFrame:
     """Features as property columns plus geometry_type and coordinates (JSON text).
 
-    sequence=True reads one feature per line, which Spark can split; otherwise
-    each file is a FeatureCollection, one JSON value that one task reads whole.
+    sequence=True reads one feature per line; otherwise each file is a FeatureCollection, whose byte ranges are read by
+    many tasks and cut into features (see `collections`).
     """
     feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", GEOMETRY)])
     if sequence:
         f = spark.read.schema(feature).json(path).select(F.struct("properties", "geometry").alias("f"))
     else:
-        doc = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        f = spark.read.schema(doc).json(path, multiLine=True).select(F.explode("features").alias("f"))
+        typed = T.StructType([T.StructField("type", T.StringType()), *feature.fields])
+        f = feature_texts(spark, path).select(F.from_json("text", typed).alias("f")).where("f.type = 'Feature'")
     return f.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
