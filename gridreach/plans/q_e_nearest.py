@@ -68,7 +68,30 @@ def e5(w):
     return dd.dedup_greedy(w.stop, "stop_id", "mode", 2500.0).select("stop_id")
 
 
-@query("e6_drop_overlapping_lines", "road cycleway")
+def near_share_sql(segs, ids, ref, buf):
+    """(ids, covered): share of each segment within buf of any reference, from the closed form of each pair's interval."""
+    i = ", ".join(ids)
+    return f"""(with sg as {segs}, rf as (select distinct x1 as cx, y1 as cy, x2 as dx, y2 as dy from {ref} r),
+     pr as (select {i}, x1 as ax, y1 as ay, x2-x1 as ux, y2-y1 as uy, cx, cy, dx, dy, sqrt((dx-cx)**2+(dy-cy)**2) as l from sg join rf on least(x1,x2)<=greatest(cx,dx)+{buf} and least(cx,dx)<=greatest(x1,x2)+{buf} and least(y1,y2)<=greatest(cy,dy)+{buf} and least(cy,dy)<=greatest(y1,y2)+{buf}),
+     q as (select *, ux*ux+uy*uy as uu, (ax-cx)*ux+(ay-cy)*uy as b0, (ax-cx)**2+(ay-cy)**2-{buf}*{buf} as c0, (ax-dx)*ux+(ay-dy)*uy as b1, (ax-dx)**2+(ay-dy)**2-{buf}*{buf} as c1,
+      ((ax-cx)*(dy-cy)-(ay-cy)*(dx-cx))/nullif(l,0) as pa, (ux*(dy-cy)-uy*(dx-cx))/nullif(l,0) as sa, ((ax-cx)*(dx-cx)+(ay-cy)*(dy-cy))/nullif(l,0) as pl, (ux*(dx-cx)+uy*(dy-cy))/nullif(l,0) as sl from pr where ux<>0 or uy<>0),
+     e as (select {i}, case when b0*b0-uu*c0>=0 then (-b0-sqrt(b0*b0-uu*c0))/uu end as lo0, case when b0*b0-uu*c0>=0 then (-b0+sqrt(b0*b0-uu*c0))/uu end as hi0, case when b1*b1-uu*c1>=0 then (-b1-sqrt(b1*b1-uu*c1))/uu end as lo1, case when b1*b1-uu*c1>=0 then (-b1+sqrt(b1*b1-uu*c1))/uu end as hi1,
+      case when l>0 then greatest(case when sa<>0 then least((-{buf}-pa)/sa,({buf}-pa)/sa) when abs(pa)<={buf} then 0 else 2 end, case when sl<>0 then least(-pl/sl,(l-pl)/sl) when pl>=0 and pl<=l then 0 else 2 end) end as lo2,
+      case when l>0 then least(case when sa<>0 then greatest((-{buf}-pa)/sa,({buf}-pa)/sa) when abs(pa)<={buf} then 1 else -1 end, case when sl<>0 then greatest(-pl/sl,(l-pl)/sl) when pl>=0 and pl<=l then 1 else -1 end) end as hi2 from q),
+     f as (select *, greatest(lo0,0) as a0, least(hi0,1) as z0, greatest(lo1,0) as a1, least(hi1,1) as z1, greatest(lo2,0) as a2, least(hi2,1) as z2 from e),
+     h as (select {i}, least(case when lo0 is not null and a0<=z0 then a0 end, case when lo1 is not null and a1<=z1 then a1 end, case when lo2 is not null and a2<=z2 then a2 end) as t0, greatest(case when lo0 is not null and a0<=z0 then z0 end, case when lo1 is not null and a1<=z1 then z1 end, case when lo2 is not null and a2<=z2 then z2 end) as t1 from f),
+     o as (select *, max(t1) over (partition by {i} order by t0, t1 rows between unbounded preceding and 1 preceding) as m from h where t0<t1)
+     select {i}, sum(greatest(0, t1-greatest(t0, coalesce(m, t0)))) as covered from o group by {i})"""
+
+
+_E6 = "(select l_orderkey as line_id, x1, y1, x2, y2, sum(sqrt((x2-x1)**2+(y2-y1)**2)) as len from road where highway='residential' group by 1,2,3,4,5)"
+
+
+@query(
+    "e6_drop_overlapping_lines", "road cycleway",
+    f"""with sg as {_E6}, n as (select line_id, sum(covered*len) as near from {near_share_sql(_E6, ["line_id", "x1", "y1", "x2", "y2", "len"], "cycleway", "60e0")} c group by 1), bad as (select line_id from (select line_id, sum(len) as total from sg group by 1) t join n using (line_id) where near/nullif(total,0)>0.5)
+    select l_orderkey as line_id, count(*) as n_segments from road where highway='residential' and l_orderkey not in (select line_id from bad) group by 1""",
+)
 def e6(w):
     cand = w.road.where(F.col("highway") == "residential").select(F.col("l_orderkey").alias("line_id"), "x1", "y1", "x2", "y2")
     out = dd.drop_overlapping(cand, "line_id", w.cycleway, 60.0, 0.5)

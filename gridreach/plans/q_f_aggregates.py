@@ -119,13 +119,13 @@ def f7(w):
 
 @query(
     "f8_weighted_grade_stats", "road",
-    """with p as (select cast(floor(y1/500)*40+floor(x1/500) as bigint) as grid_id, sqrt((x2-x1)**2+(y2-y1)**2) as len, cast(l_orderkey%12 as double) as grade from road where x2>x1),
+    """with p as (select cast(floor(y1/500)*40+floor(x1/500) as bigint) as grid_id, sqrt((x2-x1)**2+(y2-y1)**2) as len, cast(l_orderkey%12 as double) as grade from road where x2>x1 or y2>y1),
     m as (select grid_id, grade, sum(len) as len from p group by 1,2), c as (select *, sum(len) over (partition by grid_id order by grade) as cum, sum(len) over (partition by grid_id) as tot from m)
     select grid_id, round(sum(grade*len)/sum(len),6) as mean_grade, min(case when cum>=tot*0.5 then grade end) as median_grade, round(100*sum(case when grade>5 then len else 0 end)/sum(len),6) as pct_gt5,
     round(100*sum(case when grade>8 then len else 0 end)/sum(len),6) as pct_gt8, round(sum(len),4) as sample_m from c group by 1""",
 )
 def f8(w):
-    r = w.road.where(F.col("x2") > F.col("x1"))
+    r = w.road.where((F.col("x2") > F.col("x1")) | (F.col("y2") > F.col("y1")))  # a road without length has no grade
     p = sp.point_to_cell(r.withColumn("x", F.col("x1")).withColumn("y", F.col("y1")), 500.0).select(
         (F.col("iy") * 40 + F.col("ix")).alias("grid_id"), (F.col("l_orderkey") % 12).cast("double").alias("grade"),
         sp.g.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("len"),

@@ -36,25 +36,41 @@ def district_pieces(w):
     return sp.overlay_boxes(w.district_box, cells(w), 500.0).select("grid_id", "district", F.col("piece_area").alias("area"))
 
 
-@query("g4_rank_first", "grid district_box", f"select grid_id, district, area from (select *, row_number() over (partition by grid_id order by area desc, district) as rn from {PIECES} p) q where rn=1")
+# Areas in whole square metres (corners stand on quarters and the like), added up by cell and kind of land use.
+KINDS = "(select g.grid_id, l.kind as district, sum((least(g.x0+500,l.x1)-greatest(g.x0,l.x0))*(least(g.y0+500,l.y1)-greatest(g.y0,l.y0))) as area from grid g join landuse l on g.x0<l.x1 and g.x0+500>l.x0 and g.y0<l.y1 and g.y0+500>l.y0 group by 1,2)"
+
+
+def kind_pieces(w):
+    p = sp.overlay_boxes(w.landuse, cells(w), 500.0)
+    return p.groupBy("grid_id", F.col("kind").alias("district")).agg(F.sum("piece_area").alias("area"))
+
+
+@query("g4_rank_first", "grid landuse", f"select grid_id, district, area from (select *, row_number() over (partition by grid_id order by area desc, district) as rn from {KINDS} p) q where rn=1")
 def g4(w):
-    return o.first_row(district_pieces(w), ["grid_id"], [-F.col("area"), F.col("district")])
+    return o.first_row(kind_pieces(w), ["grid_id"], [-F.col("area"), F.col("district")])
 
 
 @query(
-    "g5_assign_district", "grid district_box",
-    f"""with r as (select *, row_number() over (partition by grid_id order by area desc, district) as rn, sum(area) over (partition by grid_id) as total from {PIECES} p),
+    "g5_assign_district", "grid landuse",
+    f"""with r as (select *, row_number() over (partition by grid_id order by area desc, district) as rn, sum(area) over (partition by grid_id) as total from {KINDS} p),
     j as (select g.grid_id, g.land_area_m2 as la, a.district, b.district as second_district, a.area as a1, coalesce(b.area,0) as a2, a.total from grid g left join (select * from r where rn=1) a using (grid_id) left join (select * from r where rn=2) b using (grid_id))
     select grid_id, district, second_district, round(a1/la*100,6) as district_overlap_pct, round(a2/la*100,6) as second_overlap_pct, coalesce(a2>0 and a2/a1>=0.2,false) as ambiguous_district, la-coalesce(total,0) as overlap_vs_land_diff_m2 from j""",
 )
 def g5(w):
-    d = ce.assign_district(w.grid.select("grid_id", "land_area_m2"), district_pieces(w))
+    d = ce.assign_district(w.grid.select("grid_id", "land_area_m2"), kind_pieces(w))
     return d.select("grid_id", "district", "second_district", F.round("district_overlap_pct", 6).alias("district_overlap_pct"), F.round("second_overlap_pct", 6).alias("second_overlap_pct"), "ambiguous_district", "overlap_vs_land_diff_m2")
 
 
-@query("g6_retain_cells", "grid", "select grid_id, concat('GRID_',lpad(cast(row_number() over (order by ix,iy)-1 as varchar),5,'0')) as cell_name from grid where land_area_m2/250000*100>=70")
+# Land as far as pixels with a height cover a cell: 9 to 16 pixels of 25,600 square metres begin in each.
+LAND = "(select grid_id, ix, iy, coalesce(n,0)*25600e0 as land_area_m2 from grid left join (select cast(floor(y0/500)*40+floor(x0/500) as bigint) as grid_id, count(elev) as n from pixel group by 1) p using (grid_id))"
+
+
+@query("g6_retain_cells", "grid pixel", f"select grid_id, concat('GRID_',lpad(cast(row_number() over (order by ix,iy)-1 as varchar),5,'0')) as cell_name from {LAND} g where land_area_m2/250000*100>=95")
 def g6(w):
-    return ce.retain_cells(w.grid, 250000.0, 0.7).select("grid_id", "cell_name")
+    px = w.pixel.select(F.col("x0").alias("x"), F.col("y0").alias("y"), "elev")
+    land = sp.point_to_cell(px, 500.0).groupBy("ix", "iy").agg((F.count("elev") * 25600.0).alias("land_area_m2"))
+    g = w.grid.select("grid_id", "ix", "iy").join(land, ["ix", "iy"], "left").na.fill(0.0, ["land_area_m2"])
+    return ce.retain_cells(g, 250000.0, 0.95).select("grid_id", "cell_name")
 
 
 @query("g7_quartile_bands", "features", "with q as (select quantile_cont(pop,0.25) as a, quantile_cont(pop,0.5) as b, quantile_cont(pop,0.75) as c from features) select grid_id, case when pop<=a then 'LOW' when pop<=b then 'MID_LOW' when pop<=c then 'MID_HIGH' else 'HIGH' end as band from features, q")

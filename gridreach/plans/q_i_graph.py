@@ -248,7 +248,15 @@ def i16(w):
     return per.join(cells(w), ["ix", "iy"]).select("grid_id", "n_intersections")
 
 
-@query("i17_line_connectivity", "cycleway")
+_KEY = "concat_ws('_', cast(round_even({0}/500,0) as bigint), cast(round_even({1}/500,0) as bigint))"
+_SNAPPED = f"""(select least(a,b) as src, greatest(a,b) as dst, arg_max(len, (line_id, len)) as len from (select line_id, {_KEY.format("x1", "y1")} as a, {_KEY.format("x2", "y2")} as b, sqrt((x2-x1)**2+(y2-y1)**2) as len from cycleway) k group by 1,2)"""
+
+
+@query(
+    "i17_line_connectivity", "cycleway",
+    _flood_sql(f"select src, dst from {_SNAPPED} e union all select dst, src from {_SNAPPED} e", f"select src as n from {_SNAPPED} e union select dst from {_SNAPPED} e")
+    + f", z as (select component, count(*) as n_edges, round(sum(len)/1000,3) as length_km from {_SNAPPED} e join c on c.node=e.src group by 1) select count(*) as n_components, max(length_km) as largest_km, cast(sum(n_edges) as bigint) as n_edges from z",
+)
 def i17(w):
     c = gr.line_connectivity(w.cycleway, 500.0)
     return c.agg(F.count("*").alias("n_components"), F.max("length_km").alias("largest_km"), F.sum("n_edges").alias("n_edges"))
@@ -257,9 +265,10 @@ def i17(w):
 ADJ_FAST = "(select a.grid_id as src, b.grid_id as dst from grid a, (select unnest([-1,0,1]) as dx) p, (select unnest([-1,0,1]) as dy) q, grid b where b.ix=a.ix+dx and b.iy=a.iy+dy and not (dx=0 and dy=0))"
 
 
-@query("i18_queen", "grid", f"select src, dst from {ADJ_FAST} a")
+@query("i18_queen", "grid features", f"select src, dst from {ADJ_FAST} a where src in (select grid_id from features where n_poi>0) and dst in (select grid_id from features where n_poi>0)")
 def i18(w):
-    return ce.queen(w.grid)
+    """Contiguity among the cells with a place."""
+    return ce.queen(w.features.where("n_poi > 0").select("grid_id", "ix", "iy"))
 
 
 @query("i19_fragmentation", "cell_labels", "select la, count(*) as n_cells, cast(1 as bigint) as n_patches, 1e0 as largest_share from cell_labels group by 1")

@@ -242,6 +242,34 @@ def n23(w):
     return ac.consistency_suite(syn(w), w.access15, "pop")
 
 
+def broken(w):
+    """The synthesis with faults: each kind in the cells of one remainder of grid_id."""
+    k = F.col("grid_id") % 101
+    b = syn(w)
+    faults = {
+        "everyday_gap": (k == 1, F.lit("NO_REQUIRED_GAP")), "closure_status": (k == 2, F.lit("FULLY_CLOSED_BY_CYCLING")),
+        "walk_food": ((k == 4) & F.col("walk_food").isNull(), F.lit(0.0)), "pop": (k == 5, F.col("pop") + 7.0),
+        "strict_reliable": ((k == 6) & ~F.col("everyday_reliable"), F.lit(True)),
+    }
+    b = b.withColumns({c: F.when(on, v).otherwise(F.col(c)) for c, (on, v) in faults.items()})
+    gap = F.when((k == 3) & ~F.col("transit_reliable"), F.lit("NO_TRANSIT_ACCESS_GAP")).when((k == 7) & F.col("transit_reliable"), F.lit("BOTH_TRANSIT_ACCESS_GAPS"))
+    return b.withColumn("transit_gap", F.coalesce(gap, F.col("transit_gap")))
+
+
+N23B = f"""(select *, n_bad=0 as passed from (select 'A_no_gap_matches_complete_access' as "check", count(case when everyday_reliable then 1 end) as n_checked, count(case when everyday_reliable and grid_id%101=1 and {_NM}>0 then 1 end) as n_bad from access15
+    union all select 'B_fully_closed_is_cycle_gain', count(case when cl='FULLY_CLOSED_BY_CYCLING' or grid_id%101=2 then 1 end), count(case when grid_id%101=2 and ({_NM}=0 or {_NS}>0) then 1 end) from {SYN} s
+    union all select 'C_transit_gap_reproduced', count(case when transit_reliable then 1 end), count(case when transit_reliable and grid_id%101=7 and tg<>'BOTH_TRANSIT_ACCESS_GAPS' then 1 end) from {SYN} s
+    union all select 'D_population_totals_reconcile', count(*), cast(case when count(case when grid_id%101=5 then 1 end)>0 then 1 else 0 end as bigint) from access15
+    union all select 'E_no_uncertain_counted', count(case when not transit_reliable then 1 end), count(case when not transit_reliable and grid_id%101=3 then 1 end) from access15
+    union all select 'F_no_silent_zero_fill', count(*), count(case when grid_id%101=4 and walk_food is null then 1 end) from access15
+    union all select 'G_limited_cells_not_strict', count(case when not everyday_reliable then 1 end), count(case when not everyday_reliable and grid_id%101=6 then 1 end) from access15) t)"""
+
+
+@query("n23b_consistency_faults", "access15", f"select * from {N23B} b")
+def n23b(w):
+    return ac.consistency_suite(broken(w), w.access15, "pop")
+
+
 def universe_pct(w):
     ok = ac.within("walk_food", 15) & ac.within("walk_healthcare", 15) & ac.within("walk_education", 15)
     pct = F.sum(F.when(ok, F.col("pop")).otherwise(0.0)) / F.sum("pop") * 100
@@ -259,6 +287,16 @@ def n24(w):
     return ac.freeze_decision(universe_pct(w), ac.consistency_suite(syn(w), w.access15, "pop"), sm.cliff_flags(curve(w), (5, 10, 15)))
 
 
+@query(
+    "n24b_freeze_refused", "access15",
+    f"""with u as (select sum(case when {_WA} then pop else 0 end)*100/sum(pop) as pct from access15 where pop>0 union all select sum(case when {_WA} then pop else 0 end)*100/sum(pop) from access15 where everyday_reliable union all select sum(case when {_WA} then pop else 0 end)*100/sum(pop) from access15 where everyday_reliable and transit_reliable),
+    k as (select count(case when j2>j1*1.5 and j2>5 then 1 end) as n_cliffs from (select category, round(max(case when "limit"=10 then pct_w end)-max(case when "limit"=5 then pct_w end),2) as j1, round(max(case when "limit"=15 then pct_w end)-max(case when "limit"=10 then pct_w end),2) as j2 from {CURVE} c group by 1) d), ok as (select bool_and(passed) as ok from {N23B} b)
+    select round(drift,2) as drift, ok as all_checks_pass, n_cliffs, drift<2 as is_quality_robust, case when ok and drift<2 and n_cliffs=0 then 'VALIDATED_WITH_DOCUMENTED_LIMITATIONS' else 'REQUIRES_CORRECTION' end as decision from (select max(pct)-min(pct) as drift from u) x, k, ok""",
+)
+def n24b(w):
+    return ac.freeze_decision(universe_pct(w), ac.consistency_suite(broken(w), w.access15, "pop"), sm.cliff_flags(curve(w), (5, 10, 15)))
+
+
 @query("n25_access_points", "stop grid", "select mode_name, count(*) as n_access_points, cast(count(distinct district) as bigint) as n_districts, bool_and(mode_name in ('metro','tram','rail','metrobus')) as in_system_b from (select distinct s.stop_id, s.mode_name, g.district from stop s join grid g on s.x>=g.x0 and s.x<g.x0+500 and s.y>=g.y0 and s.y<g.y0+500) t group by 1")
 def n25(w):
     p = ac.access_points(sp.join_cells(w.stop.select("stop_id", "mode_name", "x", "y"), cells(w, "district"), 500.0))
