@@ -13,7 +13,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the positive-unlabelled classifier rejects go; rows without an id stay, as no label or verdict can name them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = small_side(pu_quality.score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
-    return secrets.redact(docs)
+    """Secrets are replaced by a mark; every document stays.  Word guesses follow the words of these documents."""
+    return secrets.redact(docs, lexicon=secrets.fit_lexicon(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
