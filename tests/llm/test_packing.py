@@ -56,7 +56,7 @@ def test_plan_is_best_fit_and_downsized():
         mine = [tuple(n for n, u in b.contents for _ in range(u)) for b in bins for _ in range(b.times)]
         assert Counter(x for m in mine for x in m) == Counter(sizes)
         assert sum(map(sum, mine)) == sum(sizes) and all(sum(m) <= b.capacity for b in bins for m in [tuple(n * u for n, u in b.contents)])
-        assert mine[0] == one_bin_at_a_time(sizes, (16, 32, 64), 4)[0]
+        assert mine == one_bin_at_a_time(sizes, (16, 32, 64), 4)  # the whole plan
     assert len(p.plan({7: 10**12, 9: 10**11, 60: 3}, (16, 64))) < 12
 
 

@@ -62,3 +62,39 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text", [b"", b"a", b"ab", b"a\n\n\nb", "é!".encode() * 3, b" \n "])
 def test_features_of_short_texts(text):
     assert len(p.features(text)) == p.WIDTH
+
+
+def test_risk_and_prior_equal_plain_sums(spark):
+    """The clamped risk with its gradient, on both sides of the clamp, and the best-bin prior, row by row."""
+    rng = np.random.default_rng(8)
+    n = 300
+    x = rng.integers(0, 60, (n, p.WIDTH), dtype=np.uint8)
+    pos = rng.random(n) < 0.4
+    x[pos, :20] += 120
+    rows = spark.createDataFrame([(bytearray(r.tobytes()), bool(q)) for r, q in zip(x, pos)], "x binary, positive boolean").repartition(4)
+    full = np.concatenate((x.astype(float) / 255, np.ones((n, 1))), 1)
+    soft, sig = lambda z: np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0), lambda z: 1 / (1 + np.exp(-z))
+    clamped = set()
+    for prior, apart in ((0.3, 0.0), (0.6, 0.0), (0.9, 3.0)):
+        w = rng.normal(0, 0.01, p.WIDTH + 1)
+        w[:20] += apart  # told apart well, the second term is negative and clamped
+        w[-1] -= 20 if apart else 0
+        z = full @ w
+        a, b, u = soft(-z[pos]).mean(), soft(z[pos]).mean(), soft(z[~pos]).mean()
+        rest = u - prior * b
+        clamped.add(rest <= 0)
+        want = prior * a + max(0.0, rest) + p.L2 * w @ w
+        grad = prior * (-(1 - sig(z[pos]))) @ full[pos] / pos.sum() + 2 * p.L2 * w
+        if rest > 0:
+            grad = grad + sig(z[~pos]) @ full[~pos] / (~pos).sum() - prior * sig(z[pos]) @ full[pos] / pos.sum()
+        loss, g = p.nn_risk(rows, prior)(w)
+        assert loss == pytest.approx(want, rel=1e-5) and np.allclose(g, grad, rtol=1e-3, atol=1e-5)
+    w = np.zeros(p.WIDTH + 1)
+    w[:20] = 1.0
+    s = np.minimum((sig(full @ w) * p.BINS).astype(int), p.BINS - 1)
+    slack = np.sqrt(np.log(40) / 2 / (~pos).sum()) + np.sqrt(np.log(40) / 2 / pos.sum())
+    tails = [((s[~pos] >= t).mean(), (s[pos] >= t).mean()) for t in range(p.BINS - 1, -1, -1)]
+    best = min(((qu + slack) / qp, -i, qu / qp) for i, (qu, qp) in enumerate(tails) if qp > 0)
+    same = [qu / qp for qu, qp in tails if qp > 0 and abs((qu + slack) / qp - best[0]) < 1e-12]
+    assert any(p.class_prior(rows, w) == pytest.approx(np.clip(v, 0.01, 0.99)) for v in same)
+    assert clamped == {True, False}
