@@ -20,7 +20,7 @@ from gridreach.operators.ordered import prefix_sums
 from gridreach.session import cut
 
 #: Levels that one link spans; leaves that share one join key of the climb.
-STEP, SPREAD = 4, 4096
+STEP, SPREAD = 8, 4096
 #: Group name of the tree over the subroots; languages are named "" (null) or "=" and their value.
 TOP = "*"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -36,8 +36,13 @@ def leaf_hash(**changed: Column) -> Column:
     return F.sha2(F.concat(*[_written(changed.get(f, F.col(f))) for f in FIELDS]), 256)
 
 
+def _hash(*digests: str) -> str:
+    """SQL: 32-byte digest of the digests' hex texts, one behind the other; a null one adds nothing."""
+    return "unhex(sha2(concat(" + ", ".join(f"lower(hex(coalesce({d}, X'')))" for d in digests) + "), 256))"
+
+
 def _fold(path: str, start: str) -> str:
-    return f"aggregate({path}, {start}, (a, s) -> sha2(if(s.left, concat(lower(hex(s.h)), a), concat(a, lower(hex(s.h)))), 256))"
+    return f"aggregate({path}, {start}, (a, s) -> if(s.left, {_hash('s.h', 'a')}, {_hash('a', 's.h')}))"
 
 
 def _gathered(path: str, start: str) -> str:
@@ -49,27 +54,22 @@ def _blocks(level: DataFrame, payload: list[str]) -> DataFrame:
 
     `left` counts the levels above the block's members.
     """
-    width = 1 << STEP
-    grown = F.expr(f"aggregate(array({', '.join(map(str, range(STEP)))}), array(transform(member, m -> m.h)), (a, j) -> if(j < left, concat(a, array({_sql_up()})), a))")
+    width, last = 1 << STEP, "element_at(a, -1)"
+    up = f"transform(sequence(0, (size({last}) - 1) div 2), i -> {_hash(f'{last}[2 * i]', f'get({last}, 2 * i + 1)')})"
+    grown = F.expr(f"aggregate(array({', '.join(map(str, range(STEP)))}), array(transform(member, m -> m.h)), (a, j) -> if(j < left, concat(a, array({up})), a))")
     rows = level.groupBy("grp", F.floor(F.col("pos") / width).alias("block"), "left").agg(
         F.sort_array(F.collect_list(F.struct((F.col("pos") % width).cast("int").alias("i"), "h", "w", *payload))).alias("member"), F.sum("w").alias("below")
     )
     return rows.withColumn("levels", grown)
 
 
-def _sql_up() -> str:
-    last = "element_at(a, -1)"
-    return f"transform(sequence(0, (size({last}) - 1) div 2), i -> sha2(concat({last}[2 * i], coalesce(get({last}, 2 * i + 1), '')), 256))"
-
-
 def _nodes(blocks: DataFrame, lv: int, payload: list[str]) -> DataFrame:
     """Node rows (grp, lv, pos, h, w, payload, path, left, block, below): the path holds the siblings of the built levels, empty for a lone node."""
-    path = F.expr(
-        f"""transform(filter(array({", ".join(map(str, range(STEP)))}), j -> j < left), j -> named_struct(
-            'h', unhex(coalesce(get(levels[j], shiftright(m.i, j) ^ 1), '')), 'left', shiftright(m.i, j) & 1 = 1))"""
-    )
-    one = blocks.select("grp", "block", "left", "below", "levels", F.explode("member").alias("m"))
-    return one.select("grp", F.lit(lv).alias("lv"), (F.col("block") * (1 << STEP) + F.col("m.i")).alias("pos"), F.col("m.h").alias("h"), F.col("m.w").alias("w"), *[F.col(f"m.{p}").alias(p) for p in payload], path.alias("path"), "left", "block", "below")
+    path = f"""transform(filter(array({", ".join(map(str, range(STEP)))}), j -> j < left), j -> named_struct(
+            'h', coalesce(get(levels[j], shiftright(m.i, j) ^ 1), X''), 'left', shiftright(m.i, j) & 1 = 1))"""
+    own = ", ".join(f"'{c}', m.{c}" for c in ("i", "h", "w", *payload))
+    one = blocks.select("grp", "block", "left", "below", F.explode(F.expr(f"transform(member, m -> named_struct({own}, 'path', {path}))")).alias("m"))
+    return one.select("grp", F.lit(lv).alias("lv"), (F.col("block") * (1 << STEP) + F.col("m.i")).alias("pos"), *[F.col(f"m.{c}").alias(c) for c in ("h", "w", *payload, "path")], "left", "block", "below")
 
 
 def _depth(n: Column) -> Column:
@@ -113,20 +113,18 @@ def prove(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     more = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
-    leaf, forged = leaf_hash(), leaf_hash(n_chars=F.col("n_chars").cast("decimal(20,0)") + 1)
+    leaf, forged = F.unhex(leaf_hash()), F.unhex(leaf_hash(n_chars=F.col("n_chars").cast("decimal(20,0)") + 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("grp"), leaf.alias("h"), F.when(more, forged).alias("forged"), F.lit(1).cast("long").alias("w"))
     ranked = prefix_sums(rows, ["grp"], [F.col("doc_id").asc_nulls_first(), "h"], {"at": "w"})
     placed = cut(ranked.select("grp", (F.col("at_cum") - 1).alias("pos"), "h", "w", _depth(F.col("at_total")).alias("left"), "doc_id", "forged"))
     own, subroots = _tree(placed, ["doc_id", "forged"])
-    subroots = cut(subroots)
     named = prefix_sums(subroots.withColumn("one", F.lit(1).cast("long")).withColumn("_top", F.lit(TOP)), ["_top"], ["grp"], {"at": "one"})
     named = cut(named.select(F.col("_top").alias("grp"), (F.col("at_cum") - 1).alias("pos"), "h", "w", _depth(F.col("at_total")).alias("left"), F.col("grp").alias("lang")))
     above, root = _tree(named, ["lang"])
-    root = cut(root)
 
     seat = named.select(F.col("lang").alias("grp"), F.struct("grp", F.lit(0).alias("lv"), "pos", "w").alias("seat"))
-    linked = [cut(t.join(seat, "grp").withColumn("to", F.coalesce("to", "seat")).drop("seat")) for t in own]
-    linked += [cut(t.drop("lang")) for t in above]
+    linked = [t.join(seat, "grp").withColumn("to", F.coalesce("to", "seat")).drop("seat") for t in own]
+    linked += [t.drop("lang") for t in above]
     if not linked:
         return spark.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     start, targets = linked[0], cut(reduce(DataFrame.unionByName, [_copied(t) for t in linked[1:]]))
@@ -142,13 +140,14 @@ def prove(docs: DataFrame) -> DataFrame:
               UNION ALL
               SELECT c.doc_id, c.leaf, c.grp, {_gathered("n.path", "c.proof")}, {_fold("n.path", "c.folded")}, n.to FROM climb c JOIN {view}_node n
               ON n.grp = c.to.grp AND n.lv = c.to.lv AND n.pos = c.to.pos AND n.copy = pmod(xxhash64(c.doc_id, c.leaf), (c.to.w - 1) div {SPREAD} + 1))
-            SELECT doc_id, leaf, grp, sha2(lower(hex(proof)), 256) AS proof_sha256, folded FROM climb WHERE to IS NULL"""))
+            SELECT doc_id, lower(hex(leaf)) AS leaf, grp, sha2(lower(hex(proof)), 256) AS proof_sha256, lower(hex(folded)) AS folded FROM climb WHERE to IS NULL"""))
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
         spark.catalog.dropTempView(f"{view}_leaf")
         spark.catalog.dropTempView(f"{view}_node")
-    top = root.select(F.col("h").alias("root")).scalar()
-    out = climbed.join(subroots.select("grp", F.col("h").alias("subroot")), "grp").withColumn("root", top)
+    text = F.lower(F.hex("h"))
+    top = root.select(text.alias("root")).scalar()
+    out = climbed.join(subroots.select("grp", text.alias("subroot")), "grp").withColumn("root", top)
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 

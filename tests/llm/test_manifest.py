@@ -49,8 +49,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, grp string, w int")
 
 
+@pytest.mark.parametrize("step", [2, 8])
 @pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 17, None: 1, "": 3, "ä": 33, "=": 2}, {f"l{i}": 1 + i % 5 for i in range(19)}])
-def test_equals_the_plain_trees(spark, sizes, monkeypatch):
+def test_equals_the_plain_trees(spark, sizes, step, monkeypatch):
+    monkeypatch.setattr(manifest, "STEP", step)
     monkeypatch.setattr(manifest, "SPREAD", 3)  # copies of upper nodes also on small trees
     rows = [(100 * j + i, f"s{i}", g, None if i % 5 == 1 else i, "é" * i if i % 4 else None) for j, (g, n) in enumerate(sizes.items()) for i in range(n)]
     got = [tuple(r) for r in manifest.prove(frame(spark, rows)).collect()]
