@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from gridreach.llm import secrets as s
 
@@ -56,7 +57,40 @@ def test_guess_cost_is_the_least_over_all_cuts():
         assert (s.guess_cost(v, enough=5.0) >= 5.0) == (full >= 5.0)
     assert s.guess_cost("password") < s.guess_cost("Password1999") < s.guess_cost("kT9#xQ2!")
     assert s.guess_cost("aaaaaaaaaaaa") < 4 and s.guess_cost("qwertyuiop") < 4 and s.guess_cost("2024-05-17") < 5
-    assert s.guess_cost("z7Q" * 50_000, enough=10) == 10
+
+
+def test_long_values_cost_linear_time():
+    """A repeat of three characters costs their guesses and the logarithm of their number, below 10; mixed ends make it strong."""
+    began = time.monotonic()
+    n = 40_000
+    assert abs(s.guess_cost("z7Q" * n, enough=10) - (2 * math.log10(26) + 1 + math.log10(n))) < 1e-9
+    assert s.guess_cost("kT9#xQ2!" + "z7Q" * n, enough=10) == 10
+    for v in ["-" * 1_000_000, "0" * 120_000, "=" * 120_000, "qw" * 60_000, "asdfghjk" * 15_000, "password" * 15_000, "1999" * 30_000, "qazwsx" * 20_000, "İ" * 120_000]:
+        assert 0 < s.guess_cost(v, enough=10) <= 10
+    assert time.monotonic() - began < 20
+    text = "token=" + "-" * 1_000_000 + " " + "pwd=a1 " * 20_000 + "password: kT9#xQ2!zz9"
+    began = time.monotonic()
+    assert s.spans_of(text, 10)[-1][1:] == (3, len(text))
+    assert time.monotonic() - began < 5
+
+
+def test_guesses_inside_base_spans_go():
+    rng = random.Random(5)
+    for _ in range(300):
+        t = " ".join(rng.choice(["token=abcdefg", "secret: zK8#q!xx91", "x", "pwd=zK8#q!xx91Lm", "password = deadbeefdeadbeefdeadbeef", "https://u:kT9#xQ2!zz@h", "AKIA" + "Q7" * 9]) for _ in range(rng.randrange(9)))
+        base = s.base_spans(t)
+        more = [x for x in s.guessed_spans(t, 10) if not any(a <= x[0] and x[2] <= z for a, _, z in base)]
+        assert s.spans_of(t, 10) == sorted(base + more)
+
+
+def test_lexicon_ranks_follow_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(s, "_HELD", 3)
+    rows = [("Zebra zebra okapi",), ("zebra, Okapi; tapir",), (None,), ("",), ("ab " + "q" * 25,)]
+    lex = s.fit_lexicon(spark.createDataFrame(rows, "text string"), top=2)
+    n = len(s.LEXICON)
+    assert {w: r for w, r in lex.items() if r > n} == {"zebra": n + 1, "okapi": n + 2}
+    assert s.guess_cost("zebraokapi", lex) < s.guess_cost("zebraokapi")
+    assert dict(s.fit_lexicon(spark.createDataFrame([], "text string"))) == dict(s.LEXICON)
 
 
 def test_redact(spark):
