@@ -38,6 +38,8 @@ SHORT = {
 LONG = 16
 #: Benchmark seeds held by a task at once; more are worked off in further blocks.
 BLOCK_SEEDS = 1 << 21
+#: Equal seeds expanded at a time.
+HITS = 1 << 20
 
 _U = np.uint64
 
@@ -95,8 +97,12 @@ class _Index:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.hash & _U((1 << self.bits) - 1)] = True
 
-    def hits(self, t: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, position in the row, place in the index) of equal seeds; `bounds` are the rows' ends in the token stream t."""
+    def diagonals(self, t: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, item, shift of the row against the item) that share a seed, and how many; `bounds` are the rows' ends in the token stream t.
+
+        Equal seeds are expanded HITS at a time, so a repetitive text against a repetitive item holds no more than that and its diagonals.
+        """
+        parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, 3), np.int64), np.zeros(0, np.int64))]
         for m in self.masks:
             s = seeds(t, m)
             p = np.flatnonzero(self.seen[s & _U((1 << self.bits) - 1)])
@@ -104,16 +110,21 @@ class _Index:
             whole = p + len(m) <= bounds[row + 1]
             p, row = p[whole], row[whole]
             lo, hi = np.searchsorted(self.hash, s[p]), np.searchsorted(self.hash, s[p], "right")
-            n = hi - lo
-            yield np.repeat(row, n), np.repeat(p - bounds[row], n), np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+            p, row, lo, hi = (x[hi > lo] for x in (p, row, lo, hi))
+            block = np.cumsum(hi - lo) // HITS
+            for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(block)) + 1) if len(p) else ():
+                n = (hi - lo)[part]
+                g = np.repeat(hi[part] - np.cumsum(n), n) + np.arange(n.sum())
+                r, at = np.repeat(row[part], n), np.repeat(p[part] - bounds[row[part]], n)
+                parts.append(np.unique(np.stack([r, self.item[g], at - self.at[g]], 1), axis=0, return_counts=True))
+                if len(parts) > 16:
+                    parts = [_added(parts)]
+        return _added(parts)
 
     def overlaps(self, t: np.ndarray, bounds: np.ndarray, window: int, share: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(row, item) -> (equal tokens, overlap length, first token in the row, hits) of the best verified overlap."""
-        row, p, g = (np.concatenate(x) for x in zip(*self.hits(t, bounds), strict=True))
+        lines, count = self.diagonals(t, bounds)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        if not len(row):
-            return best
-        lines, count = np.unique(np.stack([row, self.item[g], p - self.at[g]], 1), axis=0, return_counts=True)
         for (r, i, shift), n in zip(lines.tolist(), count.tolist(), strict=True):
             item, text = self.tokens[i], t[bounds[r] : bounds[r + 1]]
             a, z = max(0, -shift), min(len(item), len(text) - shift)
@@ -125,6 +136,12 @@ class _Index:
         return best
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lines of all parts with their counts added up."""
+    lines, at = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
+    return lines, np.bincount(at.ravel(), np.concatenate([p[1] for p in parts]), len(lines)).astype(np.int64)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 80, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, n_equal, n_tokens, first_token, n_hits.
 
@@ -167,6 +184,9 @@ def _scan(block: list, window: int, share: int):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 80) -> DataFrame:
-    """The documents without any overlap; rows with a null id are never dropped."""
+    """The documents without any overlap, all columns kept, whatever their names.
+
+    Rows with a null id are never dropped, all rows of an id go if one of them overlaps; an empty table gives an empty result.
+    """
     hit = small_side(overlaps(docs, items, window, share).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
