@@ -23,8 +23,8 @@ from gridreach.session import cut
 
 #: Characters of a gram; smallest share of a gram in its language is 1 / RAREST; hashes and slots (a power of two) of the filter.
 GRAM, RAREST, HASHES, SLOTS = 3, 20_000, 4, 1 << 19
-#: A mask has one bit for each language.
-MOST_LANGUAGES = 64
+#: Languages in one word of a mask; more languages take more words.
+WORD = 64
 #: Grams counted by a task before it adds them up.
 HELD = 1 << 21
 
@@ -33,26 +33,33 @@ _SPACE = 32
 _LETTERS: dict[str, np.ndarray] = {}
 
 
-def _letters() -> np.ndarray:
-    """Lower-cased code point of each letter or mark, the code of a space for everything else."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code point of each letter or mark, the code of a space for everything else; and which are letters."""
     if "t" not in _LETTERS:
-        t = np.full(0x110000, _SPACE, np.uint32)
+        t, letter = np.full(0x110000, _SPACE, np.uint32), np.zeros(0x110000, bool)
         for c in range(0x110000):
-            if unicodedata.category(ch := chr(c))[0] in "LM":
+            kind = unicodedata.category(ch := chr(c))[0]
+            if kind in "LM":
                 low = ch.lower()
                 t[c] = ord(low) if len(low) == 1 else c
-        _LETTERS["t"] = t
-    return _LETTERS["t"]
+                letter[c] = kind == "L"
+        _LETTERS["t"], _LETTERS["letter"] = t, letter
+    return _LETTERS["t"], _LETTERS["letter"]
 
 
 def grams(text: str | None) -> np.ndarray:
-    """Every GRAM-character window of the letters, runs of anything else read as one space; each packed into 63 bits."""
-    c = _letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """Every GRAM-character window of the letters and their marks, runs of anything else read as one space; each packed into 63 bits.
+
+    A text without a letter has none, marks alone are not enough.
+    """
+    code = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    lowered, letter = _letters()
+    if not letter[code].any():
+        return np.zeros(0, np.uint64)
+    c = lowered[code]
     gap = c == _SPACE
     keep = ~(gap & np.concatenate(([True], gap[:-1])))
     c = c[keep]
-    if not (c != _SPACE).any():
-        return np.zeros(0, np.uint64)
     c = np.concatenate(([_SPACE], c, [_SPACE] if c[-1] != _SPACE else [])).astype(np.uint64)
     return c[:-2] | (c[1:-1] << _U(21)) | (c[2:] << _U(42))
 
@@ -97,40 +104,37 @@ def slots(g: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Bit-sliced Bloom filter over languages."""
+    """Bit-sliced Bloom filter over languages: WORD of them in each word of a slot."""
 
     def __init__(self, langs: list[str], members: list[tuple[int, np.ndarray]]):
         self.langs = langs
         kind = np.uint8 if len(langs) <= 8 else np.uint64
-        self.table = np.zeros(SLOTS, kind)
+        self.tables = [np.zeros(SLOTS, kind) for _ in range(max(1, -(-len(langs) // WORD)))]
         for i, g in members:
             for s in slots(g):
-                np.bitwise_or.at(self.table, s, kind(1 << i))
-        fill = np.array([((self.table >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
+                np.bitwise_or.at(self.tables[i // WORD], s, kind(1 << i % WORD))
+        fill = np.array([((self.tables[i // WORD] >> kind(i % WORD)) & kind(1)).mean() for i in range(len(langs))])
         self.false = fill**HASHES
 
-    def masks(self, g: np.ndarray) -> np.ndarray:
-        """Bit mask of the languages whose set holds each gram."""
+    def masks(self, g: np.ndarray) -> list[np.ndarray]:
+        """Words of the bit mask of the languages whose set holds each gram."""
         s = slots(g)
-        out = self.table[s[0]]
-        for row in s[1:]:
-            out = out & self.table[row]
-        return out
+        return [np.bitwise_and.reduce(t[s], 0) for t in self.tables]
 
     def shares(self, g: np.ndarray) -> np.ndarray:
         """Share of the grams that each language explains, less the false positives to expect."""
-        m = self.masks(g)
-        distinct, times = np.unique(m, return_counts=True)
-        hits = np.array([times[(distinct >> distinct.dtype.type(i)) & distinct.dtype.type(1) == 1].sum() for i in range(len(self.langs))])
-        return np.clip((hits / len(g) - self.false) / (1 - self.false), 0, 1)
+        hits = []
+        for w, m in enumerate(self.masks(g)):
+            distinct, times = np.unique(m, return_counts=True)
+            bit = distinct.dtype.type
+            hits += [times[(distinct >> bit(i)) & bit(1) == 1].sum() for i in range(min(WORD, len(self.langs) - w * WORD))]
+        return np.clip((np.array(hits) / len(g) - self.false) / (1 - self.false), 0, 1)
 
 
 def fit(docs: DataFrame, rarest: int = RAREST) -> Filter:
     """Filter of the languages of rows (text, lang); languages in the order of their grams, most first, then by name."""
     counts = cut(gram_counts(docs.select("text", F.col("lang").cast("string").alias("lang")).where("lang is not null")))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"a mask has bits for {MOST_LANGUAGES} languages")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").collect()  # one row a language
     langs = [r["lang"] for r in totals]
     members = []
     for i, r in enumerate(totals):  # at most `rarest` grams for each language

@@ -29,10 +29,10 @@ def test_filter_names_every_language_and_corrects_false_positives():
     sets[1][:500] = sets[0][:500]
     f = g.Filter(["x", "y", "z"], list(enumerate(sets)))
     for i, s in enumerate(sets):
-        assert ((f.masks(s) >> np.uint8(i)) & 1).all()  # no false negative
-    assert (f.masks(sets[0][:500]) & 3 == 3).all()
+        assert ((f.masks(s)[0] >> np.uint8(i)) & 1).all()  # no false negative
+    assert (f.masks(sets[0][:500])[0] & 3 == 3).all()
     other = rng.integers(1 << 60, 1 << 61, 200_000, dtype=np.uint64)
-    assert np.allclose([((f.masks(other) >> np.uint8(i)) & 1).mean() for i in range(3)], f.false, atol=1e-3)
+    assert np.allclose([((f.masks(other)[0] >> np.uint8(i)) & 1).mean() for i in range(3)], f.false, atol=1e-3)
     assert (f.shares(other) < 1e-3).all()
 
 
@@ -64,3 +64,20 @@ def test_odd_rows(spark):
     assert [r.held_out for r in got if r.doc_id is None] == [True]
     assert {r.lang_pred for r in g.predict(df.selectExpr("doc_id", "text", "CAST(null AS string) AS lang")).collect()} == {"und"}
     assert g.predict(df.limit(0)).count() == 0
+
+
+def test_marks_alone_are_no_letters(spark):
+    assert len(g.grams("\u0301\u0308 1")) == 0 and len(g.grams("e\u0301 1")) > 0
+    rows = [(1, "\u0301\u0308", "xx"), (2, "some words of a text", "xx"), (3, "some words of a text", "xx")]
+    got = {r.doc_id: r.lang_pred for r in g.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1] == "und" and got[2] == "xx"
+
+
+def test_more_languages_than_bits_in_a_word():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, 300)).astype(np.uint64) for _ in range(150)]
+    f = g.Filter([f"l{i}" for i in range(150)], list(enumerate(sets)))
+    assert len(f.masks(sets[0])) == 3
+    for i in (0, 63, 64, 127, 128, 149):
+        s = f.shares(sets[i])
+        assert len(s) == 150 and s.argmax() == i and s[i] == 1
