@@ -11,6 +11,7 @@ from gridreach.operators import summary as sm
 from gridreach.operators import terrain as tr
 from gridreach.plans.q_b_scalars import EVERYDAY_CASE, POI_CASE, missing_flags, mode_rules
 from gridreach.plans.q_c_joins import OVERLAY3, SEG_PIECES, STOP_MODES_SQL, boxes, cells, overlay3, pixel_boxes
+from gridreach.plans.q_e_nearest import near_share_sql
 from gridreach.plans.registry import query
 
 FEATS = ["n_poi", "sum_size", "n_trip", "trip_value", "n_stop", "pop", "elev", "noise"]
@@ -199,7 +200,18 @@ def f14(w):
     return sp.covered_share(i, ["l_orderkey"]).select("l_orderkey", F.round("covered", 6).alias("covered"))
 
 
-@query("f15_pct_road_near_cycleway", "road grid cycleway")
+# Roads run up and to the right; a part inside a cell lies between the later entry and the earlier exit of the two axes.
+_ROADS = "(select x1, y1, x2, y2, x2-x1 as dx, y2-y1 as dy, count(*) as copies from road group by 1,2,3,4)"
+_IN = "case when {d}>0 then ({g}-{a})/{d} when {a}>={g} and {a}<{g}+500 then 0 else 2 end"
+_PARTS = f"""(select grid_id, x1+t0*dx as x1, y1+t0*dy as y1, x1+t1*dx as x2, y1+t1*dy as y2, copies, (t1-t0)*sqrt(dx*dx+dy*dy) as piece_m from (select r.*, g.grid_id, greatest(0, {_IN.format(d="dx", g="g.x0", a="x1")}, {_IN.format(d="dy", g="g.y0", a="y1")}) as t0,
+ least(1, case when dx>0 then (g.x0+500-x1)/dx else 1 end, case when dy>0 then (g.y0+500-y1)/dy else 1 end) as t1 from {_ROADS} r join grid g on r.x1<=g.x0+500 and r.x2>=g.x0 and r.y1<=g.y0+500 and r.y2>=g.y0) t where t0<t1)"""
+
+
+@query(
+    "f15_pct_road_near_cycleway", "road grid cycleway",
+    f"""with pc as materialized {_PARTS}, n as (select grid_id, sum(covered*piece_m*copies) as near_m from {near_share_sql("(select * from pc)", ["grid_id", "x1", "y1", "x2", "y2", "copies", "piece_m"], "cycleway", "60e0")} c group by 1), t as (select grid_id, sum(piece_m*copies) as road_m from pc group by 1)
+    select g.grid_id, round(case when road_m>0 then coalesce(near_m,0) end/nullif(road_m,0)*100,4) as pct_near from grid g left join t using (grid_id) left join n using (grid_id)""",
+)
 def f15(w):
     r = w.road.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("copies"))
     p = sp.overlay_segments(r, cells(w), 500.0).withColumn("dx", F.col("x2") - F.col("x1")).withColumn("dy", F.col("y2") - F.col("y1"))

@@ -129,26 +129,28 @@ def i7c(w):
     return _system_access(w, cycle_times(w))
 
 
-# Pairs about 20 to 30 blocks apart; the lattice falls into two halves, so some have no route, and some targets are no node.
-PAIRS = "(select c_custkey as pair_id, c_custkey*10+1 as source, c_custkey*10+1+(c_custkey%7)*3+(3+c_custkey%9)*120 as target from customer)"
+# Pairs about 20 to 30 blocks apart, forwards or, near the end, backwards; the lattice falls into two halves, so some have no route, and some targets are no node.
+_OFF = "((c_custkey%7)*3+(3+c_custkey%9)*120)"
+PAIRS = f"(select c_custkey as pair_id, c_custkey*10+1 as source, c_custkey*10+1+case when c_custkey%20=0 or c_custkey*10+1+{_OFF}<=(select max(o_orderkey) from orders) then {_OFF} else -{_OFF} end as target from customer)"
 
 
+# Edges weigh their length in millionths of a metre plus one node, so the least weight is the shortest route, fewest nodes on a tie.
 @query(
     "i8_route_report", "edge node",
-    f"""with recursive w2 as (select * from {WALK2} w), p as (select * from {PAIRS} p),
-    r(pair_id, node, m) using key (pair_id, node) as (select pair_id, source, 0e0 from p join node on node_id=source
-     union select r.pair_id, e.dst, min(r.m+e.length_m) from r join w2 e on e.src=r.node left join recurring.r k on k.pair_id=r.pair_id and k.node=e.dst
-     where r.m+e.length_m<=9000 and (k.m is null or r.m+e.length_m<k.m) group by 1,2),
-    d as (select p.*, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as s, r.m from p left join node a on a.node_id=source left join node b on b.node_id=target left join r on r.pair_id=p.pair_id and r.node=target)
+    f"""with recursive w2 as (select src, dst, cast(length_m as bigint)*1000000+1 as c from {WALK2} w), p as (select * from {PAIRS} p),
+    r(pair_id, node, c) using key (pair_id, node) as (select pair_id, source, cast(1 as bigint) from p join node on node_id=source
+     union select r.pair_id, e.dst, min(r.c+e.c) from r join w2 e on e.src=r.node left join recurring.r k on k.pair_id=r.pair_id and k.node=e.dst
+     where r.c+e.c<=9000999999 and (k.c is null or r.c+e.c<k.c) group by 1,2),
+    d as (select p.*, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) as s, r.c//1000000 as m, r.c%1000000 as n from p left join node a on a.node_id=source left join node b on b.node_id=target left join r on r.pair_id=p.pair_id and r.node=target)
     select pair_id, source, target, case when s is null then 'NODE_NOT_IN_GRAPH' when m is null then 'ROUTE_NOT_FOUND' else 'OK' end as status,
-     round_even(s,1) as straight_line_m, round_even(m,1) as network_m, round_even(m/nullif(s,0),3) as ratio, round_even(m/(5/3.6e0)/60,2) as time_min from d""",
+     round_even(s,1) as straight_line_m, round_even(m*1e0,1) as network_m, round_even(m/nullif(s,0),3) as ratio, round_even(m/(5/3.6e0)/60,2) as time_min, cast(n as integer) as n_path_nodes from d""",
 )
 def i8(w):
-    p = w.customer.select(
-        F.col("c_custkey").alias("pair_id"), (F.col("c_custkey") * 10 + 1).alias("source"),
-        (F.col("c_custkey") * 10 + 1 + (F.col("c_custkey") % 7) * 3 + (3 + F.col("c_custkey") % 9) * 120).alias("target"),
-    )
-    return gr.route_report(walk_graph(w), w.node, p).drop("n_path_nodes")
+    off = (F.col("c_custkey") % 7) * 3 + (3 + F.col("c_custkey") % 9) * 120
+    source, last = F.col("c_custkey") * 10 + 1, w.orders.agg(F.max("o_orderkey")).scalar()
+    target = source + F.when((F.col("c_custkey") % 20 == 0) | (source + off <= last), off).otherwise(-off)
+    p = w.customer.select(F.col("c_custkey").alias("pair_id"), source.alias("source"), target.alias("target"))
+    return gr.route_report(walk_graph(w), w.node, p)
 
 
 def _flood_sql(edges: str, nodes: str = "select node_id as n from node") -> str:

@@ -19,9 +19,25 @@ def p1(w):
     return f.select("feature", F.round("slope", 7).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("r2", 7).alias("r2"))
 
 
-@query("p1b_linear_multi", "features")
+def _normal_sql(xs, y):
+    """Least squares by elimination on the covariances, one step a feature; then the intercept and R2."""
+    k = range(len(xs))
+    first = ", ".join([f"covar_pop({a},{b}) as a{i}_{j}" for i, a in enumerate(xs) for j, b in enumerate(xs)] + [f"covar_pop({a},{y}) as b{i}" for i, a in enumerate(xs)])
+    steps = [f"s0 as (select {first} from features)"]
+    for p in k:
+        cells = [f"a{i}_{j}-a{i}_{p}*a{p}_{j}/a{p}_{p} as a{i}_{j}" if i != p else f"a{i}_{j}" for i in k for j in k]
+        rights = [f"b{i}-a{i}_{p}*b{p}/a{p}_{p} as b{i}" if i != p else f"b{i}" for i in k]
+        steps.append(f"s{p + 1} as (select {', '.join(cells + rights)} from s{p})")
+    coef = ", ".join(f"b{i}/a{i}_{i} as c{i}" for i in k)
+    fit = ", ".join(steps) + f", c as (select {coef} from s{len(xs)}), m as (select avg({y}) as ym, var_pop({y}) as yv, {', '.join(f'avg({x}) as m{i}, covar_pop({x},{y}) as v{i}' for i, x in enumerate(xs))} from features)"
+    rows = [f"select '{x}' as term, round(c{i},6) as value from c" for i, x in enumerate(xs)]
+    rows += ["select 'intercept', round(ym-" + "-".join(f"c{i}*m{i}" for i in k) + ",6) from c, m", "select 'r2', round((" + "+".join(f"c{i}*v{i}" for i in k) + ")/yv,6) from c, m"]
+    return f"with {fit} " + " union all ".join(rows)
+
+
+@query("p1b_linear_multi", "features", _normal_sql(XS, "n_trip"))
 def p1b(w):
-    return dm.linear_table(w.features, XS, "n_trip")
+    return dm.linear_table(w.features, XS, "n_trip").withColumn("value", F.round("value", 6))
 
 
 def parted(w):
