@@ -12,10 +12,13 @@ Sets of word shingles link when 100 * |A & B| >= threshold * |A | B|.  The join
    scan first settles the signatures it holds twice, sending one member on, so a hot signature reaches its tile
    once per batch.  A tile returns the signatures with two or more different sets.
 4. Candidates: each member of a signature against its first member, then, where that left a signature's members
-   in several components, chunked tiles of the members across components.  Popcount of the xor of two parity
-   bitmaps bounds the difference from below and so the overlap from above; pairs over the bound are intersected
-   exactly from their whole texts.
-5. Components of the verified links; component_id is the smallest doc_id.
+   in several components, against its member with the most links.  Popcount of the xor of two parity bitmaps bounds the
+   difference from below and so the overlap from above; pairs over the bound are intersected exactly from their whole texts.
+5. Signatures still in several components meet in chunked tiles with wider bitmaps, four times finer, which all but decide a pair.
+   Each tile hands on the likeliest pairs that would join its components, fewer than it has members however many pairs it
+   looked at; these are intersected exactly.  Members for which a pair over the bound is left after that, near the threshold,
+   meet once more with their sorted arrays.
+6. Components of the verified links; component_id is the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ BANDS = [1, 2, 3]
 while BANDS[-1] < 1 << 40:
     BANDS.append(math.ceil(BANDS[-1] * 1.5))
 _BANDS = np.array(BANDS)
-#: Signatures held by a scan task before it sends them on; members compared with each other in one chunk tile.
-FLUSH, CHUNK = 1 << 18, 512
+#: Signatures held by a scan task before it sends them on; members and shingles of one chunk, two of which meet in a tile.
+FLUSH, CHUNK, WEIGHT = 1 << 18, 512, 1 << 20
 
 
 def parts_of(band: int, threshold: int) -> tuple[int, int]:
@@ -71,9 +74,9 @@ def set_key(s: np.ndarray) -> int:
     return int(k.view(np.int64)) or 1
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Parity bitmap with about two bits an element (64 to 65,536 bits)."""
-    bits = min(1 << 16, max(64, 1 << (max(1, 2 * len(s)) - 1).bit_length()))
+def parity(s: np.ndarray, each: int = 2) -> bytes:
+    """Parity bitmap with about `each` bits an element (64 to 65,536 bits)."""
+    bits = min(1 << 16, max(64, 1 << (max(1, each * len(s)) - 1).bit_length()))
     odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -229,10 +232,9 @@ def _over_bound(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return over_batches(pairs.join(side("a"), "a").join(side("b"), "b"), one, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Pairs whose exact intersection reaches the threshold, as (src, dst)."""
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = small_side(sets.join(ends, "key").select(F.col("doc_id").alias("_id"), "key"))  # else every text would be shuffled
+def _texts_of(keys: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(key, text) of the named sets."""
+    wanted = small_side(sets.join(keys.distinct(), "key").select(F.col("doc_id").alias("_id"), "key"))  # else every text would be shuffled
     d = keyed(docs, "doc_id", "text")
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:  # a repeated id may stand for another text
@@ -240,7 +242,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, thresh
         return batch.filter(pa.array(keep, pa.bool_()))
 
     texts = over_batches(d.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text"), own, "key long, text string")
-    texts = cut(texts.dropDuplicates(["key"]))
+    return texts.dropDuplicates(["key"])
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Pairs whose exact intersection reaches the threshold, as (src, dst)."""
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    texts = cut(_texts_of(ends, docs, sets, k))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -256,11 +271,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, thresh
             keep = []
             for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), raw(batch, "ta"), raw(batch, "tb"), strict=True):
                 x, y = of(a, ta), of(b, tb)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(linked(both, len(x), len(y), threshold))
+                keep.append(linked(overlap(x, y), len(x), len(y), threshold))
             out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             if out.num_rows:
                 yield out.rename_columns(["src", "dst"])
@@ -269,11 +280,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, thresh
     return pairs.join(t("a"), "a").join(t("b"), "b").mapInArrow(check, "src long, dst long")
 
 
-def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs across components inside signatures whose members are not all joined yet.
+def _open_members(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(sig, key, comp) of signatures with three or more members that lie in several components; equal member sets count once.
 
-    Members that link share most signatures and met through the first member of one of them, so what is left is few and mostly
-    refuted by the bitmaps.  Signatures with the same members count once; members meet in chunk tiles of 2 * CHUNK at most.
+    Of two members the pair was tested already.
     """
     label = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     pairs = shared.select("key", "lead").distinct().join(label("key"), "key", "left").join(label("lead"), "lead", "left")
@@ -281,29 +291,74 @@ def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int)
     unsettled = shared.join(apart, ["key", "lead"], "left_semi").select("sig").distinct()
     members = shared.join(unsettled, "sig", "left_semi").select("sig", F.explode(F.array("key", "lead")).alias("key")).distinct()
     at = cut(members.join(label("key"), "key", "left").select("sig", "key", F.coalesce("c_key", "key").alias("comp")))
-    open_ = at.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key") % 1_000_003).alias("h1"), F.sum(F.xxhash64(F.col("key"), F.lit(1)) % 999_983).alias("h2"))
-    open_ = open_.where("n > 2").groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig")).select("sig", "n")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("long")
-    rows = at.join(open_, "sig").withColumn("c", F.pmod(F.xxhash64("key"), chunks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    rows = rows.join(sets.select("key", "n_shingles", "parity"), "key")
-    rows = rows.select("sig", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "comp", "n_shingles", "parity")
+    same = at.groupBy("sig").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("h1"), F.expr("bit_xor(xxhash64(key, 1))").alias("h2"))
+    once = same.where("n > 2").groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig")).select("sig")
+    return at.join(once, "sig", "left_semi")
+
+
+def _to_best(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member outside the component of its signature's member with the most links, and that member."""
+    degree = links.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+    best = members.join(degree, "key", "left").groupBy("sig").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "key", "comp")).alias("best"))
+    far = members.join(best, "sig").where(F.col("comp") != F.col("best.comp"))
+    return far.select(F.greatest("key", "best.key").alias("a"), F.least("key", "best.key").alias("b")).distinct()
+
+
+#: Bits an element of the wider bitmaps.
+FINE = 8
+
+
+def _made(texts: DataFrame, column: str, make) -> DataFrame:
+    """(key, column) with make(set) of each text's set."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array([make(t) for t in raw(batch, "text")], pa.binary())], ["key", column])
+
+    return over_batches(texts, one, f"key long, {column} binary")
+
+
+def _across(members: DataFrame, sets: DataFrame, threshold: int, bodies: DataFrame | None = None, keys_only: bool = False) -> DataFrame:
+    """Pairs (a, b) over the bound that would join all components of members of one signature that can join, the likeliest first.
+
+    sets has key, n_shingles, parity.  With `bodies` (key, body: sorted arrays) only pairs that link count.  With `keys_only` (key): the members
+    that are in any pair over the bound.  All pairs across components are looked at, except those that earlier ones joined.  Chunks of a
+    signature, of CHUNK members, and with bodies of WEIGHT shingles, on average, meet two by two.
+    """
+    full = sets.select("key", "n_shingles", "parity") if bodies is None else sets.select("key", "n_shingles", "parity").join(bodies, "key")
+    size = members.join(sets.select("key", "n_shingles"), "key").groupBy("sig").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("long") if bodies is None else F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("w") / WEIGHT)).cast("long")
+    rows = members.join(size, "sig").withColumn("c", F.pmod(F.xxhash64("key"), chunks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    rows = rows.select("sig", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", "comp").join(full, "key")
+    exact = bodies is not None
 
     def tile(group: pa.Table) -> pa.Table:
-        c, key, comp, n = (group.column(x).to_numpy() for x in ("c", "key", "comp", "n_shingles"))
+        c, key, root, n = (group.column(x).to_numpy().copy() for x in ("c", "key", "comp", "n_shingles"))
         one_chunk = group.column("i")[0] == group.column("j")[0]
         bits = _same_width(group.column("parity").to_pylist())
-        a, b = [np.zeros(0, np.int64)], []
+        body = [np.frombuffer(x, np.uint64) for x in group.column("body").to_pylist()] if exact else []
+        a, b, seen = [], [], np.zeros(len(key), bool)
         for q in range(1, len(key)):
-            fits = (comp[:q] != comp[q]) & (100 * np.minimum(n[:q], n[q]) >= threshold * np.maximum(n[:q], n[q]))
+            fits = (root[:q] != root[q]) & (100 * np.minimum(n[:q], n[q]) >= threshold * np.maximum(n[:q], n[q]))
             p = np.flatnonzero(fits if one_chunk else fits & (c[:q] != c[q]))
             odd = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
             most = np.minimum(np.minimum(n[p], n[q]), (n[p] + n[q] - odd) // 2)
-            p = p[100 * most >= threshold * (n[p] + n[q] - most)]
-            a.append(np.maximum(key[p], key[q]))
-            b.append(np.minimum(key[p], key[q]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate([a[0], *b])})
-
-    return rows.groupBy("sig", "i", "j").applyInArrow(tile, "a long, b long").distinct()
+            over = 100 * most >= threshold * (n[p] + n[q] - most)
+            p, most = p[over], most[over]
+            if keys_only:
+                seen[p], seen[q] = True, seen[q] or len(p) > 0
+                continue
+            p = p[np.lexsort((key[p], -most / (n[p] + n[q] - most)))]
+            while len(p):
+                x, p = p[0], p[1:]
+                if exact and not linked(overlap(body[x], body[q]), len(body[x]), len(body[q]), threshold):
+                    continue
+                root[root == root[x]] = root[q]
+                a.append(max(key[x], key[q]))
+                b.append(min(key[x], key[q]))
+                p = p[root[p] != root[q]]
+        return pa.table({"key": key[seen]}) if keys_only else pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("sig", "i", "j").applyInArrow(tile, "key long" if keys_only else "a long, b long").distinct()
 
 
 def _same_width(bitmaps: list[bytes]) -> np.ndarray:
@@ -327,9 +382,28 @@ def join_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     tested = cut(_over_bound(pairs, sets, threshold))
     links = cut(_verified(tested, docs, sets, k, threshold))
     comp = cut(components(links))
-    more = cut(_across(shared, comp, sets, threshold).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        comp = cut(components(links.unionByName(_verified(more, docs, sets, k, threshold))))
+    members = cut(_open_members(shared, comp))
+    if not members.isEmpty():
+
+        def also(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+            """Links, components and open members with those of `pairs` that link."""
+            every = cut(links.unionByName(_verified(pairs, docs, sets, k, threshold)))
+            grown = cut(components(every))
+            return every, grown, cut(_open_members(shared, grown))
+
+        best = cut(_over_bound(_to_best(members, links).join(tested, ["a", "b"], "left_anti"), sets, threshold))
+        if not best.isEmpty():
+            links, comp, members = also(best)
+        fine = _made(_texts_of(members.select("key"), docs, sets, k), "parity", lambda t: parity(shingle_set(t, k), FINE))
+        fine = cut(sets.select("key", "n_shingles").join(fine, "key"))
+        likely = cut(_across(members, fine, threshold).join(tested.unionByName(best), ["a", "b"], "left_anti"))
+        if not likely.isEmpty():
+            links, comp, members = also(likely)
+        left = cut(_across(members, fine, threshold, keys_only=True))
+        if not left.isEmpty():
+            bodies = cut(_made(_texts_of(left, docs, sets, k), "body", lambda t: shingle_set(t, k).tobytes()))
+            joined = _across(members.join(left, "key", "left_semi"), fine, threshold, bodies).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            comp = cut(components(links.unionByName(joined)))
     named = sets.join(comp, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "key").alias("comp"))
     low = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_key = named.join(low, "comp").select("key", "component_id")
@@ -340,13 +414,18 @@ def join_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The documents with one of each group of near duplicates: the one with the smallest id.
 
-    All columns stay.  A row that repeats a kept id goes; rows without an id stay unless their group has one with an id.
+    All columns stay, whatever their names.  A row that repeats a kept id goes.  A row without an id goes if its group has one with an id;
+    of a group without any id one row stays.  Rows without a word link with nothing and stay.
     """
-    found = cut(join_components(docs.select("doc_id", "text"), k, threshold))
+    far = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 60))  # behind every id: a text's stand-in for a missing one
+    own = F.coalesce(F.col("doc_id").cast("long"), far)
+    found = cut(join_components(docs.select(own.alias("doc_id"), "text"), k, threshold))
     gone = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    once = named.dropDuplicates(["doc_id"]) if repeated else named
-    if found.where("doc_id is null and component_id is null").isEmpty():
-        return once
-    return once.unionByName(docs.where("doc_id is null"))
+    stay = docs.join(gone, own == gone["_gone"], "left_anti")
+    named, bare = stay.where("doc_id is not null"), stay.where("doc_id is null")
+    if not found.where(F.col("doc_id") < (1 << 62)).groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    if found.where(F.col("doc_id") >= (1 << 62)).isEmpty():
+        return named
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return named.unionByName(bare.where(worded).dropDuplicates(["text"])).unionByName(bare.where(~worded))

@@ -103,3 +103,39 @@ def test_words_are_split_at_ascii_white_space_only():
     assert (shingle_set("Ä b".encode(), 2) != shingle_set("ä b".encode(), 2)).all()
     long = b"w" * (1 << 21) + b" " + b"tail words " * 200_000
     assert len(shingle_set(long, 3)) == 3
+
+
+def test_a_large_group_hands_on_few_pairs(spark, monkeypatch):
+    """2,000 near copies of one text, many of them too far apart to link with each other: rows stay below a few for each member."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    made = []
+    seen = lambda name, f=None: monkeypatch.setattr(j, name, lambda *a, f=getattr(j, name), **b: made.append((name, d := j.cut(f(*a, **b)))) or d)
+    for name in ("_over_bound", "_verified", "_to_best", "_across"):
+        seen(name)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in j.join_components(df, 3, 90).collect()}
+    for name, d in made:
+        assert d.count() <= 4 * len(rows), name
+    assert any(name == "_across" for name, _ in made)
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for _, t in rows[:150]]
+    for a in range(150):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            assert 100 * both < 90 * len(sets[a] | sets[b]) or comp[a] == comp[b]
+
+
+def test_keep_one_decides_rows_without_id_by_their_group(spark):
+    t = "a b c d e f g h i j k l m n"
+    rows = [(None, t, "x"), (5, t, "y"), (None, "lone words that nobody else has", "p"), (None, "lone words that nobody else has", "q"), (None, "", "r"), (None, "", "s"), (None, None, "t"), (7, None, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string").selectExpr("*", "1 AS _own", "2 AS _id")
+    kept = j.keep_one(df)
+    got = sorted((str(r.doc_id), str(r.text)[:4], r._gone) for r in kept.collect())
+    assert kept.columns == df.columns and [g[0] for g in got].count("5") == 1
+    assert sorted(g[2] for g in got if g[1] != "lone") == ["r", "s", "t", "u", "y"] and sum(g[1] == "lone" for g in got) == 1
