@@ -28,16 +28,37 @@ from gridreach.session import cut
 #: Bytes of letters: A-Z lower-cased, a-z and every byte of a multi-byte character; the rest separates terms.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 END = b"\0"
-#: First prefix length in bytes (each level doubles it), bits of the survivors' bitmap, sums a scan task holds.
-FIRST, BITS, HELD = 4, 1 << 23, 1 << 17
+GAP = END + b" "
+#: First prefix length in bytes and what each level multiplies it by; bits of the survivors' bitmap.
+FIRST, GROWTH, BITS = 8, 4, 1 << 23
+#: Sums (or distinct terms) a scan task holds, verdicts it remembers of a language, occurrences it adds up at a time.
+HELD, KNOWN, LOT = 1 << 18, 1 << 16, 1 << 21
 #: Sources of one side of a tile, counts of one tile (on average).
 BLOCK, TILE = 64, 1 << 16
 SCALE = 1_000_000_000
 
 
 def terms(text: bytes | None) -> list[bytes]:
-    """All terms of a text in order."""
-    return (text or b"").translate(FOLD).split()
+    """All terms of a text in order, END behind each; bare ENDs, which stand for gaps, are among them."""
+    return ((text or b"").translate(FOLD) + b" ").replace(b" ", GAP).split()
+
+
+class Alive:
+    """Whether the bitmap holds a prefix of a language; verdicts are remembered up to a bound."""
+
+    def __init__(self, bits: bytes, lang: str) -> None:
+        self.bits, self.seed, self.known = bits, zlib.crc32(lang.encode() + END), {END: False}
+
+    def among(self, prefixes: set[bytes]) -> set[bytes]:
+        known = self.known
+        fresh = prefixes.difference(known)
+        if len(known) + len(fresh) > KNOWN:
+            self.known = known = {END: False}
+            fresh = prefixes - {END}
+        for p in fresh:
+            at = zlib.crc32(p, self.seed) % BITS
+            known[p] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return {p for p in prefixes if known[p]}
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -60,6 +81,7 @@ def _level(texts: DataFrame, size: int, before: int, alive: bytes | None) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter[bytes]] = defaultdict(Counter)
+        filters: dict[str, Alive] = {}
         n = 0
 
         def out() -> pa.RecordBatch:
@@ -71,14 +93,14 @@ def _level(texts: DataFrame, size: int, before: int, alive: bytes | None) -> Dat
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), raw(batch, "text"), strict=True):
-                seed = zlib.crc32(lang.encode() + END)
                 held = set(terms(text))
+                held.discard(END)
                 if alive is not None:
-                    heads = {t[:before] for t in held if len(t) >= before}
-                    heads = {h for h in heads if alive[(at := zlib.crc32(h, seed) % BITS) >> 3] >> (at & 7) & 1}
-                    held = {t for t in held if t[:before] in heads and len(t) >= before}
+                    held = {t for t in held if len(t) > before}
+                    heads = filters.setdefault(lang, Alive(alive, lang)).among({t[:before] for t in held})
+                    held = {t for t in held if t[:before] in heads}
                 had = len(sums[lang])
-                sums[lang].update({(t + END)[:size] for t in held})
+                sums[lang].update({t[:size] for t in held})
                 n += len(sums[lang]) - had
                 if n >= HELD:
                     yield out()
@@ -99,7 +121,7 @@ def kept_terms(docs: DataFrame, least: int = 10) -> DataFrame:
         open_ = counted.where("not whole")
         if open_.isEmpty():
             break
-        size, before, alive = size * 2, size, bitmap(open_)
+        size, before, alive = size * GROWTH, size, bitmap(open_)
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
@@ -107,35 +129,73 @@ def kept_terms(docs: DataFrame, least: int = 10) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) occurrences of kept terms, without zeros."""
-    alive = bitmap(kept.select("lang", F.col("term").cast("binary").alias("prefix")))
+    """(lang, source, term, n) occurrences of kept terms, without zeros.
+
+    A task numbers its terms, adds occurrences up as (term, group) numbers and sends one row a term with its groups' counts.
+    Groups travel as 64-bit hashes of (lang, source), with a seed that keeps all groups apart.
+    """
+    texts = _texts(docs)
+    named = cut(texts.select("lang", "source").distinct())
+    seed, n = 0, named.count()
+    group = lambda: F.xxhash64("lang", "source", F.lit(seed))
+    while named.select(group().alias("g")).distinct().count() < n:
+        seed += 1
+    alive = bitmap(kept.select("lang", F.concat(F.col("term").cast("binary"), F.lit(END)).alias("prefix")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
-        n = 0
+        filters: dict[str, Alive] = {}
+        ids: dict[str, dict[bytes, int]] = {}
+        names: list[tuple[str, bytes]] = []
+        groups: dict[int, int] = {}
+        parts: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            groups = [g for g, c in sums.items() for _ in range(len(c))]
-            columns = [[g[0] for g in groups], [g[1] for g in groups], [t.decode() for c in sums.values() for t in c], [n for c in sums.values() for n in c.values()]]
-            sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()], strict=True)], ["lang", "source", "term", "n"])
+            code, times = np.unique(np.concatenate(parts), return_counts=True)
+            term, g = code // len(groups), np.array(list(groups), np.int64)[code % len(groups)]
+            first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
+            offsets = pa.array(np.concatenate((first, [len(term)])).astype(np.int32))
+            rows = [names[i] for i in term[first].tolist()]
+            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1][:-1].decode() for r in rows], pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (g, times.astype(np.int64))]], ["lang", "term", "g", "n"])
+
+        pending: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            parts.extend(t * len(groups) + groups[g] for g, t in pending)  # the number of groups is known now
+            batch = out()
+            parts.clear()
+            pending.clear()
+            groups.clear()
+            return batch
 
         for batch in batches:
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), raw(batch, "text"), strict=True):
-                seed = zlib.crc32(lang.encode() + END)
+            for lang, g, text in zip(batch.column("lang").to_pylist(), batch.column("g").to_pylist(), raw(batch, "text"), strict=True):
                 found = terms(text)
-                good = {t for t in set(found) if alive[(at := zlib.crc32(t, seed) % BITS) >> 3] >> (at & 7) & 1}
-                had = len(sums[lang, source])
-                sums[lang, source].update(filter(good.__contains__, found))
-                n += len(sums[lang, source]) - had
-                if n >= HELD:
-                    yield out()
-                    n = 0
-        if sums:
-            yield out()
-
-    counted = _texts(docs).mapInArrow(scan, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
+                mine = ids.setdefault(lang, {END: -1})
+                fresh = set(found).difference(mine)
+                good = filters.setdefault(lang, Alive(alive, lang)).among(fresh)
+                for t in fresh:
+                    mine[t] = len(names) if t in good else -1
+                    if t in good:
+                        names.append((lang, t))
+                at = np.fromiter(map(mine.__getitem__, found), np.int64, len(found))
+                groups.setdefault(g, len(groups))
+                pending.append((g, at[at >= 0]))
+                held += len(pending[-1][1])
+                if held >= LOT or sum(map(len, ids.values())) > HELD or len(pending) >= HELD:
+                    yield flush()
+                    held = 0
+                    if sum(map(len, ids.values())) > HELD:
+                        ids.clear()
+                        names.clear()
+        if pending:
+            yield flush()
+
+    rows = texts.select("lang", group().alias("g"), "text").mapInArrow(scan, "lang string, term string, g array<long>, n array<long>")
+    each = rows.select("lang", "term", F.inline(F.arrays_zip("g", "n")))
+    counted = each.groupBy("lang", "g", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    return counted.join(named.select("source", group().alias("g")), "g").select("lang", "source", "term", "n")
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
@@ -217,7 +277,7 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     the source uses more than its language does.  Null text, lang and source count as empty strings.  Every row is one document,
     repeated ids and rows included; a null id is a document too.  Ties are broken by the item's bytes.  A language without kept terms has
     pairs of value 0 and no term; a source alone in its language has no pair.  Very long texts and terms cost one more scan for each
-    doubling of the longest kept term.  Extra columns are ignored, an empty table gives an empty result.
+    GROWTH-fold of the longest kept term.  Extra columns are ignored, an empty table gives an empty result.
     """
     kept = cut(kept_terms(docs, least))
     counts = cut(term_counts(docs, kept))

@@ -47,6 +47,8 @@ def test_equals_plain_counting(spark, monkeypatch):
     monkeypatch.setattr(dv, "BLOCK", 3)
     monkeypatch.setattr(dv, "TILE", 40)
     monkeypatch.setattr(dv, "HELD", 30)
+    monkeypatch.setattr(dv, "KNOWN", 4)
+    monkeypatch.setattr(dv, "LOT", 50)
     rng = random.Random(4)
     vocab = ["a", "ab", "abc", "abcd", "abcde", "abcdefgh", "abcdefghi", "ABCD", "É", "é", "straße", "日本語", "x" * 40, "x" * 41, "zeta", "omega"]
     rows = [(rng.choice(["en", "de"]), f"s{rng.randrange(8)}", " ".join(rng.choices(vocab, weights=[1 + (i % 5) ** 2 for i in range(16)], k=rng.randrange(9)))) for _ in range(150)]
