@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as f
 
 import corpus_pipeline as cp
 from gridreach.llm import queries
@@ -41,10 +42,27 @@ def test_empty_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for f in os.listdir(SF):
-        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    for file in os.listdir(SF):
+        con.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     rows = lambda d: sorted(map(tuple, d[cols].astype(str).to_numpy().tolist()))
     assert rows(got) == rows(want)
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids and texts, empty texts, repeated rows and columns whose names the stages use themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(50)
+    names = ["_bad", "_gone", "_hit", "_id", "_own", "component_id", "spans"]
+    schema = docs.schema
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id", "xx", "s", 20), (9001, None, "xx", None, 0), (9002, "", None, "s", None), (9003, "twice the same row", "xx", "s", 18), (9003, "twice the same row", "xx", "s", 18)], schema)
+    seen = [cut(docs.unionByName(odd).select("*", *[f.lit(i).alias(n) for i, n in enumerate(names)]))]
+    for _, stage in cp.STAGES:
+        seen.append(cut(stage(spark, seen[-1], SF)))
+    assert all(d.columns == seen[0].columns for d in seen[:-1])
+    assert all(d.where(" or ".join(f"{n} <> {i}" for i, n in enumerate(names))).isEmpty() for d in seen[:-1])
+    rows = [[r.doc_id for r in d.collect()] for d in seen]
+    assert rows[1].count(None) == 2 and rows[2].count(None) == 2 and rows[3].count(None) == rows[4].count(None) == 2
+    assert rows[2].count(9003) <= 1 and sorted(map(str, rows[3])) == sorted(map(str, rows[4]))
+    assert {str(r) for r in rows[5]} == {str(r) for r in rows[4]}
