@@ -99,10 +99,12 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42, draw: Column |
     return df.orderBy(h, F.col(key)).limit(n)
 
 
-def pixels_in_window(px: DataFrame, rows: tuple[int, int], cols: tuple[int, int], size: float, nodata: float) -> DataFrame:
-    """Valid pixels of a window with their footprint box; the window reaches the scan as a filter."""
+def pixels_in_window(px: DataFrame, size: float, nodata: float, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """Valid pixels of a window with their footprint box; a window reaches the scan as a filter, None leaves that axis whole."""
     v = F.col("value")
-    keep = F.col("r").between(*rows) & F.col("c").between(*cols) & v.isNotNull() & ~F.isnan(v) & (v != nodata) & (v >= 0)
+    keep = v.isNotNull() & ~F.isnan(v) & (v != nodata) & (v >= 0)
+    for axis, window in (("r", rows), ("c", cols)):
+        keep = keep if window is None else keep & F.col(axis).between(*window)
     box = [(F.col("c") * size).alias("x0"), (F.col("r") * size).alias("y0"), ((F.col("c") + 1) * size).alias("x1"), ((F.col("r") + 1) * size).alias("y1")]
     return px.where(keep).select("r", "c", "value", *box)
 
