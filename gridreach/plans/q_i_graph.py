@@ -267,10 +267,10 @@ def i17(w):
 ADJ_FAST = "(select a.grid_id as src, b.grid_id as dst from grid a, (select unnest([-1,0,1]) as dx) p, (select unnest([-1,0,1]) as dy) q, grid b where b.ix=a.ix+dx and b.iy=a.iy+dy and not (dx=0 and dy=0))"
 
 
-@query("i18_queen", "grid features", f"select src, dst from {ADJ_FAST} a where src in (select grid_id from features where n_poi>0) and dst in (select grid_id from features where n_poi>0)")
+@query("i18_queen", "grid", f"select src, dst from {ADJ_FAST} a")
 def i18(w):
-    """Contiguity among the cells with a place."""
-    return ce.queen(w.features.where("n_poi > 0").select("grid_id", "ix", "iy"))
+    """Contiguity among all cells."""
+    return ce.queen(w.grid)
 
 
 @query("i19_fragmentation", "cell_labels", "select la, count(*) as n_cells, cast(1 as bigint) as n_patches, 1e0 as largest_share from cell_labels group by 1")

@@ -21,3 +21,11 @@ def test_raster_window_is_whole(spark):
     q = all_queries()["a8_raster_window"]
     assert compare(q.build(World(spark, SF)), con, q.oracle()) is None
     assert n == World(spark, SF).pixel.where("pop <> 7 and pop >= 0").count()
+
+
+def test_queen_takes_every_cell(spark):
+    con, n = _oracle_count("i18_queen")
+    q, w = all_queries()["i18_queen"], World(spark, SF)
+    assert compare(q.build(w), con, q.oracle()) is None
+    wide, tall = 40, w.grid.count() // 40
+    assert n == 2 * (tall * (wide - 1) + wide * (tall - 1) + 2 * (wide - 1) * (tall - 1))
