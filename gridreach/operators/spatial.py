@@ -58,12 +58,17 @@ def _around(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame
     return df.withColumn("_bx", F.explode(F.sequence(bx - 1, bx + 1))).withColumn("_by", F.explode(F.sequence(by - 1, by + 1)))
 
 
+def _on_tiles(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join of rows spread over tiles, always shuffled: Spark's size estimate knows nothing of the spreading, so a side it would broadcast can be many times larger."""
+    return left.join(right.hint("merge"), list(keys))
+
+
 def radius_pairs(a: DataFrame, b: DataFrame, r: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs within r (inclusive). a has (x, y); b's columns must not clash except `on`; b has (bx, by)."""
     left = _around(a, r)
     right = b.withColumn("_bx", tile(F.col("b_x"), r)).withColumn("_by", tile(F.col("b_y"), r))
     dx, dy = F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y")
-    return left.join(right, [*on, "_bx", "_by"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= float(r) ** 2).drop("_bx", "_by")
+    return _on_tiles(left, right, [*on, "_bx", "_by"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= float(r) ** 2).drop("_bx", "_by")
 
 
 def as_target(df: DataFrame, *keep: str, **renamed: str) -> DataFrame:

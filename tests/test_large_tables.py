@@ -1,7 +1,9 @@
 """Joins, searches and statistics whose cost shows on large tables only."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from gridreach.operators import spatial as sp
 from gridreach.plans import all_queries
 from gridreach.plans.world import BASE, World
 from tests.check import compare
@@ -16,6 +18,10 @@ def _oracle_count(name):
     return con, con.execute(f"select count(*) from ({all_queries()[name].oracle()}) t").fetchall()[0][0]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_raster_window_is_whole(spark):
     con, n = _oracle_count("a8_raster_window")
     q = all_queries()["a8_raster_window"]
@@ -29,3 +35,12 @@ def test_queen_takes_every_cell(spark):
     assert compare(q.build(w), con, q.oracle()) is None
     wide, tall = 40, w.grid.count() // 40
     assert n == 2 * (tall * (wide - 1) + wide * (tall - 1) + 2 * (wide - 1) * (tall - 1))
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    p = spark.range(200).select(F.col("id").alias("poi_id"), (F.col("id") * 37 % 500).cast("double").alias("x"), (F.col("id") * 91 % 500).cast("double").alias("y"))
+    out = sp.near_pairs(p, "poi_id", 50.0)
+    assert "Broadcast" not in _plan(out)
+    rows = {(r.poi_id, r.x, r.y) for r in p.collect()}
+    want = {(a, b) for a, ax, ay in rows for b, bx, by in rows if a < b and (ax - bx) ** 2 + (ay - by) ** 2 <= 2500}
+    assert {(r.a_id, r.b_id) for r in out.collect()} == want
