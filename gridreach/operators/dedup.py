@@ -58,40 +58,58 @@ def dedup_greedy(stops: DataFrame, key: str, by: str, r: float = 20.0) -> DataFr
     return stops.join(ids, key, "left_semi")
 
 
-def near_share(segs: DataFrame, ids: Sequence[str], ref: DataFrame, buf: float, size: float = 200.0) -> DataFrame:
-    """Covered share of each segment that lies within buf of any reference segment.
+def near_parts(parts: DataFrame, ref: DataFrame, buf: float, size: float) -> DataFrame:
+    """Adds `covered`: how much of a segment's length lies in the part t0 to t1 and within buf of a reference.
 
-    Reference segments are put into every tile their buffered box touches.  A
-    segment meets a reference in several tiles; the copies collapse to one
-    interval per (segment, start) before intervals are merged.
+    parts has (_bx, _by, x1, y1, x2, y2, t0, t1), each part inside its tile.
+    Reference segments are listed once for every tile their buffer touches.  A
+    part meets the list of its own tile, and its intervals are merged inside
+    the row: no row for a pair, nothing to merge between tiles.
     """
     cols = ("x1", "y1", "x2", "y2")
-    r = ref.select(*[F.col(c).alias(f"r_{c}") for c in cols]).distinct()
-    rx1, ry1, rx2, ry2 = (F.col(f"r_{c}") for c in cols)
-    right = sp._box_tiles(r, size, F.least(rx1, rx2) - buf, F.least(ry1, ry2) - buf, F.greatest(rx1, rx2) + buf, F.greatest(ry1, ry2) + buf)
+    rx1, ry1, rx2, ry2 = (F.col(c) for c in cols)
+    r = sp._box_tiles(ref.select(*cols).distinct(), size, F.least(rx1, rx2) - buf, F.least(ry1, ry2) - buf, F.greatest(rx1, rx2) + buf, F.greatest(ry1, ry2) + buf)
     # keep only tiles the reference's buffer can touch: distance of the tile centre to the segment
     half_diag = size * 0.7072
     away = g.point_segment_distance((F.col("_bx") + 0.5) * size, (F.col("_by") + 0.5) * size, rx1, ry1, rx2, ry2)
-    right = right.where(away <= half_diag + buf)
-    left = sp.segment_tiles(segs.select(*ids, *cols), size)
-    pairs = left.join(right, ["_bx", "_by"])
-    x1, y1, x2, y2 = (F.col(c) for c in cols)
-    apart = (
-        (F.least(x1, x2) > F.greatest(rx1, rx2) + buf) | (F.least(rx1, rx2) > F.greatest(x1, x2) + buf)
-        | (F.least(y1, y2) > F.greatest(ry1, ry2) + buf) | (F.least(ry1, ry2) > F.greatest(y1, y2) + buf)
-    )
-    pairs = pairs.where(~apart).drop("_bx", "_by")
-    t = g.near_interval(x1, y1, x2, y2, rx1, ry1, rx2, ry2, buf)
-    hits = pairs.select(*ids, t.alias("_t")).where(F.col("_t.t0") < F.col("_t.t1")).select(*ids, F.col("_t.t0").alias("t0"), F.col("_t.t1").alias("t1"))
-    return sp.covered_share(hits, list(ids))
+    lists = r.where(away <= half_diag + buf).groupBy("_bx", "_by").agg(F.collect_list(F.struct(*cols)).alias("_refs"))
+    # hashed, as the parts need no order; never broadcast, as the size of the lists is not known beforehand
+    met = parts.join(lists.hint("shuffle_hash"), ["_bx", "_by"], "left")
+    x1, y1, x2, y2, t0, t1 = (F.col(c) for c in (*cols, "t0", "t1"))
+    px1, py1, px2, py2 = x1 + t0 * (x2 - x1), y1 + t0 * (y2 - y1), x1 + t1 * (x2 - x1), y1 + t1 * (y2 - y1)
+    box = F.struct(F.least(px1, px2).alias("x0"), F.least(py1, py2).alias("y0"), F.greatest(px1, px2).alias("x1"), F.greatest(py1, py2).alias("y1"))
+    met = met.withColumn("_box", box)
+
+    def close(q):
+        b = F.col("_box")
+        return (
+            (F.least(q.x1, q.x2) <= b.x1 + buf) & (F.greatest(q.x1, q.x2) >= b.x0 - buf)
+            & (F.least(q.y1, q.y2) <= b.y1 + buf) & (F.greatest(q.y1, q.y2) >= b.y0 - buf)
+        )
+
+    def inside(q):
+        hit = g.near_interval(x1, y1, x2, y2, q.x1, q.y1, q.x2, q.y2, buf)
+        return g.let(hit, lambda t: F.struct(F.when(t.t0 < t.t1, F.greatest(t.t0, t0)).alias("t0"), F.least(t.t1, t1).alias("t1")))
+
+    spans = F.sort_array(F.filter(F.transform(F.filter("_refs", close), inside), lambda t: t.t0 < t.t1))
+    start = F.struct(F.lit(0.0).alias("end"), F.lit(0.0).alias("sum"))
+    step = lambda a, t: F.struct(F.greatest(a.end, t.t1).alias("end"), (a.sum + F.greatest(t.t1 - F.greatest(t.t0, a.end), F.lit(0.0))).alias("sum"))
+    covered = F.aggregate(spans, start, step, lambda a: a.sum)
+    return met.select(*parts.columns, F.coalesce(covered, F.lit(0.0)).alias("covered"))
+
+
+def near_share(segs: DataFrame, ids: Sequence[str], ref: DataFrame, buf: float, size: float = 500.0) -> DataFrame:
+    """Covered share of each segment that lies within buf of any reference segment."""
+    segs = segs.select(*ids, *[c for c in ("x1", "y1", "x2", "y2") if c not in ids])
+    parts = near_parts(sp.segment_parts(segs, size), ref, buf, size).where(F.col("covered") > 0)
+    return parts.groupBy(*ids).agg(F.sum("covered").alias("covered"))
 
 
 def drop_overlapping(cand: DataFrame, line_id: str, ref: DataFrame, buf: float = 15.0, share: float = 0.5) -> DataFrame:
     """Drop candidate lines with more than `share` of their length within buf of the reference."""
     segs = cand.withColumn("_len", g.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     segs = segs.groupBy(line_id, "x1", "y1", "x2", "y2").agg(F.sum("_len").alias("_len"))  # repeated pieces once
-    covered = near_share(segs, [line_id, "x1", "y1", "x2", "y2", "_len"], ref, buf)
-    near = covered.groupBy(line_id).agg(F.sum(F.col("covered") * F.col("_len")).alias("_near"))
+    near = near_parts(sp.segment_parts(segs, 500.0), ref, buf, 500.0).where(F.col("covered") > 0).groupBy(line_id).agg(F.sum(F.col("covered") * F.col("_len")).alias("_near"))
     total = segs.groupBy(line_id).agg(F.sum("_len").alias("_all"))
     bad = total.join(near, line_id).where(F.try_divide("_near", "_all") > share).select(line_id)
     return cand.join(bad, line_id, "left_anti")

@@ -369,15 +369,20 @@ def overlay_rings(polys: DataFrame, grid_cols: DataFrame | None, size: float) ->
     return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 
-def overlay_segments(segs: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
-    """Segment x cell pieces with t0, t1 and `piece_m`."""
+def segment_parts(segs: DataFrame, size: float) -> DataFrame:
+    """One row per tile (_bx, _by) that holds a part t0 < t1 of a segment."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     cand = _box_tiles(segs, size, F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))
     t = g.clip_segment(x1, y1, x2, y2, F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
-    pieces = cand.withColumn("_t", t).where(F.col("_t.t0") < F.col("_t.t1"))
-    length = g.distance(x1, y1, x2, y2)
-    pieces = pieces.select("*", F.col("_t.t0").alias("t0"), F.col("_t.t1").alias("t1")).withColumn("piece_m", (F.col("t1") - F.col("t0")) * length)
-    pieces = pieces.drop("_t").withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy")
+    parts = cand.withColumn("_t", t).where(F.col("_t.t0") < F.col("_t.t1"))
+    return parts.select("*", F.col("_t.t0").alias("t0"), F.col("_t.t1").alias("t1")).drop("_t")
+
+
+def overlay_segments(segs: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
+    """Segment x cell pieces with t0, t1 and `piece_m`."""
+    length = g.distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    pieces = segment_parts(segs, size).withColumn("piece_m", (F.col("t1") - F.col("t0")) * length)
+    pieces = pieces.withColumnRenamed("_bx", "ix").withColumnRenamed("_by", "iy")
     return pieces if grid_cols is None else pieces.join(grid_cols, ["ix", "iy"])
 
 

@@ -214,13 +214,19 @@ _PARTS = f"""(select grid_id, x1+t0*dx as x1, y1+t0*dy as y1, x1+t1*dx as x2, y1
 )
 def f15(w):
     r = w.road.groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("copies"))
-    p = sp.overlay_segments(r, cells(w), 500.0).withColumn("dx", F.col("x2") - F.col("x1")).withColumn("dy", F.col("y2") - F.col("y1"))
-    p = p.select("grid_id", "copies", "piece_m", (F.col("x1") + F.col("t0") * F.col("dx")).alias("x1"), (F.col("y1") + F.col("t0") * F.col("dy")).alias("y1"), (F.col("x1") + F.col("t1") * F.col("dx")).alias("x2"), (F.col("y1") + F.col("t1") * F.col("dy")).alias("y2"))
-    ids = ["grid_id", "x1", "y1", "x2", "y2", "copies", "piece_m"]
-    near = dd.near_share(p, ids, w.cycleway, 60.0).groupBy("grid_id").agg(F.sum(F.col("covered") * F.col("piece_m") * F.col("copies")).alias("near_m"))
-    tot = p.groupBy("grid_id").agg(F.sum(F.col("piece_m") * F.col("copies")).alias("road_m"))
-    j = w.grid.select("grid_id").join(tot, "grid_id", "left").join(near, "grid_id", "left")
-    return j.select("grid_id", F.round(F.try_divide(F.when(F.col("road_m") > 0, F.coalesce("near_m", F.lit(0.0))), F.col("road_m")) * 100, 4).alias("pct_near"))
+    at = lambda a, b, t: (F.col(a) + F.col(t) * (F.col(b) - F.col(a)))
+    p = sp.overlay_segments(r, None, 500.0).select(
+        F.col("ix").alias("_bx"), F.col("iy").alias("_by"), "copies", "piece_m",
+        at("x1", "x2", "t0").alias("x1"), at("y1", "y2", "t0").alias("y1"), at("x1", "x2", "t1").alias("x2"), at("y1", "y2", "t1").alias("y2"),
+    )
+    # parted by cell once, for the count of equal pieces, the meeting with the cycleways and the sums
+    p = p.repartition("_bx", "_by").groupBy(*p.columns).agg(F.count("*").alias("same"))
+    p = dd.near_parts(p.withColumn("t0", F.lit(0.0)).withColumn("t1", F.lit(1.0)), w.cycleway, 60.0, 500.0)
+    per = p.groupBy(F.col("_bx").alias("ix"), F.col("_by").alias("iy")).agg(
+        F.sum(F.col("piece_m") * F.col("copies") * F.col("same")).alias("road_m"), F.sum(F.col("covered") * F.col("piece_m") * F.col("copies")).alias("near_m")
+    )
+    j = w.grid.select("grid_id", "ix", "iy").join(per, ["ix", "iy"], "left")
+    return j.select("grid_id", F.round(F.try_divide("near_m", "road_m") * 100, 4).alias("pct_near"))
 
 
 @query("f16_mode_per_group", "cell_labels", "select district, lb, n from (select district, lb, count(*) as n, row_number() over (partition by district order by count(*) desc, lb) as rn from cell_labels group by 1,2) t where rn=1")

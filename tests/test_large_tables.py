@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from gridreach.operators import dedup as dd
 from gridreach.operators import spatial as sp
 from gridreach.plans import all_queries
 from gridreach.plans.world import BASE, World
@@ -44,3 +45,16 @@ def test_near_pairs_are_not_broadcast(spark):
     rows = {(r.poi_id, r.x, r.y) for r in p.collect()}
     want = {(a, b) for a, ax, ay in rows for b, bx, by in rows if a < b and (ax - bx) ** 2 + (ay - by) ** 2 <= 2500}
     assert {(r.a_id, r.b_id) for r in out.collect()} == want
+
+
+def test_line_overlap_makes_no_pair_rows(spark):
+    # 400 parallel lines, each within reach of all references: rows between stages stay near the lines and references
+    lines = spark.range(400).select(F.col("id").alias("line_id"), F.lit(0.0).alias("x1"), (F.col("id") / 100).alias("y1"), F.lit(450.0).alias("x2"), (F.col("id") / 100).alias("y2"))
+    ref = spark.range(400).select((F.col("id") + 0.5).alias("x1"), F.lit(1.0).alias("y1"), (F.col("id") + 1.0).alias("x2"), F.lit(1.0).alias("y2"))
+    parts = dd.near_parts(sp.segment_parts(lines, 500.0), ref, 15.0, 500.0)
+    assert parts.count() == 400 and "Generate" not in _plan(dd.near_parts(sp.segment_parts(lines, 500.0), ref, 15.0, 500.0)).split("ShuffledHashJoin")[0]
+    got = dd.near_share(lines, ["line_id"], ref, 15.0)
+    assert got.count() == 400
+    worst = got.agg(F.min("covered"), F.max("covered")).first()
+    reach = 400 + (15.0**2 - 3.0**2) ** 0.5  # the least and the most a line 0 to 3 m away can have
+    assert reach / 450 - 1e-9 <= worst[0] and worst[1] <= 415 / 450 + 1e-9
