@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridreach.operators import ordered as o
+from gridreach.operators import permute
 from gridreach.operators import relational as rel
 from gridreach.operators.dedup import to_undirected
 from gridreach.session import cut, settled
@@ -450,15 +451,15 @@ def morans_by_label(labels: DataFrame, adj: DataFrame, label: str, classes: Sequ
 def moran_permutation(values: DataFrame, adj: DataFrame, value: str, perms: int, seed: int = 42) -> DataFrame:
     """Observed I, permutation mean and deviation, z and pseudo p.
 
-    Each permutation orders the cells by a hash of (cell, permutation, seed);
-    the value at position k of the id order moves to position k of that order.
+    A permutation leaves the values' mean and squares and the cells with neighbours as they are, so only the sum of products
+    is taken anew for each.  Cells without a value take no part.
     """
-    base = values.select("grid_id", F.col(value).alias("v"))
-    home = o.row_index(base, ["grid_id"], name="k").select("k", "v")
-    ids = base.select("grid_id", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
-    ids = ids.withColumn("_h", F.xxhash64("grid_id", "perm", F.lit(seed)))
-    slots = o.row_index(ids, ["_h", "grid_id"], ["perm"], name="k").select("perm", "k", "grid_id")
-    sim = morans_i(slots.join(home, "k").select("perm", "grid_id", "v"), adj, "v", ["perm"])
+    base = cut(values.select("grid_id", F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull()))
+    adj = cut(adj.join(base.select(F.col("grid_id").alias("src")), "src", "left_semi").join(base.select(F.col("grid_id").alias("dst")), "dst", "left_semi"))
+    fixed = base.agg(F.count("*").alias("_n"), F.var_pop("v").alias("_var")).withColumn("_s0", adj.agg(F.count_distinct("src")).scalar())
+    sums = permute.neighbour_products(base, adj, "v", perms, seed).withColumn("_f", o.scalar_row(fixed))
+    # n * num / (s0 * sum of squares), and the sum of squares is n times the variance
+    sim = sums.select("perm", F.try_divide("num", F.col("_f._s0") * F.col("_f._var")).alias("moran_i"))
     obs = morans_i(base, adj, "v")
     s = sim.withColumn("_o", obs.select("moran_i").scalar())
     s = s.agg(F.max("_o").alias("moran_i"), F.avg("moran_i").alias("sim_mean"), F.stddev_pop("moran_i").alias("sim_std"), F.count_if(F.col("moran_i") >= F.col("_o")).alias("_ge"), F.count("*").alias("n_perms"))

@@ -1,9 +1,14 @@
 """Joins, searches and statistics whose cost shows on large tables only."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from gridreach.operators import cells as ce
 from gridreach.operators import dedup as dd
+from gridreach.operators import graph as gr
+from gridreach.operators import permute
 from gridreach.operators import spatial as sp
 from gridreach.plans import all_queries
 from gridreach.plans.world import BASE, World
@@ -58,3 +63,35 @@ def test_line_overlap_makes_no_pair_rows(spark):
     worst = got.agg(F.min("covered"), F.max("covered")).first()
     reach = 400 + (15.0**2 - 3.0**2) ** 0.5  # the least and the most a line 0 to 3 m away can have
     assert reach / 450 - 1e-9 <= worst[0] and worst[1] <= 415 / 450 + 1e-9
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 5000])
+def test_keyed_shuffle_is_a_permutation(n):
+    at = np.arange(n)
+    for p in range(1, 6):
+        to = permute.shuffled(at, n, p, 42)
+        assert sorted(to) == list(at)
+        assert (permute.shuffled(to, n, p, 42, back=True) == at).all()
+
+
+def test_permuted_products_in_blocks_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(permute, "BLOCK", 16)
+    cells = spark.createDataFrame([(i * 12 + j, i, j, float((i * 5 + j * j) % 7)) for i in range(12) for j in range(12)], "grid_id long, ix long, iy long, v double")
+    adj = ce.queen(cells)
+    got = {r.perm: r.num for r in permute.neighbour_products(cells, adj, "v", 30, 1).collect()}
+    v = np.array([r.v for r in cells.orderBy("grid_id").collect()])
+    pairs = np.array([(r.src, r.dst) for r in adj.collect()])
+    degree = np.bincount(pairs[:, 0])
+    for p in range(1, 31):
+        z = np.empty(144)
+        z[permute.shuffled(np.arange(144), 144, p, 1)] = v - v.mean()
+        assert abs(got[p] - (z[pairs[:, 0]] * z[pairs[:, 1]] / degree[pairs[:, 0]]).sum()) < 1e-9
+    halves = spark.createDataFrame([(r.grid_id, r.v + 0.5) for r in cells.collect()], "grid_id long, v double")
+    assert all(abs(r.num - got[r.perm]) < 1e-9 for r in permute.neighbour_products(halves, adj, "v", 30, 1).collect())
+
+
+def test_permutation_moments_follow_theory(spark):
+    cells = spark.createDataFrame([(i * 20 + j, i, j, float((i * 31 + j * 17) % 10)) for i in range(20) for j in range(20)], "grid_id long, ix long, iy long, v double")
+    r = gr.moran_permutation(cells.select("grid_id", "v"), ce.queen(cells), "v", 999).first()
+    assert r.n_perms == 999 and abs(r.sim_mean + 1 / 399) < 0.004 and 0.02 < r.sim_std < 0.035
+    assert abs(r.moran_i - gr.morans_i(cells, ce.queen(cells), "v").first().moran_i) < 1e-12
