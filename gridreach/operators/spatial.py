@@ -199,11 +199,11 @@ def _ring_search(
             summary = items.groupBy(*tiles).agg(F.count("*").alias("_n")).select(
                 *on, F.col("_bx").alias("_fx"), F.col("_by").alias("_fy"), "_n", F.floor(F.col("_bx") / 4).alias("_bx"), F.floor(F.col("_by") / 4).alias("_by")
             )
-            near = cut(_within_cut(near.join(summary, tiles).drop("_bx", "_by"), keys, fine, enough))
+            near = cut(_within_cut(_on_tiles(near, summary, tiles).drop("_bx", "_by"), keys, fine, enough))
             named = near.withColumnsRenamed({"_fx": "_bx", "_fy": "_by"})
             crowded = named.where(F.col("_n") > leaf) if depth < DEEPEST else named.where(F.lit(False))
             calm = named.where(F.col("_n") <= leaf) if depth < DEEPEST else named
-            found_items.append(calm.select(*keys, "x", "y", *[c for c in tiles if c not in keys]).join(items, tiles).drop(*[c for c in on if c not in keys]))
+            found_items.append(_on_tiles(calm.select(*keys, "x", "y", *[c for c in tiles if c not in keys]), items, tiles).drop(*[c for c in on if c not in keys]))
             if depth == DEEPEST or crowded.isEmpty():
                 break
             items = cut(opened(items.join(crowded.select(*tiles).distinct(), tiles, "left_semi"), fine))

@@ -95,3 +95,20 @@ def test_permutation_moments_follow_theory(spark):
     r = gr.moran_permutation(cells.select("grid_id", "v"), ce.queen(cells), "v", 999).first()
     assert r.n_perms == 999 and abs(r.sim_mean + 1 / 399) < 0.004 and 0.02 < r.sim_std < 0.035
     assert abs(r.moran_i - gr.morans_i(cells, ce.queen(cells), "v").first().moran_i) < 1e-12
+
+
+def test_nearest_search_shuffles_its_tiles(spark, monkeypatch):
+    plain, plans = sp._on_tiles, []
+
+    def seen(left, right, keys):
+        out = plain(left, right, keys)
+        plans.append(_plan(out))
+        return out
+
+    monkeypatch.setattr(sp, "_on_tiles", seen)
+    at = lambda n, m, name: spark.range(n).select(F.col("id").alias(name), (F.col("id") * m % 997).cast("double").alias("x"), (F.col("id") * 7 * m % 991).cast("double").alias("y"))
+    a, b = at(50, 37, "a"), at(80, 61, "b")
+    got = {r.a: r.dist for r in sp.nearest(a, "a", b, "b").collect()}
+    assert len(plans) >= 2 and not any("BroadcastHashJoin" in p for p in plans)
+    points = [(r.x, r.y) for r in b.collect()]
+    assert all(abs(got[r.a] - min(((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5 for x, y in points)) < 1e-9 for r in a.collect())
