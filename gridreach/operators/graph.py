@@ -12,11 +12,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridreach.operators import blocks
 from gridreach.operators import ordered as o
 from gridreach.operators import permute
 from gridreach.operators import relational as rel
 from gridreach.operators.dedup import to_undirected
-from gridreach.session import cut, settled
+from gridreach.session import cut, settled, shuffle_width
 
 WALK_KMH, CYCLE_KMH = 5.0, 15.0
 
@@ -136,16 +137,14 @@ def system_access(times: DataFrame, origins: DataFrame, stops: DataFrame, system
     return out.na.fill(0, [f"{n}_count_{m}" for n in systems for m in minutes])
 
 
-def _best_routes(edges: DataFrame, pairs: DataFrame, weight: str, max_rounds: int) -> DataFrame:
-    """(pair_id, cost, hops) of the cheapest route, fewest hops on a tie.
+def _routes_by_rounds(edges: DataFrame, pairs: DataFrame, floor: float, max_rounds: int) -> DataFrame:
+    """(pair_id, cost, hops) as `_best_routes` gives them, for pairs whose surroundings are too large for one task.
 
     Rounds relax all pairs together.  Once a pair's target has a cost, states
     that cannot beat it by straight-line distance are dropped, so the search
     ends soon after the target is met.  `pairs` must be connected pairs.
     """
-    e = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("_w"), F.min(F.col(weight) / F.col("chord")).alias("_k"), F.first("dx").alias("x"), F.first("dy").alias("y")))
-    # cost per metre of straight line is never below the smallest edge ratio
-    floor = e.agg(F.min("_k").alias("k")).first()["k"]
+    e = edges.select("src", "dst", F.col("w").alias("_w"), F.col("dx").alias("x"), F.col("dy").alias("y"))
     p = pairs.select("pair_id", "target", "tx", "ty")
     state = cut(pairs.select("pair_id", F.col("source").alias("node"), F.lit(0.0).alias("c"), F.lit(1).alias("h"), F.lit(1).alias("new")))
     for _ in range(max_rounds):
@@ -165,6 +164,76 @@ def _best_routes(edges: DataFrame, pairs: DataFrame, weight: str, max_rounds: in
     return state.join(p.select("pair_id", F.col("target").alias("node")), ["pair_id", "node"]).select("pair_id", F.col("c").alias("cost"), F.col("h").alias("hops"))
 
 
+#: Pairs searched together, and the edges that one task may hold.
+PAIRS, STREETS = 1024, 1_000_000
+
+
+def _best_routes(edges: DataFrame, pairs: DataFrame, weight: str, max_rounds: int) -> DataFrame:
+    """(pair_id, cost, hops) of the cheapest route, fewest hops on a tie.
+
+    A route of cost r stays inside the ellipse around its ends that r allows by the straight line, so pairs are searched
+    in square blocks that hold the ellipses of their pairs, each block in one task (`blocks.routes`).  A pair without a
+    route of cost r is searched again with twice the r, until one is found or the block holds all edges.  Pairs whose
+    block has more than STREETS edges go on in rounds over the whole graph.  `pairs` must be connected pairs.
+    """
+    e = cut(edges.groupBy("src", "dst").agg(F.min(weight).alias("w"), F.min(F.col(weight) / F.col("chord")).alias("_k"), *[F.first(c).alias(c) for c in ("ax", "ay", "dx", "dy")]))
+    places = [F.col(c) for c in ("ax", "ay", "dx", "dy")]
+    # cost per metre of straight line is never below the smallest edge ratio
+    seen = e.agg(F.min("_k").alias("k"), F.avg("w").alias("w"), F.count("*").alias("n"), F.count_if(F.greatest(*[F.coalesce(F.abs(c), F.lit(float("inf"))) for c in places]) == float("inf")).alias("lost")).first()
+    floor, n_edges = seen["k"], seen["n"]
+    here = pairs.where(F.col("source") == F.col("target")).select("pair_id", F.lit(0.0).alias("cost"), F.lit(1).alias("hops"))
+    todo = pairs.where(F.col("source") != F.col("target"))
+    if not n_edges:
+        return here
+    if seen["lost"] or not 0 < floor < float("inf"):
+        return here.unionByName(_routes_by_rounds(e, todo, floor or 0.0, max_rounds))
+    line = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
+    todo = cut(todo.where(line.isNotNull()).withColumn("r", 2 * F.greatest(line * floor, F.lit(seen["w"]))))
+    keys, done = ["_level", "_bx", "_by", "_part"], [here]
+    for _ in range(max_rounds):
+        if todo.isEmpty():
+            break
+        # the ellipse lies within r / 2 metres of its middle and a block's side is twice that or more; short routes share
+        # the blocks of the others, as each size of blocks is another copy of the edges
+        level = F.ceil(F.log2(F.col("r") / floor * (1 + 1e-9))).cast("int")
+        usual = todo.agg(F.percentile_approx(level, 0.9)).scalar()
+        level = F.greatest(level, usual)
+        at = todo.withColumn("_level", level).withColumn("_side", F.pow(F.lit(2.0), "_level"))
+        for b, s, t in (("_bx", "sx", "tx"), ("_by", "sy", "ty")):
+            at = at.withColumn(b, F.floor((F.col(s) + F.col(t)) / 2 / F.col("_side")))
+        at = cut(at.drop("_side"))
+        square = at.groupBy(*keys[:3]).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_parts"))
+        levels = [row["_level"] for row in at.select("_level").distinct().collect()]  # one for each power of two
+        # edges of a block and of half a block around it: each belongs to 2 x 2 blocks
+        near = e.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+        for b, a in (("_bx", "ax"), ("_by", "ay")):
+            half = F.floor(F.col(a) * 2 / F.pow(F.lit(2.0), "_level"))
+            near = near.withColumn(b, F.explode(F.array(F.floor((half - 1) / 2), F.floor((half + 1) / 2))))
+        sizes = near.groupBy(*keys[:3]).agg(F.count("*").alias("_edges"))
+        square = cut(square.join(sizes, keys[:3], "left"))
+        at = at.join(square, keys[:3]).withColumn("_part", F.pmod(F.xxhash64("pair_id"), F.col("_parts")).cast("int"))
+        at = cut(at.withColumn("r", F.when(F.col("_edges") == n_edges, F.lit(float("inf"))).otherwise(F.col("r"))))
+        calm = square.where(F.col("_edges") <= STREETS)
+        streets = near.join(calm.select(*keys[:3], F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")), keys[:3])
+        width = shuffle_width(e.sparkSession)
+        mine = at.where(F.col("_edges") <= STREETS).select(*keys, "pair_id", "source", "target", "tx", "ty", "r").repartition(width, *keys)
+        streets = streets.select(*keys, "src", "dst", "w", "dx", "dy").repartition(width, *keys)
+        kind = at.schema["pair_id"].dataType.simpleString()
+        met = cut(mine.groupBy(*keys).cogroup(streets.groupBy(*keys)).applyInArrow(lambda mine, streets: blocks.routes(mine, streets, floor), f"pair_id {kind}, cost double, hops int"))
+        done.append(met)
+        wide = at.where(F.col("_edges") > STREETS)
+        if not wide.isEmpty():
+            done.append(_routes_by_rounds(e, wide, floor, max_rounds))
+        again = at.where((F.col("_edges") <= STREETS) & (F.col("r") < float("inf"))).join(met, "pair_id", "left_anti")
+        todo = cut(again.select(*todo.columns[:-1], (F.col("r") * 2).alias("r")))
+    else:
+        raise RuntimeError(f"routes left after {max_rounds} rounds")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Per (pair_id, source, target): straight line, network length, ratio, time, path size and status.
 
@@ -177,10 +246,10 @@ def route_report(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, max_round
     e = edges.join(xy.select(F.col("node_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")), "src")
     e = e.join(xy.select(F.col("node_id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy")), "dst")
     chord = F.sqrt((F.col("ax") - F.col("dx")) ** 2 + (F.col("ay") - F.col("dy")) ** 2)
-    e = cut(e.select("src", "dst", "length_m", "time_s", "dx", "dy", F.greatest(chord, F.lit(1e-9)).alias("chord")))
+    e = cut(e.select("src", "dst", "length_m", "time_s", "ax", "ay", "dx", "dy", F.greatest(chord, F.lit(1e-9)).alias("chord")))
     comp = components(edges)
     a, b = comp.select(F.col("node").alias("source"), F.col("component").alias("_ca")), comp.select(F.col("node").alias("target"), F.col("component").alias("_cb"))
-    linked = p.join(a, "source").join(b, "target").where(F.col("_ca") == F.col("_cb")).select("pair_id", "source", "target", "tx", "ty")
+    linked = p.join(a, "source").join(b, "target").where(F.col("_ca") == F.col("_cb")).select("pair_id", "source", "target", "sx", "sy", "tx", "ty")
     linked = cut(linked)
     search = lambda weight: settled(e.sparkSession, lambda: _best_routes(e, linked, weight, max_rounds))
     by_len = search("length_m").select("pair_id", F.col("cost").alias("_len"), F.col("hops").alias("n_path_nodes"))
