@@ -51,21 +51,36 @@ def _once(at: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[at] == each)
 
 
-def spread(arrived: pa.Table, edges: pa.Table, cutoff: float):
-    """States within `cutoff` that arrivals (source, node, t) reach by the edges (src, dst, w, home, goes, entry) of their block.
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    Yields (source, node, block, t, kind): kind 0 a state, 1 a state at a node that edges from other blocks lead to,
+
+def packed(edges: pa.Table, entries: pa.Table) -> pa.Table:
+    """One row (block, edges, entries) for a block: its edges (home, goes, src, dst, w) by start and the nodes that edges of other blocks lead to, compressed."""
+    home = (edges if edges.num_rows else entries)["home"][:1].cast(pa.int64())
+    return pa.table({"block": home, "edges": pa.array([_pack(edges.sort_by("src"))], pa.binary()), "entries": pa.array([_pack(entries.select(["node"]))], pa.binary())})
+
+
+def spread(arrived: pa.Table, streets: pa.Table, cutoff: float) -> pa.Table:
+    """States within `cutoff` that arrivals (source, node, t) reach inside their block, whose streets are one row of `packed`.
+
+    Gives (source, node, block, t, kind): kind 0 a state, 1 a state at a node that edges from other blocks lead to,
     2 a state that another block has to go on from.
     """
+    if not arrived.num_rows:
+        return arrived.select(["source", "node", "block", "t"]).append_column("kind", pa.array([], pa.int32()))
+    edges, entries = (pa.ipc.open_stream(streets[c][0].as_buffer()).read_all() for c in ("edges", "entries"))
     inside = _values(edges, "home") == _values(edges, "goes")
     src, dst, w = _values(edges, "src"), _values(edges, "dst"), _values(edges, "w")
     at_node = _values(arrived, "node")
-    g = _Streets(src[inside], dst[inside], at_node, src[~inside])
-    node_at, leaves = g.more
+    g = _Streets(src[inside], dst[inside], at_node, src[~inside], _values(entries, "node"))
+    node_at, leaves, entered = g.more
     w_in = w[inside][g.order]
     entry = np.zeros(g.n, bool)
-    entry[node_at] = True
-    entry[np.searchsorted(g.names, src[_values(edges, "entry")])] = True
+    entry[node_at] = entry[entered] = True
     # the crossing edges, sorted by start
     turn = np.argsort(leaves, kind="stable")
     cross = np.searchsorted(leaves[turn], np.arange(g.n + 1))
@@ -73,6 +88,8 @@ def spread(arrived: pa.Table, edges: pa.Table, cutoff: float):
     sources, source_at = np.unique(_values(arrived, "source"), return_inverse=True)
     t_at = _values(arrived, "t")
     home = _values(arrived, "block")[0]
+    ids = arrived.schema.field("source").type, arrived.schema.field("node").type
+    pieces = []
     step = max(1, STATES // g.n)
     for lo in range(0, len(sources), step):
         mine = np.flatnonzero((source_at >= lo) & (source_at < lo + step))
@@ -90,20 +107,21 @@ def spread(arrived: pa.Table, edges: pa.Table, cutoff: float):
             row, v, t = row[ok], v[ok], t[ok]
         known = np.flatnonzero(best < np.inf)
         s, v = np.divmod(known, g.n)
-        yield pa.record_batch({
-            "source": pa.array(sources[lo + s]), "node": pa.array(g.names[v]), "block": pa.array(np.full(len(v), home), pa.int64()),
+        pieces.append(pa.record_batch({
+            "source": pa.array(sources[lo + s], ids[0]), "node": pa.array(g.names[v], ids[1]), "block": pa.array(np.full(len(v), home), pa.int64()),
             "t": pa.array(best[known]), "kind": pa.array(entry[v].astype(np.int32)),
-        })
+        }))
         n_out = cross[v + 1] - cross[v]
         each = np.repeat(np.arange(len(v)), n_out)
         edge = cross[v][each] + np.arange(len(each)) - np.repeat(np.cumsum(n_out) - n_out, n_out)
         t = best[known][each] + out_w[edge]
         ok = t <= cutoff
         each, edge, t = each[ok], edge[ok], t[ok]
-        yield pa.record_batch({
-            "source": pa.array(sources[lo + s[each]]), "node": pa.array(out_dst[edge]), "block": pa.array(out_home[edge], pa.int64()),
+        pieces.append(pa.record_batch({
+            "source": pa.array(sources[lo + s[each]], ids[0]), "node": pa.array(out_dst[edge], ids[1]), "block": pa.array(out_home[edge], pa.int64()),
             "t": pa.array(t), "kind": pa.array(np.full(len(t), 2, np.int32)),
-        })
+        }))
+    return pa.Table.from_batches(pieces)
 
 
 def routes(pairs: pa.Table, edges: pa.Table, floor: float) -> pa.Table:

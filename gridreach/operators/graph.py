@@ -54,35 +54,59 @@ def _longer_edges(e: DataFrame, cutoff: float) -> DataFrame:
     return e.unionByName(two).groupBy("src", "dst").agg(F.min("_w").alias("_w"))
 
 
+#: Nodes that go to a task together in a search for reach, and arrivals one task takes at once.
+BLOCK, ARRIVALS = 4096, 1_000_000
+
+
 def reach(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str = "time_s", doublings: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """(source, node, t) for every node within `cutoff` (inclusive) of each source node; a source reaches itself at 0.
 
-    Frontier relaxation.  A round joins the states improved last round with the
-    edges and merges the result with the layers found so far in one aggregate:
-    a state that beats every layer is the next frontier and is written once, as
-    a new layer.  With `doublings` the edges are first extended to two, four,
-    ... steps, which trades some rows for half the rounds each time.  The layers
-    are removed at the end.
+    Nodes are cut into blocks of BLOCK neighbouring ids.  A round carries the states that arrived in a block as far as its
+    edges go (`blocks.spread`, one task a block); what crosses into another block travels there if no state as good
+    is known at that node.  Rounds grow with the borders crossed, not with the edges, and only crossings are
+    shuffled; states are merged once at the end.  Ids that do not number neighbours near each other cost more crossings,
+    up to one round for each edge.  With `doublings` the edges are first extended to two, four, ... steps.  The tables of
+    the rounds are removed at the end.
     """
     return settled(edges.sparkSession, lambda: _relaxed(edges, sources, cutoff, weight, doublings, max_rounds))
 
 
 def _relaxed(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str, doublings: int, max_rounds: int) -> DataFrame:
-    e = edges.where(F.col(weight) <= cutoff).groupBy("src", "dst").agg(F.min(weight).alias("_w"))
+    spark = edges.sparkSession
+    e = edges.where(F.col(weight) <= cutoff).select("src", "dst", F.col(weight).cast("double").alias("_w"))
     for _ in range(doublings):
         e = _longer_edges(e, cutoff)
     e = cut(e)
     start = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
-    frontier = cut(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("t")))
-    found = frontier
+    found = start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("t"))
+    named = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().where("node is not null")
+    # numbers run on inside each range of ids, so a block is a run of at most BLOCK ids
+    named = cut(named.repartitionByRange("node").sortWithinPartitions("node").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
+    home, goes = named.select(F.col("node").alias("src"), F.col("block").alias("home")), named.select(F.col("node").alias("dst"), F.col("block").alias("goes"))
+    width = shuffle_width(spark)
+    e = e.join(home, "src").join(goes, "dst").select("home", "goes", "src", "dst", F.col("_w").alias("w"))
+    e = cut(e.repartition(width, "home"))
+    entries = e.where(F.col("home") != F.col("goes")).select(F.col("goes").alias("home"), F.col("dst").alias("node")).distinct()
+    streets = e.groupBy("home").cogroup(entries.repartition(width, "home").groupBy("home")).applyInArrow(blocks.packed, "block bigint, edges binary, entries binary")
+    streets = cut(streets)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"source {kind(start, 'source')}, node {kind(named, 'node')}, block bigint, t double, kind int"
+    arrived = cut(start.join(named, F.col("source") == F.col("node")).select("source", "node", "block", F.lit(0.0).alias("t")))
+    known: DataFrame | None = None
     for _ in range(max_rounds):
-        step = frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), (F.col("t") + F.col("_w")).alias("t"), F.lit(1).alias("_new"))
-        both = step.where(F.col("t") <= cutoff).unionByName(found.withColumn("_new", F.lit(0)))
-        best = both.groupBy("source", "node").agg(F.min(F.struct("t", "_new")).alias("_b"))  # a tie stays with the older layer
-        frontier = cut(best.where(F.col("_b._new") == 1).select("source", "node", F.col("_b.t").alias("t")))
-        if frontier.isEmpty():
+        if arrived.isEmpty():
             return found.groupBy("source", "node").agg(F.min("t").alias("t"))
-        found = found.unionByName(frontier)
+        parts = cut(arrived.groupBy("block").agg(F.ceil(F.count("*") / ARRIVALS).cast("int").alias("_parts")))
+        mine = arrived.join(parts, "block").withColumn("_part", F.pmod(F.xxhash64("source"), F.col("_parts")).cast("int")).drop("_parts")
+        near = streets.join(parts.select("block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")), "block")
+        pieces = mine.repartition(width, "block", "_part").groupBy("block", "_part").cogroup(near.repartition(width, "block", "_part").groupBy("block", "_part"))
+        moved = cut(pieces.applyInArrow(lambda arrived, near: blocks.spread(arrived, near, cutoff), schema))
+        found = found.unionByName(moved.where("kind < 2").select("source", "node", "t"))
+        here = moved.where("kind = 1").select("source", "node", F.lit(None).cast("bigint").alias("block"), "t")
+        known = here if known is None else known.unionByName(here)
+        both = moved.where("kind = 2").select("source", "node", "block", "t", F.lit(1).alias("_new")).unionByName(known.withColumn("_new", F.lit(0)))
+        best = both.groupBy("source", "node").agg(F.min(F.struct("t", "_new")).alias("_b"), F.max("block").alias("block"))  # a tie stays with the older state
+        arrived = cut(best.where(F.col("_b._new") == 1).select("source", "node", "block", F.col("_b.t").alias("t")))
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

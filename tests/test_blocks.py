@@ -66,3 +66,28 @@ def test_long_routes_take_few_tables(spark, monkeypatch):
     got = gr.route_report(e, nodes, spark.createDataFrame([(1, 0, 70)], "pair_id long, source long, target long")).first()
     assert got.network_m == 7000.0 and got.n_path_nodes == 71
     assert len(tables) < 40  # one table for each of the 70 steps before
+
+
+@pytest.mark.parametrize("block, arrivals, states", [(7, 5, 60), (16, 1_000_000, 1 << 22), (4096, 1_000_000, 100)])
+def test_reach_in_blocks_equals_plain_search(spark, monkeypatch, block, arrivals, states):
+    monkeypatch.setattr(gr, "BLOCK", block)
+    monkeypatch.setattr(gr, "ARRIVALS", arrivals)
+    monkeypatch.setattr(blocks, "STATES", states)
+    r = random.Random(4)
+    edges = [(r.randrange(50), r.randrange(60), r.random() * 5) for _ in range(160)]
+    edges += [(a, b, w + 1) for a, b, w in edges[:40]]  # dearer copies; nodes 50 to 59 lead nowhere
+    adj = {}
+    for a, b, w in edges:
+        adj.setdefault(f"n{a:02}", []).append((f"n{b:02}", w))
+    sources = [f"n{i:02}" for i in range(0, 60, 3)] + ["far"]
+    e = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", w) for a, b, w in edges], "src string, dst string, time_s double")
+    got = {(x.source, x.node, x.t) for x in gr.reach(e, spark.createDataFrame([(s,) for s in sources], "s string"), 11.0).collect()}
+    assert got == {(s, v, d) for s in sources for v, (d, _) in _cheapest(adj, s, 11.0).items()}
+
+
+def test_reach_takes_few_tables(spark, monkeypatch):
+    tables, plain = [], gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df: tables.append(1) or plain(df))
+    e = spark.range(60).select(gr.F.col("id").alias("src"), (gr.F.col("id") + 1).alias("dst"), gr.F.lit(1.0).alias("time_s"))
+    assert gr.reach(e, spark.range(1), 60.0).count() == 61
+    assert len(tables) < 15  # one table for each of the 60 steps before
