@@ -14,13 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridreach.functions import geometry as g
-from gridreach.session import cut
+from gridreach.session import cut, shuffle_width
 
 
 def tile(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size)))
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as a shuffle has: a small file is read by one task, however much work its rows make."""
+    return df.repartition(shuffle_width(df.sparkSession))
+
+
 def fishnet(bounds: DataFrame, size: float) -> DataFrame:
     """All size x size cells covering each (x0, y0, x1, y1) row; ix, iy are absolute tile numbers.
 
@@ -361,7 +366,7 @@ def overlay_boxes(boxes: DataFrame, grid_cols: DataFrame | None, size: float) ->
 
 def overlay_rings(polys: DataFrame, grid_cols: DataFrame | None, size: float) -> DataFrame:
     """General polygon x cell pieces: candidate cells from the box, exact clip, shoelace area; `parts` or `ring` as in point_in_polygon."""
-    cand = _box_tiles(polys, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    cand = spread_rows(_box_tiles(polys, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     clip = lambda r: g.clip_ring(r, F.col("_bx") * size, F.col("_by") * size, (F.col("_bx") + 1) * size, (F.col("_by") + 1) * size)
     area = g.parts_area(F.col("parts"), clip) if "parts" in polys.columns else g.ring_area(clip(F.col("ring")))
     pieces = cand.withColumn("piece_area", area).where(F.col("piece_area") > 0)

@@ -88,7 +88,7 @@ def l_shape(w):
 
 @query("d6_centroid", "building", "select b_id, round(x0+w*5e0/12,4) as cx, round(y0+h*5e0/12,4) as cy, true as rep_is_inside from building")
 def d6(w):
-    b = l_shape(w).select("b_id", "ring", g.centroid(F.col("ring")).alias("c"), g.rep_point(F.col("ring")).alias("r"))
+    b = sp.spread_rows(l_shape(w).select("b_id", "ring")).select("b_id", "ring", g.centroid(F.col("ring")).alias("c"), g.rep_point(F.col("ring")).alias("r"))
     return b.select("b_id", F.round("c.x", 4).alias("cx"), F.round("c.y", 4).alias("cy"), g.point_in_ring(F.col("r.x"), F.col("r.y"), F.col("ring")).alias("rep_is_inside"))
 
 

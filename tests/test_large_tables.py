@@ -112,3 +112,18 @@ def test_nearest_search_shuffles_its_tiles(spark, monkeypatch):
     assert len(plans) >= 2 and not any("BroadcastHashJoin" in p for p in plans)
     points = [(r.x, r.y) for r in b.collect()]
     assert all(abs(got[r.a] - min(((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5 for x, y in points)) < 1e-9 for r in a.collect())
+
+
+@pytest.mark.parametrize("name", ["d6_centroid", "d7_clip_concave", "d14b_union_area_parts"])
+def test_geometry_of_a_small_file_is_spread(spark, name):
+    shapes = all_queries()[name].build(World(spark, SF))
+    con, _ = _oracle_count(name)
+    assert compare(shapes, con, all_queries()[name].oracle()) is None
+
+
+def test_overlay_and_centroids_are_dealt_to_tasks(spark):
+    one = spark.range(0, 400, 1, 1).select(F.col("id").alias("b"), (F.col("id") * 3.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 3.0 + 2).alias("x1"), F.lit(2.0).alias("y1"))
+    pieces = sp.overlay_rings(sp.box_ring_col(one), None, 500.0)
+    assert pieces.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert abs(pieces.agg(F.sum("piece_area")).first()[0] - 1600) < 1e-6
+    assert "RoundRobinPartitioning" in _plan(all_queries()["d6_centroid"].build(World(spark, SF)))
