@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridreach.functions import geometry as g
-from gridreach.operators.spatial import LEAF, _box_tiles
+from gridreach.operators.spatial import LEAF, _box_tiles, spread_rows
 from gridreach.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -95,7 +95,7 @@ def union_area_of_parts(polys: DataFrame, size: float, by: Sequence[str] = ()) -
     fine, depth, keys = size, 0, [*by, "_bx", "_by"]
     while True:
         tx, ty = F.col("_bx") * fine, F.col("_by") * fine
-        cand = _box_tiles(todo, fine, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        cand = spread_rows(_box_tiles(todo, fine, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
         clipped = F.transform("parts", lambda p: F.struct(p.hole.alias("hole"), g.clip_ring(p.ring, tx, ty, tx + fine, ty + fine).alias("ring")))
         p = cand.select(*keys, F.filter(clipped, lambda p: F.size(p.ring) > 3).alias("parts"), *[f(a, b).alias(n) for n, f, a, b in (("x0", F.greatest, "x0", tx), ("y0", F.greatest, "y0", ty), ("x1", F.least, "x1", tx + fine), ("y1", F.least, "y1", ty + fine))])
         p = cut(p.withColumn("area", g.parts_area(F.col("parts"))).where(F.col("area") > 0).distinct())
