@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridreach.session import cut
+from gridreach.session import cut, shuffle_width
 
 
 def scalar_row(df: DataFrame) -> Column:
@@ -100,8 +100,12 @@ def pivot_first(df: DataFrame, ids: Sequence[str], name: str, value: str, cols:
 
 
 def wide_pct_ranks(df: DataFrame, key: str, cols: Sequence[str], kind: str = "min") -> DataFrame:
-    """Percentile rank of many columns at once: one long prefix-sum instead of one job per column."""
-    long = unpivot(df, [key], cols)
+    """Percentile rank of many columns at once: one long prefix-sum instead of one job per column.
+
+    Rows are dealt by key to a fixed number of tasks: tables of cells compress so well that adaptive execution, which goes by
+    bytes, would leave the pivot of millions of keys to one task.
+    """
+    long = unpivot(df.repartition(shuffle_width(df.sparkSession), key), [key], cols)
     fn = pct_rank_min if kind == "min" else pct_rank_avg
     ranked = fn(long, "value", "r", by=["feature"])
     return pivot_first(ranked, [key], "feature", "r", cols)

@@ -75,8 +75,10 @@ def sensitivity_variants(dims: DataFrame, key: str, base: Mapping[str, float], v
 def pair_metrics(scores: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Per column pair: Spearman, top-decile Jaccard, mean absolute difference, rank displacement, entries, exits.
 
-    One rank pass for all columns, pairs formed in the row, one aggregate.
+    One rank pass for all columns, pairs formed in the row, one aggregate.  The scores are written once: scores that come out of
+    joins would otherwise be made again for ranks, limits and rows, and the last two inside one task.
     """
+    scores = cut(scores.select(key, *cols))
     ranks = o.wide_pct_ranks(scores, key, cols, "avg").select(key, *[F.col(c).alias(f"_r_{c}") for c in cols])
     flagged = o.top_decile_flags(scores.select(key, *cols), cols, prefix="_t_")
     j = flagged.join(ranks, key)
@@ -122,7 +124,11 @@ def _moments(arr: Column, n: int) -> tuple[Column, Column]:
 
 
 def cell_stability(scores: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Per cell over all variants: mean, median, range, population deviation, rank moments, top-decile share."""
+    """Per cell over all variants: mean, median, range, population deviation, rank moments, top-decile share.
+
+    The scores are written once, as in `pair_metrics`.
+    """
+    scores = cut(scores.select(key, *cols))
     ranks = o.wide_pct_ranks(scores, key, cols, "avg").select(key, *[F.col(c).alias(f"_r_{c}") for c in cols])
     j = o.top_decile_flags(scores.select(key, *cols), cols, prefix="_t_").join(ranks, key)
     k = len(cols)

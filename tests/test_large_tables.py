@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gridreach.operators import cells as ce
 from gridreach.operators import dedup as dd
 from gridreach.operators import graph as gr
+from gridreach.operators import ordered
 from gridreach.operators import permute
+from gridreach.operators import scoring
 from gridreach.operators import spatial as sp
 from gridreach.plans import all_queries
 from gridreach.plans.world import BASE, World
@@ -127,3 +129,20 @@ def test_overlay_and_centroids_are_dealt_to_tasks(spark):
     assert pieces.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert abs(pieces.agg(F.sum("piece_area")).first()[0] - 1600) < 1e-6
     assert "RoundRobinPartitioning" in _plan(all_queries()["d6_centroid"].build(World(spark, SF)))
+
+
+def test_ranks_are_pivoted_in_many_tasks(spark):
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    out = ordered.wide_pct_ranks(df, "k", ["a", "b"], "avg")
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    got = out.where("k = 5").first()
+    assert abs(got.a - sum(1 if i % 7 < 5 else 0.5 if i % 7 == 5 else 0 for i in range(3000)) / 3000) < 1e-3 and out.count() == 3000
+
+
+@pytest.mark.parametrize("build", [scoring.cell_stability, scoring.pair_metrics])
+def test_scores_out_of_joins_are_made_once(spark, build):
+    a = spark.range(600).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"))
+    b = spark.range(600).select(F.col("id").alias("k"), F.col("id").cast("string").alias("big"), (F.col("id") % 11).cast("double").alias("b"))
+    out = build(a.join(b.hint("merge"), "k"), "k", ["a", "b"])
+    assert "Range (0, 600" not in _plan(out)
+    assert out.count() == (600 if build is scoring.cell_stability else 1)
