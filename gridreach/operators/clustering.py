@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from gridreach.operators import lloyd
 from gridreach.operators import ordered as o
 from gridreach.operators import summary as sm
-from gridreach.session import cut
+from gridreach.session import cut, shuffle_width
 
 
 def matrix(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """(key, vec array<double>, features vector), materialised once for repeated fits."""
+    """(key, vec array<double>, features vector), materialised once for repeated fits, in as many files as a shuffle has tasks, so no scan is one task's."""
     vec = F.array(*[F.col(c).cast("double") for c in cols])
-    return cut(df.select(key, vec.alias("vec"))).withColumn("features", array_to_vector("vec"))
+    return cut(df.select(key, vec.alias("vec")).repartition(shuffle_width(df.sparkSession), key)).withColumn("features", array_to_vector("vec"))
 
 
 def kmeans_best(m: DataFrame, k: int, seed: int, n_init: int = 10):

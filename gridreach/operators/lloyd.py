@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 #: Rows whose distances to all centres are held at once.
 ROWS = 1024
+#: Rows of a Lloyd step, few enough for their distances to stay in a core's cache.
+STEP_ROWS = 128
 _U = np.uint64
 
 
@@ -106,23 +108,44 @@ def plus_plus(m: DataFrame, key: str, wanted: Sequence[tuple[int, int, int]]) ->
 
 
 def _step(rows: DataFrame, sets: Sequence[CentreSet], dims: int) -> dict[int, np.ndarray]:
-    """Per set: counts, sums and cost of its centres' rows, as one array."""
-    every = np.concatenate([s.centres for s in sets])
-    ks = [s.k for s in sets]
+    """Per set: counts, sums and cost of its centres' rows, as one array.
+
+    Sets stand by k, largest first, so the sets that have a j-th centre are the first ones: the j-th distances of all sets are one
+    product, and the nearest centre so far is kept while j runs on.  The first of equally near centres wins.
+    """
+    by_k = sorted(range(len(sets)), key=lambda i: -sets[i].k)
+    ks = np.array([sets[i].k for i in by_k])
+    ends = np.cumsum(ks)
+    jth = []
+    for j in range(ks[0]):
+        c = np.array([sets[i].centres[j] for i in by_k if sets[i].k > j])
+        jth.append((-2 * c, (c * c).sum(1)[:, None]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        out = [np.zeros(k * (dims + 1) + 1) for k in ks]
-        seen = False
-        for _, x in _chunks(batches):
-            seen, a, d = True, 0, _squared(x, every)
-            for i, k in enumerate(ks):
-                lab = d[:, a : a + k].argmin(1)
-                out[i][:k] += np.bincount(lab, minlength=k)
+        sums, cost, seen = np.zeros((dims + 1, ends[-1])), np.zeros(len(ks)), False
+        room = np.empty((len(ks), STEP_ROWS))
+        for _, every in _chunks(batches):
+            seen = True
+            for at in range(0, len(every), STEP_ROWS):
+                x = every[at : at + STEP_ROWS]
+                cols = np.ascontiguousarray(x.T)
+                best = jth[0][0] @ cols + jth[0][1]
+                near = np.zeros(best.shape, np.uint8 if ks[0] < 256 else np.int64)
+                for j, (c, norm) in enumerate(jth[1:], 1):
+                    n = len(c)
+                    d = np.matmul(c, cols, out=room[:n, : len(x)])
+                    d += norm
+                    np.maximum(near[:n], (d < best[:n]) * near.dtype.type(j), out=near[:n])
+                    np.minimum(best[:n], d, out=best[:n])
+                cost += np.maximum(best + (x * x).sum(1), 0).sum(1)
+                flat = (near + (ends - ks)[:, None]).ravel()
+                sums[0] += np.bincount(flat, minlength=ends[-1])
                 for j in range(dims):
-                    out[i][k * (j + 1) : k * (j + 2)] += np.bincount(lab, x[:, j], k)
-                out[i][-1] += d[np.arange(len(x)), a + lab].sum()
-                a += k
-        return dict(enumerate(out)) if seen else {}
+                    best[:] = cols[j]
+                    sums[j + 1] += np.bincount(flat, best.ravel(), ends[-1])
+        if not seen:
+            return {}
+        return {i: np.append(sums[:, end - k : end].ravel(), c) for i, k, end, c in zip(by_k, ks, ends, cost, strict=True)}
 
     return _summed(rows, each)
 

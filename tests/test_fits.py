@@ -159,3 +159,20 @@ def test_best_match_of_many_labels(spark):
     assert len(rows) == 40 and sum(r["b"] == (r["a"] + 13) % 40 for r in rows) == 40
     kept = sum(r["overlap"] for r in rows)
     assert {r["pct_retained"] for r in rows} == {round(100 * kept / 6000, 2)}
+
+
+def test_matrix_is_scanned_by_many_tasks(spark):
+    df = spark.range(0, 500, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 9).cast("double").alias("a"))
+    assert clustering.matrix(df, "k", ["a"]).rdd.getNumPartitions() > 1
+
+
+def test_step_adds_up_each_set(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((700, 3)) * 8)
+    m = clustering.matrix(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double, c double"), "k", ["a", "b", "c"])
+    sets = [lloyd.CentreSet(k, 0, i, x[rng.choice(700, k, False)]) for i, k in enumerate([3, 5, 1, 4, 5])]
+    for i, s in lloyd._step(lloyd._rows(m, "k"), sets, 3).items():
+        d = ((x[:, None] - sets[i].centres) ** 2).sum(2)
+        near, k = d.argmin(1), sets[i].k
+        want = np.concatenate([np.bincount(near, minlength=k), *[np.bincount(near, x[:, j], k) for j in range(3)], [d.min(1).sum()]])
+        assert np.allclose(s, want)
