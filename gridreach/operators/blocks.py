@@ -1,4 +1,4 @@
-"""Shortest paths inside one block of a street graph, for all sources or pairs of the block at once.
+"""Shortest paths inside one block of a street graph or in the blocks around it, for all sources or pairs at once.
 
 Spark deals blocks to tasks (`graph.reach`, `graph.route_report`); here each block's states are a flat array
 (row, node) that is relaxed along the edges until no state gets better.
@@ -7,6 +7,7 @@ Spark deals blocks to tasks (`graph.reach`, `graph.route_report`); here each blo
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 #: States held at once; more sources or pairs are taken in turn.
 STATES = 1 << 22
+#: Rows handed back at once.
+ROWS = 1 << 18
 
 
 def _values(table: pa.Table, col: str) -> np.ndarray:
@@ -59,9 +62,85 @@ def _pack(table: pa.Table) -> bytes:
 
 
 def packed(edges: pa.Table, entries: pa.Table) -> pa.Table:
-    """One row (block, edges, entries) for a block: its edges (home, goes, src, dst, w) by start and the nodes that edges of other blocks lead to, compressed."""
+    """One row (block, edges, entries, n) for a block: its edges (home, goes, src, dst, w) by start and the nodes that edges of other blocks lead to, compressed, and the number of its edges."""
     home = (edges if edges.num_rows else entries)["home"][:1].cast(pa.int64())
-    return pa.table({"block": home, "edges": pa.array([_pack(edges.sort_by("src"))], pa.binary()), "entries": pa.array([_pack(entries.select(["node"]))], pa.binary())})
+    row = {"block": home, "edges": pa.array([_pack(edges.sort_by("src"))], pa.binary()), "entries": pa.array([_pack(entries.select(["node"]))], pa.binary())}
+    return pa.table(row | {"n": pa.array([edges.num_rows], pa.int64())})
+
+
+def packed_ends(ends: pa.Table) -> pa.Table:
+    """One row (block, ends) for a block: its rows (node, ...) at which states are wanted, compressed."""
+    return pa.table({"block": ends["block"][:1], "ends": pa.array([_pack(ends.drop_columns(["block"]))], pa.binary())})
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array) -> list[pa.Table]:
+    return [pa.ipc.open_stream(x.as_buffer()).read_all() for x in column if x.is_valid]
+
+
+def task(sources: pa.Table, streets: pa.Table) -> pa.Table:
+    """One row (block, sources, edges, ends) with the sources (source, node, block, ...) of one search and all edges and ends around them, compressed."""
+    if not sources.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("sources", "edges", "ends")}})
+    row = {"block": sources["block"][:1], "sources": pa.array([_pack(sources.select(["source", "node"]))], pa.binary())}
+    for c in ("edges", "ends"):
+        parts = _unpacked(streets[c])
+        whole = pa.concat_tables(parts) if parts else None
+        if whole is not None and c == "edges":
+            whole = whole.select(["src", "dst", "w"])
+        row[c] = pa.array([None if whole is None else _pack(whole)], pa.binary())
+    return pa.table(row)
+
+
+def _least(g: _Streets, w: np.ndarray, row: np.ndarray, v: np.ndarray, t: np.ndarray, rows: int, cutoff: float) -> np.ndarray:
+    """Least values within `cutoff` of a flat array (row, node), from states (row, v, t) along the streets."""
+    best = np.full(rows * g.n, np.inf)
+    mark = np.empty(len(best), np.int64)
+    while len(v):
+        to = row * g.n + v
+        np.minimum.at(best, to, t)
+        pick = _once(to, mark)
+        row, v, t = row[pick], v[pick], best[to[pick]]
+        each, edge = g.out(v)
+        row, v, t = row[each], g.dst[edge], t[each] + w[edge]
+        ok = (t <= cutoff) & (t < best[row * g.n + v])
+        row, v, t = row[ok], v[ok], t[ok]
+    return best
+
+
+def search(tasks: Iterator[pa.RecordBatch], cutoff: float, out: pa.Schema, at_ends: bool) -> Iterator[pa.RecordBatch]:
+    """(source, node, t) of all nodes within `cutoff` of the sources of rows of `task`, with `at_ends` once for each end at a node, with its columns."""
+    for batch in tasks:
+        for i in range(batch.num_rows):
+            sources, edges, ends = (_unpacked(batch.column(c).slice(i, 1)) for c in ("sources", "edges", "ends"))
+            if not at_ends or ends:
+                yield from _searched(sources[0], edges[0] if edges else None, ends[0] if at_ends else None, cutoff, out)
+
+
+def _searched(sources: pa.Table, edges: pa.Table | None, ends: pa.Table | None, cutoff: float, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    names, at = _values(sources, "source"), _values(sources, "node")
+    src, dst, w = (at[:0], at[:0], np.zeros(0)) if edges is None else (_values(edges, c) for c in ("src", "dst", "w"))
+    g = _Streets(src, dst, at)
+    at, w = g.more[0], w[g.order]
+    if ends is not None:
+        place = np.minimum(np.searchsorted(g.names, _values(ends, "node")), g.n - 1)
+        here = np.flatnonzero(g.names[place] == _values(ends, "node"))
+        here = here[np.argsort(place[here], kind="stable")]
+        first = np.searchsorted(place[here], np.arange(g.n + 1))
+    step = max(1, STATES // g.n)
+    for lo in range(0, len(at), step):
+        n = min(step, len(at) - lo)
+        best = _least(g, w, np.arange(n), at[lo : lo + n], np.zeros(n), n, cutoff)
+        known = np.flatnonzero(best < np.inf)
+        s, v = np.divmod(known, g.n)
+        t, more = best[known], []
+        if ends is not None:
+            n_ends = first[v + 1] - first[v]
+            each = np.repeat(np.arange(len(v)), n_ends)
+            row = pa.array(here[first[v][each] + np.arange(len(each)) - np.repeat(np.cumsum(n_ends) - n_ends, n_ends)])
+            s, v, t = s[each], v[each], t[each]
+            more = [ends[c].take(row) for c in out.names[3:]]
+        found = pa.table([pa.array(names[lo + s], out.types[0]), pa.array(g.names[v], out.types[1]), pa.array(t), *more], schema=out)
+        yield from found.to_batches(max_chunksize=ROWS)
 
 
 def spread(arrived: pa.Table, streets: pa.Table, cutoff: float) -> pa.Table:
@@ -70,8 +149,8 @@ def spread(arrived: pa.Table, streets: pa.Table, cutoff: float) -> pa.Table:
     Gives (source, node, block, t, kind): kind 0 a state, 1 a state at a node that edges from other blocks lead to,
     2 a state that another block has to go on from.
     """
-    if not arrived.num_rows:
-        return arrived.select(["source", "node", "block", "t"]).append_column("kind", pa.array([], pa.int32()))
+    if not arrived.num_rows or not streets.num_rows:
+        return arrived.select(["source", "node", "block", "t"]).append_column("kind", pa.array(np.zeros(arrived.num_rows, np.int32)))
     edges, entries = (pa.ipc.open_stream(streets[c][0].as_buffer()).read_all() for c in ("edges", "entries"))
     inside = _values(edges, "home") == _values(edges, "goes")
     src, dst, w = _values(edges, "src"), _values(edges, "dst"), _values(edges, "w")
@@ -93,18 +172,7 @@ def spread(arrived: pa.Table, streets: pa.Table, cutoff: float) -> pa.Table:
     step = max(1, STATES // g.n)
     for lo in range(0, len(sources), step):
         mine = np.flatnonzero((source_at >= lo) & (source_at < lo + step))
-        best = np.full(min(step, len(sources) - lo) * g.n, np.inf)
-        mark = np.empty(len(best), np.int64)
-        row, v, t = source_at[mine] - lo, node_at[mine], t_at[mine]
-        while len(v):
-            to = row * g.n + v
-            np.minimum.at(best, to, t)
-            pick = _once(to, mark)
-            row, v, t = row[pick], v[pick], best[to[pick]]
-            each, edge = g.out(v)
-            row, v, t = row[each], g.dst[edge], t[each] + w_in[edge]
-            ok = (t <= cutoff) & (t < best[row * g.n + v])
-            row, v, t = row[ok], v[ok], t[ok]
+        best = _least(g, w_in, source_at[mine] - lo, node_at[mine], t_at[mine], min(step, len(sources) - lo), cutoff)
         known = np.flatnonzero(best < np.inf)
         s, v = np.divmod(known, g.n)
         pieces.append(pa.record_batch({

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridreach.operators import blocks
 from gridreach.operators import ordered as o
@@ -56,60 +58,117 @@ def _longer_edges(e: DataFrame, cutoff: float) -> DataFrame:
 
 #: Nodes that go to a task together in a search for reach, and arrivals one task takes at once.
 BLOCK, ARRIVALS = 4096, 1_000_000
+#: Edges that a search in one task may hold, and its sources times its edges.
+NEAR, LOAD = 1_000_000, 1 << 24
 
 
-def reach(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str = "time_s", doublings: int = 0, max_rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str = "time_s", doublings: int = 0, max_rounds: int = 10_000, ends: DataFrame | None = None) -> DataFrame:
     """(source, node, t) for every node within `cutoff` (inclusive) of each source node; a source reaches itself at 0.
 
-    Nodes are cut into blocks of BLOCK neighbouring ids.  A round carries the states that arrived in a block as far as its
-    edges go (`blocks.spread`, one task a block); what crosses into another block travels there if no state as good
-    is known at that node.  Rounds grow with the borders crossed, not with the edges, and only crossings are
-    shuffled; states are merged once at the end.  Ids that do not number neighbours near each other cost more crossings,
-    up to one round for each edge.  With `doublings` the edges are first extended to two, four, ... steps.  The tables of
-    the rounds are removed at the end.
+    Nodes are cut into blocks of BLOCK neighbouring ids.  Rounds find the blocks around each block that any of its sources can
+    reach; their edges travel to the block, compressed, and one task finds all nodes in reach of its sources
+    (`blocks.search`), so no state is shuffled, merged or written.  Sources with more than NEAR edges around them go on in rounds
+    of states instead (`_relaxed`), as ids that do not number neighbours near each other ask for.  The search runs
+    each time the result is read; `settled` keeps it.  With `ends` (node, ...) only states at their nodes are given, one row for each
+    end, with its other columns: a join in the task that finds the states.  With `doublings` the edges are first extended to two, four,
+    ... steps.
     """
-    return settled(edges.sparkSession, lambda: _relaxed(edges, sources, cutoff, weight, doublings, max_rounds))
-
-
-def _relaxed(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str, doublings: int, max_rounds: int) -> DataFrame:
     spark = edges.sparkSession
+    start = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
+    tasks = settled(spark, lambda: _searches(edges, start, cutoff, weight, doublings, max_rounds, ends))
+    node = tasks.schema["node"].dataType
+    more = [] if ends is None else [f for f in ends.schema if f.name != "node"]
+    schema = StructType([StructField("source", start.schema["source"].dataType), StructField("node", node), StructField("t", DoubleType()), *more])
+    out, at_ends = to_arrow_schema(schema), ends is not None
+    found = tasks.where("sources is not null").drop("source", "node").mapInArrow(lambda batches: blocks.search(batches, cutoff, out, at_ends), schema)
+    wide = tasks.where("sources is null")
+    if not wide.isEmpty():
+        far = settled(spark, lambda: _relaxed(edges, wide.select("source"), cutoff, weight, doublings, max_rounds))
+        found = found.unionByName(far if ends is None else far.join(ends, "node"))
+    if ends is None:
+        found = found.unionByName(start.where("source is null").select("source", F.lit(None).cast(node).alias("node"), F.lit(0.0).alias("t")))
+    return found
+
+
+def _blocks(edges: DataFrame, start: DataFrame, cutoff: float, weight: str, doublings: int) -> tuple[DataFrame, DataFrame]:
+    """(node, block) of all nodes and sources, and the streets of the blocks as rows of `blocks.packed`."""
+    width = shuffle_width(edges.sparkSession)
     e = edges.where(F.col(weight) <= cutoff).select("src", "dst", F.col(weight).cast("double").alias("_w"))
     for _ in range(doublings):
         e = _longer_edges(e, cutoff)
     e = cut(e)
-    start = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
-    found = start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("t"))
-    named = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().where("node is not null")
+    named = e.select(F.col("src").alias("node")).union(e.select("dst")).union(start).distinct().where("node is not null")
     # numbers run on inside each range of ids, so a block is a run of at most BLOCK ids
     named = cut(named.repartitionByRange("node").sortWithinPartitions("node").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
     home, goes = named.select(F.col("node").alias("src"), F.col("block").alias("home")), named.select(F.col("node").alias("dst"), F.col("block").alias("goes"))
-    width = shuffle_width(spark)
-    e = e.join(home, "src").join(goes, "dst").select("home", "goes", "src", "dst", F.col("_w").alias("w"))
-    e = cut(e.repartition(width, "home"))
+    e = cut(e.join(home, "src").join(goes, "dst").select("home", "goes", "src", "dst", F.col("_w").alias("w")))
     entries = e.where(F.col("home") != F.col("goes")).select(F.col("goes").alias("home"), F.col("dst").alias("node")).distinct()
-    streets = e.groupBy("home").cogroup(entries.repartition(width, "home").groupBy("home")).applyInArrow(blocks.packed, "block bigint, edges binary, entries binary")
-    streets = cut(streets)
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"source {kind(start, 'source')}, node {kind(named, 'node')}, block bigint, t double, kind int"
-    arrived = cut(start.join(named, F.col("source") == F.col("node")).select("source", "node", "block", F.lit(0.0).alias("t")))
+    streets = e.repartition(width, "home").groupBy("home").cogroup(entries.repartition(width, "home").groupBy("home"))
+    return named, cut(streets.applyInArrow(blocks.packed, "block bigint, edges binary, entries binary, n bigint"))
+
+
+def _rounds(streets: DataFrame, arrived: DataFrame, cutoff: float, max_rounds: int, inner: bool) -> tuple[DataFrame, DataFrame]:
+    """States (source, node, t), inside of blocks too if `inner`, and the blocks (source, block) that each source comes to, from states (source, node, block, t).
+
+    A round carries the states that arrived in a block as far as its edges go (`blocks.spread`, one task a block); what crosses into
+    another block travels there if no state as good is known at that node.  Rounds grow with the borders crossed, not with the edges,
+    and only crossings are shuffled.
+    """
+    width = shuffle_width(streets.sparkSession)
+    schema = ", ".join(f"{c} {arrived.schema[c].dataType.simpleString()}" for c in ("source", "node", "block", "t")) + ", kind int"
+    found, met = arrived.select("source", "node", "t"), arrived.select("source", "block").distinct()
     known: DataFrame | None = None
     for _ in range(max_rounds):
         if arrived.isEmpty():
-            return found.groupBy("source", "node").agg(F.min("t").alias("t"))
+            return found, met.distinct()
         parts = cut(arrived.groupBy("block").agg(F.ceil(F.count("*") / ARRIVALS).cast("int").alias("_parts")))
         mine = arrived.join(parts, "block").withColumn("_part", F.pmod(F.xxhash64("source"), F.col("_parts")).cast("int")).drop("_parts")
         near = streets.join(parts.select("block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")), "block")
         pieces = mine.repartition(width, "block", "_part").groupBy("block", "_part").cogroup(near.repartition(width, "block", "_part").groupBy("block", "_part"))
-        moved = cut(pieces.applyInArrow(lambda arrived, near: blocks.spread(arrived, near, cutoff), schema))
+        moved = pieces.applyInArrow(lambda arrived, near: blocks.spread(arrived, near, cutoff), schema)
+        moved = cut(moved if inner else moved.where("kind > 0"))
         found = found.unionByName(moved.where("kind < 2").select("source", "node", "t"))
         here = moved.where("kind = 1").select("source", "node", F.lit(None).cast("bigint").alias("block"), "t")
         known = here if known is None else known.unionByName(here)
         both = moved.where("kind = 2").select("source", "node", "block", "t", F.lit(1).alias("_new")).unionByName(known.withColumn("_new", F.lit(0)))
         best = both.groupBy("source", "node").agg(F.min(F.struct("t", "_new")).alias("_b"), F.max("block").alias("block"))  # a tie stays with the older state
         arrived = cut(best.where(F.col("_b._new") == 1).select("source", "node", "block", F.col("_b.t").alias("t")))
+        met = met.unionByName(arrived.select("source", "block").distinct())
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def _searches(edges: DataFrame, start: DataFrame, cutoff: float, weight: str, doublings: int, max_rounds: int, ends: DataFrame | None) -> DataFrame:
+    """Rows of `blocks.task`, one for each search, and one row with its source and no `sources` for each source with too much around it."""
+    named, streets = _blocks(edges, start, cutoff, weight, doublings)
+    at = cut(start.join(named, F.col("source") == F.col("node")).select("source", "node", "block"))
+    _, around = _rounds(streets, at.select(F.col("block").alias("source"), "node", "block", F.lit(0.0).alias("t")), cutoff, max_rounds, False)
+    around = cut(around.select(F.col("source").alias("block"), F.col("block").alias("other")))
+    streets = streets.select(F.col("block").alias("other"), "edges", "n")
+    size = around.join(streets.select("other", "n"), "other", "left").groupBy("block").agg(F.sum("n").alias("_edges"))
+    size = size.join(at.groupBy("block").agg(F.count("*").alias("_sources")), "block")
+    size = cut(size.select("block", F.coalesce("_edges", F.lit(0)).alias("_edges"), F.greatest(F.ceil(F.col("_edges") * F.col("_sources") / LOAD), F.lit(1)).cast("int").alias("_parts")))
+    calm = size.where(F.col("_edges") <= NEAR)
+    near = around.join(calm.select("block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")), "block").join(streets.drop("n"), "other", "left")
+    if ends is None:
+        near = near.withColumn("ends", F.lit(None).cast("binary"))
+    else:
+        packed = ends.join(named, "node").groupBy("block").applyInArrow(blocks.packed_ends, "block bigint, ends binary")
+        near = near.join(cut(packed).withColumnRenamed("block", "other"), "other", "left")
+    width = shuffle_width(edges.sparkSession)
+    mine = at.join(calm, "block").withColumn("_part", F.pmod(F.xxhash64("source"), F.col("_parts")).cast("int")).select("source", "node", "block", "_part")
+    near = near.select("block", "_part", "edges", "ends").repartition(width, "block", "_part").groupBy("block", "_part")
+    tasks = mine.repartition(width, "block", "_part").groupBy("block", "_part").cogroup(near).applyInArrow(blocks.task, "block bigint, sources binary, edges binary, ends binary")
+    return tasks.unionByName(at.join(size.where(F.col("_edges") > NEAR), "block", "left_semi"), allowMissingColumns=True)
+
+
+def _relaxed(edges: DataFrame, sources: DataFrame, cutoff: float, weight: str, doublings: int, max_rounds: int) -> DataFrame:
+    """What `reach` gives, in rounds of states that are merged at the end."""
+    named, streets = _blocks(edges, sources, cutoff, weight, doublings)
+    arrived = cut(sources.join(named, F.col("source") == F.col("node")).select("source", "node", "block", F.lit(0.0).alias("t")))
+    found, _ = _rounds(streets, arrived, cutoff, max_rounds, True)
+    return found.groupBy("source", "node").agg(F.min("t").alias("t"))
+
+
 def by_threshold(times: DataFrame, minutes: Sequence[float]) -> DataFrame:
     """One row per reached (source, node) and threshold it meets, from the single widest run."""
     ok = F.array_compact(F.array(*[F.when(F.col("t") <= m * 60, F.lit(m)) for m in minutes]))
@@ -118,24 +177,36 @@ def by_threshold(times: DataFrame, minutes: Sequence[float]) -> DataFrame:
 
 def reachable_edges(edges: DataFrame, times: DataFrame) -> DataFrame:
     """(source, src, dst) of edges whose two ends are both reached from the source."""
+    times = cut(times)  # read twice
     a = times.select("source", F.col("node").alias("src"))
     b = times.select("source", F.col("node").alias("dst"))
     return edges.select("src", "dst").join(a, "src").join(b, ["source", "dst"]).select("source", "src", "dst")
 
 
 def reachable_cells(times: DataFrame, anchors: DataFrame) -> DataFrame:
-    a = anchors.select("grid_id", F.col("node_id").alias("node"))
-    return times.join(a, "node").select("source", "grid_id", "t")
+    return times.join(cell_ends(anchors), "node").select("source", "grid_id", "t")
+
+
+def cell_ends(anchors: DataFrame) -> DataFrame:
+    """Cells as ends of a `reach`."""
+    return anchors.select(F.col("node_id").alias("node"), "grid_id")
+
+
+def category_ends(dest: DataFrame) -> DataFrame:
+    """Destinations, added up per (node, category), as ends of a `reach`."""
+    return dest.where(F.col("snap_status") != "QUESTIONABLE").groupBy(F.col("node_id").alias("node"), "cat").agg(F.count("*").alias("_n"))
 
 
 def category_access(times: DataFrame, origins: DataFrame, dest: DataFrame, cats: Mapping[str, object], minutes: Sequence[int]) -> DataFrame:
-    """Per origin and category: nearest time in minutes, destination count and flag at each threshold.
+    """Per origin and category: nearest time in minutes, destination count and flag at each threshold."""
+    return category_summary(times.join(category_ends(dest), "node"), origins, cats, minutes)
 
-    Destinations are added up per (node, category) first, sources are distinct
-    anchor nodes, and the category list is closed, so one aggregate does it all.
+
+def category_summary(hit: DataFrame, origins: DataFrame, cats: Mapping[str, object], minutes: Sequence[int]) -> DataFrame:
+    """`category_access` from a reach that ended at the destinations.
+
+    Sources are distinct anchor nodes, and the category list is closed, so one aggregate does it all.
     """
-    good = dest.where(F.col("snap_status") != "QUESTIONABLE").groupBy(F.col("node_id").alias("node"), "cat").agg(F.count("*").alias("_n"))
-    hit = times.join(good, "node")
     aggs = []
     for name, v in cats.items():
         mine = F.col("cat") == v
@@ -148,10 +219,18 @@ def category_access(times: DataFrame, origins: DataFrame, dest: DataFrame, cats:
     return out.select("*", *[(F.col(c) > 0).alias(c.replace("_count_", "_access_")) for c in counts])
 
 
+def system_ends(stops: DataFrame, systems: Mapping[str, Column]) -> DataFrame:
+    """Stops of each system, counted per node, as ends of a `reach`."""
+    return stops.groupBy(F.col("node_id").alias("node")).agg(*[F.count_if(c).alias(f"_n_{n}") for n, c in systems.items()])
+
+
 def system_access(times: DataFrame, origins: DataFrame, stops: DataFrame, systems: Mapping[str, Column], minutes: Sequence[int]) -> DataFrame:
     """Several overlapping stop systems from one run: nearest time, nearest flag and count per system and threshold."""
-    per_node = stops.groupBy(F.col("node_id").alias("node")).agg(*[F.count_if(c).alias(f"_n_{n}") for n, c in systems.items()])
-    hit = times.join(per_node, "node")
+    return system_summary(times.join(system_ends(stops, systems), "node"), origins, systems, minutes)
+
+
+def system_summary(hit: DataFrame, origins: DataFrame, systems: Sequence[str] | Mapping[str, Column], minutes: Sequence[int]) -> DataFrame:
+    """`system_access` from a reach that ended at the stops."""
     aggs = []
     for n in systems:
         aggs.append(F.bround(F.min(F.when(F.col(f"_n_{n}") > 0, F.col("t"))) / 60, 3).alias(f"{n}_nearest_min"))

@@ -26,8 +26,8 @@ def cycle_graph(w):
     return gr.build_mode_graph(w.edge, s.CYCLE_EXCLUDE, gr.CYCLE_KMH, directed=True)
 
 
-def walk_times(w, minutes=15):
-    return gr.reach(walk_graph(w), w.origin.select("node_id"), minutes * 60.0)
+def walk_times(w, minutes=15, ends=None):
+    return gr.reach(walk_graph(w), w.origin.select("node_id"), minutes * 60.0, ends=ends)
 
 
 @query("i1_build_walk_graph", "edge", f"select src, dst, length_m, round(length_m/(5/3.6e0),6) as time_s from {WALK2} w")
@@ -58,7 +58,7 @@ def i4(w):
 
 @query("i5_reachable_cells", "edge origin", WITH_REACH + "select b.source, o.grid_id, round(b.m/(5/3.6e0),3) as t from best b join origin o on b.node=o.node_id")
 def i5(w):
-    return gr.reachable_cells(walk_times(w), w.origin).withColumn("t", F.round("t", 3))
+    return walk_times(w, ends=gr.cell_ends(w.origin)).select("source", "grid_id", F.round("t", 3).alias("t"))
 
 
 CATS = {"food": 0, "health": 1, "edu": 2, "retail": 3, "green": 4, "culture": 5, "finance": 6, "sport": 7}
@@ -70,8 +70,8 @@ WITH_CYCLE = f"""with recursive w2 as (select * from {CYCLE2} w), best(source, n
  union select b.source, e.dst, min(b.m+e.length_m) from best b join w2 e on b.node=e.src left join recurring.best k on k.source=b.source and k.node=e.dst where b.m+e.length_m<=3750 and (k.m is null or b.m+e.length_m<k.m) group by 1,2) """
 
 
-def cycle_times(w, minutes=15):
-    return gr.reach(cycle_graph(w), w.origin.select("node_id"), minutes * 60.0)
+def cycle_times(w, minutes=15, ends=None):
+    return gr.reach(cycle_graph(w), w.origin.select("node_id"), minutes * 60.0, ends=ends)
 
 
 def _access_sql(kmh=5):
@@ -89,7 +89,7 @@ def _access_sql(kmh=5):
     WITH_REACH + f", d as (select node_id as node, cat, count(*) as n from dest where snap_status<>'QUESTIONABLE' group by 1,2) select o.grid_id, {_access_sql()} from origin o left join (select source, cat, n, m from best join d using (node)) h on h.source=o.node_id group by 1",
 )
 def i6(w):
-    return gr.category_access(walk_times(w), w.origin, w.dest, CATS, [5, 10, 15])
+    return gr.category_summary(walk_times(w, ends=gr.category_ends(w.dest)), w.origin, CATS, [5, 10, 15])
 
 
 @query("i2c_cycle_reach", "edge origin", WITH_CYCLE + "select source, node, round_even(m/(15/3.6e0),3) as t from best")
@@ -102,7 +102,7 @@ def i2c(w):
     WITH_CYCLE + f", d as (select node_id as node, cat, count(*) as n from dest where snap_status<>'QUESTIONABLE' group by 1,2) select o.grid_id, {_access_sql(15)} from origin o left join (select source, cat, n, m from best join d using (node)) h on h.source=o.node_id group by 1",
 )
 def i6c(w):
-    return gr.category_access(cycle_times(w), w.origin, w.dest, CATS, [5, 10, 15])
+    return gr.category_summary(cycle_times(w, ends=gr.category_ends(w.dest)), w.origin, CATS, [5, 10, 15])
 
 
 def _system_sql(kmh):
@@ -112,21 +112,21 @@ def _system_sql(kmh):
     from origin o left join (select source, na, nb, m from best join sn using (node)) h on h.source=o.node_id group by 1"""
 
 
-def _system_access(w, times):
+def _system_access(w, times_of):
     nid = F.floor(F.col("y") / 160) * 120 + F.least(F.floor(F.col("x") / 160), F.lit(119))
     st = w.stop.withColumn("node_id", nid).join(w.node.select("node_id"), "node_id", "left_semi")
     systems = {"all": F.lit(True), "fixed": F.col("mode_name").isin("metro", "tram", "rail", "metrobus")}
-    return gr.system_access(times, w.origin, st, systems, [10, 15])
+    return gr.system_summary(times_of(w, ends=gr.system_ends(st, systems)), w.origin, systems, [10, 15])
 
 
 @query("i7_system_access", "edge origin stop node", WITH_REACH + _system_sql(5))
 def i7(w):
-    return _system_access(w, walk_times(w))
+    return _system_access(w, walk_times)
 
 
 @query("i7c_cycle_system_access", "edge origin stop node", WITH_CYCLE + _system_sql(15))
 def i7c(w):
-    return _system_access(w, cycle_times(w))
+    return _system_access(w, cycle_times)
 
 
 # Pairs about 20 to 30 blocks apart, forwards or, near the end, backwards; the lattice falls into two halves, so some have no route, and some targets are no node.

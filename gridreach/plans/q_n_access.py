@@ -67,9 +67,9 @@ def n3(w):
     select category, minutes, count(case when m<=minutes*60*5/3.6e0+1e-6 then 1 end) as n_cells, sum(case when m<=minutes*60*5/3.6e0+1e-6 then pop else 0 end) as population, round(sum(case when m<=minutes*60*5/3.6e0+1e-6 then pop else 0 end)*100/sum(pop),2) as pct_population from l join features using (grid_id), (select unnest([10,15,20]) as minutes) u group by 1,2""",
 )
 def n4(w):
-    times = gr.reach(walk_graph(w), w.origin.select("node_id"), 20 * 60.0)
+    times = gr.reach(walk_graph(w), w.origin.select("node_id"), 20 * 60.0, ends=gr.category_ends(w.dest))
     required = ("food", "health", "edu")
-    a = gr.category_access(times, w.origin, w.dest, {k: CATS[k] for k in required}, [10, 15, 20]).join(w.features.select("grid_id", "pop"), "grid_id")
+    a = gr.category_summary(times, w.origin, {k: CATS[k] for k in required}, [10, 15, 20]).join(w.features.select("grid_id", "pop"), "grid_id")
     rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("minutes"), F.col(f"{c}_access_{m}").alias("ok")) for c in required for m in (10, 15, 20)])
     people = F.sum(F.when(F.col("ok"), F.col("pop")).otherwise(0.0))
     return a.select("pop", F.inline(rows)).groupBy("category", "minutes").agg(F.count_if("ok").alias("n_cells"), people.alias("population"), F.round(people * 100 / F.sum("pop"), 2).alias("pct_population"))

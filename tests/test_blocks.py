@@ -2,11 +2,14 @@
 
 import heapq
 import random
+import re
 
 import pytest
 
 from gridreach.operators import blocks
 from gridreach.operators import graph as gr
+from gridreach.plans import all_queries
+from gridreach.plans.world import World
 
 
 def _cheapest(adj, a, limit=float("inf")):
@@ -91,3 +94,33 @@ def test_reach_takes_few_tables(spark, monkeypatch):
     e = spark.range(60).select(gr.F.col("id").alias("src"), (gr.F.col("id") + 1).alias("dst"), gr.F.lit(1.0).alias("time_s"))
     assert gr.reach(e, spark.range(1), 60.0).count() == 61
     assert len(tables) < 15  # one table for each of the 60 steps before
+
+
+@pytest.mark.parametrize("near, load, states", [(1_000_000, 1 << 24, 1 << 22), (1_000_000, 40, 60), (90, 1 << 24, 1 << 22)])
+def test_reach_ends_where_it_is_wanted(spark, monkeypatch, near, load, states):
+    monkeypatch.setattr(gr, "BLOCK", 9)
+    monkeypatch.setattr(gr, "NEAR", near)  # the last case sends most sources through the rounds
+    monkeypatch.setattr(gr, "LOAD", load)
+    monkeypatch.setattr(blocks, "STATES", states)
+    _, edges, adj = _city(9, 5)
+    ends = [(k, f"d{k % 3}", k * 7) for k in (0, 3, 3, 17, 40, 41, 80, 500, 999)] + [(None, "none", 1)]
+    sources = [*range(0, 81, 4), 500, None]  # 500 has no street, 999 is no node at all
+    e = gr.both_ways(spark.createDataFrame(edges, "src long, dst long, time_s double"), "time_s")
+    s = spark.createDataFrame([(x,) for x in sources], "s long")
+    want = {(a, v, d) for a in sources if a is not None for v, (d, _) in _cheapest(adj, a, 700.0).items()}
+    assert {tuple(x) for x in gr.reach(e, s, 700.0).collect()} == want | {(None, None, 0.0)}
+    got = gr.reach(e, s, 700.0, ends=spark.createDataFrame(ends, "node long, kind string, n long"))
+    assert got.columns == ["source", "node", "t", "kind", "n"]
+    assert sorted(map(tuple, got.collect())) == sorted((a, v, d, k, n) for a, v, d in want for x, k, n in ends if x == v)
+
+
+def _shuffled_by(plan):
+    """Columns by which the final plan deals rows to tasks."""
+    return re.findall(r"hashpartitioning\(([^#]*)#", plan)
+
+
+@pytest.mark.parametrize("name", ["i3_thresholds", "i6_category_access", "i6c_cycle_category_access", "i7_system_access", "i7c_cycle_system_access", "i5_reachable_cells", "n4_extend_threshold"])
+def test_states_are_not_shuffled(spark, name):
+    plan = all_queries()[name].build(World(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    states = [c.lower() for c in _shuffled_by(plan)]
+    assert "MapInArrow" in plan and "node" not in states  # a join on the states' nodes before
