@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridreach.llm import decontam, jaccard, packing, pu_quality, secrets
-from gridreach.session import settled, small_side
+from gridreach.session import bounded_batches, settled, small_side
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier rejects go; rows without an id stay, as no label or verdict can name them."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = small_side(pu_quality.score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
@@ -18,16 +19,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8) stays."""
+    bounded_batches(spark)
     return jaccard.keep_one(docs, k=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    bounded_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays.  Word guesses follow the words of these documents."""
+    bounded_batches(spark)
     return secrets.redact(docs, lexicon=secrets.fit_lexicon(docs))
 
 

@@ -160,7 +160,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 8
     total = test.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total * max(map(len, (MASKS, *SHORT.values()))) // block_seeds)
     schema = "doc_id long, item_id long, n_equal long, n_tokens long, first_token long, n_hits long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = docs.sparkSession.range(0).select(*[F.lit(None).cast("long").alias(c.split()[0]) for c in schema.split(", ")])  # no Python rows, which would take workers of their own
     for k in range(blocks):
         mine = F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == k
         block = [(r["n"], r["item_id"], bytes(r["tokens"])) for r in test.where(mine).collect()]  # bounded by block_seeds

@@ -88,6 +88,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 1 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES, not 10,000 rows whatever their length.
+
+    A batch of 10,000 texts lies in the executor's memory outside the heap and again in its Python worker, for each task at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: Rows of a few numbers that may be broadcast: some ten megabytes.
 SMALL = 1_000_000
 

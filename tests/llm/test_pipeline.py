@@ -1,12 +1,13 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as f
 
 import corpus_pipeline as cp
-from gridreach.llm import queries
-from gridreach.session import cut
+from gridreach.llm import decontam, queries
+from gridreach.session import BATCH_BYTES, cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,28 @@ def test_stages_with_odd_rows(spark):
     assert rows[1].count(None) == 2 and rows[2].count(None) == 2 and rows[3].count(None) == rows[4].count(None) == 2
     assert rows[2].count(9003) <= 1 and sorted(map(str, rows[3])) == sorted(map(str, rows[4]))
     assert {str(r) for r in rows[5]} == {str(r) for r in rows[4]}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES[:4]])
+def test_python_workers_get_bounded_batches(spark, name):
+    """Long texts reach Python in batches of bounded bytes, not 10,000 at once; all of them arrive."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(cp.STAGES)[name](spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    long_texts = spark.range(0, 4000, 1, 1).select("id", f.repeat(f.lit("word "), 1000).alias("text"))
+    n, most = long_texts.mapInArrow(size, "n long, size long").agg(f.sum("n"), f.max("size")).first()
+    assert n == 4000 and most <= 1.1 * BATCH_BYTES
+
+
+def test_decontamination_starts_no_worker_for_an_empty_table(spark):
+    rows = lambda texts, key: spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string").coalesce(1)
+    docs, items = cut(rows(["one two three four five", None, "six"], "doc_id")), cut(rows(["two three four"], "item_id"))
+    found = decontam.overlaps(docs, items)
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert [r.doc_id for r in found.collect()] == [0]
+    none = decontam.overlaps(docs, items.limit(0))
+    assert none.dtypes == found.dtypes and none.count() == 0
