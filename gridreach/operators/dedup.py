@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridreach.functions import geometry as g
+from gridreach.operators import overlap
 from gridreach.operators import spatial as sp
 from gridreach.operators.ordered import first_row
 from gridreach.session import cut
@@ -58,44 +60,44 @@ def dedup_greedy(stops: DataFrame, key: str, by: str, r: float = 20.0) -> DataFr
     return stops.join(ids, key, "left_semi")
 
 
+def _ref_tiles(ref: DataFrame, buf: float, size: float) -> DataFrame:
+    """Distinct reference segments, once for every tile (_bx, _by) that their buffer touches."""
+    x1, y1, x2, y2 = (F.col(c) for c in overlap.ENDS)
+    r = sp._box_tiles(ref.select(*overlap.ENDS).distinct(), size, F.least(x1, x2) - buf, F.least(y1, y2) - buf, F.greatest(x1, x2) + buf, F.greatest(y1, y2) + buf)
+    # keep only tiles the reference's buffer can touch: distance of the tile centre to the segment
+    half_diag = size * 0.7072
+    away = g.point_segment_distance((F.col("_bx") + 0.5) * size, (F.col("_by") + 0.5) * size, x1, y1, x2, y2)
+    return r.where(away <= half_diag + buf)
+
+
 def near_parts(parts: DataFrame, ref: DataFrame, buf: float, size: float) -> DataFrame:
     """Adds `covered`: how much of a segment's length lies in the part t0 to t1 and within buf of a reference.
 
     parts has (_bx, _by, x1, y1, x2, y2, t0, t1), each part inside its tile.
     Reference segments are listed once for every tile their buffer touches.  A
-    part meets the list of its own tile, and its intervals are merged inside
-    the row: no row for a pair, nothing to merge between tiles.
+    part meets the list of its own tile, and its intervals are worked out and
+    merged in arrays over a batch of rows (`overlap`): no row for a pair,
+    nothing to merge between tiles.
     """
-    cols = ("x1", "y1", "x2", "y2")
-    rx1, ry1, rx2, ry2 = (F.col(c) for c in cols)
-    r = sp._box_tiles(ref.select(*cols).distinct(), size, F.least(rx1, rx2) - buf, F.least(ry1, ry2) - buf, F.greatest(rx1, rx2) + buf, F.greatest(ry1, ry2) + buf)
-    # keep only tiles the reference's buffer can touch: distance of the tile centre to the segment
-    half_diag = size * 0.7072
-    away = g.point_segment_distance((F.col("_bx") + 0.5) * size, (F.col("_by") + 0.5) * size, rx1, ry1, rx2, ry2)
-    lists = r.where(away <= half_diag + buf).groupBy("_bx", "_by").agg(F.collect_list(F.struct(*cols)).alias("_refs"))
+    lists = _ref_tiles(ref, buf, size).groupBy("_bx", "_by").agg(F.collect_list(F.struct(*overlap.ENDS)).alias("_refs"))
     # hashed, as the parts need no order; never broadcast, as the size of the lists is not known beforehand
-    met = parts.join(lists.hint("shuffle_hash"), ["_bx", "_by"], "left")
-    x1, y1, x2, y2, t0, t1 = (F.col(c) for c in (*cols, "t0", "t1"))
-    px1, py1, px2, py2 = x1 + t0 * (x2 - x1), y1 + t0 * (y2 - y1), x1 + t1 * (x2 - x1), y1 + t1 * (y2 - y1)
-    box = F.struct(F.least(px1, px2).alias("x0"), F.least(py1, py2).alias("y0"), F.greatest(px1, px2).alias("x1"), F.greatest(py1, py2).alias("y1"))
-    met = met.withColumn("_box", box)
-
-    def close(q):
-        b = F.col("_box")
-        return (
-            (F.least(q.x1, q.x2) <= b.x1 + buf) & (F.greatest(q.x1, q.x2) >= b.x0 - buf)
-            & (F.least(q.y1, q.y2) <= b.y1 + buf) & (F.greatest(q.y1, q.y2) >= b.y0 - buf)
-        )
-
-    def inside(q):
-        hit = g.near_interval(x1, y1, x2, y2, q.x1, q.y1, q.x2, q.y2, buf)
-        return g.let(hit, lambda t: F.struct(F.when(t.t0 < t.t1, F.greatest(t.t0, t0)).alias("t0"), F.least(t.t1, t1).alias("t1")))
-
-    spans = F.sort_array(F.filter(F.transform(F.filter("_refs", close), inside), lambda t: t.t0 < t.t1))
-    start = F.struct(F.lit(0.0).alias("end"), F.lit(0.0).alias("sum"))
-    step = lambda a, t: F.struct(F.greatest(a.end, t.t1).alias("end"), (a.sum + F.greatest(t.t1 - F.greatest(t.t0, a.end), F.lit(0.0))).alias("sum"))
-    covered = F.aggregate(spans, start, step, lambda a: a.sum)
-    return met.select(*parts.columns, F.coalesce(covered, F.lit(0.0)).alias("covered"))
+    met = parts.join(lists.hint("shuffle_hash"), ["_bx", "_by"], "left").select(*parts.columns, "_refs")
+    schema = StructType([*parts.schema.fields, StructField("covered", DoubleType())])
+    return met.mapInArrow(lambda batches: overlap.add_covered(batches, buf), schema)
+
+
+def near_sums(parts: DataFrame, ref: DataFrame, buf: float, size: float) -> DataFrame:
+    """Metres of each tile's parts, `whole` and within buf of a reference, `near`: (_bx, _by, whole, near).
+
+    parts has (_bx, _by, x1, y1, x2, y2, copies, piece_m), each part inside its tile; equal rows add to `near` once.  Parts and
+    references of a tile meet in one sorted run, the references, marked by 0 copies, at its head: no list travels with the parts,
+    and a batch of rows is worked off at a time (`overlap.sums`), however many share a tile.
+    """
+    tile, rest = ["_by", "_bx"], ["copies", *overlap.ENDS, "piece_m"]
+    refs = _ref_tiles(ref, buf, size).withColumn("copies", F.lit(0).cast("long")).withColumn("piece_m", F.lit(0.0))
+    rows = parts.select(*tile, *rest).unionByName(refs).repartition(*tile).sortWithinPartitions(*tile, *rest)
+    found = rows.mapInArrow(lambda batches: overlap.sums(batches, buf), "_bx long, _by long, whole double, near double")
+    return found.groupBy("_bx", "_by").agg(F.sum("whole").alias("whole"), F.sum("near").alias("near"))
 
 
 def near_share(segs: DataFrame, ids: Sequence[str], ref: DataFrame, buf: float, size: float = 500.0) -> DataFrame:

@@ -219,14 +219,9 @@ def f15(w):
         F.col("ix").alias("_bx"), F.col("iy").alias("_by"), "copies", "piece_m",
         at("x1", "x2", "t0").alias("x1"), at("y1", "y2", "t0").alias("y1"), at("x1", "x2", "t1").alias("x2"), at("y1", "y2", "t1").alias("y2"),
     )
-    # parted by cell once, for the count of equal pieces, the meeting with the cycleways and the sums
-    p = p.repartition("_bx", "_by").groupBy(*p.columns).agg(F.count("*").alias("same"))
-    p = dd.near_parts(p.withColumn("t0", F.lit(0.0)).withColumn("t1", F.lit(1.0)), w.cycleway, 60.0, 500.0)
-    per = p.groupBy(F.col("_bx").alias("ix"), F.col("_by").alias("iy")).agg(
-        F.sum(F.col("piece_m") * F.col("copies") * F.col("same")).alias("road_m"), F.sum(F.col("covered") * F.col("piece_m") * F.col("copies")).alias("near_m")
-    )
+    per = dd.near_sums(p, w.cycleway, 60.0, 500.0).withColumnsRenamed({"_bx": "ix", "_by": "iy"})
     j = w.grid.select("grid_id", "ix", "iy").join(per, ["ix", "iy"], "left")
-    return j.select("grid_id", F.round(F.try_divide("near_m", "road_m") * 100, 4).alias("pct_near"))
+    return j.select("grid_id", F.round(F.try_divide("near", "whole") * 100, 4).alias("pct_near"))
 
 
 @query("f16_mode_per_group", "cell_labels", "select district, lb, n from (select district, lb, count(*) as n, row_number() over (partition by district order by count(*) desc, lb) as rn from cell_labels group by 1,2) t where rn=1")

@@ -5,10 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridreach.functions import geometry as g
 from gridreach.operators import cells as ce
 from gridreach.operators import dedup as dd
 from gridreach.operators import graph as gr
 from gridreach.operators import ordered
+from gridreach.operators import overlap
 from gridreach.operators import permute
 from gridreach.operators import scoring
 from gridreach.operators import spatial as sp
@@ -67,6 +69,39 @@ def test_line_overlap_makes_no_pair_rows(spark):
     assert reach / 450 - 1e-9 <= worst[0] and worst[1] <= 415 / 450 + 1e-9
 
 
+def test_near_intervals_equal_the_expression(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.choice([0.0, 10.0, 15.0, 25.0, 40.25], (600, 8)) + rng.choice([0.0, 0.1], (600, 8)) * rng.random((600, 8))  # parallel, touching and zero-length ones too
+    names = ["ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{c} double" for c in names))
+    want = df.select("i", g.near_interval(*[F.col(c) for c in names], 15.0).alias("t")).orderBy("i").collect()
+    t0, t1 = overlap.near_intervals(tuple(rows.T[:4]), tuple(rows.T[4:]), 15.0)
+    assert [(None, None) if a > b else (a, b) for a, b in zip(t0, t1)] == [(w.t.t0, w.t.t1) for w in want]
+    assert 50 < sum(w.t.t0 is None for w in want) < 550
+
+
+def test_near_sums_carry_no_lists(spark):
+    # 600 parts in one tile, each within reach of all 600 references
+    at = lambda c: (F.col("id") % 300 / 100).alias(c)
+    parts = spark.range(600).select(F.lit(0).cast("long").alias("_bx"), F.lit(0).cast("long").alias("_by"), F.lit(0.0).alias("x1"), at("y1"), F.lit(450.0).alias("x2"), at("y2"), F.lit(2).cast("long").alias("copies"), F.lit(450.0).alias("piece_m"))
+    ref = spark.range(600).select((F.col("id") * 0.5).alias("x1"), F.lit(1.0).alias("y1"), (F.col("id") * 0.5 + 1).alias("x2"), F.lit(1.0).alias("y2"))
+    out = dd.near_sums(parts, ref, 15.0, 500.0)
+    assert "MapInArrow" in _plan(out) and "collect_list" not in _plan(out)
+    r = out.where("whole > 0").collect()
+    near = 300 * 300.5 + sum((225 - (i / 100 - 1) ** 2) ** 0.5 for i in range(300))  # each part stands twice and counts once
+    assert len(r) == 1 and r[0].whole == 600 * 900 and abs(r[0].near - 2 * near) < 1e-6
+
+
+def test_near_sums_go_on_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PAIRS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        q, (con, _) = all_queries()["f15_pct_road_near_cycleway"], _oracle_count("f15_pct_road_near_cycleway")
+        assert compare(q.build(World(spark, SF)), con, q.oracle()) is None
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 5000])
 def test_keyed_shuffle_is_a_permutation(n):
     at = np.arange(n)
