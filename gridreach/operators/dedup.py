@@ -12,7 +12,7 @@ from gridreach.functions import geometry as g
 from gridreach.operators import overlap
 from gridreach.operators import spatial as sp
 from gridreach.operators.ordered import first_row
-from gridreach.session import cut
+from gridreach.session import cut, narrow_batches
 
 
 def dedup_points_near_ways(pois: DataFrame, key: str, category: str, is_point: Column, r: float = 15.0) -> DataFrame:
@@ -97,6 +97,8 @@ def near_sums(parts: DataFrame, ref: DataFrame, buf: float, size: float) -> Data
     refs = _ref_tiles(ref, buf, size).withColumn("copies", F.lit(0).cast("long")).withColumn("piece_m", F.lit(0.0))
     rows = parts.select(*tile, *rest).unionByName(refs).repartition(*tile).sortWithinPartitions(*tile, *rest)
     found = rows.mapInArrow(lambda batches: overlap.sums(batches, buf), "_bx long, _by long, whole double, near double")
+    with narrow_batches(parts.sparkSession):
+        found = cut(found)
     return found.groupBy("_bx", "_by").agg(F.sum("whole").alias("whole"), F.sum("near").alias("near"))
 
 

@@ -23,19 +23,32 @@ PAIRS = 1 << 15
 Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def near_intervals(a: Segments, c: Segments, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """`geometry.near_interval` for arrays of segments a and c, step by step the same; t0 > t1 when there is none."""
-    (ax, ay, bx, by), (cx, cy, dx, dy) = a, c
-    ux, uy, vx, vy = bx - ax, by - ay, dx - cx, dy - cy
-    wx, wy, zx, zy = ax - cx, ay - cy, ax - dx, ay - dy
-    length, uu = np.sqrt(vx * vx + vy * vy), ux * ux + uy * uy
-    t0, t1 = np.full(len(ax), np.inf), np.full(len(ax), -np.inf)
+def directed(s: Segments) -> tuple[np.ndarray, ...]:
+    """Ends of segments, the way from the first to the second, its length and unit vector."""
+    x1, y1, x2, y2 = s
+    dx, dy = x2 - x1, y2 - y1
+    length = np.sqrt(dx * dx + dy * dy)
+    with np.errstate(invalid="ignore"):
+        return x1, y1, x2, y2, dx, dy, length, dx / length, dy / length
+
+
+def near_intervals(a: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`geometry.near_interval`, step by step the same, for the pairs (i, j) of rows of `directed` segments a and c: places of pairs that can have one, t0 and t1; t0 > t1 when there is none."""
+    ux, uy, nx, ny, length = a[4][i], a[5][i], c[7][j], c[8][j], c[6][j]
+    wx, wy = a[0][i] - c[0][j], a[1][i] - c[1][j]
+    pa, sa = wx * ny - wy * nx, ux * ny - uy * nx
+    other, far = pa + sa, r + 1e-6 * max(1.0, r)
+    # both ends well beyond r on the same side of the reference's line: nothing is near it
+    at = np.flatnonzero(~((np.minimum(pa, other) > far) | (np.maximum(pa, other) < -far)))
+    ux, uy, nx, ny, length, wx, wy, pa, sa = (v[at] for v in (ux, uy, nx, ny, length, wx, wy, pa, sa))
+    i, j = i[at], j[at]
+    uu, t0, t1 = ux * ux + uy * uy, np.full(len(at), np.inf), np.full(len(at), -np.inf)
 
     def add(lo: np.ndarray, hi: np.ndarray) -> None:
         lo, hi = np.maximum(lo, 0.0), np.minimum(hi, 1.0)
         some = lo <= hi  # not so for NaN, which stands for null
-        np.minimum(t0, lo, out=t0, where=some)
-        np.maximum(t1, hi, out=t1, where=some)
+        np.minimum(t0, np.where(some, lo, np.inf), out=t0)
+        np.maximum(t1, np.where(some, hi, -np.inf), out=t1)
 
     def strip(p0: np.ndarray, slope: np.ndarray, lo: float, hi: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u, v = (lo - p0) / slope, (hi - p0) / slope
@@ -47,20 +60,35 @@ def near_intervals(a: Segments, c: Segments, r: float) -> tuple[np.ndarray, np.n
         return start, end
 
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        nx, ny = vx / length, vy / length
-        for ex, ey in ((wx, wy), (zx, zy)):
+        for ex, ey in ((wx, wy), (a[0][i] - c[2][j], a[1][i] - c[3][j])):
             b, away = ex * ux + ey * uy, ex * ex + ey * ey - r * r
             root = np.sqrt(b * b - uu * away)
             add((-b - root) / uu, (-b + root) / uu)
-        across = strip(wx * ny - wy * nx, ux * ny - uy * nx, -r, r)
+        across = strip(pa, sa, -r, r)
         along = strip(wx * nx + wy * ny, ux * nx + uy * ny, 0.0, length)
         add(np.maximum(across[0], along[0]), np.minimum(across[1], along[1]))
-    return t0, t1
-
-
-def _union(row: np.ndarray, t0: np.ndarray, t1: np.ndarray, n: int) -> np.ndarray:
-    """Length of the union of the intervals of each row 0 .. n-1; `row` ascends."""
-    by = np.lexsort((t1, t0, row))
+    return at, t0, t1
+
+
+def _ordered(row: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """Order by row, t0 and t1, all of the latter in 0 to 1; `row` ascends, so sums of both are nearly sorted."""
+    by = np.argsort(row + t1 / 2, kind="stable")
+    by = by[np.argsort((row + t0 / 2)[by], kind="stable")]
+    a, b = t0[by], t1[by]
+    wrong = (row[1:] == row[:-1]) & ((a[1:] < a[:-1]) | ((a[1:] == a[:-1]) & (b[1:] < b[:-1])))
+    return np.lexsort((t1, t0, row)) if wrong.any() else by  # sums that rounding made equal
+
+
+def _union(row: np.ndarray, t0: np.ndarray, t1: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Length of the union of the intervals of each row 0, 1, ... within lo to hi; `row` ascends."""
+    out, n = np.zeros(len(lo)), len(lo)
+    whole = row[(t0 <= lo[row]) & (t1 >= hi[row])]
+    out[whole] = (hi - lo)[whole]
+    left = np.ones(n, bool)
+    left[whole] = False
+    rest = np.flatnonzero(left[row])
+    row, t0, t1 = row[rest], t0[rest], t1[rest]
+    by = _ordered(row, t0, t1)
     t0, t1 = t0[by], t1[by]
     reach, step = t1.copy(), 1  # the farthest end so far within a row, over twice as many intervals each time
     while True:
@@ -72,7 +100,7 @@ def _union(row: np.ndarray, t0: np.ndarray, t1: np.ndarray, n: int) -> np.ndarra
     seen = np.zeros(len(t0))
     later = np.flatnonzero(row[1:] == row[:-1]) + 1
     seen[later] = reach[later - 1]
-    return np.bincount(row, np.maximum(t1 - np.maximum(t0, seen), 0.0), n)
+    return out + np.bincount(row, np.maximum(t1 - np.maximum(t0, seen), 0.0), n)
 
 
 def covered(parts: Segments, t0: np.ndarray, t1: np.ndarray, first: np.ndarray, n_refs: np.ndarray, refs: Segments, buf: float) -> np.ndarray:
@@ -81,24 +109,25 @@ def covered(parts: Segments, t0: np.ndarray, t1: np.ndarray, first: np.ndarray,
     px, py = (x1 + t0 * (x2 - x1), x1 + t1 * (x2 - x1)), (y1 + t0 * (y2 - y1), y1 + t1 * (y2 - y1))
     box = [np.minimum(*px) - buf, np.maximum(*px) + buf, np.minimum(*py) - buf, np.maximum(*py) + buf]
     ref_box = [np.minimum(refs[0], refs[2]), np.maximum(refs[0], refs[2]), np.minimum(refs[1], refs[3]), np.maximum(refs[1], refs[3])]
+    a, c = directed(parts), directed(refs)
     ends = np.cumsum(n_refs)
     starts, found = ends - n_refs, []
     for lo in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
         hi = min(lo + PAIRS, int(ends[-1]))
         some = slice(np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi))
-        row = np.repeat(np.arange(some.start, some.stop), np.minimum(ends[some], hi) - np.maximum(starts[some], lo))
-        c = np.arange(lo, hi) + (first - starts)[row]
-        close = np.flatnonzero((ref_box[0][c] <= box[1][row]) & (ref_box[1][c] >= box[0][row]))
-        row, c = row[close], c[close]
-        close = np.flatnonzero((ref_box[2][c] <= box[3][row]) & (ref_box[3][c] >= box[2][row]))
-        row, c = row[close], c[close]
-        s0, s1 = near_intervals(tuple(v[row] for v in parts), tuple(v[c] for v in refs), buf)
-        from0, to1 = np.maximum(s0, t0[row]), np.minimum(s1, t1[row])
+        i = np.repeat(np.arange(some.start, some.stop), np.minimum(ends[some], hi) - np.maximum(starts[some], lo))
+        j = np.arange(lo, hi) + (first - starts)[i]
+        for b in (0, 2):
+            close = np.flatnonzero((ref_box[b][j] <= box[b + 1][i]) & (ref_box[b + 1][j] >= box[b][i]))
+            i, j = i[close], j[close]
+        at, s0, s1 = near_intervals(a, c, i, j, buf)
+        i = i[at]
+        from0, to1 = np.maximum(s0, t0[i]), np.minimum(s1, t1[i])
         kept = np.flatnonzero((s0 < s1) & (from0 < to1))
-        found.append((row[kept], from0[kept], to1[kept]))
+        found.append((i[kept], from0[kept], to1[kept]))
     if not found:
         return np.zeros(len(x1))
-    return _union(*(np.concatenate(v) for v in zip(*found)), len(x1))
+    return _union(*(np.concatenate(v) for v in zip(*found)), t0, t1)
 
 
 def _plain(a: pa.Array) -> np.ndarray:

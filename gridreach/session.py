@@ -100,6 +100,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of jobs run inside the block end by rows alone, for rows of a few numbers.
+
+    Otherwise Spark adds up the bytes of a batch anew for each row, which takes longer than the row's way to its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 #: Rows of a few numbers that may be broadcast: some ten megabytes.
 SMALL = 1_000_000
 

@@ -1,5 +1,7 @@
 """Joins, searches and statistics whose cost shows on large tables only."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -75,18 +77,30 @@ def test_near_intervals_equal_the_expression(spark):
     names = ["ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{c} double" for c in names))
     want = df.select("i", g.near_interval(*[F.col(c) for c in names], 15.0).alias("t")).orderBy("i").collect()
-    t0, t1 = overlap.near_intervals(tuple(rows.T[:4]), tuple(rows.T[4:]), 15.0)
-    assert [(None, None) if a > b else (a, b) for a, b in zip(t0, t1)] == [(w.t.t0, w.t.t1) for w in want]
+    each, got = np.arange(600), {}
+    for i, a, b in zip(*overlap.near_intervals(overlap.directed(tuple(rows.T[:4])), overlap.directed(tuple(rows.T[4:])), each, each, 15.0)):
+        got[i] = (None, None) if a > b else (a, b)
+    assert [got.get(i, (None, None)) for i in each] == [(w.t.t0, w.t.t1) for w in want] and len(got) < 600
     assert 50 < sum(w.t.t0 is None for w in want) < 550
 
 
-def test_near_sums_carry_no_lists(spark):
+def test_crowded_lines_take_seconds(spark):
+    # each of 2,500 lines of one tile within reach of all 2,500 references: 6 million intervals
+    lines = spark.range(2500).select(F.col("id").alias("line_id"), F.lit(0.0).alias("x1"), (F.col("id") / 1000).alias("y1"), F.lit(450.0).alias("x2"), (F.col("id") / 1000).alias("y2"))
+    ref = spark.range(2500).select((F.col("id") * 0.1).alias("x1"), F.lit(1.0).alias("y1"), (F.col("id") * 0.1 + 1).alias("x2"), F.lit(1.0).alias("y2"))
+    start = time.time()
+    got = {r.line_id: r.covered for r in dd.near_share(lines, ["line_id"], ref, 15.0).collect()}
+    assert time.time() - start < 20
+    assert len(got) == 2500 and all(abs(c * 450 - 250.9 - (225 - (i / 1000 - 1) ** 2) ** 0.5) < 1e-6 for i, c in got.items())
+
+
+def test_near_sums_count_equal_parts_once(spark):
     # 600 parts in one tile, each within reach of all 600 references
     at = lambda c: (F.col("id") % 300 / 100).alias(c)
     parts = spark.range(600).select(F.lit(0).cast("long").alias("_bx"), F.lit(0).cast("long").alias("_by"), F.lit(0.0).alias("x1"), at("y1"), F.lit(450.0).alias("x2"), at("y2"), F.lit(2).cast("long").alias("copies"), F.lit(450.0).alias("piece_m"))
     ref = spark.range(600).select((F.col("id") * 0.5).alias("x1"), F.lit(1.0).alias("y1"), (F.col("id") * 0.5 + 1).alias("x2"), F.lit(1.0).alias("y2"))
     out = dd.near_sums(parts, ref, 15.0, 500.0)
-    assert "MapInArrow" in _plan(out) and "collect_list" not in _plan(out)
+    assert "collect_list" not in _plan(out) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
     r = out.where("whole > 0").collect()
     near = 300 * 300.5 + sum((225 - (i / 100 - 1) ** 2) ** 0.5 for i in range(300))  # each part stands twice and counts once
     assert len(r) == 1 and r[0].whole == 600 * 900 and abs(r[0].near - 2 * near) < 1e-6
