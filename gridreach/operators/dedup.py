@@ -61,9 +61,12 @@ def dedup_greedy(stops: DataFrame, key: str, by: str, r: float = 20.0) -> DataFr
 
 
 def _ref_tiles(ref: DataFrame, buf: float, size: float) -> DataFrame:
-    """Distinct reference segments, once for every tile (_bx, _by) that their buffer touches."""
+    """Distinct reference segments, once for every tile (_bx, _by) that their buffer touches; one with a single known end is a spot there."""
     x1, y1, x2, y2 = (F.col(c) for c in overlap.ENDS)
-    r = sp._box_tiles(ref.select(*overlap.ENDS).distinct(), size, F.least(x1, x2) - buf, F.least(y1, y2) - buf, F.greatest(x1, x2) + buf, F.greatest(y1, y2) + buf)
+    first, second = x1.isNotNull() & y1.isNotNull(), x2.isNotNull() & y2.isNotNull()
+    ends = (F.when(first, x1).otherwise(x2), F.when(first, y1).otherwise(y2), F.when(second, x2).otherwise(x1), F.when(second, y2).otherwise(y1))
+    known = ref.where(first | second).select(*[e.alias(c) for e, c in zip(ends, overlap.ENDS)]).distinct()
+    r = sp._box_tiles(known, size, F.least(x1, x2) - buf, F.least(y1, y2) - buf, F.greatest(x1, x2) + buf, F.greatest(y1, y2) + buf)
     # keep only tiles the reference's buffer can touch: distance of the tile centre to the segment
     half_diag = size * 0.7072
     away = g.point_segment_distance((F.col("_bx") + 0.5) * size, (F.col("_by") + 0.5) * size, x1, y1, x2, y2)
@@ -95,7 +98,8 @@ def near_sums(parts: DataFrame, ref: DataFrame, buf: float, size: float) -> Data
     """
     tile, rest = ["_by", "_bx"], ["copies", *overlap.ENDS, "piece_m"]
     refs = _ref_tiles(ref, buf, size).withColumn("copies", F.lit(0).cast("long")).withColumn("piece_m", F.lit(0.0))
-    rows = parts.select(*tile, *rest).unionByName(refs).repartition(*tile).sortWithinPartitions(*tile, *rest)
+    known = parts.select(*tile, *rest).where(" and ".join(f"{c} is not null" for c in rest))  # a part without an end or length adds to no sum
+    rows = known.unionByName(refs).repartition(*tile).sortWithinPartitions(*tile, *rest)
     found = rows.mapInArrow(lambda batches: overlap.sums(batches, buf), "_bx long, _by long, whole double, near double")
     with narrow_batches(parts.sparkSession):
         found = cut(found)

@@ -1,5 +1,6 @@
 """Joins, searches and statistics whose cost shows on large tables only."""
 
+import shutil
 import time
 
 import duckdb
@@ -116,6 +117,22 @@ def test_near_sums_go_on_over_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("lines", [
+    "l.* replace (case when l_orderkey%4<>0 then l_partkey end as l_partkey, case when l_orderkey%5<>0 then l_suppkey end as l_suppkey) from l",
+    "l.* replace (l_orderkey%7 as l_orderkey, (l_linenumber%2*2+3)::int as l_linenumber, l_partkey*37%600 as l_partkey, l_suppkey*700 as l_suppkey) from l",  # many on one line
+    "* from l union all select * from l where l_orderkey%3=0",
+])
+def test_near_roads_of_odd_tables_follow_sql(spark, tmp_path, lines):
+    con = duckdb.connect()
+    con.execute(f"create view l as select * from '{SF}/lineitem.parquet'")
+    con.execute(f"copy (select {lines}) to '{tmp_path}/lineitem.parquet'")
+    shutil.copy(f"{SF}/part.parquet", tmp_path)
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    q = all_queries()["f15_pct_road_near_cycleway"]
+    assert compare(q.build(World(spark, str(tmp_path))), con, q.oracle()) is None
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 5000])
 def test_keyed_shuffle_is_a_permutation(n):
     at = np.arange(n)
